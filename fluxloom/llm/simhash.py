@@ -203,6 +203,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4) -> Da
 
     Rows that repeat a doc_id come out once. Rows without a doc_id are kept.
     """
-    kept = near_duplicates(docs, words, differ).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, words, differ).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
+    named = docs.join(kept.select(F.col("doc_id").alias("__id"), "__n"), F.col("doc_id") == F.col("__id"))
+    once = named.where("__n = 1").select(docs.columns).union(named.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.union(docs.where("doc_id is null"))
