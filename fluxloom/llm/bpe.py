@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 SPACE_BEFORE_SPACE = regex.compile(r" (?!\S)")
 SPACE_BEFORE_WORD = regex.compile(r" (?=\S)")
 NO_RANK = np.int32(2**31 - 1)
-#: Entries of each generation of a word dictionary.
-KEPT_WORDS = 250_000
+#: Entries of each generation of the dictionaries of pieces and of words.
+KEPT_PIECES, KEPT_WORDS = 400_000, 150_000
 #: Characters of the longest piece that is kept.
 KEPT_LENGTH = 64
 
@@ -224,7 +225,7 @@ class PieceEncoder:
         self.encode_words, self.whole = encode_words, whole
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.pieces, self.words = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+        self.pieces, self.words = Kept(KEPT_PIECES), Kept(KEPT_WORDS)
 
     def _split(self, text: str) -> list[str]:
         """Pieces; all but the first stand for a space and what follows it."""
@@ -275,6 +276,13 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def own_encoder(path: str) -> tuple[Vocabulary, PieceEncoder]:
+    """A worker's encoder; its dictionaries serve all tasks that the worker runs."""
+    vocabulary = Vocabulary(path)
+    return vocabulary, PieceEncoder(lambda words: merge_all(words, vocabulary), vocabulary.special)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """Encode each whole text, decode its ids, and return digests of both.
 
@@ -287,8 +295,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keep) + f", {prefix}n_tokens long, {prefix}ids_sha256 string, {prefix}decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder = PieceEncoder(lambda words: merge_all(words, vocabulary), vocabulary.special)
+        vocabulary, encoder = own_encoder(path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             texts = [t or "" for t in common.column(batch, "__text")]

@@ -13,7 +13,9 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
-from .bpe import PieceEncoder
+from .bpe import PieceEncoder, byte_alphabet
 
 #: Bytes of a flat file that a scan task reads at a time.
 BLOCK_BYTES = 4 << 20
@@ -134,15 +136,28 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 5
 # ---- operator 5 ---------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
-    """Encodes with the tokenizers library; each pre-token goes to it once while it is remembered."""
+    """Encodes with the tokenizers library; each pre-token goes to its model once while it is remembered.
+
+    A worker's encoder serves all tasks that the worker runs. Pieces that this library's own
+    pre-tokenizer has to cut go through the whole tokenizer.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    alphabet, tokenize = dict(enumerate(byte_alphabet())), tokenizer.model.tokenize
 
     def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for w in words:
+            if w.isascii() or max(w) <= "\u03ff":
+                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]
+            else:
+                ids = tokenizer.encode(w, add_special_tokens=False).ids
+            out.append(array("I", ids).tobytes())
+        return out
 
     return PieceEncoder(encode, special, whole=True)
 
