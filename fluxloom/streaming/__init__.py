@@ -1,0 +1 @@
+"""Flux post-processing has batch jobs only; there is no streaming operator to offer."""
