@@ -52,13 +52,13 @@ def fit_e0(t: np.ndarray, nee: np.ndarray) -> tuple[float, float]:
 def fit_e0_windows(df: DataFrame, tair: str = "Tair", nee: str = "NEE", rg: str = "Rg", min_temp_range: float = 5.0, window_days: int = 15, shift_days: int = 5, keys: Sequence[str] = (), nulls: str = "skip_window", rows_per_day: int = ROWS_PER_DAY) -> DataFrame:
     """(keys, window, e0, rel_err) of windows whose night rows pass: six or more, a temperature range, an error below one half."""
     keys = list(keys)
-    narrow = df.select(*keys, "datetime", col(tair).alias("__T"), col(nee).alias("__N"), col(rg).alias("__R"))
-    night = row_windows(narrow, window_days * rows_per_day, shift_days * rows_per_day, keys).where(F.col("__R") < NIGHT_RADIATION)
+    narrow = df.select(*keys, "datetime", col(tair).alias("__tair"), col(nee).alias("__nee"), col(rg).alias("__rg"))
+    night = row_windows(narrow, window_days * rows_per_day, shift_days * rows_per_day, keys).where(F.col("__rg") < NIGHT_RADIATION)
     if nulls == "drop_rows":
-        night = night.dropna(subset=["__T", "__N"])
+        night = night.dropna(subset=["__tair", "__nee"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, n = rows["__T"].to_numpy(float, na_value=np.nan), rows["__N"].to_numpy(float, na_value=np.nan)
+        t, n = rows["__tair"].to_numpy(float, na_value=np.nan), rows["__nee"].to_numpy(float, na_value=np.nan)
         out = rows[[*keys, "window"]].iloc[:1].copy()
         if len(t) < 6 or np.isnan(t).any() or np.isnan(n).any() or t.max() - t.min() < min_temp_range:
             return out.iloc[:0].assign(e0=[], rel_err=[])
@@ -67,7 +67,7 @@ def fit_e0_windows(df: DataFrame, tair: str = "Tair", nee: str = "NEE", rg: str
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "window long", "e0 double", "rel_err double"])
-    return night.select(*keys, "window", "__T", "__N").groupBy(*keys, "window").applyInPandas(run, schema)
+    return night.select(*keys, "window", "__tair", "__nee").groupBy(*keys, "window").applyInPandas(run, schema)
 
 
 def global_e0(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,12 +82,12 @@ def estimate_rref(df: DataFrame, e0: str = "e0", tair: str = "Tair", nee: str =
     Least squares in Rref alone: sum(k NEE) / sum(k^2), within [0, 1000]; three night rows or more.
     """
     keys, size = list(keys), window_days * rows_per_day
-    narrow = df.select(*keys, "datetime", col(tair).alias("__T"), col(nee).alias("__N"), col(rg).alias("__R"), col(e0).alias("__E"))
-    night = row_windows(narrow, size, shift_days * rows_per_day, keys).where(F.col("__R") < NIGHT_RADIATION)
+    narrow = df.select(*keys, "datetime", col(tair).alias("__tair"), col(nee).alias("__nee"), col(rg).alias("__rg"), col(e0).alias("__sens"))
+    night = row_windows(narrow, size, shift_days * rows_per_day, keys).where(F.col("__rg") < NIGHT_RADIATION)
     if nulls == "drop_rows":
-        night = night.dropna(subset=["__T", "__N"])
-    k = F.exp(F.col("__E") * temperature_term(F.col("__T")))
-    fit = night.groupBy(*keys, "window", "start").agg(F.sum(k * F.col("__N")).alias("kn"), F.sum(k * k).alias("kk"), F.count("*").alias("n"), F.count(k * F.col("__N")).alias("whole"))
+        night = night.dropna(subset=["__tair", "__nee"])
+    k = F.exp(F.col("__sens") * temperature_term(F.col("__tair")))
+    fit = night.groupBy(*keys, "window", "start").agg(F.sum(k * F.col("__nee")).alias("kn"), F.sum(k * k).alias("kk"), F.count("*").alias("n"), F.count(k * F.col("__nee")).alias("whole"))
     rref = F.least(F.greatest(F.col("kn") / F.col("kk"), F.lit(0.0)), F.lit(1000.0))
     return fit.where("n >= 3 and n = whole").select(*keys, "window", (F.col("start") + size // 2).alias("pos"), rref.alias("rref"))
 
@@ -182,13 +182,13 @@ def fit_day_windows(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str
     A window needs ten rows and more than five at night; without a day fit the last three are null.
     """
     keys = list(keys)
-    narrow = df.select(*keys, "datetime", col(nee).alias("__N"), col(tair).alias("__T"), col(rg).alias("__R"))
+    narrow = df.select(*keys, "datetime", col(nee).alias("__nee"), col(tair).alias("__tair"), col(rg).alias("__rg"))
     listed = time_windows(narrow, window_days, step_days, keys)
     names = ["R_ref", "E0", "alpha", "GPP_max", "beta"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows[[*keys, "window", "centre"]].iloc[:1]
-        n, t, r = (rows[c].to_numpy(float, na_value=np.nan) for c in ("__N", "__T", "__R"))
+        n, t, r = (rows[c].to_numpy(float, na_value=np.nan) for c in ("__nee", "__tair", "__rg"))
         dark, light = r < NIGHT_RADIATION, r >= NIGHT_RADIATION
         if nulls == "drop_rows":
             ok = ~np.isnan(n) & ~np.isnan(t)
@@ -206,7 +206,7 @@ def fit_day_windows(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "window long", "centre timestamp_ntz", *(f"{c} double" for c in names)])
-    return listed.select(*keys, "window", "centre", "__N", "__T", "__R").groupBy(*keys, "window", "centre").applyInPandas(run, schema)
+    return listed.select(*keys, "window", "centre", "__nee", "__tair", "__rg").groupBy(*keys, "window", "centre").applyInPandas(run, schema)
 
 
 def dt_partition(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", window_size: int = 15, step_size: int = 2, keys: Sequence[str] = (), nulls: str = "skip_window") -> DataFrame:

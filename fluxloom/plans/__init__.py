@@ -1,4 +1,428 @@
-"""Registered queries of the flux operators and their DuckDB twins."""
+"""Registered queries of the flux operators over the half-hourly table, and their DuckDB twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import physics
+from ..operators import clean, gapfill, partition, quality, report, ustar, windows
+from .fixtures import DUCK, biomet_text, era5_like, flux_text, halfhourly
+
+SITE = ["site_id"]
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name; ``sql`` continues after the CTE of the half-hourly table ``h``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if sql.lstrip().startswith(("SELECT /**/", "WITH")) else DUCK + sql
+        return f
+
+    return add
+
+
+def r(name: str, c=None):
+    """A result column rounded as the oracle rounds it."""
+    c = F.col(f"`{name}`") if c is None else c
+    return F.round(c + 1e-9, 6).alias(name)
+
+
+def rs(name: str, sql: str | None = None) -> str:
+    return f'round({sql or name} + 1e-9, 6) AS "{name}"'
+
+
+FLUX_SQL = """
+, fx AS (SELECT *, CASE WHEN NEE IS NULL OR n % 5 = 0 THEN NULL WHEN n % 3 = 2 THEN NULL ELSE (NEE - 0.1) + 0.1 END AS nee2,
+         CASE WHEN n % 3 = 2 THEN NULL ELSE 0.3*Rn END AS h2, CASE WHEN n % 3 = 2 THEN NULL ELSE 0.4*Rn END AS le2 FROM h)
+"""
+
+
+@query(FLUX_SQL + f"""SELECT site_id, datetime, CAST(dayofyear(datetime) AS DOUBLE) AS "DOY", {rs('Tair', '(Tair + 273.15) - 273.15')}, {rs('Tsoil', '(Tair + 272.15) - 273.15')},
+ {rs('RH_1_1_1', 'CASE WHEN n % 4 = 1 THEN 90 - 2*VPD ELSE 80 END')}, {rs('Rn', 'Rg + 300 - 0.2*Rg - 340')}, {rs('H', 'h2')}, {rs('LE', 'le2')}, {rs('NEE', 'nee2')}, CAST(NULL AS DOUBLE) AS "SHF_1_1_1", {rs('u*', 'ustar')} FROM fx""")
+def load_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = halfhourly(spark, sf_dir)
+    out = clean.load_flux(flux_text(h), biomet_text(h), SITE)
+    return out.select("site_id", "datetime", "DOY", *[r(c) for c in ("Tair", "Tsoil", "RH_1_1_1", "Rn", "H", "LE", "NEE", "SHF_1_1_1", "u*")])
+
+
+@query(FLUX_SQL + f"""SELECT site_id, datetime, CAST(dayofyear(datetime) AS DOUBLE) AS "DOY", {rs('Tair', '(Tair + 273.15) - 273.15')}, 101325.0::DOUBLE AS air_pressure, {rs('RH', '90 - 2*VPD')}, {rs('VPD')}, {rs('H', 'h2')}, {rs('LE', 'le2')}, {rs('NEE', 'nee2')}, {rs('u*', 'ustar')} FROM fx""")
+def load_flux_nobiomet(spark, sf_dir):
+    out = clean.load_flux_nobiomet(flux_text(halfhourly(spark, sf_dir)), SITE)
+    return out.select("site_id", "datetime", "DOY", r("Tair"), "air_pressure", *[r(c) for c in ("RH", "VPD", "H", "LE", "NEE", "u*")])
+
+
+@query(f"""SELECT site_id, datetime, {rs('Tair')}, {rs('VPD')}, {rs('Rn')}, {rs('Rg')}, {rs('WS', '2.5')}, {rs('NEE')}, {rs('u*', 'ustar')} FROM h""")
+def canonical_dataset(spark, sf_dir):
+    raw = halfhourly(spark, sf_dir).withColumnRenamed("ustar", "u*").withColumn("wind_speed", F.lit(2.5))
+    out = clean.build_dataset(raw, keys=SITE)
+    return out.select("site_id", "datetime", *[r(c) for c in ("Tair", "VPD", "Rn", "Rg", "WS", "NEE", "u*")])
+
+
+ERA5_SQL = """
+, e AS (SELECT site_id, datetime, Rn AS Fn, Rg AS Fsd, 90 - 2*VPD AS RH, 15 + (Tair-15)*0.9 AS Ta FROM h WHERE (hour(datetime)*2 + minute(datetime)//30 + day(datetime)*48) % 50 <> 0)
+"""
+
+
+@query(ERA5_SQL + f"""SELECT h.site_id, h.datetime, {rs('Tair')}, {rs('VPD')}, {rs('NEE')}, {rs('Tair_era5', 'Ta')}, {rs('Tsoil_era5', 'Ta - 1')}, {rs('SWIN_era5', 'Fsd')}, {rs('RH_era5', 'RH')}, {rs('VPD_era5', 'VPD')}, {rs('Rn_era5', 'Fn')} FROM h JOIN e USING (site_id, datetime)""")
+def build_dataset_era5(spark, sf_dir):
+    h = halfhourly(spark, sf_dir)
+    out = clean.build_dataset(h, era5_like(h), keys=SITE)
+    return out.select("site_id", "datetime", *[r(c) for c in ("Tair", "VPD", "NEE", "Tair_era5", "Tsoil_era5", "SWIN_era5", "RH_era5", "VPD_era5", "Rn_era5")])
+
+
+@query(f"""
+, q AS (SELECT site_id, quantile_cont(NEE, 0.25) a, quantile_cont(NEE, 0.5) b, quantile_cont(NEE, 0.75) c, quantile_cont(VPD, 0.25) d, quantile_cont(VPD, 0.5) e, quantile_cont(VPD, 0.75) f FROM h GROUP BY 1)
+SELECT site_id, datetime, {rs('NEE_SmartY_qc', 'CASE WHEN NEE BETWEEN b - 2*(c-a) AND b + 2*(c-a) THEN NEE END')}, {rs('VPD_SmartY_qc', 'CASE WHEN VPD BETWEEN e - 2*(f-d) AND e + 2*(f-d) THEN VPD END')} FROM h JOIN q USING (site_id)""")
+def smart_range_qc(spark, sf_dir):
+    out = quality.smart_range_qc(halfhourly(spark, sf_dir), ["NEE", "VPD"], SITE, k=2)
+    return out.select("site_id", "datetime", r("NEE_SmartY_qc"), r("VPD_SmartY_qc"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('NEE_MaxMinValue_qc', 'CASE WHEN NEE BETWEEN -15 AND 10 THEN NEE END')}, {rs('Tair_MaxMinValue_qc', 'CASE WHEN Tair BETWEEN 10 AND 20 THEN Tair END')} FROM h""")
+def range_qc(spark, sf_dir):
+    out = quality.range_qc(halfhourly(spark, sf_dir), ["NEE", "Tair"], [-15, 10], [10, 20])
+    return out.select("site_id", "datetime", r("NEE_MaxMinValue_qc"), r("Tair_MaxMinValue_qc"))
+
+
+@query(" UNION ALL ".join(f"""{'' if i else ''}SELECT site_id, '{c}' AS variable, {rs('median', f'quantile_cont({c}, 0.5)')}, {rs('q25', f'quantile_cont({c}, 0.25)')}, {rs('q75', f'quantile_cont({c}, 0.75)')}, {rs('min', f'min({c})')}, {rs('max', f'max({c})')} FROM h GROUP BY site_id""" for i, c in enumerate(("NEE", "Tair", "VPD"))))
+def range_reference_stats(spark, sf_dir):
+    out = quality.range_reference_stats(halfhourly(spark, sf_dir), ["NEE", "Tair", "VPD"], SITE)
+    return out.select("site_id", "variable", *[r(c) for c in ("median", "q25", "q75", "min", "max")])
+
+
+@query(f"""SELECT site_id, datetime, {rs('NEE_Dependency_qc', 'CASE WHEN Tair BETWEEN 8 AND 18 AND VPD BETWEEN 3 AND 9 THEN NEE END')} FROM h""")
+def dependency_qc(spark, sf_dir):
+    out = quality.dependency_qc(halfhourly(spark, sf_dir), "NEE", ["Tair", "VPD"], [8, 3], [18, 9], keys=SITE, unique_times=False)
+    return out.select("site_id", "datetime", r("NEE_Dependency_qc"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('NEE_Datetime_qc', "CASE WHEN dayofmonth(datetime) BETWEEN 5 AND 8 OR hour(datetime) = 99 THEN NULL ELSE NEE END")} FROM h""")
+def datetime_qc(spark, sf_dir):
+    h = halfhourly(spark, sf_dir)
+    span = h.agg(F.date_trunc("month", F.min("datetime")).cast("date").alias("a"), F.date_trunc("month", F.max("datetime")).cast("date").alias("b")).first()
+    months, m = [], span["a"]
+    while m <= span["b"]:  # a few calendar months
+        months.append(m)
+        m = m.replace(year=m.year + (m.month == 12), month=m.month % 12 + 1)
+    out = quality.datetime_qc(h, "NEE", [*((f"{x:%Y-%m}-05 00:00:00", f"{x:%Y-%m}-08 23:59:59") for x in months), ("no date", "at all")])
+    return out.select("site_id", "datetime", r("NEE_Datetime_qc"))
+
+
+DESPIKE_SQL = """
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, coalesce(Rg >= 10, false) AS isday FROM h)
+, w AS (SELECT a.site_id, a.pos, median(b.NEE) AS med, count(*) AS cnt, list(b.NEE) AS vals FROM p a JOIN p b ON a.site_id = b.site_id AND a.isday = b.isday AND b.pos BETWEEN a.pos - {half} AND a.pos + {half} AND b.NEE IS NOT NULL GROUP BY 1, 2)
+, m AS (SELECT site_id, pos, med, cnt, (SELECT median(abs(x - med)) FROM (SELECT unnest(vals) AS x)) AS mad FROM w)
+"""
+
+
+@query(DESPIKE_SQL.format(half=24) + f"""SELECT site_id, datetime, {rs('NEE_despiked', "CASE WHEN NOT isday AND cnt > 6 AND round(abs(NEE - med) - 3*mad, 9) > 0 THEN NULL ELSE NEE END")} FROM p LEFT JOIN m USING (site_id, pos)""")
+def despike_night(spark, sf_dir):
+    out = quality.despike(halfhourly(spark, sf_dir), "NEE", "Rg", 48, period="night", keys=SITE)
+    return out.select("site_id", "datetime", r("NEE_despiked"))
+
+
+@query(DESPIKE_SQL.format(half=120) + f"""SELECT site_id, datetime, {rs('NEE_despiked', "CASE WHEN cnt > 30 AND round(abs(NEE - med) - 3*mad, 9) > 0 THEN med ELSE NEE END")} FROM p LEFT JOIN m USING (site_id, pos)""")
+def despike_median(spark, sf_dir):
+    out = quality.despike(halfhourly(spark, sf_dir), "NEE", "Rg", 240, replace_with_median=True, keys=SITE)
+    return out.select("site_id", "datetime", r("NEE_despiked"))
+
+
+@query(f"""SELECT site_id, {rs('kept_pct', "100.0 * count(*) FILTER (NEE BETWEEN -15 AND 10) / count(*)")}, {rs('removed_pct', "100.0 * count(*) FILTER (NEE IS NOT NULL AND NOT NEE BETWEEN -15 AND 10) / count(*)")}, {rs('missing_pct', "100.0 * count(*) FILTER (NEE IS NULL) / count(*)")}, {rs('min_kept', 'min(NEE) FILTER (NEE BETWEEN -15 AND 10)')}, {rs('max_kept', 'max(NEE) FILTER (NEE BETWEEN -15 AND 10)')} FROM h GROUP BY site_id""")
+def qc_summary(spark, sf_dir):
+    out = quality.qc_summary(quality.range_qc(halfhourly(spark, sf_dir), ["NEE"], [-15], [10]), "NEE", "NEE_MaxMinValue_qc", SITE)
+    return out.select("site_id", *[r(c) for c in ("kept_pct", "removed_pct", "missing_pct", "min_kept", "max_kept")])
+
+
+TBIN_SQL = """
+, n1 AS (SELECT * FROM h WHERE Rg < 10)
+, te AS (SELECT site_id, list_transform(quantile_cont(Tair, [1/6, 2/6, 3/6, 4/6, 5/6]), lambda e: round(e, 9)) AS te FROM n1 GROUP BY 1)
+, tb AS (SELECT n1.*, CASE WHEN Tair IS NOT NULL THEN len(list_filter(te, lambda e: Tair > e)) END AS temp_group FROM n1 JOIN te USING (site_id))
+"""
+UBIN_SQL = TBIN_SQL + """
+, gate AS (SELECT site_id, temp_group, corr(Tair, ustar) AS r FROM tb GROUP BY 1, 2)
+, ue AS (SELECT site_id, temp_group, quantile_cont(ustar, [0.0, 1/8, 2/8, 3/8, 4/8, 5/8, 6/8, 7/8, 1.0]) AS ue FROM tb GROUP BY 1, 2)
+, ub AS (SELECT tb.*, ue, len(list_filter(ue[2:8], lambda e: ustar > round(e, 9))) AS bin FROM tb JOIN ue USING (site_id, temp_group))
+, us AS (SELECT site_id, temp_group, bin, avg(NEE) AS mean_nee, count(ustar) AS n, any_value((ue[bin+1] + ue[bin+2])/2) AS mid FROM ub GROUP BY 1, 2, 3)
+"""
+MPT_SQL = UBIN_SQL + """
+, lt AS (SELECT *, avg(mean_nee) OVER (PARTITION BY site_id, temp_group ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lat FROM us)
+, mp AS (SELECT site_id, temp_group, coalesce(arg_min(mid, bin) FILTER (mean_nee > 0.99*lat), arg_min(mid, bin) FILTER (mean_nee > 0.9*lat), 0.1) AS threshold FROM lt GROUP BY 1, 2)
+"""
+
+
+@query(TBIN_SQL + "SELECT site_id, datetime, CAST(temp_group AS BIGINT) AS temp_group FROM tb")
+def quantile_bins(spark, sf_dir):
+    night = quality.night(halfhourly(spark, sf_dir))
+    return ustar.quantile_bin(night, "Tair", 6, SITE, "temp_group").select("site_id", "datetime", F.col("temp_group").cast("long").alias("temp_group"))
+
+
+def _groups(spark, sf_dir):
+    night = quality.night(halfhourly(spark, sf_dir))
+    return ustar.quantile_bin(night, "Tair", 6, SITE, "temp_group").where("temp_group is not null")
+
+
+@query(UBIN_SQL + f"SELECT site_id, CAST(temp_group AS BIGINT) AS temp_group, {rs('r')}, coalesce(abs(r) < 0.4, true) AS accepted FROM gate")
+def correlation_gate(spark, sf_dir):
+    out = ustar.correlation_gate(_groups(spark, sf_dir), "Tair", "ustar", ["site_id", "temp_group"])
+    return out.select("site_id", F.col("temp_group").cast("long").alias("temp_group"), r("r"), "accepted")
+
+
+@query(UBIN_SQL + f"SELECT site_id, CAST(temp_group AS BIGINT) AS temp_group, CAST(bin AS BIGINT) AS bin, {rs('mean_nee')}, n, {rs('mid')} FROM us")
+def ustar_bin_stats(spark, sf_dir):
+    out = ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", ["site_id", "temp_group"], 8, label_rounding=False)
+    return out.select("site_id", F.col("temp_group").cast("long").alias("temp_group"), F.col("bin").cast("long").alias("bin"), r("mean_nee"), "n", r("mid"))
+
+
+@query(MPT_SQL + f"SELECT site_id, CAST(temp_group AS BIGINT) AS temp_group, {rs('threshold')} FROM mp")
+def moving_point(spark, sf_dir):
+    keys = ["site_id", "temp_group"]
+    out = ustar.moving_point(ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", keys, 8, label_rounding=False), keys)
+    return out.select("site_id", F.col("temp_group").cast("long").alias("temp_group"), r("threshold"))
+
+
+@query(MPT_SQL + f"SELECT n1.site_id, {rs('threshold', 'quantile_cont(threshold, 0.5)')} FROM (SELECT DISTINCT site_id FROM n1) n1 LEFT JOIN (SELECT mp.* FROM mp JOIN gate USING (site_id, temp_group) WHERE coalesce(abs(r) < 0.4, true)) a ON n1.site_id = a.site_id GROUP BY 1")
+def mpt_threshold(spark, sf_dir):
+    return ustar.mpt_threshold(halfhourly(spark, sf_dir), "ustar", nee_bins=8, keys=SITE, label_rounding=False).select("site_id", r("threshold"))
+
+
+@query("""
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS cnt FROM h)
+, d AS (SELECT site_id, rep, ('0x' || substr(md5('42|' || site_id || '|' || rep || '|' || pos), 1, 8))::BIGINT % cnt AS pos FROM p, range(3) t(rep))
+SELECT p.site_id, p.datetime, d.rep, count(*) AS weight FROM d JOIN p ON d.site_id = p.site_id AND d.pos = p.pos GROUP BY ALL""")
+def bootstrap_weights(spark, sf_dir):
+    out = ustar.bootstrap_sample(halfhourly(spark, sf_dir), 3, 42, SITE)
+    return out.select("site_id", "datetime", F.col("rep").cast("long").alias("rep"), "weight")
+
+
+@query()
+def bootstrap_ustar(spark, sf_dir):
+    out = ustar.bootstrap_ustar(halfhourly(spark, sf_dir), None, 10, "ustar", nee_bins=8, keys=SITE, label_rounding=False)
+    return out.select("site_id", "season", r("u5"), r("u50"), r("u95"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('reco', '2.5 * exp(200 * (1/56.02 - 1/(Tair + 46.02)))')} FROM h""")
+def lloyd_taylor(spark, sf_dir):
+    return halfhourly(spark, sf_dir).select("site_id", "datetime", r("reco", physics.lloyd_taylor(F.col("Tair"), F.lit(2.5), F.lit(200.0))))
+
+
+WINDOW_SQL = """
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS cnt FROM h)
+, w AS (SELECT p.*, k AS "window", k * {s} AS "start" FROM p JOIN range(100000) t(k) ON pos >= k * {s} AND pos < k * {s} + {w} AND k * {s} < cnt - {w})
+"""
+
+
+@query(WINDOW_SQL.format(s=240, w=720) + """SELECT site_id, "window", count(*) AS n_rows, min(pos) AS first_pos, max(pos) AS last_pos FROM w GROUP BY 1, 2""")
+def row_windows(spark, sf_dir):
+    out = windows.row_windows(halfhourly(spark, sf_dir), 720, 240, SITE)
+    return out.groupBy("site_id", "window").agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query()
+def e0_windows(spark, sf_dir):
+    out = partition.fit_e0_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
+    return out.select("site_id", "window", F.round("e0", 4).alias("e0"), F.round("rel_err", 4).alias("rel_err"))
+
+
+@query()
+def global_e0(spark, sf_dir):
+    out = partition.global_e0(partition.fit_e0_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows"), SITE)
+    return out.select("site_id", F.round("e0", 4).alias("e0"))
+
+
+RREF_SQL = WINDOW_SQL.format(s=192, w=336) + """
+, rr AS (SELECT site_id, "window", "start" + 168 AS pos, least(greatest(sum(kk * NEE) / sum(kk * kk), 0), 1000) AS rref, count(*) AS n FROM (SELECT *, exp(200 * (1/56.02 - 1/(Tair + 46.02))) AS kk FROM w WHERE Rg < 10 AND NEE IS NOT NULL AND Tair IS NOT NULL) GROUP BY 1, 2, 3)
+, an AS (SELECT site_id, pos, rref FROM rr WHERE n >= 3)
+"""
+
+
+@query(RREF_SQL + f"""SELECT site_id, "window", pos, {rs('rref')} FROM rr WHERE n >= 3""")
+def rref_windows(spark, sf_dir):
+    h = halfhourly(spark, sf_dir).withColumn("e0", F.lit(200.0))
+    return partition.estimate_rref(h, keys=SITE, nulls="drop_rows").select("site_id", "window", "pos", r("rref"))
+
+
+INTERP_SQL = """
+, j AS (SELECT p.site_id, p.datetime, p.pos, p.NEE, p.Tair, p.Rg, rref FROM p LEFT JOIN an USING (site_id, pos))
+, k2 AS (SELECT *, last_value(CASE WHEN rref IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS p0, last_value(rref IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN rref IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS p1, first_value(rref IGNORE NULLS) OVER a AS v1 FROM j
+  WINDOW b AS (PARTITION BY site_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY site_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+, ip AS (SELECT *, CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 WHEN p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END AS rf FROM k2)
+"""
+
+
+@query("""
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos FROM h)
+, an AS (SELECT site_id, pos, NEE AS rref FROM p WHERE NEE IS NOT NULL)
+""" + INTERP_SQL + f"SELECT site_id, datetime, {rs('NEE', 'rf')} FROM ip")
+def interp_position(spark, sf_dir):
+    return windows.interpolate_by_position(windows.positions(halfhourly(spark, sf_dir), SITE), "NEE", SITE).select("site_id", "datetime", r("NEE"))
+
+
+@query(RREF_SQL + INTERP_SQL + f"""SELECT site_id, datetime, {rs('RECO', 'CASE WHEN rf IS NULL THEN NULL ELSE rf * exp(200 * (1/56.02 - 1/(Tair + 46.02))) END')}, {rs('GPP', 'CASE WHEN rf IS NULL THEN NULL ELSE rf * exp(200 * (1/56.02 - 1/(Tair + 46.02))) - NEE END')} FROM ip""")
+def nt_partition_fixed_e0(spark, sf_dir):
+    out = partition.nt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows", e0=200.0)
+    return out.select("site_id", "datetime", r("RECO"), r("GPP"))
+
+
+@query()
+def nt_partition(spark, sf_dir):
+    out = partition.nt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows", night_estimate=False)
+    return out.select("site_id", "datetime", F.round("RECO", 4).alias("RECO"), F.round("GPP", 4).alias("GPP"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('nee', '0.05 * 25 * Rg / (0.05 * Rg + 25) + 2')} FROM h""")
+def light_response(spark, sf_dir):
+    c = physics.light_response(F.col("Rg"), F.lit(0.05), F.lit(25.0), F.lit(2.0))
+    return halfhourly(spark, sf_dir).select("site_id", "datetime", r("nee", c))
+
+
+@query(f"""SELECT site_id, datetime, {rs('beta', 'CASE WHEN VPD > 6 THEN 25 * exp(-0.05 * (VPD - 6)) ELSE 25 END')} FROM h""")
+def vpd_beta(spark, sf_dir):
+    return halfhourly(spark, sf_dir).select("site_id", "datetime", r("beta", physics.vpd_limited_beta(F.col("VPD"), F.lit(25.0), F.lit(0.05), 6.0)))
+
+
+@query("""
+, b AS (SELECT site_id, min(datetime) AS t0, max(datetime) AS t1 FROM h GROUP BY 1)
+, c2 AS (SELECT site_id, k AS "window", t0 + to_days(CAST(2*k AS INTEGER)) AS centre FROM b JOIN range(100000) t(k) ON k <= date_diff('second', t0, t1) / 172800)
+SELECT c2.site_id, "window", centre, count(*) AS n_rows, min(datetime) AS first_row, max(datetime) AS last_row FROM c2 JOIN h ON h.site_id = c2.site_id AND datetime BETWEEN centre - INTERVAL 7 DAYS AND centre + INTERVAL 7 DAYS GROUP BY 1, 2, 3""")
+def time_windows(spark, sf_dir):
+    out = windows.time_windows(halfhourly(spark, sf_dir), 15, 2, SITE)
+    return out.groupBy("site_id", "window", "centre").agg(F.count("*").alias("n_rows"), F.min("datetime").alias("first_row"), F.max("datetime").alias("last_row"))
+
+
+@query()
+def dt_night_fit(spark, sf_dir):
+    out = partition.fit_day_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
+    return out.select("site_id", "window", "centre", F.round("R_ref", 4).alias("R_ref"), F.round("E0", 3).alias("E0"))
+
+
+@query()
+def dt_light_fit(spark, sf_dir):
+    out = partition.fit_day_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
+    return out.select("site_id", "window", "centre", *[F.round(c, 3).alias(c) for c in ("alpha", "GPP_max", "beta")])
+
+
+@query(f"""
+, b AS (SELECT site_id, datetime AS t, Tair AS v, lead(datetime) OVER w AS t2, lead(Tair) OVER w AS v2, lag(datetime) OVER w AS t_, lag(Tair) OVER w AS v_ FROM h WHERE hour(datetime) = 6 AND minute(datetime) = 0 WINDOW w AS (PARTITION BY site_id ORDER BY datetime))
+, s AS (SELECT site_id, t, CASE WHEN t2 IS NULL THEN coalesce(t_, t) ELSE t END AS ta, CASE WHEN t2 IS NULL THEN coalesce(v_, v) ELSE v END AS va, coalesce(t2, t) AS tb, coalesce(v2, v) AS vb, row_number() OVER (PARTITION BY site_id ORDER BY t) AS k FROM b)
+, l AS (SELECT h.site_id, h.datetime, coalesce(max(k) FILTER (s.t <= h.datetime), 1) AS k FROM h JOIN s ON h.site_id = s.site_id GROUP BY 1, 2)
+SELECT l.site_id, l.datetime, {rs('anchor', "va + (vb - va) * CASE WHEN ta = tb THEN 0 ELSE CAST(date_diff('second', ta, l.datetime) AS DOUBLE) / date_diff('second', ta, tb) END")} FROM l JOIN s USING (site_id, k)""")
+def interp_time(spark, sf_dir):
+    h = halfhourly(spark, sf_dir).select("site_id", "datetime", "Tair")
+    anchors = h.where((F.hour("datetime") == 6) & (F.minute("datetime") == 0)).select("site_id", F.col("datetime").alias("centre"), F.col("Tair").alias("anchor"))
+    out = windows.interpolate_by_time(h, anchors, ["anchor"], SITE)
+    return out.where("anchor is not null").select("site_id", "datetime", r("anchor"))
+
+
+@query()
+def dt_partition(spark, sf_dir):
+    out = partition.dt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
+    return out.select("site_id", "datetime", *[F.round(c, 3).alias(c) for c in ("RECO", "GPP", "GPP_model")])
+
+
+@query("""SELECT site_id, count(NEE) AS known, count(*) - count(NEE) AS missing FROM h GROUP BY 1""")
+def gap_split(spark, sf_dir):
+    known, missing = gapfill.split_known_missing(halfhourly(spark, sf_dir), "NEE")
+    a = known.groupBy("site_id").agg(F.count("*").alias("known"))
+    b = missing.groupBy("site_id").agg(F.count("*").alias("missing"))
+    return a.join(b, "site_id", "full").select("site_id", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+FEATURES = ["Rg", "Tair", "VPD", "ustar"]
+
+
+def _filled(spark, sf_dir, short, **params):
+    h = halfhourly(spark, sf_dir)
+    out = gapfill.FILL[short](h, "NEE", "use_custom_X_col", FEATURES, keys=SITE, **params).table
+    return out.select("site_id", "datetime", "NEE", *[F.round(f"NEE_{short}{c}", 3).alias(f"NEE_{short}{c}") for c in ("pred", "GapFilled")])
+
+
+@query()
+def fill_gbt(spark, sf_dir):
+    return _filled(spark, sf_dir, "XGB", rounds=20)
+
+
+@query()
+def fill_rf(spark, sf_dir):
+    return _filled(spark, sf_dir, "RF", max_depth=10)
+
+
+@query()
+def fill_ada(spark, sf_dir):
+    return _filled(spark, sf_dir, "Ada", estimators=8)
+
+
+@query()
+def fill_ann(spark, sf_dir):
+    return _filled(spark, sf_dir, "ANN", hidden=32, epochs=30)
+
+
+@query(f"""SELECT CASE WHEN n % 4 = 0 THEN 'test' ELSE 'train' END AS part, {rs('rmse', 'sqrt(avg((VPD - 0.5*Tair)*(VPD - 0.5*Tair)))')}, {rs('mae', 'avg(abs(VPD - 0.5*Tair))')}, {rs('r2', '1 - sum((VPD - 0.5*Tair)*(VPD - 0.5*Tair)) / (count(VPD) * var_pop(VPD))')}, count(VPD) AS n FROM h GROUP BY 1""")
+def fit_metrics(spark, sf_dir):
+    h = halfhourly(spark, sf_dir).withColumn("p", 0.5 * F.col("Tair")).withColumn("test", F.col("n") % 4 == 0)
+    return gapfill.fit_metrics(h, "VPD", "p", "test").select("part", r("rmse"), r("mae"), r("r2"), "n")
+
+
+@query(f"""SELECT site_id, datetime, {rs('Rn_XGBpred', 'CASE WHEN n = 1 THEN greatest(Rn, 0) END')}, {rs('Rn_XGBGapFilled', 'CASE WHEN n = 1 THEN greatest(Rn, 0) ELSE Rn END')} FROM h""")
+def clamp_nonnegative(spark, sf_dir):
+    h = halfhourly(spark, sf_dir).withColumn("p", F.col("Rn")).withColumn("Rn", F.when(F.col("n") != 1, F.col("Rn")))
+    return gapfill.gap_filled(h, "Rn", "XGB", "p").select("site_id", "datetime", r("Rn_XGBpred"), r("Rn_XGBGapFilled"))
+
+
+@query()
+def fill_columns(spark, sf_dir):
+    h = halfhourly(spark, sf_dir)
+    gaps = h.withColumn("VPD", F.when(F.dayofyear("datetime") % 5 != 0, F.col("VPD"))).withColumn("Tair", F.when(F.hour("datetime") != 3, F.col("Tair")))
+    out = gapfill.fill_columns(gaps, "RandomForest", vars_to_fill=["VPD", "Tair"], X_col=["Rg", "Rn", "ustar"], keys=SITE, max_depth=6, trees=5)
+    return out.select("site_id", "datetime", F.round("VPD_RFGapFilled", 3).alias("VPD_RFGapFilled"), F.round("Tair_RFGapFilled", 3).alias("Tair_RFGapFilled"))
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    done = gapfill.fill_random_forest(halfhourly(spark, sf_dir), "NEE", "use_custom_X_col", FEATURES, keys=SITE, trees=5, max_depth=6)
+    return done.importance.select("feature", F.round("importance", 3).alias("importance"))
+
+
+@query(f"""SELECT site_id, CAST(datetime AS DATE) AS date, strftime(datetime, '%H:%M') AS time, {rs('NEE', 'avg(NEE)')}, {rs('Tair', 'avg(Tair)')} FROM h GROUP BY 1, 2, 3""")
+def fingerprint(spark, sf_dir):
+    return report.fingerprint(halfhourly(spark, sf_dir), ["NEE", "Tair"], SITE).select("site_id", "date", "time", r("NEE"), r("Tair"))
+
+
+@query(f"""SELECT site_id, CAST(hour(datetime) AS INTEGER) AS hour, {rs('NEE_mean', 'avg(NEE)')}, {rs('NEE_std', 'stddev_samp(NEE)')}, {rs('NEE_err', '0.3*stddev_samp(NEE)')} FROM h GROUP BY 1, 2""")
+def diurnal_cycle(spark, sf_dir):
+    return report.diurnal_cycle(halfhourly(spark, sf_dir), ["NEE"], SITE).select("site_id", "hour", r("NEE_mean"), r("NEE_std"), r("NEE_err"))
+
+
+@query(f"""
+, q AS (SELECT site_id, quantile_cont(NEE, 0.25) a, quantile_cont(NEE, 0.5) b, quantile_cont(NEE, 0.75) c FROM h GROUP BY 1)
+, k AS (SELECT site_id, CAST(datetime AS DATE) AS date, CASE WHEN NEE BETWEEN b - 10*(c-a) AND b + 10*(c-a) THEN NEE END AS x FROM h JOIN q USING (site_id))
+, s AS (SELECT site_id, date, CASE WHEN count(x) >= 36 THEN sum(x * 1800 * 12e-6) END AS v FROM k GROUP BY 1, 2)
+, cal AS (SELECT site_id, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM s GROUP BY 1)
+SELECT site_id, date, {rs('NEE', 'v')} FROM cal LEFT JOIN s USING (site_id, date)""")
+def daily_carbon(spark, sf_dir):
+    h = quality.smart_range_qc(halfhourly(spark, sf_dir), ["NEE"], SITE).withColumn("NEE", F.col("NEE_SmartY_qc"))
+    return report.daily_carbon(h, ["NEE"], 18, SITE).select("site_id", "date", r("NEE"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y%m%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t, o_orderdate FROM orders)
+SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS datetime FROM o""")
+def parse_datetime(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", report.parse_datetime(text).alias("datetime"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('source', 'CASE WHEN NEE >= 0 THEN NEE END')}, {rs('sink', 'CASE WHEN NEE <= 0 THEN NEE END')} FROM h""")
+def sign_split(spark, sf_dir):
+    source, sink = physics.sign_split(F.col("NEE"))
+    return halfhourly(spark, sf_dir).select("site_id", "datetime", r("source", source), r("sink", sink))
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders) SELECT make_date(y, 1, 1) AS boundary FROM y WHERE y > (SELECT min(y) FROM y)""")
+def year_boundaries(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").alias("datetime"))
+    return report.year_boundaries(o)
