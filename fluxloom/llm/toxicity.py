@@ -58,19 +58,14 @@ def fit(texts: list[str], grades: list[int], features: int = FEATURES, rounds: i
     y = np.array(grades, np.int64)
     if len(y) == 0 or y.max() == 0 or y.min() > 0:
         return Model({}, [60.0])
-    sets = [set(WORD.findall((t or "").lower())) for t in texts]
-    sets = [{f for w in s for f in features_of(w)} for s in sets]
-    bad, clean = Counter(), Counter()
-    for s, g in zip(sets, grades, strict=True):
-        (bad if g else clean).update(s)
+    bad, clean = counts(texts, [g > 0 for g in grades], lambda words: {f for w in words for f in features_of(w)}, seen)
     n_bad, n_clean = int((y > 0).sum()), int((y == 0).sum())
-    odds = {f: np.log((c + 0.5) / (n_bad - c + 0.5)) - np.log((clean[f] + 0.5) / (n_clean - clean[f] + 0.5)) for f, c in bad.items() if c >= seen and c / n_bad >= ratio * (clean[f] + 0.5) / n_clean}
+    odds = {f: np.log((c + 0.5) / (n_bad - c + 0.5)) - np.log((clean[f] + 0.5) / (n_clean - clean[f] + 0.5)) for f, c in bad.items() if c / n_bad >= ratio * (clean[f] + 0.5) / n_clean}
     chosen = sorted(odds, key=lambda f: (-odds[f] * np.sqrt(bad[f]), f))[:features]
     index = {f: k for k, f in enumerate(chosen)}
-    rows = [sorted(index[f] for f in s if f in index) for s in sets]
+    rows = [sorted({index[f] for w in set(WORD.findall(t.lower())) for f in features_of(w) if f in index}) for t in texts]
     col, row = np.array([c for r in rows for c in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     steps = int(y.max())
-    above = (y[:, None] > np.arange(steps)).astype(float)
     w, base, gaps = np.zeros(len(chosen)), np.array([1.0]), np.full(steps - 1, 0.0)
     moments = [np.zeros(2 * len(chosen)), np.zeros(2), np.zeros(2 * (steps - 1))]
     for i in range(1, rounds + 1):
@@ -100,18 +95,31 @@ def fit(texts: list[str], grades: list[int], features: int = FEATURES, rounds: i
     return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, theta.tolist())
 
 
+def counts(texts: list[str], toxic: list, of, seen: int) -> tuple[Counter, Counter]:
+    """Toxic and clean texts with each feature, of features in at least ``seen`` toxic ones.
+
+    Clean texts are counted after the others, so that only what toxic texts hold is ever kept.
+    """
+    bad, clean = Counter(), Counter()
+    for t, g in zip(texts, toxic, strict=True):
+        if g:
+            bad.update(of(set(WORD.findall((t or "").lower()))))
+    bad = Counter({f: c for f, c in bad.items() if c >= seen})
+    for t, g in zip(texts, toxic, strict=True):
+        if not g:
+            clean.update(f for f in of(set(WORD.findall((t or "").lower()))) if f in bad)
+    return bad, clean
+
+
 def severity_grades(texts: list[str], toxic: list[int]) -> list[int]:
     """Grades 0, 1, 2 from a 0/1 label: toxic texts are split at the median number of different marker words.
 
     Marker words are in at least three toxic texts and forty times as often in toxic ones as in clean ones.
     """
-    sets = [set(WORD.findall((t or "").lower())) for t in texts]
-    bad, clean = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (bad if t else clean).update(s)
+    bad, clean = counts(texts, toxic, set, 3)
     n_bad, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    marks = {w for w, c in bad.items() if c >= 3 and c / n_bad >= 40 * (clean[w] + 0.1) / n_clean}
-    found = [len(s & marks) for s in sets]
+    marks = {w for w, c in bad.items() if c / n_bad >= 40 * (clean[w] + 0.1) / n_clean}
+    found = [len(marks.intersection(WORD.findall((t or "").lower()))) if toxic[k] else 0 for k, t in enumerate(texts)]
     middle = float(np.median([d for d, t in zip(found, toxic, strict=True) if t])) if any(toxic) else 0.0
     return [0 if not t else 1 + (d > middle) for d, t in zip(found, toxic, strict=True)]
 
