@@ -48,5 +48,10 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def spread(df: DataFrame, *by: str, most: int = 20_000) -> DataFrame:
+    """A short table of work items (files, blocks), dealt to about as many tasks: Spark would join short rows in one."""
+    return df.repartition(max(1, min(df.count(), most)), *by)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

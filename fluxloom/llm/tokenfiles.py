@@ -104,7 +104,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int
                 places = np.flatnonzero(ids == end_id) + block * (block_bytes // 4)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([places], pa.list_(pa.int64())), pa.array([n // 4])], names=["file", "block", "places", "total"])
 
-    found = common.map_batches(blocks.repartition("file", "block"), run, "file string, block long, places array<long>, total long")
+    found = common.map_batches(common.spread(blocks, "file", "block"), run, "file string, block long, places array<long>, total long")
     order = Window.partitionBy("file").orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
@@ -283,7 +283,7 @@ def read_compressed(files: DataFrame, folder: str) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return common.map_batches(placed.repartition("file"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_batches(common.spread(placed, "file"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:

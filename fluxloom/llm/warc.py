@@ -244,7 +244,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r.get(c) for r in rows], t) for c, t in zip(FIELDS, TYPES, strict=True))], names=["file", *FIELDS])
 
     kinds = {pa.int64(): "long", pa.string(): "string"}
-    return common.map_batches(files.select("file").repartition("file"), run, "file string, " + ", ".join(f"{c} {kinds[t]}" for c, t in zip(FIELDS, TYPES, strict=True)))
+    return common.map_batches(common.spread(files.select("file"), "file"), run, "file string, " + ", ".join(f"{c} {kinds[t]}" for c, t in zip(FIELDS, TYPES, strict=True)))
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
