@@ -3,8 +3,8 @@
 A media column holds WAV files (16-bit PCM, mixed to one channel). Overlapping frames are folded
 into twelve pitch classes. An integral image over time and pitch class gives the sum of any
 rectangle in four reads; sixteen rectangle filters, each quantised to a two-bit Gray code, make one
-packed 32-bit integer for each frame. Recordings that share pairs of consecutive integers vote for
-an offset; at the offset with most votes the share of differing bits decides.
+packed 32-bit integer for each frame. Recordings that share integers vote for an offset
+by their places; at the offset with most votes the share of differing bits decides.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FRAME, HOP = 1024, 256
+FRAME, HOP = 1024, 128
 LOWEST, HIGHEST = 110.0, 1900.0
 #: Frames that the widest filter spans.
-SPAN = 12
+SPAN = 24
 #: Votes of an offset, and the most differing bits, for two recordings to match.
 VOTES, BIT_ERRORS = 3, 0.2
-#: Queries whose places of a code pair are listed together.
+#: Queries whose places of a code are listed together.
 QUERY_BLOCK = 4096
 
 
@@ -68,7 +68,7 @@ def filters() -> list[tuple[int, int, int, int]]:
     out = []
     for k in range(16):
         height = (2, 4, 6, 12)[k // 4]
-        out.append((k % 4, (5 * k) % (13 - height), height, 4 + 2 * (k % 5)))
+        out.append((k % 4, (5 * k) % (13 - height), height, 4 + 5 * (k % 5)))
     return out
 
 
@@ -119,29 +119,29 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()), hi - lo
 
 
-def pairs_of(prints: DataFrame) -> DataFrame:
-    """(id, pair, pos): each two consecutive integers of a recording as one long; the first place of each."""
+def places_of(prints: DataFrame) -> DataFrame:
+    """(id, code, pos): where a recording's integer differs from the one before it; a long run is one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in zip(common.column(batch, "id"), common.column(batch, "codes"), strict=True):
-                c = np.frombuffer(raw, "<u4").astype(np.uint64)
-                pair, pos = np.unique((c[:-1] << np.uint64(32) | c[1:]).view(np.int64), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pair), pa.int64()), pa.array(pair, pa.int64()), pa.array(pos, pa.int64())], names=["id", "pair", "pos"])
+                c = np.frombuffer(raw, "<u4").astype(np.int64)
+                pos = np.flatnonzero(np.diff(c, prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i, np.int64)), pa.array(c[pos]), pa.array(pos.astype(np.int64))], names=["id", "code", "pos"])
 
-    return common.map_batches(prints, run, "id long, pair long, pos long")
+    return common.map_batches(prints, run, "id long, code long, pos long")
 
 
 def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, most: float = BIT_ERRORS) -> DataFrame:
     """(id, query, offset, votes, bit_error_rate, overlap) of recordings that match a query at its best offset.
 
-    ``prints`` and ``queries``: (id, codes). The places of a code pair in the queries are listed in
-    blocks of QUERY_BLOCK queries, so a recording's pair meets lists and not each place: rows
-    grow with the recordings, and a common pair makes longer lists in place of more rows. A
+    ``prints`` and ``queries``: (id, codes). The places of a code in the queries are listed in
+    blocks of QUERY_BLOCK queries, so a recording's code meets lists and not each place: rows
+    grow with the recordings, and a common code makes longer lists in place of more rows. A
     recording's lists then meet in one task, which counts votes by query and offset.
     """
-    spots = pairs_of(queries).groupBy("pair", F.floor(F.col("id") / QUERY_BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "pos")).alias("spots"))
-    met = pairs_of(prints).join(spots, "pair").select("id", "pos", F.col("spots.id").alias("query"), F.col("spots.pos").alias("at"))
+    spots = places_of(queries).groupBy("code", F.floor(F.col("id") / QUERY_BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "pos")).alias("spots"))
+    met = places_of(prints).join(spots, "code").select("id", "pos", F.col("spots.id").alias("query"), F.col("spots.pos").alias("at"))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["query"].map(len)

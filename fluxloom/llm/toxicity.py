@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.where(F.length("text") <= sample_chars).join(F.broadcast(one), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(one), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(texts.collect())  # at most sample_rows rows of sample_chars characters
     words, toxic = [r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]
     return fit(words, severity_grades(words, toxic))
