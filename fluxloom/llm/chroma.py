@@ -152,7 +152,9 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, most: float
         best = best[best["votes"] >= votes].sort_values(["query", "votes", "offset"], ascending=[True, False, True])
         return best.drop_duplicates("query")
 
-    best = met.groupBy("id").applyInPandas(count, "id long, query long, offset long, votes long").where("id != query")
+    # a fixed number of tasks: the rows are short, but each group costs time in Python
+    dealt = met.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    best = dealt.groupBy("id").applyInPandas(count, "id long, query long, offset long, votes long").where("id != query")
     both = best.join(prints.withColumnRenamed("codes", "b"), "id").join(queries.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
