@@ -44,8 +44,8 @@ READ_BYTES = 8 << 20
 # ---- operator 4 ---------------------------------------------------------------------------------
 
 
-def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
-    """Flat files of 32-bit ids, a separator after each document, and nothing else: no index.
+def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, width: int = 2) -> DataFrame:
+    """Flat files of ids of ``width`` bytes each, a separator after each document, and nothing else: no index.
 
     Returns one row per file: file, n_bytes, and the doc_ids in it, in order.
     """
@@ -53,6 +53,8 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(end_id, *ranks.values()) >= 1 << 8 * width:
+            raise ValueError(f"ids of this vocabulary need more than {width} bytes")
         encoder = tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         store, base = common.filesystem(folder)
         store.create_dir(base, recursive=True)
@@ -70,7 +72,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Da
                     name = f"{base}/flat-{part:06d}-{k:04d}"
                     draft = f"{name}.{uuid.uuid4().hex}"
                     out, size, ids = store.open_output_stream(draft), 0, []
-                raw = np.array([*encoder.encode_ordinary(text or ""), end_id], "<u4").tobytes()
+                raw = np.array([*encoder.encode_ordinary(text or ""), end_id], f"<u{width}").tobytes()
                 out.write(raw)
                 size += len(raw)
                 ids.append(doc)
@@ -84,7 +86,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Da
     return common.map_batches(texts, run, "file string, n_bytes long, doc_ids array<long>")
 
 
-def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int = BLOCK_BYTES, width: int = 2) -> DataFrame:
     """(file, doc_index, start, n_tokens) of every document of flat files (file, n_bytes), by blocks.
 
     Each block is searched at once for the separator. It yields its separators' places and their
@@ -92,7 +94,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int
     last separator so far stitches documents that began in earlier blocks. Tokens after a file's
     last separator are a document without an end: they come out as a row with ``ended`` false.
     """
-    block_bytes -= block_bytes % 4
+    block_bytes -= block_bytes % width
     blocks = files.where("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / block_bytes))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +102,9 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int
         for batch in batches:
             for file, n, block in zip(*(common.column(batch, c) for c in ("file", "n_bytes", "block")), strict=True):
                 with store.open_input_file(f"{base}/{file}") as f:
-                    ids = np.frombuffer(f.read_at(min(block_bytes, n - block * block_bytes), block * block_bytes), "<u4")
-                places = np.flatnonzero(ids == end_id) + block * (block_bytes // 4)
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([places], pa.list_(pa.int64())), pa.array([n // 4])], names=["file", "block", "places", "total"])
+                    ids = np.frombuffer(f.read_at(min(block_bytes, n - block * block_bytes), block * block_bytes), f"<u{width}")
+                places = np.flatnonzero(ids == end_id) + block * (block_bytes // width)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([places], pa.list_(pa.int64())), pa.array([n // width])], names=["file", "block", "places", "total"])
 
     found = common.map_batches(common.spread(blocks, "file", "block"), run, "file string, block long, places array<long>, total long")
     order = Window.partitionBy("file").orderBy("block")
@@ -120,16 +122,16 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int
     return each.select("file", (F.col("docs_before") + F.col("k")).alias("doc_index"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("end") < F.col("total")).alias("ended"))
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 50256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 50256, block_bytes: int = BLOCK_BYTES, width: int = 2) -> DataFrame:
     """(doc_id, n_tokens): tokens of each whole text, counted by a scan of flat files of its ids.
 
     Null and empty texts have no tokens. Repeated rows stay repeated, a null doc_id is kept, other
     columns are ignored, an empty table gives an empty one.
     """
     folder = common.shared_dir(docs.sparkSession)
-    files = common.stored(write_flat(docs, f"{folder}/flat", vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id), folder, "files")
+    files = common.stored(write_flat(docs, f"{folder}/flat", vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id, width), folder, "files")
     names = files.select("file", F.posexplode("doc_ids").alias("doc_index", "doc_id"))
-    counted = scan_separators(files.select("file", "n_bytes"), f"{folder}/flat", end_id, block_bytes)
+    counted = scan_separators(files.select("file", "n_bytes"), f"{folder}/flat", end_id, block_bytes, width)
     return names.join(counted, ["file", "doc_index"]).select("doc_id", "n_tokens")
 
 

@@ -200,7 +200,7 @@ def test_scan_of_a_file_without_an_end(spark, tmp_path):
     ids = np.array([5, 9, 9, 7, 9, 1, 2, 3], "<u4")
     (tmp_path / "f").write_bytes(ids.tobytes())
     files = spark.createDataFrame([("f", ids.nbytes), ("g", 0)], "file string, n_bytes long")
-    rows = tokenfiles.scan_separators(files, f"file://{tmp_path}", 9, 8).orderBy("doc_index").collect()
+    rows = tokenfiles.scan_separators(files, f"file://{tmp_path}", 9, 8, width=4).orderBy("doc_index").collect()
     assert [(r["start"], r["n_tokens"], r["ended"]) for r in rows] == [(0, 1, True), (2, 0, True), (3, 1, True), (5, 3, False)]
 
 
