@@ -129,7 +129,7 @@ def bootstrap_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Seque
     draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     taken = draws.withColumn("__pos", F.conv(F.substr(F.md5(label), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.col("__n"))
     counts = taken.groupBy(*keys, "rep", "__pos").agg(F.count("*").alias("weight"))
-    return placed.join(counts, [*keys, "__pos"])
+    return placed.join(counts.hint("merge"), [*keys, "__pos"])  # draws come from a short table and are many
 
 
 def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True) -> DataFrame:
