@@ -175,7 +175,7 @@ def links(nodes: DataFrame, folder: str, differ: int = 4, segments: int = SEGMEN
     flips = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips]) if crowd.head(1) else F.array(F.lit(0).cast("long"))
     ball = crowd.select("id", F.explode(flips).alias("flip"), "fp").select("id", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = ball.groupBy("point").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    stars = ball.join(least, "point").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    stars = ball.hint("merge").join(least, "point").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     return met.where("hot = 0").select("a", "b").union(stars)
 
 

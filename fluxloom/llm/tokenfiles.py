@@ -132,7 +132,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 5
     files = common.stored(write_flat(docs, f"{folder}/flat", vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id, width), folder, "files")
     names = files.select("file", F.posexplode("doc_ids").alias("doc_index", "doc_id"))
     counted = scan_separators(files.select("file", "n_bytes"), f"{folder}/flat", end_id, block_bytes, width)
-    return names.join(counted, ["file", "doc_index"]).select("doc_id", "n_tokens")
+    # both sides come from short tables and are long: Spark's size estimates would broadcast one of them
+    return names.hint("merge").join(counted, ["file", "doc_index"]).select("doc_id", "n_tokens")
 
 
 # ---- operator 5 ---------------------------------------------------------------------------------
