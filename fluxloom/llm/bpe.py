@@ -15,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ SPACE_BEFORE_SPACE = regex.compile(r" (?!\S)")
 SPACE_BEFORE_WORD = regex.compile(r" (?=\S)")
 NO_RANK = np.int32(2**31 - 1)
 #: Entries of each generation of the dictionaries of pieces and of words.
-KEPT_PIECES, KEPT_WORDS = 400_000, 150_000
+KEPT_PIECES, KEPT_WORDS = 750_000, 300_000
 #: Characters of the longest piece that is kept.
 KEPT_LENGTH = 64
 
@@ -237,8 +238,9 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         texts = [p[1:] if p[:1] == "\0" else " " + p for p in missing]
-        split = [[t] if self.whole and not t.isascii() and max(t) > "\u03ff" else PRETOKEN.findall(t) for t in texts]
-        need = self.words.missing(set().union(*split))
+        # a space and letters are one pre-token
+        split = [[t] if p.isalpha() or self.whole and not t.isascii() and max(t) > "\u03ff" else PRETOKEN.findall(t) for p, t in zip(missing, texts, strict=True)]
+        need = self.words.missing(set(chain.from_iterable(split)))
         known = self.words.new
         long_words = [w for w in need if len(w) > KEPT_LENGTH]
         known.update(zip(need, self.encode_words(need), strict=True))
