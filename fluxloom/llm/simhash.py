@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, similar
 from .components import components
 
 BITS = 64
@@ -31,21 +31,28 @@ BUCKET = 1024
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of a whole text: ASCII lower case, words parted by ASCII white space, XXH64 seed 42."""
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a whole text, in order: ASCII lower case, words parted by ASCII white space."""
     flat = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not flat:
-        return 0
+        return np.empty(0, "<u8")
     space = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts, ends = [0, *(space + 1).tolist()], [*space.tolist(), len(flat)]
-    if len(starts) < words:
-        return xxhash.xxh64_intdigest(flat, 42)
-    ends = ends[words - 1 :]
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for lo in range(0, len(ends), BLOCK):
-        h = np.array([digest(flat[a:b], 42) for a, b in zip(starts[lo : lo + BLOCK], ends[lo : lo + BLOCK])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(ends), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends[words - 1 :] or ends[-1:])), "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """SimHash: the bits set in over half the hashes; zero for none."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(h), BLOCK):
+        counts += np.unpackbits(h[lo : lo + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of a whole text."""
+    return majority(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,6 +66,25 @@ def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str
     return common.map_batches(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, digest, n, bands, shingles): fingerprint, and the set of shingles with its digest, size and band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in common.column(batch, "text"):
+                h = hashes(t, words)
+                distinct = np.unique(h)
+                shingles = np.unique(distinct.astype(np.uint32)).view(np.int32)
+                digest = xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63)
+                rows.append((np.array(majority(h), np.uint64).view(np.int64), digest, len(shingles), similar.bands(distinct), shingles))
+            fp, digest, n, keys, sets = zip(*rows) if rows else ((),) * 5
+            arrays = [pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "fp", "digest", "n", "bands", "shingles"])
+
+    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long, digest long, n int, bands array<long>, shingles array<int>")
+
+
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
     """First bit and width of each segment; widths differ by one at most."""
     cuts = [k * BITS // segments for k in range(segments + 1)]
@@ -198,12 +224,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, differ: int = 4, doc_id: st
     return prints.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4) -> DataFrame:
+def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): classes linked by SimHash, and by a Jaccard similarity of the shingles of at least ``similarity``.
+
+    Edge cases are those of ``near_duplicates``, but rows without a doc_id are in no class. Texts with the same set of shingles enter the
+    search for similar sets as one row, those with the same fingerprint the search by bits.
+    """
+    folder = common.shared_dir(docs.sparkSession)
+    made = common.stored(sketches(docs, words).withColumn("id", F.monotonically_increasing_id()), folder, "sketches")
+    known = made.where("doc_id is not null")
+    nodes = common.stored(known.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id")), folder, "nodes")
+    kinds = common.stored(known.where("n > 0").groupBy("digest", "fp").agg(F.min("id").alias("least")), folder, "kinds")
+    firsts = kinds.groupBy("digest").agg(F.min("least").alias("id"))
+    chosen = common.stored(known.select("id", "n", "bands").join(firsts, "id").select("id", "n", "bands"), folder, "chosen")
+    same = kinds.join(nodes, "fp").join(firsts.withColumnRenamed("id", "first"), "digest").select(F.col("id").alias("a"), F.col("first").alias("b")).where("a != b")
+    alike = similar.links(chosen, known.select("id", "shingles"), folder, similarity)
+    edges = common.stored(links(nodes.select("id", "fp"), folder, differ).union(alike).union(same), folder, "edges")
+    found = components(edges, folder)
+    label = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = common.stored(label.join(least, "component").select("fp", "component_id"), folder, "labels")
+    return made.select("doc_id", "fp").join(label, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4, similarity: float = 0.8) -> DataFrame:
     """The documents whose doc_id is their class's smallest: one of each group of near-duplicates.
 
     Rows that repeat a doc_id come out once. Rows without a doc_id are kept.
     """
-    kept = near_duplicates(docs, words, differ).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
+    kept = similar_or_near(docs, words, differ, similarity).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
     named = docs.join(kept.select(F.col("doc_id").alias("__id"), "__n"), F.col("doc_id") == F.col("__id"))
     once = named.where("__n = 1").select(docs.columns).union(named.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
     return once.union(docs.where("doc_id is null"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fluxloom.llm import bpe, chat, chroma, common, components, decontaminate, html, simhash, tokenfiles, toxicity, warc
+from fluxloom.llm import bpe, chat, chroma, common, components, decontaminate, html, simhash, similar, tokenfiles, toxicity, warc
 
 LONG = "word " * 30_000 + "x" * 5_000
 TEXTS = ["", None, "a", "the the the", LONG, "é<|endoftext|>  two\n\n lines ", "a\0b \0c", "同じ 文字 🙂", "the the the"]
@@ -173,6 +173,36 @@ def test_components_of_chains_and_loops(spark):
     assert found == {**{k: 0 for k in range(41)}, 50: 50, 60: 50}
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0
+
+
+@pytest.mark.parametrize("group", [512, 3])
+def test_similar_texts_by_brute_force(spark, docs, empty, monkeypatch, group):
+    monkeypatch.setattr(similar, "GROUP", group)
+    rnd, texts = random.Random(8), list(TEXTS)
+    for _ in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([30, 120, 400]))]
+        for edits in (0, 0, 1, 2, 3, 5, 9):
+            words = list(base)
+            for k in rnd.sample(range(len(words)), edits):
+                words[k] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.hashes(t, 5).tolist()) for t in texts]
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    near = lambda i, j: i == j or bin(fps[i] ^ fps[j]).count("1") <= 4 or jaccard(sets[i], sets[j]) >= 0.8
+    edges = [[j for j in range(len(texts)) if near(i, j)] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    while (new := [min(label[j] for j in e) for e in edges]) != label:
+        label = new
+    assert any(i != j and jaccard(sets[i], sets[j]) >= 0.8 and bin(fps[i] ^ fps[j]).count("1") > 4 for i, e in enumerate(edges) for j in e)
+    rows = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(20, texts[20], 1), (None, texts[20], 1)], "doc_id long, text string, bands int").repartition(3)
+    got = simhash.similar_or_near(rows).collect()
+    assert len(got) == len(texts) + 2
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {*enumerate(label), (None, None)}
+    assert simhash.similar_or_near(empty).count() == 0 and simhash.similar_or_near(rows.where("doc_id is null")).count() == 1
+
+
 # ---- 4, 5, 9 ----
 
 
