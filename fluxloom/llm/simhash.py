@@ -236,7 +236,7 @@ def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity
     nodes = common.stored(known.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id")), folder, "nodes")
     kinds = common.stored(known.where("n > 0").groupBy("digest", "fp").agg(F.min("id").alias("least")), folder, "kinds")
     firsts = kinds.groupBy("digest").agg(F.min("least").alias("id"))
-    chosen = common.stored(known.select("id", "n", "bands").join(firsts, "id").select("id", "n", "bands"), folder, "chosen")
+    chosen = known.select("id", "n", "bands").join(firsts, "id").select("id", "n", "bands")
     same = kinds.join(nodes, "fp").join(firsts.withColumnRenamed("id", "first"), "digest").select(F.col("id").alias("a"), F.col("first").alias("b")).where("a != b")
     alike = similar.links(chosen, known.select("id", "shingles"), folder, similarity)
     edges = common.stored(links(nodes.select("id", "fp"), folder, differ).union(alike).union(same), folder, "edges")
@@ -252,7 +252,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4, simil
 
     Rows that repeat a doc_id come out once. Rows without a doc_id are kept.
     """
-    kept = similar_or_near(docs, words, differ, similarity).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    named = docs.join(kept.select(F.col("doc_id").alias("__id"), "__n"), F.col("doc_id") == F.col("__id"))
-    once = named.where("__n = 1").select(docs.columns).union(named.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
-    return once.union(docs.where("doc_id is null"))
+    classes = similar_or_near(docs, words, differ, similarity).where("doc_id = component_id")
+    kept = classes.groupBy("doc_id").agg(F.count("*").alias("__n")).select(F.col("doc_id").alias("__id"), "__n")
+    kept = common.stored(kept, common.shared_dir(docs.sparkSession), "kept")
+    once = docs.join(kept, F.col("doc_id") == F.col("__id"))
+    if kept.where("__n > 1").head(1):
+        once = once.where("__n = 1").select(docs.columns).union(once.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.select(docs.columns).union(docs.where("doc_id is null"))
