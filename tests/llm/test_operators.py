@@ -203,6 +203,34 @@ def test_similar_texts_by_brute_force(spark, docs, empty, monkeypatch, group):
     assert simhash.similar_or_near(empty).count() == 0 and simhash.similar_or_near(rows.where("doc_id is null")).count() == 1
 
 
+def test_similar_texts_of_a_large_group(spark):
+    rnd = random.Random(11)
+    hub = [f"h{k}" for k in range(200)]
+    ids = rnd.sample(range(10_000), 901)
+    middle = sorted(ids)[450]
+    ids.remove(middle)
+    data = [(middle, " ".join(hub))]
+    for n, k in enumerate(ids):
+        words = list(hub)
+        for p in rnd.sample(range(200), 4):
+            words[p] = f"x{n}.{p}"
+        data.append((k, " ".join(words)))
+    assert len(data) > similar.GROUP
+    sets = {k: set(simhash.hashes(t, 5).tolist()) for k, t in data}
+    linked = {k for k, _ in data if jaccard(sets[k], sets[middle]) >= 0.8}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_or_near(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == 901 and len(linked) > 800
+    assert {got[k] for k in linked} == {min(k for k in got if got[k] == got[middle])}
+
+
+@pytest.mark.parametrize("split", [0, 3])
+def test_forest_of_blocks(split):
+    sets = [np.arange(k, k + 40, dtype=np.int32) for k in (0, 2, 100, 4, 102, 300)]
+    labels = np.array([5, 5, 6, 7, 8, 9])
+    found = similar.forest(np.arange(6), sets, 0.8, labels, split)
+    assert sorted((labels[a], labels[b]) for a, b in found) == [(5, 7), (6, 8)]
+
+
 # ---- 4, 5, 9 ----
 
 
