@@ -1,7 +1,8 @@
 """Operator 8: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-Each stretch of a test item gives a seed: the n-gram in it that the fewest training passages hold,
-counted over all documents. A document's passages that hold a seed are joined to the item, and a
+The n-grams of a test item that up to ``RARE`` documents hold are its seeds, counted over all
+documents. Each stretch of an item also gives one: the n-gram in it that the fewest documents hold,
+of those that any does. A document's passages that hold a seed are joined to the item, and a
 local alignment of the passage's words with the item's words scores exact, edited and reordered
 copies alike. A document is contaminated if an alignment scores at least ``least`` of the score of
 the whole item.
@@ -21,8 +22,10 @@ from . import common
 
 WORD = re.compile(r"\w+")
 N = 3
-#: Positions of an item that share one seed.
+#: Positions of an item that share one seed at least.
 STRETCH = 3
+#: Documents that may hold an n-gram that is a seed wherever it stands.
+RARE = 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of an item's own score that a copy must reach.
 LEAST = 0.5
@@ -104,14 +107,14 @@ class Items:
         return w, at, gram
 
     def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """gram -> (item, position): of each stretch of each item, the n-gram in the fewest documents."""
+        """gram -> (item, position): all n-grams in up to RARE documents, and of each stretch of each item that in the fewest; none that no document holds."""
         out: dict[int, list[tuple[int, int]]] = {}
         for k, grams in enumerate(self.grams):
-            chosen = set()
+            chosen = {p for p, g in enumerate(grams) if 0 < frequency.get(g, 0) <= RARE}
             for lo in range(0, max(1, len(grams) - STRETCH + 1)):
-                part = range(lo, min(lo + STRETCH, len(grams)))
+                part = [p for p in range(lo, min(lo + STRETCH, len(grams))) if grams[p] in frequency]
                 if part:
-                    chosen.add(min(part, key=lambda p: (frequency.get(grams[p], 0), p)))
+                    chosen.add(min(part, key=lambda p: (frequency[grams[p]], p)))
             for p in chosen:
                 out.setdefault(grams[p], []).append((k, p))
         return out

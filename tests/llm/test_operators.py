@@ -373,6 +373,21 @@ def test_leaks_are_found(spark, docs, empty):
     assert decontaminate.contamination(empty, items).count() == 0 and decontaminate.contamination(rows, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("exact", [False, True])
+def test_leaks_with_regular_edits(spark, every, exact):
+    item = [f"q{k}" for k in range(60)]
+    copies = [" ".join(["n"] * 50 + [f"x{k}" if k % every == s else w for k, w in enumerate(item)] + ["n"] * 50) for s in range(every)]
+    for text in copies:  # each by itself, or with no other document than the whole item
+        items = decontaminate.Items([(7, " ".join(item))], decontaminate.N)
+        held = [set(items.find(t)[2].tolist()) for t in ([text, " ".join(item)] if exact else [text])]
+        seeds = items.seeds({g: sum(g in h for h in held) for g in set().union(*held)})
+        assert held[0] & set(seeds)
+    rows = spark.createDataFrame([(1, copies[0]), *([(9, " ".join(item))] if exact else [])], "doc_id long, text string")
+    got = decontaminate.contamination(rows, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == ({1, 9} if exact else {1})
+
+
 # ---- 10 ----
 
 
