@@ -222,6 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without a copy of a test item. Rows without a doc_id are judged by their texts' matches alike."""
-    bad = contamination(docs, items, least).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` without a copy of a test item. Each is judged by its own text, whatever rows share its doc_id or have none."""
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    bad = contamination(docs.select(key.alias("doc_id"), docs["text"].alias("text")), items, least).select(F.col("doc_id").alias("__bad"))
+    return docs.join(bad, key == bad["__bad"], "left_anti")

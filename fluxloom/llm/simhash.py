@@ -230,6 +230,11 @@ def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity
     Edge cases are those of ``near_duplicates``, but rows without a doc_id are in no class. Texts with the same set of shingles enter the
     search for similar sets as one row, those with the same fingerprint the search by bits.
     """
+    return classes(docs, words, differ, similarity).select("doc_id", "component_id")
+
+
+def classes(docs: DataFrame, words: int, differ: int, similarity: float) -> DataFrame:
+    """``similar_or_near`` with the columns fp and component: two classes may share a component_id where doc_id repeats, but no component."""
     folder = common.shared_dir(docs.sparkSession)
     made = common.stored(sketches(docs, words).withColumn("id", F.monotonically_increasing_id()), folder, "sketches")
     known = made.where("doc_id is not null")
@@ -243,19 +248,23 @@ def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity
     found = components(edges, folder)
     label = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "id").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = common.stored(label.join(least, "component").select("fp", "component_id"), folder, "labels")
-    return made.select("doc_id", "fp").join(label, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    label = common.stored(label.join(least, "component").select("fp", "component", "component_id"), folder, "labels")
+    return made.select("doc_id", "fp").join(label, "fp", "left").select("doc_id", "fp", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4, similarity: float = 0.8) -> DataFrame:
     """The documents whose doc_id is their class's smallest: one of each group of near-duplicates.
 
-    Rows that repeat a doc_id come out once. Rows without a doc_id are kept.
+    Rows of a class that repeat a doc_id come out once, rows of different classes all. Rows without a doc_id are kept.
     """
-    classes = similar_or_near(docs, words, differ, similarity).where("doc_id = component_id")
-    kept = classes.groupBy("doc_id").agg(F.count("*").alias("__n")).select(F.col("doc_id").alias("__id"), "__n")
-    kept = common.stored(kept, common.shared_dir(docs.sparkSession), "kept")
+    folder = common.shared_dir(docs.sparkSession)
+    least = common.stored(classes(docs, words, differ, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("__id"), "fp", "component"), folder, "least")
+    kept = common.stored(least.groupBy("__id").agg(F.count("*").alias("__n")), folder, "kept")
     once = docs.join(kept, F.col("doc_id") == F.col("__id"))
     if kept.where("__n > 1").head(1):
-        once = once.where("__n = 1").select(docs.columns).union(once.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+        print_of = F.pandas_udf(lambda texts: pd.Series([np.uint64(fingerprint(t, words)).astype(np.int64) for t in texts], dtype="int64"), "long")
+        repeated = once.where("__n > 1").withColumn("__fp", print_of("text")).drop("__n", "__id")
+        found = least.select(F.col("__id"), F.col("fp").alias("__fp"), F.col("component").alias("__class")).distinct()
+        repeated = repeated.join(found, (F.col("doc_id") == F.col("__id")) & (repeated["__fp"] == found["__fp"])).dropDuplicates(["doc_id", "__class"])
+        once = once.where("__n = 1").select(docs.columns).union(repeated.select(docs.columns))
     return once.select(docs.columns).union(docs.where("doc_id is null"))

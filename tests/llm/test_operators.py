@@ -388,6 +388,16 @@ def test_leaks_with_regular_edits(spark, every, exact):
     assert {r["doc_id"] for r in got.collect()} == ({1, 9} if exact else {1})
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    data = [(None, text("a")), (None, text("b")), (1, text("a")), (1, text("c")), (1, text("c")), (2, text("c")), (3, None)]
+    rows = spark.createDataFrame([(*d, "s") for d in data], "doc_id long, text string, source string")
+    clean = decontaminate.drop_contaminated(rows, spark.createDataFrame([(7, text("a"))], "item_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, clean), key=str) == sorted((d for d in data if d[1] != text("a")), key=str)
+    once = simhash.drop_near_duplicates(rows).select("doc_id", "text").collect()
+    assert sorted(map(tuple, once), key=str) == sorted([*data[:4], (3, None)], key=str)
+
+
 # ---- 10 ----
 
 
