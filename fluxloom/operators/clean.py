@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = -9999.0
 KEEP_TEXT = ("datetime", "date", "time", "filename", "site_id")
+# Column names of the loggers' files and of the datasets that are exchanged.
 LOADED = ["datetime", "DOY", "Tair", "Tsoil", "SWC_1_1_1", "SWIN_1_1_1", "PPFD_1_1_1", "RH_1_1_1", "air_pressure", "wind_speed", "wind_dir", "VPD", "Rn", "H", "LE", "NEE", "P_RAIN_1_1_1", "SHF_1_1_1", "u*"]
 LOADED_NO_BIOMET = ["datetime", "DOY", "Tair", "air_pressure", "wind_speed", "wind_dir", "RH", "VPD", "H", "LE", "ET", "NEE", "u*"]
 RAW_NAMES = {"SWC_1_1_1": "SWC", "SWIN_1_1_1": "SWIN", "PPFD_1_1_1": "PPFD", "RH_1_1_1": "RH", "SHF_1_1_1": "SHF", "P_RAIN_1_1_1": "pr", "air_pressure": "PA", "wind_speed": "WS", "wind_dir": "WD"}
 ERA5_NAMES = {"Fn": "Rn_era5", "Fsd": "SWIN_era5", "RH": "RH_era5", "Sws": "SWC_era5", "Ta": "Tair_era5", "Ts": "Tsoil_era5", "VPD": "VPD_era5"}
-CANONICAL = ["datetime", "DOY", "Tair", "Tsoil", "SWC", "SWIN", "PPFD", "RH", "ET", "VPD", "Rn", "Rg", "pr", "PA", "WS", "WD", "H", "LE", "NEE", "SHF", "u*"]
-CANONICAL_ERA5 = ["Tair_era5", "Tsoil_era5", "SWC_era5", "SWIN_era5", "RH_era5", "VPD_era5", "Rn_era5", "pr_era5"]
+CANONICAL = ["datetime", "DOY", "Tair", "Tsoil", "SWC", "SWIN", "PPFD", "RH", "ET", "VPD", "Rn", "Rg", "pr", "PA", "WS", "WD", "H", "LE", "NEE", "SHF", "u*", "Tair_era5", "Tsoil_era5", "SWC_era5", "SWIN_era5", "RH_era5", "VPD_era5", "Rn_era5", "pr_era5"]
+CANONICAL_ERA5 = [c for c in CANONICAL if c.endswith("_era5")]
 
 
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same name in which null keys meet, with the columns of ``left`` and the new ones of ``right``.
+
+    Without keys ``right`` is one row for the whole table.
+    """
+    if not keys:
+        return left.join(F.broadcast(right.limit(1)), F.lit(True), how)
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [left[f"`{k}`"].eqNullSafe(named[f"`__right_{k}`"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def with_datetime(df: DataFrame) -> DataFrame:
     """date and time text joined to a wall-clock timestamp; null where it doesn't parse."""
     return df.withColumn("datetime", F.try_to_timestamp(F.concat_ws(" ", "date", "time")).cast("timestamp_ntz"))
@@ -114,10 +129,13 @@ def project_existing(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def build_dataset(raw: DataFrame, era5: DataFrame | None = None, *, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical columns of the raw table, joined with reanalysis on keys and datetime; columns in both come from raw."""
+    """Canonical columns of the raw table, joined with reanalysis on keys and datetime; columns in both come from raw.
+
+    Without a reanalysis table, reanalysis columns that the raw table has already are kept.
+    """
     left = canonical_names(raw)
     if era5 is None:
         return project_existing(left, [*keys, *CANONICAL])
     on, right = [*keys, "datetime"], era5_names(era5)
     fresh = [c for c in right.columns if c in on or c not in left.columns]
-    return project_existing(left.join(right.select([col(c) for c in fresh]), on, "inner"), [*keys, *CANONICAL, *CANONICAL_ERA5])
+    return project_existing(left.join(right.select([col(c) for c in fresh]), on, "inner"), [*keys, *CANONICAL])

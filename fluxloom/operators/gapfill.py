@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,14 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stored
 from .clean import CANONICAL_ERA5, col
 
 NOT_FEATURES = ("datetime", "LE", "NEE", "H", "SHF", "u*")
 NOT_NEGATIVE = ("SWC", "SWIN", "PPFD", "RH", "VPD", "Rn", "Rg", "pr")
 METHODS = {"XGboost": "XGB", "XGB": "XGB", "XGb": "XGB", "RandomForest": "RF", "RF": "RF", "Adaboost": "Ada", "Ada": "Ada", "NeuralNetwork": "ANN", "ANN": "ANN"}
-#: Training rows that a neural fit reads at most; beyond it takes those with the smallest hashes.
-ANN_ROWS = 200_000
+#: Rounds of AdaBoost between two stored tables of weights.
+STORE_ROUNDS = 10
 
 
 @dataclass
@@ -49,8 +51,9 @@ def feature_columns(df: DataFrame, target: str, mode: str = "all", x_col: Sequen
 
 
 def train_test(df: DataFrame, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """__test: three rows in ten, by a hash of keys and datetime, whatever the partitioning."""
-    return df.withColumn("__test", F.pmod(F.xxhash64(*[col(k) for k in keys], F.col("datetime"), F.lit(seed)), F.lit(10)) < 3)
+    """__test: three rows in ten, by a hash of seed, keys and datetime, whatever the partitioning."""
+    label = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys], F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    return df.withColumn("__test", F.conv(F.substr(F.md5(label), F.lit(1), F.lit(8)), 16, 10).cast("long") % 10 < 3)
 
 
 def impute_constant(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFrame:
@@ -81,23 +84,26 @@ def gap_filled(df: DataFrame, target: str, short: str, prediction: str, pred_all
 def _prepared(df: DataFrame, target: str, mode: str, x_col, keys, fill: float) -> tuple[DataFrame, list[str]]:
     names = feature_columns(df, target, mode, x_col, keys)
     safe = {c: f"__f{i}" for i, c in enumerate(names)}
-    made = train_test(df, keys).withColumns({s: F.coalesce(col(c).cast("double"), F.lit(fill)) for c, s in safe.items()})
+    if not names:
+        raise ValueError(f"no feature columns for {target} in mode {mode!r}")
+    made = impute_constant(train_test(df, keys).withColumns({s: col(c).cast("double") for c, s in safe.items()}), list(safe.values()), fill)
     return VectorAssembler(inputCols=list(safe.values()), outputCol="__x").transform(made).drop(*safe.values()), names
 
 
 def _importance(df: DataFrame, model, names: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    shares = model.featureImportances.toArray() if model else [0.0] * len(names)
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, shares, strict=True)], "feature string, importance double")
 
 
 def _trees(df: DataFrame, target: str, short: str, estimator, mode, x_col, pred_all, keys, fill) -> Filled:
     rows, names = _prepared(df, target, mode, x_col, keys, fill)
     rows = rows.withColumn("__y", col(target).cast("double"))
-    known = rows.where("__y is not null").select("__x", "__y", "__test").cache()
+    known = rows.where("__y is not null and not __test").select("__x", "__y").cache()
     try:
-        model = estimator.setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__p").fit(known.where("not __test"))
+        model = estimator.setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__p").fit(known) if known.head(1) else None
     finally:
         known.unpersist()
-    scored = model.transform(rows)
+    scored = model.transform(rows) if model else rows.withColumn("__p", F.lit(None).cast("double"))
     table = gap_filled(scored, target, short, "__p", pred_all).drop("__x", "__y", "__test", "__p")
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, model, names))
 
@@ -107,90 +113,101 @@ def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
     return _trees(df, target, "XGB", e, mode, X_col, pred_all, keys, fill)
 
 
-def fill_random_forest(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, trees: int = 10, max_depth: int = 15, features: str = "all") -> Filled:
+def fill_random_forest(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, trees: int = 10, max_depth: int = 30, features: str = "all") -> Filled:
     e = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy=features, seed=0)
     return _trees(df, target, "RF", e, mode, X_col, pred_all, keys, fill)
 
 
 def fill_adaboost(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, estimators: int = 100, rate: float = 1.0, max_depth: int = 3) -> Filled:
-    """AdaBoost.R2 with linear loss: weighted trees, weights by each tree's errors, and the weighted median of all trees."""
+    """AdaBoost.R2 with linear loss: weighted trees, weights by each tree's errors, and the weighted median of all trees.
+
+    The rows' weights are stored every STORE_ROUNDS rounds, so a plan spans few rounds and a lost executor repeats few.
+    """
     rows, _ = _prepared(df, target, mode, X_col, keys, fill)
     rows = rows.withColumn("__y", col(target).cast("double"))
-    base = rows.where("__y is not null and not __test").select("__x", "__y").cache()
-    models, weights = [], []
-    boosted = base.withColumn("__w", F.lit(1.0))
-    total = float(base.count())
+    folder = shared_dir(df.sparkSession)
+    boosted = stored(rows.where("__y is not null and not __test").select("__x", "__y", F.lit(1.0).alias("__w")), folder, "round-0").cache()
+    models, weights, total = [], [], float(boosted.count())
     for k in range(estimators if total else 0):
         model = DecisionTreeRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p", maxDepth=max_depth, seed=k).fit(boosted)
         err = model.transform(boosted).withColumn("__e", F.abs(F.col("__y") - F.col("__p")))
-        top = err.agg(F.max("__e")).first()[0] or 0.0
+        top, loss, mass = err.agg(F.max("__e"), F.sum(F.col("__w") * F.col("__e")), F.sum("__w")).first()
         if top <= 0:
             models, weights = [*models, model], [*weights, 1.0]
             break
-        loss, mass = err.agg(F.sum(F.col("__w") * F.col("__e") / top), F.sum("__w")).first()
-        mean = loss / mass
+        mean = loss / top / mass
         if mean >= 0.5:
             if not models:
                 models, weights = [model], [1.0]
             break
         beta = mean / (1 - mean)
         models, weights = [*models, model], [*weights, rate * float(np.log(1 / beta))]
-        scale = total / mass
-        boosted = err.select("__x", "__y", (F.col("__w") * scale * F.pow(F.lit(beta), (1 - F.col("__e") / top) * rate)).alias("__w"))
-        boosted = boosted.persist() if k % 5 == 4 else boosted  # a shorter plan every few rounds; the data can be made anew
-    scored = rows
-    for k, model in enumerate(models):
-        scored = model.setPredictionCol(f"__p{k}").transform(scored)
-    pairs = F.array_sort(F.array(*[F.struct(F.col(f"__p{k}").alias("p"), F.lit(w).alias("w")) for k, w in enumerate(weights)])) if models else None
+        after = err.select("__x", "__y", (F.col("__w") * (total / mass) * F.pow(F.lit(beta), (1 - F.col("__e") / top) * rate)).alias("__w"))
+        after = stored(after, folder, f"round-{k + 1}").cache() if (k + 1) % STORE_ROUNDS == 0 else after.cache()
+        after.count()  # before the weights that it is made from are let go
+        boosted.unpersist()
+        boosted = after
+    boosted.unpersist()
+    scored = rows.withColumn("__p", F.lit(None).cast("double"))
     if models:
-        walk = F.aggregate(pairs, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["p"].isNull() & (a["s"] + x["w"] >= sum(weights) / 2), x["p"]).otherwise(a["p"]).alias("p")))
-        scored = scored.withColumn("__p", walk["p"]).drop(*[f"__p{k}" for k in range(len(models))])
-    else:
-        scored = scored.withColumn("__p", F.lit(None).cast("double"))
+        each = rows
+        for k, model in enumerate(models):
+            each = model.setPredictionCol(f"__p{k}").transform(each)
+        pairs = F.array_sort(F.array(*[F.struct(F.col(f"__p{k}").alias("p"), F.lit(w).alias("w")) for k, w in enumerate(weights)]))
+        step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["p"].isNull() & (a["s"] + x["w"] >= sum(weights) / 2), x["p"]).otherwise(a["p"]).alias("p"))
+        walk = F.aggregate(pairs, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p")), step)
+        scored = each.withColumn("__p", walk["p"]).drop(*[f"__p{k}" for k in range(len(models))])
     table = gap_filled(scored, target, "Ada", "__p", pred_all).drop("__x", "__y", "__test", "__p")
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, batch: int, rate: float, ridge: float, seed: int) -> dict:
-    """One hidden layer of rectified units, squared loss, Adam; features and target are standardised."""
-    rng = np.random.default_rng(seed)
-    mx, sx, my, sy = x.mean(axis=0), x.std(axis=0), y.mean(), y.std()
-    sx, sy = np.where(sx > 0, sx, 1.0), sy if sy > 0 else 1.0
-    x, y = (x - mx) / sx, (y - my) / sy
-    p = [rng.normal(0, np.sqrt(2 / max(1, x.shape[1])), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), hidden), np.zeros(1)]
-    m, v, k = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for lo in range(0, len(x), batch):
-            b = order[lo : lo + batch]
-            h = np.maximum(x[b] @ p[0] + p[1], 0)
-            e = (h @ p[2] + p[3] - y[b]) / len(b)
-            back = np.outer(e, p[2]) * (h > 0)
-            grads = [x[b].T @ back + ridge * p[0] / len(b), back.sum(axis=0), h.T @ e + ridge * p[2] / len(b), np.array([e.sum()])]
-            k += 1
-            for a, g, mm, vv in zip(p, grads, m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.001 * (g**2 - vv)
-                a -= rate * (mm / (1 - 0.9**k)) / (np.sqrt(vv / (1 - 0.999**k)) + 1e-8)
-    return {"p": p, "mx": mx, "sx": sx, "my": my, "sy": sy}
-
-
-def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, hidden: int = 100, epochs: int = 200, batch: int = 200, rate: float = 0.001, ridge: float = 1e-4) -> Filled:
-    """A network for the table, fitted in one task on at most ANN_ROWS training rows, and scored on all rows in parallel."""
-    rows, _ = _prepared(df, target, mode, X_col, keys, fill)
+def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, hidden: int = 100, epochs: int = 200, rate: float = 0.02, ridge: float = 1e-4) -> Filled:
+    """One hidden layer of rectified units on standardised features, fitted on all training rows by gradient steps (Adam).
+
+    Each epoch is a Spark job: partitions sum the gradients of their rows and Spark adds the sums, so that only the
+    network's weights pass through the driver, whatever the number of rows. No known row: predictions are null.
+    """
+    rows, names = _prepared(df, target, mode, X_col, keys, fill)
     rows = rows.withColumn("__y", col(target).cast("double")).withColumn("__v", vector_to_array("__x")).drop("__x")
-    sample = rows.where("__y is not null and not __test").select("__v", "__y").orderBy(F.xxhash64("__v", "__y"), "__y").limit(ANN_ROWS)
-    got = sample.toPandas()
-    if not len(got):
-        scored = rows.withColumn("__p", F.lit(None).cast("double"))
-    else:
-        net = fit_network(np.stack(got["__v"].to_list()), got["__y"].to_numpy(), hidden, epochs, batch, rate, ridge, 0)
+    train = rows.where("__y is not null and not __test").select("__v", "__y").cache()
+    d = len(names)
+    each = [F.col("__v")[i] for i in range(d)] + [F.col("__y")]
+    stats = train.agg(F.count("*"), *[f(c) for c in each for f in (F.avg, F.stddev_pop)]).first()
+    n, mean, scale = stats[0], np.array(stats[1::2], float), np.array([s or 1.0 for s in stats[2::2]], float)
+    shapes = [(d, hidden), (hidden,), (hidden,), (1,)]
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+    apart = lambda p: [a.reshape(s) for a, s in zip(np.split(p, cuts[:-1]), shapes, strict=True)]
+    rng = np.random.default_rng(0)
+    p = np.concatenate([rng.normal(0, np.sqrt(2 / d), d * hidden), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), hidden), np.zeros(1)])
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for k in range(1, epochs + 1 if n else 1):
+
+        def gradients(parts: Iterator[pd.DataFrame], p: np.ndarray = p) -> Iterator[pd.DataFrame]:
+            w1, b1, w2, b2 = apart(p)
+            total = np.zeros_like(p)
+            for part in parts:
+                x = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1]
+                h = np.maximum(x @ w1 + b1, 0)
+                e = h @ w2 + b2 - (part["__y"].to_numpy() - mean[-1]) / scale[-1]
+                back = np.outer(e, w2) * (h > 0)
+                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), h.T @ e, [e.sum()]])
+            yield pd.DataFrame({"at": np.arange(len(p)), "g": total})
+
+        g = np.zeros_like(p)
+        for r in train.mapInPandas(gradients, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect():  # one row for each weight
+            g[r["at"]] = r["g"] / n
+        g += ridge * p / n
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    train.unpersist()
+    scored = rows.withColumn("__p", F.lit(None).cast("double"))
+    if n:
+        w1, b1, w2, b2 = apart(p)
 
         @F.pandas_udf("double")
-        def predict(v: pd.Series) -> pd.Series:
-            x = (np.stack(v.to_list()) - net["mx"]) / net["sx"]
-            p = net["p"]
-            return pd.Series((np.maximum(x @ p[0] + p[1], 0) @ p[2] + p[3]) * net["sy"] + net["my"])
+        def predict(x: pd.Series) -> pd.Series:
+            x = (np.stack(x.to_list()) - mean[:-1]) / scale[:-1]
+            return pd.Series((np.maximum(x @ w1 + b1, 0) @ w2 + b2) * scale[-1] + mean[-1])
 
         scored = rows.withColumn("__p", predict("__v"))
     table = gap_filled(scored, target, "ANN", "__p", pred_all).drop("__v", "__y", "__test", "__p")
@@ -200,10 +217,13 @@ def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
 FILL = {"XGB": fill_gbt, "RF": fill_random_forest, "Ada": fill_adaboost, "ANN": fill_ann}
 
 
-def fill_columns(df: DataFrame, method: str = "XGB", num_to_fill_na: float = 0.0, mode: str = "all", vars_to_fill: Sequence[str] | None = None, X_col: Sequence[str] | None = None, keys: Sequence[str] = (), **params) -> DataFrame:
+def fill_columns(df: DataFrame, method: str = "XGB", num_to_fill_na: float = 0.0, mode: str = "use_era5_only", vars_to_fill: Sequence[str] | None = None, X_col: Sequence[str] | None = None, keys: Sequence[str] = (), **params) -> Filled:
     """Fill several columns, that with the fewest gaps first; a filled column serves as a feature of the later ones.
 
-    Nulls of the other features are a constant in each step. Columns come out as <v>_<M>GapFilled.
+    ``mode`` chooses the features as in ``feature_columns``: of ``vars_to_fill`` and ``X_col`` where both are given, else
+    of the whole table without fluxes. Without ``vars_to_fill`` all columns with gaps but fluxes are filled. Nulls of the
+    other features are a constant in each step. Columns come out as <v>_<M>GapFilled; metrics have a row for each column
+    and part. A table without gaps comes back as it is.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -212,12 +232,18 @@ def fill_columns(df: DataFrame, method: str = "XGB", num_to_fill_na: float = 0.0
     wanted = list(vars_to_fill) if vars_to_fill else [c for c in numbers if c not in NOT_FEATURES]
     gaps = df.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(wanted)]).first()
     order = sorted((n, i, c) for i, (n, c) in enumerate(zip(gaps, wanted, strict=True)) if n)
-    pool = list(dict.fromkeys([*(X_col or [c for c in numbers if c not in NOT_FEATURES]), *(wanted if X_col else [])]))
-    now = df.withColumns({f"__o{i}": col(c) for _, i, c in order})
+    pool = df
+    if vars_to_fill and X_col:
+        chosen = {*wanted, *X_col, *keys, "datetime"}
+        pool = df.select([col(c) for c in df.columns if c in chosen])
+    now, metrics, folder = df.withColumns({f"__o{i}": col(c) for _, i, c in order}), [], shared_dir(df.sparkSession)
     for _, i, c in order:
-        features = [f for f in pool if f != c]
-        done = FILL[short](now, c, "use_custom_X_col", features, keys=keys, fill=num_to_fill_na, **params).table
-        now = done.withColumn(c, col(f"{c}_{short}GapFilled")).drop(f"{c}_{short}pred")
+        features = [f for f in feature_columns(pool, c, mode, X_col, keys) if f != c]
+        done = FILL[short](now, c, "use_custom_X_col", features, keys=keys, fill=num_to_fill_na, **params)
+        metrics.append(done.metrics.select(F.lit(c).alias("variable"), "*"))
+        now = done.table.withColumn(c, col(f"{c}_{short}GapFilled")).drop(f"{c}_{short}pred")
+        now = stored(now, folder, f"column-{i}")  # the next model is trained on it many times over
     for _, i, c in order:
         now = now.withColumn(c, F.col(f"__o{i}")).drop(f"__o{i}")
-    return now
+    none = df.sparkSession.createDataFrame([], "variable string, part string, rmse double, mae double, r2 double, n long")
+    return Filled(now, reduce(DataFrame.union, metrics, none))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import NIGHT_RADIATION, T_REF, T_ZERO, is_night, light_response, lloyd_taylor, temperature_term
-from .clean import col
+from .clean import col, keyed_join
 from .windows import interpolate_by_position, interpolate_by_time, positions, row_windows, time_windows
 
 E0_BOUNDS, MOST_RELATIVE_ERROR, BEST_FITS = (30.0, 450.0), 0.5, 3
@@ -98,13 +98,13 @@ def nt_partition(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str =
     if e0 is None:
         windows = fit_e0_windows(df, tair, nee, rg, min_temp_range, e0_window_days, e0_shift_days, keys, nulls, rows_per_day)
         best = global_e0(windows, keys).withColumnRenamed("e0", "__e0")
-        rows = df.join(best, keys, "left") if keys else df.join(F.broadcast(best), F.lit(True), "left")
+        rows = keyed_join(df, best, keys, "left")
     else:
         rows = df.withColumn("__e0", F.lit(float(e0)))
     rows = positions(rows, keys)
     anchors = estimate_rref(rows.drop("__pos"), "__e0", tair, nee, rg, rref_window_days, rref_shift_days, keys, nulls, rows_per_day)
     anchors = anchors.select(*keys, F.col("pos").alias("__pos"), F.col("rref").alias("__rref"))
-    placed = interpolate_by_position(rows.join(anchors, [*keys, "__pos"], "left"), "__rref", keys)
+    placed = interpolate_by_position(keyed_join(rows, anchors, [*keys, "__pos"], "left"), "__rref", keys)
     model = lloyd_taylor(col(tair), F.col("__rref"), F.col("__e0"))
     night = F.coalesce(is_night(col(rg)), F.lit(False)) & F.lit(not night_estimate)
     known = F.col("__rref").isNotNull()
@@ -212,10 +212,11 @@ def fit_day_windows(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str
 def dt_partition(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", window_size: int = 15, step_size: int = 2, keys: Sequence[str] = (), nulls: str = "skip_window") -> DataFrame:
     """Rows with RECO, GPP and GPP_model: by day from interpolated fits, at night (or without radiation) RECO is NEE and GPP null."""
     keys = list(keys)
-    params = fit_day_windows(df, nee, tair, rg, window_size, step_size, keys, nulls)
-    rows = interpolate_by_time(df, params, ["R_ref", "E0", "alpha", "GPP_max", "beta"], keys, required=["R_ref", "E0", "alpha", "GPP_max"])
+    own = {c: f"__{c}" for c in ("R_ref", "E0", "alpha", "GPP_max", "beta")}  # columns of these names may be the user's
+    params = fit_day_windows(df, nee, tair, rg, window_size, step_size, keys, nulls).withColumnsRenamed(own)
+    rows = interpolate_by_time(df, params, list(own.values()), keys, required=[own[c] for c in ("R_ref", "E0", "alpha", "GPP_max")])
     day = F.coalesce(col(rg) >= NIGHT_RADIATION, F.lit(False))
-    model = lloyd_taylor(col(tair), F.col("R_ref"), F.col("E0"))
-    fitted = light_response(col(rg), F.col("alpha"), F.col("GPP_max"), -F.col("beta"))
+    model = lloyd_taylor(col(tair), F.col("__R_ref"), F.col("__E0"))
+    fitted = light_response(col(rg), F.col("__alpha"), F.col("__GPP_max"), -F.col("__beta"))
     out = rows.withColumn("RECO", F.when(day, model).otherwise(col(nee))).withColumn("GPP", F.when(day, model - col(nee))).withColumn("GPP_model", F.when(day, fitted))
-    return out.drop("R_ref", "E0", "alpha", "GPP_max", "beta")
+    return out.drop(*own.values())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import is_day, is_night
-from .clean import col
+from .clean import col, keyed_join
 from .windows import positions
 
 #: Rows of a despiking task, besides the half windows copied from its neighbours.
@@ -24,13 +24,22 @@ def numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 def with_statistics(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row of statistics for each series, joined back (a table of one row without keys)."""
-    return df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats), how="left", on=F.lit(True))
+    return keyed_join(df, stats, keys, "left")
 
 
-def smart_range_qc(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), k: float = 10.0) -> DataFrame:
-    """Values outside median +- k IQR become null in <col>_SmartY_qc. One aggregate serves all columns."""
+def quartiles(c: Column, accuracy: int | None = None) -> Column:
+    """Exact quartiles, which hold a count of each value of a group, or with ``accuracy`` approximate ones in bounded memory."""
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return F.percentile(c, shares) if accuracy is None else F.percentile_approx(c, shares, accuracy)
+
+
+def smart_range_qc(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), k: float = 10.0, accuracy: int | None = None) -> DataFrame:
+    """Values outside median +- k IQR become null in <col>_SmartY_qc. One aggregate serves all columns.
+
+    ``accuracy`` asks for approximate quartiles, for very long tables without keys.
+    """
     cols = numeric(df, cols)
-    stats = df.groupBy(*keys).agg(*[F.percentile(col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{c}") for c in cols])
+    stats = df.groupBy(*keys).agg(*[quartiles(col(c), accuracy).alias(f"__{c}") for c in cols])
     out = with_statistics(df, stats, keys)
     for c in cols:
         q = col(f"__{c}")
@@ -48,7 +57,7 @@ def range_qc(df: DataFrame, cols: Sequence[str], lower: Sequence[float], upper:
 def range_reference_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, variable, median, q25, q75, min, max): what a person looks at before choosing bounds."""
     cols = numeric(df, cols)
-    one = df.groupBy(*keys).agg(*[F.struct(F.percentile(col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(col(c)).alias("min"), F.max(col(c)).alias("max")).alias(f"__{c}") for c in cols])
+    one = df.groupBy(*keys).agg(*[F.struct(quartiles(col(c)).alias("q"), F.min(col(c)).alias("min"), F.max(col(c)).alias("max")).alias(f"__{c}") for c in cols])
     each = one.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), col(f"__{c}").alias("s")) for c in cols])).alias("e"))
     return each.select(*keys, "e.variable", F.col("e.s.q")[1].alias("median"), F.col("e.s.q")[0].alias("q25"), F.col("e.s.q")[2].alias("q75"), F.col("e.s.min").alias("min"), F.col("e.s.max").alias("max"))
 
@@ -125,30 +134,32 @@ def despike(df: DataFrame, target: str, rg: str = "Rg", window: int = 480, k: fl
     A window is the rows within window // 2 of a row, of its own day or night class, without nulls;
     windows of window // 8 values or fewer flag nothing. A null radiation counts as night and is
     treated in every ``period``. A long series is cut in chunks with half a window copied from each side.
+    Only keys, positions, values and radiation go through the chunks; the result joins the rows by position.
     """
     if period not in ("both", "day", "night"):
         raise ValueError(f"period must be both, day or night, not {period!r}")
     half, fewest = window // 2, window // 8
     numbered = positions(df, keys).withColumn("__night", ~F.coalesce(is_day(col(rg)), F.lit(False)))
-    fields = [f.name for f in numbered.schema.fields]
-    spread = numbered.withColumn("__chunk", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("__pos") - half) / chunk_rows)), F.floor((F.col("__pos") + half) / chunk_rows))))
+    narrow = numbered.select(*[col(k) for k in keys], "__pos", "__night", col(target).cast("double").alias("__x"), col(rg).cast("double").alias("__rg"))
+    spread = narrow.withColumn("__chunk", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("__pos") - half) / chunk_rows)), F.floor((F.col("__pos") + half) / chunk_rows))))
     name = f"{target}_despiked"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields) + f", `{name}` double"
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "__pos long", f"`{name}` double"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__pos")
         chunk = rows["__chunk"].iloc[0]
-        x = rows[target].to_numpy(float, na_value=np.nan)
+        x = rows["__x"].to_numpy(float, na_value=np.nan)
         night, p = rows["__night"].to_numpy(bool), rows["__pos"].to_numpy()
         flag, median = spikes(x, night, p, half, k, fewest)
-        radiation = rows[rg].to_numpy(float, na_value=np.nan)
+        radiation = rows["__rg"].to_numpy(float, na_value=np.nan)
         use = {"both": np.ones(len(x), bool), "day": radiation >= 10, "night": radiation < 10}[period] | np.isnan(radiation)
         out = np.where(flag & use, median if replace_with_median else np.nan, x)
         rows[name] = pd.Series(out, index=rows.index).astype(object).where(~np.isnan(out), None)
-        return rows[p // chunk_rows == chunk][[*fields, name]]
+        return rows[p // chunk_rows == chunk][[*keys, "__pos", name]]
 
     done = spread.groupBy(*keys, "__chunk").applyInPandas(run, schema)
-    return done.drop("__pos", "__night")
+    return keyed_join(numbered, done, [*keys, "__pos"], "left").drop("__pos", "__night")
 
 
 def qc_summary(df: DataFrame, target: str, qc_col: str, keys: Sequence[str] = ()) -> DataFrame:

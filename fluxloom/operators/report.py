@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import col
+from .clean import col, keyed_join
 
 #: Grams of carbon per square metre in a half hour of one micromole of CO2 per square metre and second.
 CARBON = 1800 * 12e-6
@@ -43,7 +43,7 @@ def daily_carbon(df: DataFrame, cols: Sequence[str] = ("GPP", "NEE", "RECO"), mi
         made.append(F.when(F.count(col(c)) >= 2 * min_valid_hours, total).alias(c))
     sums = df.withColumn("date", day).where("date is not null").groupBy(*keys, "date").agg(*made)
     calendar = sums.groupBy(*keys).agg(F.min("date").alias("__a"), F.max("date").alias("__b")).select(*keys, F.explode(F.sequence("__a", "__b")).alias("date"))
-    out = calendar.join(sums, [*keys, "date"], "left")
+    out = keyed_join(calendar, sums, [*keys, "date"], "left")
     return out.fillna(0.0, subset=list(cols)) if min_valid_hours == 0 else out
 
 
@@ -56,5 +56,5 @@ def year_boundaries(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """1 January of each year after a series' first one."""
     years = df.select(*keys, F.year("datetime").alias("year")).where("year is not null").distinct()
     first = years.groupBy(*keys).agg(F.min("year").alias("__first"))
-    later = (years.join(first, list(keys)) if keys else years.join(F.broadcast(first), F.lit(True))).where("year > __first")
+    later = keyed_join(years, first, keys).where("year > __first")
     return later.select(*keys, F.make_date("year", F.lit(1), F.lit(1)).alias("boundary"))

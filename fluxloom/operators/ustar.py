@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import is_night
-from .clean import col
+from .clean import col, keyed_join
 from .quality import between_times
 from .windows import positions
 
@@ -35,11 +35,11 @@ def quantile_bin(df: DataFrame, name: str, q: int, keys: Sequence[str] = (), int
     Groups whose edges repeat have no bins. Edges are rounded to nine decimals before a comparison.
     """
     edges = quantile_edges(df, name, q, keys, weight)
-    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))  # one row without keys
-    inner = F.slice("edges", 2, q - 1)
-    number = F.aggregate(inner, F.lit(0), lambda n, e: n + F.when(col(name) > F.round(e, 9), 1).otherwise(0))
-    fine = F.size(F.array_distinct("edges")) == q + 1
-    out = joined.withColumn(into, F.when(col(name).isNotNull() & fine, number))
+    inner = F.when(F.size(F.array_distinct("edges")) == q + 1, F.transform(F.slice("edges", 2, q - 1), lambda e: F.round(e, 9)))
+    joined = keyed_join(df, edges.withColumn("__inner", inner), keys, "left")
+    # the number of edges below a value: a plain sum over columns, which compiles, and no walk over an array
+    number = sum((F.when(col(name) > F.col("__inner")[k], 1).otherwise(0) for k in range(q - 1)), F.lit(0))
+    out = joined.withColumn(into, F.when(col(name).isNotNull() & F.col("__inner").isNotNull(), number)).drop("__inner")
     return out.withColumnRenamed("edges", keep_edges) if keep_edges else out.drop("edges")
 
 
@@ -52,11 +52,11 @@ def correlation_gate(df: DataFrame, tair: str, ustar: str, keys: Sequence[str],
         w, x, y = F.col(weight), col(tair), col(ustar)
         means = both.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("__mx"), (F.sum(w * y) / F.sum(w)).alias("__my"))
         dx, dy = x - F.col("__mx"), y - F.col("__my")
-        sums = both.join(means, list(keys)).groupBy(*keys).agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+        sums = keyed_join(both, means, keys).groupBy(*keys).agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
         r = sums.select(*keys, F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
     r = r.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
     groups = df.select(*keys).distinct()
-    return groups.join(r, list(keys), "left").withColumn("accepted", F.coalesce(F.abs("r") < limit, F.lit(True)))
+    return keyed_join(groups, r, keys, "left").withColumn("accepted", F.coalesce(F.abs("r") < limit, F.lit(True)))
 
 
 def rounded_edges(edges: Column) -> Column:
@@ -71,8 +71,9 @@ def rounded_edges(edges: Column) -> Column:
 
         return F.transform(edges, one)
 
-    fine = F.filter(F.sequence(F.lit(3), F.lit(19)), lambda p: F.size(F.array_distinct(at(p))) == F.size(edges))
-    digits = F.coalesce(F.try_element_at(fine, F.lit(1)), F.lit(3))
+    apart = lambda p: F.size(F.array_distinct(at(p))) == F.size(edges)
+    more = F.try_element_at(F.filter(F.sequence(F.lit(4), F.lit(19)), apart), F.lit(1))
+    digits = F.when(apart(F.lit(3)), F.lit(3)).otherwise(F.coalesce(more, F.lit(3)))  # more digits are tried only where three don't do
     shown = at(digits)
     return F.transform(shown, lambda e, i: F.when(i == 0, e - F.pow(F.lit(10.0), -digits)).otherwise(e))
 
@@ -86,11 +87,12 @@ def ustar_bin_stats(df: DataFrame, ustar: str, nee: str, keys: Sequence[str], bi
     w = F.col(weight) if weight else F.lit(1)
     got = F.when(col(nee).isNotNull(), w)
     edges = binned.groupBy(*keys).agg(F.first("__edges").alias("__edges")).where(F.size(F.array_distinct("__edges")) == bins + 1)
-    grid = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    shown = rounded_edges(F.col("__edges")) if label_rounding else F.col("__edges")
-    mid = (F.element_at(shown, F.col("bin") + 1) + F.element_at(shown, F.col("bin") + 2)) / 2
+    shown = rounded_edges(F.transform("__edges", lambda e: F.round(e, 12))) if label_rounding else F.col("__edges")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(F.get("__shown", k).alias("a"), F.get("__shown", k + 1).alias("b")))
+    grid = edges.select(*keys, shown.alias("__shown")).select(*keys, F.posexplode(ends).alias("bin", "__ends"))  # labels are made once for a group
+    mid = (F.col("__ends.a") + F.col("__ends.b")) / 2
     stats = binned.where("bin is not null").groupBy(*keys, "bin").agg((F.sum(got * col(nee)) / F.sum(got)).alias("mean_nee"), F.sum(F.when(col(ustar).isNotNull(), w)).alias("n"))
-    return grid.withColumn("mid", mid).join(stats, [*keys, "bin"], "left").select(*keys, "bin", "mean_nee", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mid")
+    return keyed_join(grid.withColumn("mid", mid), stats, [*keys, "bin"], "left").select(*keys, "bin", "mean_nee", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mid")
 
 
 def moving_point(stats: DataFrame, keys: Sequence[str], vegetation: str = "forest") -> DataFrame:
@@ -111,9 +113,9 @@ def mpt_threshold(df: DataFrame, ustar: str = "u*", nee: str = "NEE", tair: str
     grouped = quantile_bin(rows, tair, temp_groups, keys, "temp_group", weight).where("temp_group is not null")
     by = [*keys, "temp_group"]
     gate = correlation_gate(grouped, tair, ustar, by, weight=weight).where("accepted").select(*by)
-    stats = ustar_bin_stats(grouped.join(gate, by, "left_semi"), ustar, nee, by, nee_bins, weight, label_rounding)
+    stats = ustar_bin_stats(keyed_join(grouped, gate, by, "left_semi"), ustar, nee, by, nee_bins, weight, label_rounding)
     found = moving_point(stats, by, vegetation).groupBy(*keys).agg(F.percentile("threshold", F.lit(0.5)).alias("threshold"))
-    return rows.select(*keys).distinct().join(found, keys, "left") if keys else found
+    return keyed_join(rows.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def bootstrap_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
@@ -121,15 +123,18 @@ def bootstrap_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Seque
 
     Draw j of replicate b is a hash of (seed, keys, b, j), so it doesn't depend on partitioning. Draws
     are counted before they meet the rows; a row that no draw took has no row for that replicate.
+    Replicates of a series are dealt to as many tasks before their draws are made.
     """
     keys = list(keys)
     placed = positions(df, keys)
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
     label = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("j").cast("string"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    dealt = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # short rows of much work: Spark would join them in one task
+    draws = dealt.repartition(tasks, *keys, "rep").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     taken = draws.withColumn("__pos", F.conv(F.substr(F.md5(label), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.col("__n"))
     counts = taken.groupBy(*keys, "rep", "__pos").agg(F.count("*").alias("weight"))
-    return placed.join(counts.hint("merge"), [*keys, "__pos"])  # draws come from a short table and are many
+    return keyed_join(placed, counts.hint("merge"), [*keys, "__pos"])  # draws come from a short table and are many
 
 
 def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True) -> DataFrame:

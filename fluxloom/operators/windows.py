@@ -7,13 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import col
+from .clean import col, keyed_join
 
 
 def positions(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """__pos: a row's place in its series by datetime, from 0."""
-    order = Window.partitionBy(*keys).orderBy("datetime") if keys else Window.partitionBy(F.lit(0)).orderBy("datetime")
-    return df.withColumn("__pos", (F.row_number().over(order) - 1).cast("long"))
+    """__pos: a row's place in its series by datetime, from 0.
+
+    A table without keys is one series: its days are numbered apart, each after the rows of earlier days.
+    """
+    if keys:
+        return df.withColumn("__pos", (F.row_number().over(Window.partitionBy(*keys).orderBy("datetime")) - 1).cast("long"))
+    dated = df.withColumn("__day", F.to_date("datetime"))
+    earlier = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # one short row for each day
+    days = dated.groupBy("__day").agg(F.count("*").alias("__rows")).select("__day", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__day").orderBy("datetime")) - 1
+    return keyed_join(dated.withColumn("__place", place), days, ["__day"]).withColumn("__pos", (F.col("__first") + F.col("__place")).cast("long")).drop("__day", "__first", "__place")
 
 
 def row_windows(df: DataFrame, window_rows: int, shift_rows: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +55,9 @@ def interpolate_by_position(df: DataFrame, value: str, keys: Sequence[str] = (),
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(pos)
     anchor = F.when(col(value).isNotNull(), F.struct(F.col(pos).alias("p"), col(value).alias("v")))
     before = F.last(anchor, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(anchor, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the next anchor is the last one seen from the end: a frame that grows is one pass, one that shrinks is not
+    back = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.col(pos).desc())
+    after = F.last(anchor, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     two = df.withColumn("__a", before).withColumn("__b", after)
     a, b = F.col("__a"), F.col("__b")
     inner = F.when(b["p"] == a["p"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(pos) - a["p"]) / (b["p"] - a["p"]))
@@ -71,8 +81,8 @@ def interpolate_by_time(df: DataFrame, anchors: DataFrame, values: Sequence[str]
     both = segments.unionByName(rows, allowMissingColumns=True)
     walk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__t", "__row")
     before = F.last("__s", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__s", ignorenulls=True).over(walk.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("__f", F.coalesce(before, after)).where("__row = 1")
+    first = F.first("__s", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = both.withColumn("__f", F.coalesce(before, first)).where("__row = 1")
     a, b = F.col("__f.a"), F.col("__f.b")
     share = F.when(b["t"] == a["t"], F.lit(0.0)).otherwise((F.col("__t") - a["t"]) / (b["t"] - a["t"]))
     out = found

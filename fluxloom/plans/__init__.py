@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import clean, gapfill, partition, quality, report, ustar, windows
-from .fixtures import DUCK, biomet_text, era5_like, flux_text, halfhourly
+from ..session import shared_dir
+from ..sources import files
+from .fixtures import DUCK, biomet_text, era5_like, flux_text, halfhourly, write_logger
 
 SITE = ["site_id"]
 QUERIES: dict = {}
@@ -42,6 +44,45 @@ FLUX_SQL = """
 """
 
 
+def d(name: str):
+    """A result column read from text."""
+    return r(name, F.col(f"`{name}`").cast("double"))
+
+
+@query(f"""SELECT site_id, strftime(datetime, '%Y-%m-%d') AS date, strftime(datetime, '%H:%M') AS time, {rs('co2_flux', 'coalesce(NEE - 0.1, -9999)')}, {rs('co2_strg', 'CASE WHEN n % 5 = 0 THEN -9999 ELSE 0.1 END')}, {rs('H', '0.3*Rn')}, {rs('air_temperature', 'Tair + 273.15')}, {rs('u*', 'ustar')} FROM h""")
+def read_flux_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table written as logger files of three head lines, one folder for each site, and read back."""
+    folder = write_logger(flux_text(halfhourly(spark, sf_dir)), f"{shared_dir(spark)}/flux", True)
+    out = files.read_flux_output(spark, folder)
+    return out.select(F.col("site_id").cast("long").alias("site_id"), "date", "time", *[d(c) for c in ("co2_flux", "co2_strg", "H", "air_temperature", "u*")])
+
+
+@query(f"""SELECT site_id, strftime(datetime, '%Y-%m-%d') AS date, strftime(datetime, '%H:%M') AS time, {rs('TA_1_1_1', 'CASE WHEN n % 4 = 0 THEN -9999 ELSE Tair + 273.15 END')}, {rs('SWOUT_1_1_1', '0.2*Rg')}, {rs('SHF_1_1_1', '-9999')} FROM h""")
+def read_biomet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_logger(biomet_text(halfhourly(spark, sf_dir)), f"{shared_dir(spark)}/biomet", False)
+    out = files.read_biomet(spark, folder)
+    return out.select(F.col("site_id").cast("long").alias("site_id"), "date", "time", *[d(c) for c in ("TA_1_1_1", "SWOUT_1_1_1", "SHF_1_1_1")])
+
+
+DATASET_SQL = f"""SELECT site_id, datetime, {rs('Tair')}, {rs('VPD')}, {rs('Rg')}, {rs('NEE')} FROM h"""
+
+
+@query(DATASET_SQL)
+def read_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical dataset as CSV with a head line, and back."""
+    folder = f"{shared_dir(spark)}/dataset"
+    files.write_dataset(clean.build_dataset(halfhourly(spark, sf_dir), keys=SITE), folder, "csv")
+    return files.read_dataset(spark, folder).select(F.col("site_id").cast("long").alias("site_id"), "datetime", *[r(c) for c in ("Tair", "VPD", "Rg", "NEE")])
+
+
+@query(DATASET_SQL)
+def write_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical dataset as Parquet in a folder for each site, and back."""
+    folder = f"{shared_dir(spark)}/dataset"
+    files.write_dataset(clean.build_dataset(halfhourly(spark, sf_dir), keys=SITE), folder, partition_by=("site_id",))
+    return files.read_dataset(spark, folder, "parquet").select(F.col("site_id").cast("long").alias("site_id"), "datetime", *[r(c) for c in ("Tair", "VPD", "Rg", "NEE")])
+
+
 @query(FLUX_SQL + f"""SELECT site_id, datetime, CAST(dayofyear(datetime) AS DOUBLE) AS "DOY", {rs('Tair', '(Tair + 273.15) - 273.15')}, {rs('Tsoil', '(Tair + 272.15) - 273.15')},
  {rs('RH_1_1_1', 'CASE WHEN n % 4 = 1 THEN 90 - 2*VPD ELSE 80 END')}, {rs('Rn', 'Rg + 300 - 0.2*Rg - 340')}, {rs('H', 'h2')}, {rs('LE', 'le2')}, {rs('NEE', 'nee2')}, CAST(NULL AS DOUBLE) AS "SHF_1_1_1", {rs('u*', 'ustar')} FROM fx""")
 def load_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +173,15 @@ def despike_median(spark, sf_dir):
     return out.select("site_id", "datetime", r("NEE_despiked"))
 
 
+@query("""
+, m AS (SELECT CAST(min(datetime) AS DATE) AS a, CAST(max(datetime) AS DATE) AS b FROM h)
+SELECT site_id, datetime, n FROM h, m WHERE datetime BETWEEN a + 1 AND b - 1""")
+def between_times(spark, sf_dir):
+    h = halfhourly(spark, sf_dir)
+    span = h.agg(F.date_add(F.min("datetime").cast("date"), 1).alias("a"), F.date_sub(F.max("datetime").cast("date"), 1).alias("b")).first()
+    return quality.between_times(h, f"{span['a']} 00:00:00", f"{span['b']} 00:00:00").select("site_id", "datetime", "n")
+
+
 @query(f"""SELECT site_id, {rs('kept_pct', "100.0 * count(*) FILTER (NEE BETWEEN -15 AND 10) / count(*)")}, {rs('removed_pct', "100.0 * count(*) FILTER (NEE IS NOT NULL AND NOT NEE BETWEEN -15 AND 10) / count(*)")}, {rs('missing_pct', "100.0 * count(*) FILTER (NEE IS NULL) / count(*)")}, {rs('min_kept', 'min(NEE) FILTER (NEE BETWEEN -15 AND 10)')}, {rs('max_kept', 'max(NEE) FILTER (NEE BETWEEN -15 AND 10)')} FROM h GROUP BY site_id""")
 def qc_summary(spark, sf_dir):
     out = quality.qc_summary(quality.range_qc(halfhourly(spark, sf_dir), ["NEE"], [-15], [10]), "NEE", "NEE_MaxMinValue_qc", SITE)
@@ -143,18 +193,30 @@ TBIN_SQL = """
 , te AS (SELECT site_id, list_transform(quantile_cont(Tair, [1/6, 2/6, 3/6, 4/6, 5/6]), lambda e: round(e, 9)) AS te FROM n1 GROUP BY 1)
 , tb AS (SELECT n1.*, CASE WHEN Tair IS NOT NULL THEN len(list_filter(te, lambda e: Tair > e)) END AS temp_group FROM n1 JOIN te USING (site_id))
 """
-UBIN_SQL = TBIN_SQL + """
-, gate AS (SELECT site_id, temp_group, corr(Tair, ustar) AS r FROM tb GROUP BY 1, 2)
-, ue AS (SELECT site_id, temp_group, quantile_cont(ustar, [0.0, 1/8, 2/8, 3/8, 4/8, 5/8, 6/8, 7/8, 1.0]) AS ue FROM tb GROUP BY 1, 2)
-, ub AS (SELECT tb.*, ue, len(list_filter(ue[2:8], lambda e: ustar > round(e, 9))) AS bin FROM tb JOIN ue USING (site_id, temp_group))
-, us AS (SELECT site_id, temp_group, bin, avg(NEE) AS mean_nee, count(ustar) AS n, any_value((ue[bin+1] + ue[bin+2])/2) AS mid FROM ub GROUP BY 1, 2, 3)
-"""
-MPT_SQL = UBIN_SQL + """
-, lt AS (SELECT *, avg(mean_nee) OVER (PARTITION BY site_id, temp_group ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lat FROM us)
-, mp AS (SELECT site_id, temp_group, coalesce(arg_min(mid, bin) FILTER (mean_nee > 0.99*lat), arg_min(mid, bin) FILTER (mean_nee > 0.9*lat), 0.1) AS threshold FROM lt GROUP BY 1, 2)
+
+
+def bins_sql(rows: str, keys: str) -> str:
+    """CTEs of the moving-point test over the night rows of ``rows`` (keys, NEE, ustar, temp_group): edges, bins, statistics and thresholds."""
+    by = f"{keys}, temp_group"
+    return f"""
+, gate AS (SELECT {by}, corr(Tair, ustar) AS r FROM {rows} GROUP BY ALL)
+, ue0 AS (SELECT {by}, list_transform(quantile_cont(ustar, list_transform(range(21), lambda i: i / 20)), lambda e: round(e, 12)) AS ue FROM {rows} GROUP BY ALL)
+, ue1 AS (SELECT *, list_transform(range(3, 20), lambda p: list_transform(ue, lambda e: CASE WHEN abs(e) >= 1 OR e = 0 THEN round_even(e * power(10, p), 0) / power(10, p) ELSE round_even(e * power(10, p - floor(log10(abs(e))) - 1), 0) / power(10, p - floor(log10(abs(e))) - 1) END)) AS shown FROM ue0 WHERE len(list_distinct(ue)) = 21)
+, ue2 AS (SELECT {by}, ue, coalesce(list_min(list_filter(range(3, 20), lambda p: len(list_distinct(shown[p - 2])) = 21)), 3) AS p, shown FROM ue1)
+, ue AS (SELECT {by}, ue, list_transform(shown[p - 2], lambda e, i: CASE WHEN i = 1 THEN e - power(10, -p) ELSE e END) AS labels FROM ue2)
+, grid AS (SELECT {by}, labels, unnest(range(20)) AS bin FROM ue)
+, ub AS (SELECT t.*, len(list_filter(ue[2:20], lambda e: ustar > round(e, 9))) AS bin FROM {rows} t JOIN ue USING ({by}) WHERE ustar IS NOT NULL)
+, us0 AS (SELECT {by}, bin, avg(NEE) AS mean_nee, count(ustar) AS n FROM ub GROUP BY ALL)
+, us AS (SELECT {by}, bin, mean_nee, coalesce(n, 0) AS n, (labels[bin+1] + labels[bin+2])/2 AS mid FROM grid LEFT JOIN us0 USING ({by}, bin))
+, lt AS (SELECT *, avg(mean_nee) OVER (PARTITION BY {by} ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lat FROM us)
+, mp AS (SELECT {by}, coalesce(arg_min(mid, bin) FILTER (mean_nee > 0.99*lat), arg_min(mid, bin) FILTER (mean_nee > 0.9*lat), 0.1) AS threshold FROM lt GROUP BY ALL)
+, found AS (SELECT {keys}, quantile_cont(threshold, 0.5) AS threshold FROM mp JOIN gate USING ({by}) WHERE coalesce(abs(r) < 0.4, true) GROUP BY ALL)
 """
 
 
+MPT_SQL = UBIN_SQL = TBIN_SQL + bins_sql("tb", "site_id")
+
+
 @query(TBIN_SQL + "SELECT site_id, datetime, CAST(temp_group AS BIGINT) AS temp_group FROM tb")
 def quantile_bins(spark, sf_dir):
     night = quality.night(halfhourly(spark, sf_dir))
@@ -174,20 +236,20 @@ def correlation_gate(spark, sf_dir):
 
 @query(UBIN_SQL + f"SELECT site_id, CAST(temp_group AS BIGINT) AS temp_group, CAST(bin AS BIGINT) AS bin, {rs('mean_nee')}, n, {rs('mid')} FROM us")
 def ustar_bin_stats(spark, sf_dir):
-    out = ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", ["site_id", "temp_group"], 8, label_rounding=False)
+    out = ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", ["site_id", "temp_group"])
     return out.select("site_id", F.col("temp_group").cast("long").alias("temp_group"), F.col("bin").cast("long").alias("bin"), r("mean_nee"), "n", r("mid"))
 
 
 @query(MPT_SQL + f"SELECT site_id, CAST(temp_group AS BIGINT) AS temp_group, {rs('threshold')} FROM mp")
 def moving_point(spark, sf_dir):
     keys = ["site_id", "temp_group"]
-    out = ustar.moving_point(ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", keys, 8, label_rounding=False), keys)
+    out = ustar.moving_point(ustar.ustar_bin_stats(_groups(spark, sf_dir), "ustar", "NEE", keys), keys)
     return out.select("site_id", F.col("temp_group").cast("long").alias("temp_group"), r("threshold"))
 
 
-@query(MPT_SQL + f"SELECT n1.site_id, {rs('threshold', 'quantile_cont(threshold, 0.5)')} FROM (SELECT DISTINCT site_id FROM n1) n1 LEFT JOIN (SELECT mp.* FROM mp JOIN gate USING (site_id, temp_group) WHERE coalesce(abs(r) < 0.4, true)) a ON n1.site_id = a.site_id GROUP BY 1")
+@query(MPT_SQL + f"SELECT site_id, {rs('threshold')} FROM (SELECT DISTINCT site_id FROM n1) LEFT JOIN found USING (site_id)")
 def mpt_threshold(spark, sf_dir):
-    return ustar.mpt_threshold(halfhourly(spark, sf_dir), "ustar", nee_bins=8, keys=SITE, label_rounding=False).select("site_id", r("threshold"))
+    return ustar.mpt_threshold(halfhourly(spark, sf_dir), "ustar", keys=SITE).select("site_id", r("threshold"))
 
 
 @query("""
@@ -199,9 +261,18 @@ def bootstrap_weights(spark, sf_dir):
     return out.select("site_id", "datetime", F.col("rep").cast("long").alias("rep"), "weight")
 
 
-@query()
+DRAWN_SQL = """
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS cnt FROM h)
+, d AS (SELECT site_id, rep, ('0x' || substr(md5('42|' || site_id || '|' || rep || '|' || pos), 1, 8))::BIGINT % cnt AS pos FROM p, range(100) t(rep))
+, n1 AS (SELECT d.rep, p.* FROM d JOIN p USING (site_id, pos) WHERE Rg < 10)
+, te AS (SELECT site_id, rep, list_transform(quantile_cont(Tair, [1/6, 2/6, 3/6, 4/6, 5/6]), lambda e: round(e, 9)) AS te FROM n1 GROUP BY ALL)
+, tb AS (SELECT n1.*, CASE WHEN Tair IS NOT NULL THEN len(list_filter(te, lambda e: Tair > e)) END AS temp_group FROM n1 JOIN te USING (site_id, rep))
+"""
+
+
+@query(DRAWN_SQL + bins_sql("tb", "site_id, rep") + f"""SELECT site_id, season, {rs('u5', 'quantile_cont(threshold, 0.05)')}, {rs('u50', 'quantile_cont(threshold, 0.5)')}, {rs('u95', 'quantile_cont(threshold, 0.95)')} FROM (SELECT DISTINCT site_id, rep FROM n1) LEFT JOIN found USING (site_id, rep), (VALUES ('all'), ('overall')) v(season) GROUP BY ALL""")
 def bootstrap_ustar(spark, sf_dir):
-    out = ustar.bootstrap_ustar(halfhourly(spark, sf_dir), None, 10, "ustar", nee_bins=8, keys=SITE, label_rounding=False)
+    out = ustar.bootstrap_ustar(halfhourly(spark, sf_dir), None, 100, "ustar", keys=SITE)
     return out.select("site_id", "season", r("u5"), r("u50"), r("u95"))
 
 
@@ -222,16 +293,39 @@ def row_windows(spark, sf_dir):
     return out.groupBy("site_id", "window").agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query()
+def narrowed(table: str, fit: str, first: str, steps: list[float]) -> str:
+    """CTEs z1, z2, ... that close in on the root of a fit's slope in e: each level takes the last of its points with a positive slope."""
+    made, last = "", first
+    for k, step in enumerate(steps, 1):
+        made += f""", z{k} AS (SELECT site_id, "window", coalesce(max(e) FILTER (slope > 0), min(e)) AS e FROM (SELECT w.site_id, w."window", e, {fit} AS slope FROM (SELECT site_id, "window", e0 + i * {step!r} AS e FROM {last} q(site_id, "window", e0), range(0, 21) t(i)) c JOIN {table} w USING (site_id, "window") GROUP BY 1, 2, 3) GROUP BY 1, 2)
+"""
+        last = f"z{k}"
+    return made
+
+
+E0_STEPS = [1.0, 0.05, 0.0025, 1.25e-4, 6.25e-6, 3.125e-7, 1.5e-8, 1e-9]
+E0_SQL = WINDOW_SQL.format(s=240, w=720) + """
+, nr AS (SELECT site_id, "window", NEE, 1/56.02 - 1/(Tair + 46.02) AS g FROM w WHERE Rg < 10 AND NEE IS NOT NULL AND Tair IS NOT NULL)
+, ok AS (SELECT site_id, "window" FROM w WHERE Rg < 10 AND NEE IS NOT NULL AND Tair IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 6 AND max(Tair) - min(Tair) >= 5)
+, nw AS (SELECT nr.* FROM nr JOIN ok USING (site_id, "window"))
+, z0 AS (SELECT site_id, "window", greatest(30.0, arg_min(e, loss) - 10) AS e FROM (SELECT site_id, "window", e, sum((NEE - exp(e * g)) * (NEE - exp(e * g))) AS loss FROM nw, (SELECT 30.0 + 5 * i AS e FROM range(85) t(i)) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+""" + narrowed("nw", "sum(g * exp(e * g) * (NEE - exp(e * g)))", "z0", E0_STEPS) + f"""
+, fe AS (SELECT site_id, "window", least(e, 450.0) AS e0, sqrt(sum((NEE - exp(e * g)) * (NEE - exp(e * g))) / (count(*) - 1) / sum(g * g * exp(2 * e * g))) / least(e, 450.0) AS rel_err FROM nw JOIN z{len(E0_STEPS)} USING (site_id, "window") GROUP BY 1, 2, e)
+, fits AS (SELECT * FROM fe WHERE rel_err < 0.5)
+, best AS (SELECT site_id, avg(e0) AS e0 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY rel_err, "window") AS k FROM fits) WHERE k <= 3 GROUP BY 1)
+"""
+
+
+@query(E0_SQL + """SELECT site_id, "window", round(e0 + 1e-9, 4) AS e0, round(rel_err + 1e-9, 4) AS rel_err FROM fits""")
 def e0_windows(spark, sf_dir):
     out = partition.fit_e0_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
-    return out.select("site_id", "window", F.round("e0", 4).alias("e0"), F.round("rel_err", 4).alias("rel_err"))
+    return out.select("site_id", "window", F.round(F.col("e0") + 1e-9, 4).alias("e0"), F.round(F.col("rel_err") + 1e-9, 4).alias("rel_err"))
 
 
-@query()
+@query(E0_SQL + "SELECT site_id, round(e0 + 1e-9, 4) AS e0 FROM best")
 def global_e0(spark, sf_dir):
     out = partition.global_e0(partition.fit_e0_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows"), SITE)
-    return out.select("site_id", F.round("e0", 4).alias("e0"))
+    return out.select("site_id", F.round(F.col("e0") + 1e-9, 4).alias("e0"))
 
 
 RREF_SQL = WINDOW_SQL.format(s=192, w=336) + """
@@ -268,10 +362,19 @@ def nt_partition_fixed_e0(spark, sf_dir):
     return out.select("site_id", "datetime", r("RECO"), r("GPP"))
 
 
-@query()
+NT_SQL = E0_SQL + """
+, w2 AS (SELECT p.*, k AS "window", k * 192 AS "start" FROM p JOIN range(100000) t(k) ON pos >= k * 192 AND pos < k * 192 + 336 AND k * 192 < cnt - 336)
+, rr AS (SELECT site_id, "window", "start" + 168 AS pos, least(greatest(sum(kk * NEE) / sum(kk * kk), 0), 1000) AS rref, count(*) AS n FROM (SELECT w2.*, exp(e0 * (1/56.02 - 1/(Tair + 46.02))) AS kk FROM w2 JOIN best USING (site_id) WHERE Rg < 10 AND NEE IS NOT NULL AND Tair IS NOT NULL) GROUP BY 1, 2, 3)
+, an AS (SELECT site_id, pos, rref FROM rr WHERE n >= 3)
+""" + INTERP_SQL + """
+, model AS (SELECT ip.*, rf * exp(e0 * (1/56.02 - 1/(Tair + 46.02))) AS reco FROM ip LEFT JOIN best USING (site_id))
+"""
+
+
+@query(NT_SQL + f"""SELECT site_id, datetime, round(CASE WHEN rf IS NULL THEN NULL WHEN Rg < 10 THEN NEE ELSE reco END + 1e-9, 4) AS RECO, round(CASE WHEN rf IS NULL THEN NULL WHEN Rg < 10 THEN 0 ELSE reco - NEE END + 1e-9, 4) AS GPP FROM model""")
 def nt_partition(spark, sf_dir):
     out = partition.nt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows", night_estimate=False)
-    return out.select("site_id", "datetime", F.round("RECO", 4).alias("RECO"), F.round("GPP", 4).alias("GPP"))
+    return out.select("site_id", "datetime", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("RECO", "GPP")])
 
 
 @query(f"""SELECT site_id, datetime, {rs('nee', '0.05 * 25 * Rg / (0.05 * Rg + 25) + 2')} FROM h""")
@@ -343,22 +446,22 @@ def _filled(spark, sf_dir, short, **params):
 
 @query()
 def fill_gbt(spark, sf_dir):
-    return _filled(spark, sf_dir, "XGB", rounds=20)
+    return _filled(spark, sf_dir, "XGB")
 
 
 @query()
 def fill_rf(spark, sf_dir):
-    return _filled(spark, sf_dir, "RF", max_depth=10)
+    return _filled(spark, sf_dir, "RF")
 
 
 @query()
 def fill_ada(spark, sf_dir):
-    return _filled(spark, sf_dir, "Ada", estimators=8)
+    return _filled(spark, sf_dir, "Ada")
 
 
 @query()
 def fill_ann(spark, sf_dir):
-    return _filled(spark, sf_dir, "ANN", hidden=32, epochs=30)
+    return _filled(spark, sf_dir, "ANN")
 
 
 @query(f"""SELECT CASE WHEN n % 4 = 0 THEN 'test' ELSE 'train' END AS part, {rs('rmse', 'sqrt(avg((VPD - 0.5*Tair)*(VPD - 0.5*Tair)))')}, {rs('mae', 'avg(abs(VPD - 0.5*Tair))')}, {rs('r2', '1 - sum((VPD - 0.5*Tair)*(VPD - 0.5*Tair)) / (count(VPD) * var_pop(VPD))')}, count(VPD) AS n FROM h GROUP BY 1""")
@@ -373,17 +476,48 @@ def clamp_nonnegative(spark, sf_dir):
     return gapfill.gap_filled(h, "Rn", "XGB", "p").select("site_id", "datetime", r("Rn_XGBpred"), r("Rn_XGBGapFilled"))
 
 
+@query(f"""SELECT site_id, datetime, {rs('Rn_XGBpred', 'CASE WHEN n = 1 THEN greatest(Rn, 0) END')}, {rs('Rn_XGBGapFilled', 'CASE WHEN n = 1 THEN greatest(Rn, 0) ELSE Rn END')}, {rs('Rn_XGBpred_all', 'greatest(Rn, 0)')} FROM h""")
+def predict_all(spark, sf_dir):
+    h = halfhourly(spark, sf_dir).withColumn("p", F.col("Rn")).withColumn("Rn", F.when(F.col("n") != 1, F.col("Rn")))
+    return gapfill.gap_filled(h, "Rn", "XGB", "p", True).select("site_id", "datetime", r("Rn_XGBpred"), r("Rn_XGBGapFilled"), r("Rn_XGBpred_all"))
+
+
+@query("""SELECT site_id, datetime, ('0x' || substr(md5('0|' || site_id || '|' || strftime(datetime, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 10 < 3 AS test FROM h""")
+def train_test(spark, sf_dir):
+    return gapfill.train_test(halfhourly(spark, sf_dir), SITE).select("site_id", "datetime", F.col("__test").alias("test"))
+
+
+@query(f"""SELECT site_id, datetime, {rs('NEE', 'coalesce(NEE, -1.5)')} FROM h""")
+def impute_constant(spark, sf_dir):
+    return gapfill.impute_constant(halfhourly(spark, sf_dir), ["NEE"], -1.5).select("site_id", "datetime", r("NEE"))
+
+
+@query("""SELECT site_id, 'NEE' AS target, unnest(['Rg', 'Tair', 'VPD', 'ustar']) AS feature FROM h GROUP BY 1
+UNION ALL SELECT site_id, 'VPD', unnest(['Rg', 'Rn', 'Tair', 'n', 'ustar']) FROM h GROUP BY 1
+UNION ALL SELECT site_id, 'era5', unnest(['Tair_era5', 'Tsoil_era5', 'SWC_era5', 'SWIN_era5', 'RH_era5', 'VPD_era5', 'Rn_era5']) FROM h GROUP BY 1""")
+def feature_columns(spark, sf_dir):
+    """Features that each mode chooses, for each site of the table."""
+    h = halfhourly(spark, sf_dir)
+    both = clean.build_dataset(h, era5_like(h), keys=SITE)
+    chosen = {
+        "NEE": gapfill.feature_columns(h, "NEE", "use_custom_X_col", FEATURES, SITE), "VPD": gapfill.feature_columns(h, "VPD", "all", None, SITE),
+        "era5": gapfill.feature_columns(both, "VPD", "use_era5_only", None, SITE),
+    }
+    listed = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(c).alias("feature")) for t, cs in chosen.items() for c in cs])
+    return h.select("site_id").distinct().select("site_id", F.inline(listed))
+
+
 @query()
 def fill_columns(spark, sf_dir):
     h = halfhourly(spark, sf_dir)
     gaps = h.withColumn("VPD", F.when(F.dayofyear("datetime") % 5 != 0, F.col("VPD"))).withColumn("Tair", F.when(F.hour("datetime") != 3, F.col("Tair")))
-    out = gapfill.fill_columns(gaps, "RandomForest", vars_to_fill=["VPD", "Tair"], X_col=["Rg", "Rn", "ustar"], keys=SITE, max_depth=6, trees=5)
-    return out.select("site_id", "datetime", F.round("VPD_RFGapFilled", 3).alias("VPD_RFGapFilled"), F.round("Tair_RFGapFilled", 3).alias("Tair_RFGapFilled"))
+    out = gapfill.fill_columns(gaps, "RandomForest", 0.0, "use_custom_X_col", ["VPD", "Tair"], ["Rg", "Rn", "ustar"], SITE)
+    return out.table.select("site_id", "datetime", F.round("VPD_RFGapFilled", 3).alias("VPD_RFGapFilled"), F.round("Tair_RFGapFilled", 3).alias("Tair_RFGapFilled"))
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    done = gapfill.fill_random_forest(halfhourly(spark, sf_dir), "NEE", "use_custom_X_col", FEATURES, keys=SITE, trees=5, max_depth=6)
+    done = gapfill.fill_random_forest(halfhourly(spark, sf_dir), "NEE", "use_custom_X_col", FEATURES, keys=SITE)
     return done.importance.select("feature", F.round("importance", 3).alias("importance"))
 
 

@@ -69,3 +69,14 @@ def biomet_text(h: DataFrame) -> DataFrame:
         t(0.2 * F.col("Rg")).alias("SWOUT_1_1_1"), t(F.lit(340.0)).alias("LWOUT_1_1_1"), t(F.lit(0.3)).alias("SWC_1_1_1"), t(2 * F.col("Rg")).alias("PPFD_1_1_1"),
         t(F.lit(0.0)).alias("P_RAIN_1_1_1"), t(F.lit(-9999.0)).alias("SHF_1_1_1"),
     )
+
+
+def write_logger(rows: DataFrame, folder: str, group_line: bool) -> str:
+    """Text ``rows`` of a logger as CSV files, one folder of them for each site: a group line (or none), names, units, data."""
+    names = [c for c in rows.columns if c != "site_id"]
+    heads = [*([",".join(["file", *["data"] * (len(names) - 1)])] if group_line else []), ",".join(names), ",".join(f"[{k}]" for k in range(len(names)))]
+    top = rows.select("site_id").distinct().select("site_id", F.posexplode(F.array(*map(F.lit, heads))).alias("at", "line")).select("site_id", F.lit("").alias("day"), "at", "line")
+    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
+    body = rows.select("site_id", F.concat("date", "time").alias("day"), F.lit(0).alias("at"), line.alias("line"))
+    top.union(body).repartition("site_id").sortWithinPartitions("site_id", "day", "at").select("site_id", "line").write.partitionBy("site_id").text(folder)
+    return folder

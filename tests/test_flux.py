@@ -170,7 +170,9 @@ def test_columns_are_filled_by_number_of_gaps(spark):
     rng = np.random.default_rng(4)
     cols = {c: [float(v) if k % m else None for k, v in enumerate(rng.normal(0, 1, 200))] for c, m in (("a", 40), ("b", 10), ("c", 4))}
     df = series(spark, 200, **cols, d=rng.normal(0, 1, 200))
-    out = gapfill.fill_columns(df, "RandomForest", trees=2, max_depth=3)
+    done = gapfill.fill_columns(df, "RandomForest", mode="all", trees=2, max_depth=3)
+    out = done.table
+    assert [r["variable"] for r in done.metrics.where("part = 'test'").collect()] == ["a", "b", "c"]
     assert out.where("a_RFGapFilled is null or b_RFGapFilled is null or c_RFGapFilled is null").count() == 0
     assert out.where("a is null").count() == 5
     with pytest.raises(ValueError):
