@@ -59,11 +59,13 @@ def correlation_gate(df: DataFrame, tair: str, ustar: str, keys: Sequence[str],
     return keyed_join(groups, r, keys, "left").withColumn("accepted", F.coalesce(F.abs("r") < limit, F.lit(True)))
 
 
-def rounded_edges(edges: Column) -> Column:
+def rounded_edges(df: DataFrame, name: str, into: str) -> DataFrame:
     """Edges as interval labels show them: rounded to the fewest decimals (3 or more) that keep them apart.
 
     Digits count from the first significant one below 1; the first edge is lowered by one unit.
     """
+    edges = F.transform(name, lambda e: F.round(e, 12))
+
     def at(digits: Column) -> Column:
         def one(e: Column) -> Column:
             d = F.when((F.abs(e) >= 1) | (e == 0), digits).otherwise(-F.floor(F.log10(F.abs(e))) - 1 + digits)
@@ -74,8 +76,9 @@ def rounded_edges(edges: Column) -> Column:
     apart = lambda p: F.size(F.array_distinct(at(p))) == F.size(edges)
     more = F.try_element_at(F.filter(F.sequence(F.lit(4), F.lit(19)), apart), F.lit(1))
     digits = F.when(apart(F.lit(3)), F.lit(3)).otherwise(F.coalesce(more, F.lit(3)))  # more digits are tried only where three don't do
-    shown = at(digits)
-    return F.transform(shown, lambda e, i: F.when(i == 0, e - F.pow(F.lit(10.0), -digits)).otherwise(e))
+    p = F.col("__digits")
+    shown = F.transform(at(p), lambda e, i: F.when(i == 0, e - F.pow(F.lit(10.0), -p)).otherwise(e))
+    return df.withColumn("__digits", digits).withColumn(into, shown).drop("__digits")
 
 
 def ustar_bin_stats(df: DataFrame, ustar: str, nee: str, keys: Sequence[str], bins: int = 20, weight: str | None = None, label_rounding: bool = True) -> DataFrame:
@@ -87,9 +90,9 @@ def ustar_bin_stats(df: DataFrame, ustar: str, nee: str, keys: Sequence[str], bi
     w = F.col(weight) if weight else F.lit(1)
     got = F.when(col(nee).isNotNull(), w)
     edges = binned.groupBy(*keys).agg(F.first("__edges").alias("__edges")).where(F.size(F.array_distinct("__edges")) == bins + 1)
-    shown = rounded_edges(F.transform("__edges", lambda e: F.round(e, 12))) if label_rounding else F.col("__edges")
+    labelled = rounded_edges(edges, "__edges", "__shown") if label_rounding else edges.withColumn("__shown", F.col("__edges"))
     ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(F.get("__shown", k).alias("a"), F.get("__shown", k + 1).alias("b")))
-    grid = edges.select(*keys, shown.alias("__shown")).select(*keys, F.posexplode(ends).alias("bin", "__ends"))  # labels are made once for a group
+    grid = labelled.select(*keys, F.posexplode(ends).alias("bin", "__ends"))  # labels are made once for a group
     mid = (F.col("__ends.a") + F.col("__ends.b")) / 2
     stats = binned.where("bin is not null").groupBy(*keys, "bin").agg((F.sum(got * col(nee)) / F.sum(got)).alias("mean_nee"), F.sum(F.when(col(ustar).isNotNull(), w)).alias("n"))
     return keyed_join(grid.withColumn("mid", mid), stats, [*keys, "bin"], "left").select(*keys, "bin", "mean_nee", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mid")
