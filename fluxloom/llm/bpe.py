@@ -29,6 +29,8 @@ from . import common
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SPACE_BEFORE_SPACE = regex.compile(r" (?!\S)")
 SPACE_BEFORE_WORD = regex.compile(r" (?=\S)")
+#: Characters that are one pre-token where they follow letters and end a piece.
+MARKS = frozenset(".,;:!?)]}\"")
 NO_RANK = np.int32(2**31 - 1)
 #: Entries of each generation of the dictionaries of pieces and of words.
 KEPT_PIECES, KEPT_WORDS = 400_000, 150_000
@@ -206,47 +208,64 @@ class Kept:
         """Those of ``keys`` that it doesn't hold; the others are in ``new`` afterwards."""
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
-        absent = keys.difference(self.new)
-        if self.old:
-            self.new.update((k, self.old[k]) for k in absent.intersection(self.old))
-            absent.difference_update(self.old)
-        return list(absent)
+        new, old = self.new, self.old
+        absent = [k for k in keys if k not in new]
+        if old:  # one look at a time: a set operation with a dictionary would walk the whole dictionary
+            moved = [k for k in absent if k in old]
+            if moved:
+                new.update(zip(moved, map(old.__getitem__, moved)))
+                absent = [k for k in absent if k not in new]
+        return absent
 
 
-class PieceEncoder:
-    """Encodes texts by pieces between single spaces, which always part pre-tokens.
+def pieces_of(text: str) -> list[str]:
+    """Pieces between spaces that stand before a character other than white space: such a space always starts a pre-token.
 
-    A space that stands before a character other than white space starts a pre-token, so the
-    pieces of a text can be encoded one by one and their ids joined. ``encode_words`` gets the
-    pre-tokens that no dictionary holds, many at a time. With ``whole``, pieces that have
-    characters beyond the Latin and Greek blocks are not cut into pre-tokens here.
+    So the pieces can be encoded one by one and their ids joined. A piece stands for a space and what
+    follows it, but one that starts with a NUL for what follows the NUL.
     """
+    if "\0" in text:
+        return ["\0" + text]  # cut by the pre-tokenizer alone
+    # of printable characters only the space is white space, so most texts need no pattern
+    plain = text[-1] != " " and "  " not in text and " \n" not in text and text.replace("\n", "-").isprintable()
+    if plain:
+        if "\n" in text and "\n\n" not in text and "\n " not in text and text[0] != "\n" != text[-1]:
+            text = text.replace("\n", " \0\n \0")  # a line feed between words is a pre-token, and so is the word after it
+        pieces = text.split(" ")
+    else:
+        pieces = SPACE_BEFORE_WORD.split(text) if SPACE_BEFORE_SPACE.search(text) else text.split(" ")
+    pieces[0] = "\0" + pieces[0]
+    return pieces
+
+
+class PieceEncoder:
+    """Encodes texts by the pieces of ``pieces_of``; ``encode_words`` gets the pre-tokens that no dictionary holds, many at a time."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], special: dict[str, int], whole: bool = False):
-        self.encode_words, self.whole = encode_words, whole
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], special: dict[str, int]):
+        self.encode_words = encode_words
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.pieces, self.words = Kept(KEPT_PIECES), Kept(KEPT_WORDS)
 
-    def _split(self, text: str) -> list[str]:
-        """Pieces; all but the first stand for a space and what follows it."""
-        if "\0" in text:
-            return ["\0" + text]  # cut by the pre-tokenizer alone
-        pieces = SPACE_BEFORE_WORD.split(text) if SPACE_BEFORE_SPACE.search(text) else text.split(" ")
-        pieces[0] = "\0" + pieces[0]  # marks that no space stands before it
-        return pieces
-
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        texts = [p[1:] if p[:1] == "\0" else " " + p for p in missing]
-        # a space and letters are one pre-token
-        split = [[t] if p.isalpha() or self.whole and not t.isascii() and max(t) > "\u03ff" else PRETOKEN.findall(t) for p, t in zip(missing, texts, strict=True)]
-        need = self.words.missing(set(chain.from_iterable(split)))
+        split: list[str | list[str]] = []
+        for p in missing:
+            t = p[1:] if p[:1] == "\0" else " " + p
+            if p.isalpha():
+                split.append(t)  # a space and letters are one pre-token
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                split.append([t[:-1], p[-1]])  # a mark after letters is another
+            else:
+                split.append(PRETOKEN.findall(t))
+        wanted = {w for w in split if type(w) is str}
+        wanted.update(chain.from_iterable(w for w in split if type(w) is list))
+        need = self.words.missing(wanted)
         known = self.words.new
-        long_words = [w for w in need if len(w) > KEPT_LENGTH]
         known.update(zip(need, self.encode_words(need), strict=True))
-        out = {p: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for p, ws in zip(missing, split, strict=True)}
-        for w in long_words:
-            del known[w]
+        out = {p: known[w] if type(w) is str else b"".join([known[x] for x in w]) for p, w in zip(missing, split, strict=True)}
+        for w in need:
+            if len(w) > KEPT_LENGTH:
+                del known[w]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -259,7 +278,7 @@ class PieceEncoder:
                 if part in self.special:
                     parts.append(self.special[part])
                 elif part:
-                    parts.append(pieces := self._split(part))
+                    parts.append(pieces := pieces_of(part))
                     wanted.update(pieces)
             plan.append(parts)
         missing = self.pieces.missing(wanted)

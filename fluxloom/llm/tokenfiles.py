@@ -14,12 +14,13 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
-from .bpe import PieceEncoder, byte_alphabet
+from .bpe import KEPT_LENGTH, KEPT_PIECES, KEPT_WORDS, MARKS, PRETOKEN, byte_alphabet, pieces_of
 
 #: Bytes of a flat file that a scan task reads at a time.
 BLOCK_BYTES = 4 << 20
@@ -139,30 +140,90 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 5
 # ---- operator 5 ---------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> PieceEncoder:
-    """Encodes with the tokenizers library; each pre-token goes to its model once while it is remembered.
+class Remembered(dict):
+    """Ids of pieces, made by ``learn`` where they are first met. Two generations bound it: what the older one has moves over when it is used."""
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.learn, self.limit, self.old = learn, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
+        return ids
+
+    def renew(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
 
-    A worker's encoder serves all tasks that the worker runs. Pieces that this library's own
-    pre-tokenizer has to cut go through the whole tokenizer.
+class LibraryEncoder:
+    """Encodes with the tokenizers library; its model gets each word once while the word is remembered.
+
+    A text is cut at single spaces before words, which always start pre-tokens (see ``bpe.pieces_of``),
+    and each piece is looked up. A piece that this library's own pre-tokenizer has to cut goes
+    through the whole tokenizer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    alphabet, tokenize = dict(enumerate(byte_alphabet())), tokenizer.model.tokenize
 
-    def encode(words: list[str]) -> list[bytes]:
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
+        with open(path, encoding="utf-8") as f:
+            self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.pieces, self.words = Remembered(self.learn, KEPT_PIECES), Remembered(self.learn_word, KEPT_WORDS)
+
+    def learn(self, piece: str) -> bytes:
+        """Ids of a piece: a space and what follows it, or, after a NUL, a text's start as it is."""
+        if piece.isalpha():
+            if piece.isascii():
+                return b"".join([self.packed[t.id] for t in self.tokenize(self.alphabet[32] + piece)])
+            return self.learn_word(" " + piece)
+        core, mark = piece[:-1], piece[-1:]
+        if mark in MARKS and core.isalpha():
+            return self.pieces[core] + self.words[mark]
+        text = piece[1:] if piece[:1] == "\0" else " " + piece
+        if not text.isascii() and max(text) > "\u03ff":
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.words[w] for w in PRETOKEN.findall(text)])
+
+    def learn_word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        if word.isascii() and word.isprintable():  # such characters but the space stand for themselves
+            word = word.replace(" ", self.alphabet[32])
+        elif word.isascii() or max(word) <= "\u03ff":
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.packed[t.id] for t in self.tokenize(word)])
+
+    def ids_of(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, pieces_of(text))) if text else b""
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        self.pieces.renew()
+        self.words.renew()
         out = []
-        for w in words:
-            if w.isascii() or max(w) <= "\u03ff":
-                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))]
+        for text in texts:
+            if self.at_special and any(s in text for s in self.special):
+                out.append(b"".join([self.special.get(part) or self.ids_of(part) for part in self.at_special.split(text)]))
             else:
-                ids = tokenizer.encode(w, add_special_tokens=False).ids
-            out.append(array("I", ids).tobytes())
+                out.append(self.ids_of(text))
         return out
 
-    return PieceEncoder(encode, special, whole=True)
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """A worker's encoder, which serves all tasks that the worker runs."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(path)
 
 
 def pack(raw: bytes) -> bytes:
