@@ -1,16 +1,20 @@
 """Operator 6: main text from flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into flat blocks. Each has its number of words and link density,
-those of the blocks before and after it, and where it stands: within an article or main element,
-outside the one that the page has, or within an element that its tag or class names as a menu,
-header, footer, sidebar, notice, advert, form or comments. A decision tree over these numbers,
-grown on a small labelled table of pages, tells main text from the rest.
+A page is cut at block-level tags into flat blocks. Each has its number of words and its link
+density, and those of the blocks before and after it. Its place is further evidence: whether its tag
+is one of running text, whether it stands in an article or main element or outside of the one that
+the page has, and how many of the elements around it are named as a menu, header, footer, sidebar,
+notice, advert, form or comments, surely or perhaps. A decision tree over these numbers, grown on a
+labelled table of pages, tells main text from the rest.
+
+A page is read once, from left to right, and no part of it is looked at again.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,23 +24,27 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Comments, elements whose content is no text, tags, and text.
-SCAN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|head|textarea|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag's attributes and end. A quote counts only as the start of a value.
+QUOTED = re.compile(r"""(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
+#: Elements whose content is no text of the page; the first ones run to the page's end if they are not closed.
+RAW_TAGS = frozenset("script style textarea title".split())
+SKIPPED_TAGS = RAW_TAGS | frozenset("noscript template svg iframe select button".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+PROSE_TAGS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
 #: Elements whose end is tracked; others may stay open.
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split())
 BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav".split())
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names of parts of a page that are no main text; words that say nothing about an element's content; and words that speak of another element.
 HINTS = frozenset("ad ads advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disqus footer form header login masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+NEUTRAL = frozenset("area bar block body box button buttons cell col column container content group holder inner item items left link links list outer panel right row section slot text unit wrap wrapper".split())
+STATES = frozenset("has is no not show with without".split())
+WHOLE_PAGE = frozenset("global main page site top".split())
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.IGNORECASE)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "outside_main", "in_boiler")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "prose", "in_main", "outside_main", "named", "perhaps")
 
 
 @dataclass
@@ -44,72 +52,149 @@ class Block:
     text: str
     words: int
     links: float
+    prose: bool
     in_main: bool
-    in_boiler: bool
+    named: int
+    perhaps: int
+
+
+def names_of(attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element's class, id or role surely, or only perhaps, names a part that is no main text.
+
+    The last word of a name that is not neutral says what an element is; a word before it, or a name
+    about another element, is only a hint. A header of an article is part of it.
+    """
+    sure = perhaps = False
+    if not attributes:
+        return False, False
+    for groups in MARK.findall(attributes):
+        for name in "".join(groups).split():
+            parts = [p.lower() for p in PART.findall(name)]
+            while len(parts) > 1 and parts[-1] in NEUTRAL:
+                parts.pop()
+            if not HINTS.intersection(parts):
+                continue
+            head = parts[-1] in HINTS and parts[0] not in STATES
+            if parts[-1] == "header":
+                head = not in_main and (len(parts) == 1 or parts[0] in WHOLE_PAGE)
+            sure, perhaps = sure or head, perhaps or not head
+    return sure, perhaps and not sure
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(kind, name or text, whether it closes, attributes): kinds are text and tag, in the page's order."""
+    at, size, unclosed, quotes = 0, len(page), set(), True
+    while at < size:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "text", page[at : lt if lt >= 0 else size], False, ""
+            if lt < 0:
+                return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else size
+            continue
+        m = NAME.match(page, lt)
+        if m is None:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                yield "text", "<", False, ""
+                at = lt + 1
+            continue
+        end = QUOTED.match(page, m.end()) if quotes else None
+        if end is not None:
+            at = end.end()
+        else:
+            quotes = False  # a quote stays open to the page's end: from here on every > ends a tag
+            end = page.find(">", m.end())
+            if end < 0:
+                return  # the page ends within a tag
+            at = end + 1
+        name, closes, attributes = m.group(1).lower(), page[lt + 1] == "/", page[m.end() : at - 1]
+        if name in SKIPPED_TAGS and not closes:
+            if name in unclosed or (attributes.endswith("/") and name not in RAW_TAGS):
+                continue
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            if stop is not None:
+                at = page.find(">", stop.end()) + 1 or size
+            elif name in RAW_TAGS:
+                return
+            else:
+                unclosed.add(name)
+            continue
+        yield "tag", name, closes, attributes
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks of a page, in its order."""
     out: list[Block] = []
+    inner: list[int] = []  # for each block, the names within its article alone
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, boiler
-    anchors = 0
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, articles around, sure names, hints, names within the article
+    open_tags: Counter[str] = Counter()
+    anchor, prose = False, False
 
     def flush() -> None:
         words = references.unescape("".join(text)).split()
         if words:
             n = len(references.unescape(" ".join(linked)).split())
-            out.append(Block(" ".join(words), len(words), n / len(words), any(s[1] for s in stack), any(s[2] for s in stack)))
+            _, main, named, perhaps, within = stack[-1]
+            out.append(Block(" ".join(words), len(words), n / len(words), prose, main > 0, named, perhaps))
+            inner.append(within)
         text.clear()
         linked.clear()
 
-    for m in SCAN.finditer(page or ""):
-        tag = m.group(3)
-        if tag is None:
-            piece = m.group(0)
-            if piece[0] != "<" or piece == "<":
-                text.append(piece)
-                if anchors:
-                    linked.append(piece)
-            continue
-        tag, closing = tag.lower(), bool(m.group(2))
-        if tag == "a":
-            anchors = 0 if closing else 1
-            continue
-        if tag == "br":
+    for kind, name, closes, attributes in tokens(page or ""):
+        if kind == "text":
+            text.append(name)
+            if anchor:
+                linked.append(name)
+        elif name == "a":
+            anchor = not closes
+        elif name == "br":
             text.append(" ")
-            continue
-        if tag not in BLOCK_TAGS:
-            continue
-        flush()
-        if tag not in CONTAINERS:
-            continue
-        if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                anchors = 0
-        elif not m.group(4).rstrip().endswith("/"):
-            attributes = m.group(4)
-            marks = {w for g in MARK.findall(attributes) for w in re.split(r"[^a-z]+", "".join(g).lower())}
-            inside = any(s[1] for s in stack)
-            main = tag in ("article", "main") and not (marks & HINTS)
-            boiler = tag in BOILER_TAGS or bool(marks & HINTS) or bool(HIDDEN.search(attributes)) or (tag == "header" and not inside)
-            stack.append((tag, main, boiler and tag not in ("body", "main")))
+        elif name in BLOCK_TAGS:
+            flush()
+            prose = name in PROSE_TAGS and not closes
+            if name not in CONTAINERS:
+                continue
+            if closes:
+                if open_tags[name]:
+                    anchor = False
+                    while True:
+                        last = stack.pop()[0]
+                        open_tags[last] -= 1
+                        if last == name:
+                            break
+            elif not attributes.rstrip().endswith("/"):
+                _, main, named, perhaps, within = stack[-1]
+                sure, hint = names_of(attributes, main > 0)
+                article = name in ("article", "main") and not sure
+                sure = name not in ("body", "main") and (sure or name in BOILER_TAGS or bool(HIDDEN.search(attributes)) or (name == "header" and not main))
+                stack.append((name, main + article, named + sure, perhaps + hint, 0 if article and not main else within + sure))
+                open_tags[name] += 1
     flush()
+    # if names stand around all of a page's articles, they are about the page and not about the article
+    if any(b.in_main for b in out) and not any(b.in_main and not b.named for b in out):
+        for b, within in zip(out, inner, strict=True):
+            if b.in_main:
+                b.named = within
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block of a page."""
     n = len(found)
+    if not n:
+        return np.empty((0, len(FEATURES)))
     words = np.array([0, *(b.words for b in found), 0], float)
     links = np.array([0, *(b.links for b in found), 0], float)
-    main = np.array([b.in_main for b in found], float)
-    boiler = np.array([b.in_boiler for b in found], float)
-    outside = np.full(n, float(main.any())) * (1 - main)
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], main, outside, boiler]) if n else np.empty((0, len(FEATURES)))
+    own = np.array([(b.prose, b.in_main, b.named, b.perhaps) for b in found], float)
+    outside = float(own[:, 1].any()) * (1 - own[:, 1])
+    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], own[:, :2], outside, own[:, 2:]])
 
 
 # ---- the labelled table: pages whose main blocks stand between {{ and }} -------------------------
@@ -123,6 +208,17 @@ LABELLED = (
     "<body><div class='cookie notice'><p>We use cookies to make this site work better for you and for all of our other visitors.</p></div><article><h1>{{A short note}}</h1><p>{{Gone.}}</p></article><div>Our partners also offer boats, tents and bicycles for the whole of the summer, at prices that are well below those of last year, to everyone who books before the end of the month.</div><div>Call us</div></body>",
     "<body><div class=sidebar><p>Weather: rain in the morning, then some sun, and wind from the west later on in the day.</p></div><main><p>{{See <a href=/m>the map of all the walks</a>.}}</p><p>{{The walk starts at the station and follows the stream up to the mill, from where a steep path leads to the ridge.}}</p></main><footer><ul><li><a href=/i>Imprint</a></li></ul></footer></body>",
     "<body><table><tr><td><a href=/1>Archive</a></td><td><a href=/2>Forum</a></td></tr></table><div>{{The archive of the society was begun in the year of its foundation and holds letters, maps and a great many drawings of ruins.}}</div><div>{{Readers are asked to write a week ahead, because most of the boxes are kept in another building at the far end of the town.}}</div><div>Page 3 of 12</div><div><a href=/n>Next</a></div></body>",
+    "<body><p>{{Short text.}}</p><p>{{Another.}}</p></body>",
+    "<body><h1>{{Notice board}}</h1><p>{{The hall is closed.}}</p><ul><li>{{Monday}}</li><li>{{Friday}}</li></ul></body>",
+    "<body><div class=has-sidebar><article><div class=post-header><h1>{{Shares}}</h1><p>{{By a friend}}</p></div><p>{{The day was long.}}</p><div class=share-price><p>{{The share price rose.}}</p></div><div class=related-posts><a href=/1>Prices of last year</a><a href=/2>All prices</a></div></article></div></body>",
+    "<body><article><h2>{{Mills of the valley}}</h2><p>{{There were nine mills on the stream, and six of them still stand. Two can be visited.}}</p><p>{{<a href=/list>A full list of all nine</a>}}</p><p>{{The oldest was built before the town had its walls.}}</p><ul><li>{{<a href=/u>Upper mill</a>: open on Sundays from May to September}}</li><li>{{<a href=/l>Lower mill</a>: closed for repairs until next year}}</li></ul></article></body>",
+    "<body><article><h1>{{Rain}}</h1><p>{{It rained for nine days without a break, and on the tenth the sun came out over the hills and stayed until the evening.}}</p><ul><li><a href=/1>Snow in the hills above the town for the first time in years</a></li><li><a href=/2>Storm takes the roof of the old school</a></li><li><a href=/3>Fog</a></li></ul></article></body>",
+    "<body><article><p>{{Ships went up the river as far as the lock in most years, but never beyond the second bridge, where the water is too low.}}</p><div><a href=/1>Read on about ships</a></div><div><a href=/2>Read on about locks and rivers</a></div></article><p>Tell us what you think about this page, and we shall answer within a few days of your letter.</p></body>",
+    "<body><div><a href=/>Home</a></div><div><a href=/b>All books</a></div><h1>{{A book of birds}}</h1><p>{{<a href=/m>M. Field</a> has drawn every bird of the marsh, and describes where and when each of them can be seen.}}</p><p>{{Very good.}}</p><div class=comments-wrapper><p>I have it on my desk and look at it each day before work.</p></div></body>",
+    "<body><div id=site-header><h1>The Gazette</h1></div><div class=ad-slot><p>Fresh bread every day at the corner shop, now also on Sundays and holidays.</p></div><h2>{{Council meets}}</h2><p>{{The council met on Monday and spoke about the harbour, the school and the price of water for most of the evening.}}</p><p>{{No vote was taken.}}</p><div class=site-footer><p>All rights reserved by the printers and their heirs in this town and everywhere else.</p></div></body>",
+    "<body><main><h1>{{On comments}}</h1><div class=comment-policy><p>{{Our rules for comments are short.}}</p><p>{{Be kind.}}</p></div><div class=comment-list><p>Fine rules, and I hope that all who write here will keep them in mind as well.</p></div><div class=share-buttons>Send it to a friend</div></main></body>",
+    "<body><div><a href=/a>Articles</a> <a href=/b>Authors</a></div><div class=story><div>{{The well was dug by hand in one summer, and it has never run dry since then, not even in the three years without rain.}}</div><div>{{Nobody knows who dug it, but the stones at its rim bear the marks of at least four masons from the hill towns.}}</div></div><div>Sponsored</div><div>Print</div></body>",
+    "<body><section class=newsletter-signup><p>Get our letter once a week, with all the news of the coast and the islands.</p></section><main><p>{{Gulls nest on the roofs.}}</p><p>{{They are loud.}}</p></main><section><p>More than a hundred thousand readers trust us every day with their questions about birds.</p></section></body>",
 )
 
 
@@ -130,18 +226,18 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for page in LABELLED:
         found = blocks(page)
-        rows.append(features([Block(b.text, b.words, b.links, b.in_main, b.in_boiler) for b in found]))
+        rows.append(features(found))
         labels.extend("{{" in b.text for b in found)
     return np.concatenate(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> dict | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> dict | bool:
     """A binary decision tree by Gini impurity: a leaf is a bool, an inner node has feature, cut, low and high."""
     if depth == 0 or y.all() or not y.any():
         return bool(2 * y.sum() > len(y))
     best = None
-    # where splits are equally good, where a block stands comes before how long it is
-    for f in [FEATURES.index(c) for c in ("in_boiler", "outside_main", "in_main", "links", "words", "links_before", "links_after", "words_before", "words_after")]:
+    # of equally good splits, the first: link densities come before places, and both before lengths
+    for f in [FEATURES.index(c) for c in ("links", "links_before", "links_after", "named", "outside_main", "in_main", "perhaps", "prose", "words", "words_before", "words_after")]:
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= cut
