@@ -128,15 +128,15 @@ class Bytes:
         return self.size
 
 
-def parse(plain: bytes) -> tuple[dict, int]:
-    """Header fields and payload checks of a record at the start of ``plain``, and the record's length."""
-    if not plain.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+def parse(plain: bytes, at: int = 0) -> tuple[dict, int]:
+    """Header fields and payload checks of the record at a place of ``plain``, and the place after it."""
+    if not plain.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise ValueError("no version line")
-    end = plain.find(b"\r\n\r\n")
+    end = plain.find(b"\r\n\r\n", at)
     if end < 0:
         raise ValueError("header without end")
     fields: dict[str, str] = {}
-    for line in plain[:end].split(b"\r\n")[1:]:
+    for line in plain[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without colon")
@@ -191,8 +191,36 @@ def plain_record(data: Bytes, at: int) -> tuple[dict, int]:
             n *= 4
 
 
+def content(plain: bytes) -> list[dict]:
+    """Records and gaps of a member's content, in order; a gap's bytes are those of the content. Not one record: an error."""
+    found: list[dict] = []
+    at, bad, reason, first = 0, None, "", ""
+    while at < len(plain):
+        try:
+            record, after = parse(plain, at)
+        except ValueError as e:
+            if bad is None:
+                bad, reason, first = at, str(e), first or str(e)
+            at = plain.find(b"WARC/1.", at + 1)
+            at = at if at >= 0 else len(plain)
+            continue
+        if bad is not None:
+            found.append({"gap_bytes": at - bad, "reason": f"{reason}, at byte {bad} of a member's content"})
+            bad = None
+        found.append(record)
+        at = after
+    if bad is not None:
+        found.append({"gap_bytes": len(plain) - bad, "reason": f"{reason}, at byte {bad} of a member's content"})
+    if not any("page_id" in r for r in found):
+        raise ValueError(first or "empty member")
+    return found
+
+
 def salvage(f) -> Iterator[dict]:
-    """Records and gaps of one archive, in order: a gap has gap_start, gap_bytes and reason."""
+    """Records and gaps of one archive, in order: a gap has gap_start, gap_bytes and reason.
+
+    A gzip member may hold any number of records. Damage within its content is a gap at the member's place.
+    """
     data = Bytes(f)
     packed = data.at(0, 3) == GZIP or (data.find(GZIP, 0) < data.find(b"WARC/1.", 0))
     mark = GZIP if packed else b"WARC/1."
@@ -203,9 +231,10 @@ def salvage(f) -> Iterator[dict]:
                 raise ValueError("no record starts here")
             if packed:
                 plain, after = member(data, at)
-                found, _ = parse(plain)
+                found = content(plain)
             else:
-                found, after = plain_record(data, at)
+                one, after = plain_record(data, at)
+                found = [one]
         except (ValueError, zlib.error) as e:
             if bad is None:
                 bad, reason = at, str(e)
@@ -214,7 +243,8 @@ def salvage(f) -> Iterator[dict]:
         if bad is not None:
             yield {"gap_start": bad, "gap_bytes": at - bad, "reason": reason}
             bad = None
-        yield found | {"offset": at}
+        for one in found:
+            yield one | ({"gap_start": at} if "reason" in one else {"offset": at})
         at = after
     if bad is not None:
         yield {"gap_start": bad, "gap_bytes": data.size - bad, "reason": reason}
@@ -253,8 +283,14 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     A null html is an empty payload. Equal payloads of at least ``least_bytes`` bytes: the largest
     page_id is the response and smaller ones revisit it; rows that share the largest id are all
     responses, and rows that share an id refer to the largest of their responses. A null page_id is
-    a response. Other columns are ignored; an empty table gives an empty one.
+    a response. Other columns are ignored; an empty table gives an empty one. An archive that does
+    not give back all its records raises an error that names it and its first gap.
     """
     folder = common.shared_dir(pages.sparkSession)
     files = common.stored(write(with_roles(pages, folder, least_bytes), f"{folder}/warc"), folder, "files")
-    return read(files, f"{folder}/warc").where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = common.stored(read(files, f"{folder}/warc"), folder, "read")
+    counted = found.groupBy("file").agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("n"), F.min(F.struct("gap_start", "gap_bytes", "reason")).alias("gap"), F.count("reason").alias("gaps"))
+    lost = files.join(counted, "file", "left").where("gaps > 0 or n is null or n <> n_records").select("file", "gap").head(1)
+    if lost:
+        raise ValueError(f"archive {lost[0]['file']} does not give back its records: {lost[0]['gap']}")
+    return found.where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
