@@ -4,10 +4,14 @@ A turn is written ``<turn>role\ntext</turn>\n``. Texts and roles are escaped so
 marks never occur in them: ``\`` becomes ``\b`` and ``<`` becomes ``\l`` (and a role's line feed
 ``\n``), which the reader undoes.
 
-Prefix sums of turn tokens cut a conversation into spans. A turn's place on the axis of tokens
-gives its span, of half the room each; a turn of over half the room is a span of its own. So a
-span fits the room, whatever the turns, and every turn is a target in exactly one window. Only a
-turn that is itself too long makes a window that exceeds the budget; it is kept whole and flagged.
+A conversation that fits the budget is one window. Prefix sums of turn tokens cut others into
+spans: the axis of tokens is cut into slots of the room's size, and the turns within a slot are a
+span. A turn across a boundary joins the turns after it if they fit the room together, else those
+before it, else it is a span of its own. So a span fits the room, whatever the turns, and every turn
+is a target in exactly one window. Only a turn that is itself too long makes a window that exceeds
+the budget; it is kept whole and flagged. Each decision looks at neighbours only, so a conversation
+of any length streams through.
+
 A window repeats the leading system turn and a limited history before its span. Repeated turns are
 never under the loss mask.
 """
@@ -57,14 +61,32 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTOR
         F.row_number().over(order).cast("long").alias("pos"),
         F.first(F.when(F.col("role") == "system", F.struct("text", "t"))).over(so_far).alias("system"),
     ).withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
-    room = F.greatest(F.lit(2), budget - history_tokens - F.coalesce(F.col("system.t"), F.lit(0)))
-    placed = placed.withColumn("half", F.floor(room / 2)).withColumn("long", F.col("t") > F.col("half"))
-    # on the axis only short turns have a width; a long one, and what follows it, starts a new span
-    placed = placed.withColumn("end", F.sum(F.when(~F.col("long") & ~F.col("is_system"), F.col("t")).otherwise(0)).over(so_far))
-    slot = F.floor(F.when(F.col("long"), F.col("end")).otherwise(F.col("end") - 1) / F.col("half"))
-    placed = placed.withColumn("slot", slot)
-    before = F.lag(F.struct("slot", "long")).over(order)
-    placed = placed.withColumn("starts", F.coalesce((before["slot"] != F.col("slot")) | before["long"] | F.col("long"), F.lit(True)) & (F.lag("is_system").over(order).isNull() | ~F.lag("is_system").over(order)))
+    whole = Window.partitionBy("conv_id")
+    system_t = F.coalesce(F.max("system.t").over(whole), F.lit(0))
+    fits = F.sum("t").over(whole) <= budget
+    placed = placed.withColumn("room", F.when(fits, budget).otherwise(F.greatest(F.lit(2), budget - history_tokens - system_t)))
+    # on the axis only turns that fit have a width; a longer one is a span of its own
+    long = F.col("t") > F.col("room")
+    width = F.when(~long & ~F.col("is_system"), F.col("t")).otherwise(0)
+    placed = placed.withColumn("long", long).withColumn("width", width).withColumn("end", F.sum("width").over(so_far))
+    first, last = (F.floor((F.greatest(F.lit(0), at) / F.col("room"))) for at in (F.col("end") - F.col("width"), F.col("end") - 1))
+    before = lambda c: F.lag(c).over(order)
+    placed = placed.withColumn("slot", last).withColumn("across", ~F.col("long") & (first != last) & (F.col("width") > 0))
+    cut = F.col("across") | F.col("long") | F.coalesce(before("long"), F.lit(True)) | (before("slot") != F.col("slot"))
+    placed = placed.withColumn("cut", cut).withColumn("stretch", F.sum(F.col("cut").cast("long")).over(so_far))
+    # a stretch is the turns within a slot, and before them the turn that lies across its first boundary, if there is one
+    stretch = Window.partitionBy("conv_id", "stretch")
+    inside = F.sum(F.when(~F.col("across"), F.col("width")).otherwise(0)).over(stretch)
+    crossing = F.max(F.when(F.col("across"), F.col("width")).otherwise(0)).over(stretch)
+    placed = placed.withColumn("inside", inside).withColumn("crossing", crossing).withColumn("joins", F.col("inside") + F.col("crossing") <= F.col("room"))
+    # that turn joins what follows if both fit, else what is before it, else it is a span of its own
+    order = Window.partitionBy("conv_id").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    size_before = F.lag(F.col("inside") + F.when(F.col("joins"), F.col("crossing")).otherwise(0)).over(order)
+    joins_back = ~F.col("joins") & ~F.coalesce(F.lag("long").over(order), F.lit(True)) & (size_before + F.col("crossing") <= F.col("room"))
+    leaves = F.coalesce(F.lag("across").over(order) & ~F.lag("joins").over(order), F.lit(False)) & ~F.col("across")
+    starts = F.when(F.col("across"), ~joins_back).otherwise(F.col("cut") | leaves)
+    placed = placed.withColumn("starts", (F.col("pos") == 1) | (starts & ~F.coalesce(F.lag("is_system").over(order), F.lit(False))))
     placed = placed.withColumn("window", F.sum(F.col("starts").cast("long")).over(so_far) - 1)
     # a turn is repeated in the windows that start one or a few turns later, while the tokens between fit
     copies = [F.struct(F.col("window").alias("window"), F.lit(False).alias("repeated"))]
