@@ -15,7 +15,6 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +26,9 @@ LOWEST, HIGHEST = 110.0, 1900.0
 #: Frames that the widest filter spans.
 SPAN = 24
 #: Votes of an offset, and the most differing bits, for two recordings to match.
-VOTES, BIT_ERRORS = 3, 0.2
-#: Queries whose places of a code are listed together.
-QUERY_BLOCK = 4096
+VOTES, BIT_ERRORS = 1, 0.2
+#: Queries whose places of a code are listed together, and votes that a task counts at once.
+QUERY_BLOCK, VOTES_AT_ONCE = 4096, 1 << 18
 
 
 def samples(media: bytes | None) -> tuple[np.ndarray, int]:
@@ -51,13 +50,16 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
         return np.empty((0, 12))
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     use = np.flatnonzero((hz >= LOWEST) & (hz <= HIGHEST))
-    fold = np.zeros((len(use), 12))
-    fold[np.arange(len(use)), np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12] = 1
+    pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
+    use = use[np.argsort(pitch, kind="stable")]  # bins of a pitch class side by side, so that sums need no matrix product
+    present, starts = np.unique(np.sort(pitch), return_index=True)
     window, out = np.hanning(FRAME), []
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for lo in range(0, n, 2048):
-        power = np.abs(np.fft.rfft(frames[lo : lo + 2048] * window, axis=1)[:, use]) ** 2
-        energy = power @ fold
+        spectrum = np.fft.rfft(frames[lo : lo + 2048] * window, axis=1)[:, use]
+        power = spectrum.real**2 + spectrum.imag**2
+        energy = np.zeros((len(power), 12))
+        energy[:, present] = np.add.reduceat(power, starts, axis=1)
         size = np.linalg.norm(energy, axis=1, keepdims=True)
         out.append(np.divide(energy, size, out=np.zeros_like(energy), where=size > 1e-9))
     return np.concatenate(out)
@@ -132,29 +134,56 @@ def places_of(prints: DataFrame) -> DataFrame:
     return common.map_batches(prints, run, "id long, code long, pos long")
 
 
+def best_offsets(found: np.ndarray, votes: int) -> np.ndarray:
+    """Of rows (id, query, offset), one for each vote: (id, query, offset, votes) at the offset with most votes, the least of equal ones."""
+    if not len(found):
+        return np.empty((0, 4), np.int64)
+    rows = found[np.lexsort(found.T[::-1])]
+    first = np.flatnonzero(np.r_[True, np.any(rows[1:] != rows[:-1], axis=1)])
+    n = np.diff(np.r_[first, len(rows)])
+    counted = np.column_stack([rows[first], n])[n >= votes]
+    counted = counted[np.lexsort((counted[:, 2], -counted[:, 3], counted[:, 1], counted[:, 0]))]
+    return counted[np.r_[True, np.any(counted[1:, :2] != counted[:-1, :2], axis=1)]] if len(counted) else counted
+
+
 def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, most: float = BIT_ERRORS) -> DataFrame:
     """(id, query, offset, votes, bit_error_rate, overlap) of recordings that match a query at its best offset.
 
     ``prints`` and ``queries``: (id, codes). The places of a code in the queries are listed in
     blocks of QUERY_BLOCK queries, so a recording's code meets lists and not each place: rows
-    grow with the recordings, and a common code makes longer lists in place of more rows. A
-    recording's lists then meet in one task, which counts votes by query and offset.
+    grow with the recordings, and a common code makes longer lists in place of more rows. The
+    lists of a recording and a block meet in one task, which counts votes by query and offset.
     """
     spots = places_of(queries).groupBy("code", F.floor(F.col("id") / QUERY_BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "pos")).alias("spots"))
-    met = places_of(prints).join(spots, "code").select("id", "pos", F.col("spots.id").alias("query"), F.col("spots.pos").alias("at"))
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows["query"].map(len)
-        query, at = np.concatenate(rows["query"].to_list()), np.concatenate(rows["at"].to_list())
-        offset = at - np.repeat(rows["pos"].to_numpy(), sizes)
-        both, n = np.unique(np.column_stack([query, offset]), axis=0, return_counts=True)
-        best = pd.DataFrame({"id": rows["id"].iloc[0], "query": both[:, 0], "offset": both[:, 1], "votes": n})
-        best = best[best["votes"] >= votes].sort_values(["query", "votes", "offset"], ascending=[True, False, True])
-        return best.drop_duplicates("query")
-
-    # a fixed number of tasks: the rows are short, but each group costs time in Python
-    dealt = met.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    best = dealt.groupBy("id").applyInPandas(count, "id long, query long, offset long, votes long").where("id != query")
+    met = places_of(prints).join(spots, "code").select("id", "block", "pos", F.col("spots.id").alias("query"), F.col("spots.pos").alias("at"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def closed() -> pa.RecordBatch:
+            best = best_offsets(np.concatenate(held), votes) if held else np.empty((0, 4), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(best[:, c]) for c in range(4)], names=["id", "query", "offset", "votes"])
+
+        for batch in batches:
+            ids, blocks, pos = (batch.column(c).to_numpy() for c in range(3))
+            sizes = batch.column(3).value_lengths().to_numpy()
+            query, at = (batch.column(c).flatten().to_numpy() for c in (3, 4))
+            rows = np.column_stack([np.repeat(ids, sizes), query, at - np.repeat(pos, sizes)])
+            cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])]) if len(ids) else np.empty(0, np.int64)
+            ends = np.r_[0, np.cumsum(sizes)]
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(ids)]):
+                if (ids[lo], blocks[lo]) != key:
+                    if sum(map(len, held)) > VOTES_AT_ONCE:
+                        yield closed()
+                        held.clear()
+                    key = (ids[lo], blocks[lo])
+                held.append(rows[ends[lo] : ends[hi]])
+        yield closed()
+
+    # a given number of tasks: the rows are short, but lists are long work in Python
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(tasks, "id", "block").sortWithinPartitions("id", "block")
+    best = dealt.mapInArrow(count, "id long, query long, offset long, votes long").where("id != query")
     both = best.join(prints.withColumnRenamed("codes", "b"), "id").join(queries.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
