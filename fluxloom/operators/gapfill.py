@@ -20,6 +20,8 @@ from .clean import CANONICAL_ERA5, col
 NOT_FEATURES = ("datetime", "LE", "NEE", "H", "SHF", "u*")
 NOT_NEGATIVE = ("SWC", "SWIN", "PPFD", "RH", "VPD", "Rn", "Rg", "pr")
 METHODS = {"XGboost": "XGB", "XGB": "XGB", "XGb": "XGB", "RandomForest": "RF", "RF": "RF", "Adaboost": "Ada", "Ada": "Ada", "NeuralNetwork": "ANN", "ANN": "ANN"}
+#: A network's fit ends when its loss has not fallen by TOLERANCE for PATIENCE epochs.
+TOLERANCE, PATIENCE = 1e-4, 10
 #: Rounds of AdaBoost between two stored tables of weights.
 STORE_ROUNDS = 10
 
@@ -179,24 +181,28 @@ def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
     apart = lambda p: [a.reshape(s) for a, s in zip(np.split(p, cuts[:-1]), shapes, strict=True)]
     rng = np.random.default_rng(0)
     p = np.concatenate([rng.normal(0, np.sqrt(2 / d), d * hidden), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), hidden), np.zeros(1)])
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    m, v, best, since = np.zeros_like(p), np.zeros_like(p), np.inf, 0
     for k in range(1, epochs + 1 if n else 1):
 
         def gradients(parts: Iterator[pd.DataFrame], p: np.ndarray = p) -> Iterator[pd.DataFrame]:
             w1, b1, w2, b2 = apart(p)
-            total = np.zeros_like(p)
+            total = np.zeros(len(p) + 1)
             for part in parts:
                 x = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1]
                 h = np.maximum(x @ w1 + b1, 0)
                 e = h @ w2 + b2 - (part["__y"].to_numpy() - mean[-1]) / scale[-1]
                 back = np.outer(e, w2) * (h > 0)
-                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), h.T @ e, [e.sum()]])
-            yield pd.DataFrame({"at": np.arange(len(p)), "g": total})
+                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), h.T @ e, [e.sum(), (e**2).sum()]])
+            yield pd.DataFrame({"at": np.arange(len(total)), "g": total})
 
-        g = np.zeros_like(p)
+        g = np.zeros(len(p) + 1)
         for r in train.mapInPandas(gradients, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect():  # one row for each weight
             g[r["at"]] = r["g"] / n
-        g += ridge * p / n
+        since = 0 if g[-1] < best - TOLERANCE else since + 1
+        best = min(best, g[-1])
+        if since >= PATIENCE:
+            break
+        g = g[:-1] + ridge * p / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
         p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     train.unpersist()
