@@ -25,6 +25,7 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("u"), "m").where("u != m")
         now = common.stored(small.union(least.select("hi", "m")).distinct().toDF("hi", "lo"), folder, f"links-{k}")
+        common.discard(folder, f"links-{k - 1}")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             break

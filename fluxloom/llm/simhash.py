@@ -14,10 +14,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, similar
@@ -66,23 +65,46 @@ def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str
     return common.map_batches(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, fp long")
 
 
+def shingle_set(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """A digest of a set of shingle hashes, and the set as sorted 32-bit numbers."""
+    distinct = np.unique(h)
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63), np.unique(distinct.astype(np.uint32)).view(np.int32)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """What a row is known by from one pass over the texts to the next."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, digest, n, bands, shingles): fingerprint, and the set of shingles with its digest, size and band keys."""
+    """(key, doc_id, fp, digest, n, bands): fingerprint, and the digest, size and band keys of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in common.column(batch, "text"):
                 h = hashes(t, words)
-                distinct = np.unique(h)
-                shingles = np.unique(distinct.astype(np.uint32)).view(np.int32)
-                digest = xxhash.xxh64_intdigest(distinct.tobytes(), 42) - (1 << 63)
-                rows.append((np.array(majority(h), np.uint64).view(np.int64), digest, len(shingles), similar.bands(distinct), shingles))
-            fp, digest, n, keys, sets = zip(*rows) if rows else ((),) * 5
-            arrays = [pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "fp", "digest", "n", "bands", "shingles"])
+                digest, shingles = shingle_set(h)
+                rows.append((np.array(majority(h), np.uint64).view(np.int64), digest, len(shingles), similar.bands(np.unique(h))))
+            fp, digest, n, keys = zip(*rows) if rows else ((),) * 4
+            arrays = [pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "doc_id", "fp", "digest", "n", "bands"])
+
+    rows = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return common.map_batches(rows, run, "key long, doc_id long, fp long, digest long, n int, bands array<long>")
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long, digest long, n int, bands array<long>, shingles array<int>")
+
+def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(digest, shingles) of the rows whose key is in ``keys``, and of a few others, from their whole texts."""
+    held = common.key_filter(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sets = zip(*[shingle_set(hashes(t, words)) for t in common.column(batch, "text")]) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["digest", "shingles"])
+
+    rows = docs.where(docs["doc_id"].isNotNull() & held(row_key(docs))).select(docs["text"].alias("text"))
+    return common.map_batches(rows, run, "digest long, shingles array<int>")
 
 
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -134,8 +156,7 @@ def forest(ids: np.ndarray, fps: np.ndarray, segments: int, differ: int) -> list
     out = []
     for k in range(len(ids) - 1):
         diff = fps[k + 1 :] ^ fps[k]
-        near = np.flatnonzero(np.bitwise_count(diff) <= differ + 8)  # a cheap bound first
-        near = near[chain_passes(diff[near], segments, differ)] if len(near) else near
+        near = np.flatnonzero(chain_passes(diff, segments, differ))
         for other in near[np.bitwise_count(diff[near]) <= differ]:
             a, b = root(k), root(int(other) + k + 1)
             if a != b:
@@ -152,6 +173,7 @@ def links(nodes: DataFrame, folder: str, differ: int = 4, segments: int = SEGMEN
     route: two fingerprints differ in at most 2r bits exactly if some third one is within r bits
     of both, so each is listed under all points of its ball and ties to the smallest there. That
     is linear in the rows, whatever a bucket's size. No bucket is ever held whole or dropped.
+    An empty table gives no link.
     """
     if differ % 2 or differ >= segments:
         raise ValueError("differ must be even and below the number of segments")
@@ -162,40 +184,48 @@ def links(nodes: DataFrame, folder: str, differ: int = 4, segments: int = SEGMEN
         keys.append(F.struct(F.lit(k).alias("chain"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("bits")))
     spread = nodes.select("id", "fp", F.explode(F.array(*keys)).alias("key")).select("key.chain", "key.bits", "id", "fp")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size, now, hot = 0, None, False
-        for rows in batches:
-            cols = rows[["chain", "bits", "id", "fp"]].to_numpy(np.int64)
-            cut = np.flatnonzero(np.any(cols[1:, :2] != cols[:-1, :2], axis=1)) + 1
-            out: list[np.ndarray] = []
-            for part in np.split(cols, cut):
-                if not len(part):
-                    continue
-                if now is None or tuple(part[0, :2]) != now:
-                    out.append(close(held, hot))
-                    held, size, now, hot = [], 0, tuple(part[0, :2]), False
-                size += len(part)
-                if hot or size > bucket:
-                    hot = True
-                    out.extend(np.column_stack([x[:, 2], x[:, 3], np.ones(len(x), np.int64)]) for x in [*held, part])
-                    held = []
-                else:
-                    held.append(part)
-            yield frame(out)
-        yield frame([close(held, hot)])
-
-    def close(held: list[np.ndarray], hot: bool) -> np.ndarray:
-        rows = np.concatenate(held) if held else np.empty((0, 4), np.int64)
-        found = [] if hot or len(rows) < 2 else forest(rows[:, 2], rows[:, 3].view(np.uint64), segments, differ)
-        return np.array([(a, b, 0) for a, b in found], np.int64).reshape(-1, 3)
-
-    def frame(parts: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame(np.concatenate([np.empty((0, 3), np.int64), *parts]), columns=["a", "b", "hot"])
-
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    sorted_rows = spread.repartition("chain", "bits").sortWithinPartitions("chain", "bits", "id")
-    met = common.stored(sorted_rows.mapInPandas(run, "a long, b long, hot long"), folder, "met")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot = np.empty((0, 4), np.int64), None  # rows of the bucket that may go on, and its key if it is known to be large
+        for batch in batches:
+            rows = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns])])
+            if not len(rows):
+                continue
+            cut = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
+            last = int(cut[-1]) if len(cut) else 0
+            found, open_key = [], tuple(rows[last, :2])
+            if last:
+                found.append(closed(rows[:last], np.concatenate([[0], cut]), hot))
+                hot = None if hot != open_key else hot
+            rest = rows[last:]
+            if hot == open_key or len(rest) > bucket:
+                hot = open_key
+                found.append(np.column_stack([rest[:, 2:], np.ones(len(rest), np.int64)]))
+                rest = rest[:0]
+            yield frame(found)
+        yield frame([closed(rest, np.array([0, len(rest)]), hot)] if len(rest) else [])
+
+    def closed(rows: np.ndarray, cuts: np.ndarray, hot) -> np.ndarray:
+        """(a, b, 0) for the links of whole buckets, which start at ``cuts``, and (id, fp, 1) for the members of large ones."""
+        fps, sizes, out = rows[:, 3].view(np.uint64), np.diff(cuts), []
+        two = cuts[:-1][sizes == 2]
+        diff = fps[two] ^ fps[two + 1]
+        two = two[chain_passes(diff, segments, differ)]
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= differ]
+        out.append(np.column_stack([rows[two, 2], rows[two + 1, 2], np.zeros(len(two), np.int64)]))
+        for k in np.flatnonzero((sizes > 2) | (np.arange(len(sizes)) == 0)):
+            part = rows[cuts[k] : cuts[k + 1]]
+            if len(part) > bucket or tuple(part[0, :2]) == hot:
+                out.append(np.column_stack([part[:, 2:], np.ones(len(part), np.int64)]))
+            elif len(part) > 2:
+                out.append(np.array([(a, b, 0) for a, b in forest(part[:, 2], part[:, 3].view(np.uint64), segments, differ)], np.int64).reshape(-1, 3))
+        return np.concatenate(out)
+
+    def frame(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate([np.empty((0, 3), np.int64), *parts])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(3)], names=["a", "b", "hot"])
+
+    sorted_rows = spread.repartition("chain", "bits").sortWithinPartitions("chain", "bits", "id").select(F.col("chain").cast("long").alias("chain"), "bits", "id", "fp")
+    met = common.stored(sorted_rows.mapInArrow(run, "a long, b long, hot long"), folder, "met")
     crowd = met.where("hot = 1").select(F.col("a").alias("id"), F.col("b").alias("fp")).distinct()
     flips = [sum(1 << k for k in chosen) for r in range(differ // 2 + 1) for chosen in combinations(range(BITS), r)]
     flips = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips]) if crowd.head(1) else F.array(F.lit(0).cast("long"))
@@ -205,23 +235,36 @@ def links(nodes: DataFrame, folder: str, differ: int = 4, segments: int = SEGMEN
     return met.where("hot = 0").select("a", "b").union(stars)
 
 
+def labels(prints: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint of ``prints`` (doc_id, fp); ``edges`` (a, b) link fingerprints.
+
+    component is the least fingerprint reachable and component_id the smallest doc_id that has one of them.
+    """
+    found = common.stored(components(edges, folder).withColumnRenamed("node", "fp"), folder, "found")
+    each = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), folder, "each")
+    linked = each.join(found, "fp")
+    least = common.stored(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "least")
+    alone = each.join(found, "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("doc_id").alias("component_id"))
+    return common.stored(linked.join(least, "component").select("fp", "component", "component_id").union(alone), folder, "labels")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, differ: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: SimHash classes linked at ``differ`` bits or fewer.
 
     component_id is the smallest doc_id reachable by links. Null and empty texts have fingerprint
     zero and link like any other; fewer than ``words`` words count as one shingle; repeated rows
-    stay repeated; a null doc_id is kept and never is a component's id unless all are null; other
-    columns are ignored; an empty table gives an empty one.
+    stay repeated; rows that share a doc_id are told apart by their fingerprints; a row with a null
+    doc_id is kept and links, but is no component's id unless all are null; other columns are
+    ignored; an empty table gives an empty one.
 
-    Equal fingerprints are folded into their smallest doc_id first, so groups of copies, whatever
-    their size, enter the search as one row and no pair of copies is made.
+    Equal fingerprints are one node of the search, so groups of copies, whatever their size, enter
+    it as one row and no pair of copies is made.
     """
     folder = common.shared_dir(docs.sparkSession)
     prints = common.stored(fingerprints(docs, words, doc_id, text), folder, "prints")
-    nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), folder, "nodes")
-    found = components(links(nodes, folder, differ), folder)
-    label = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = prints.select("fp").distinct().select(F.col("fp").alias("id"), "fp")
+    label = labels(prints, links(nodes, folder, differ), folder)
+    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -230,41 +273,64 @@ def similar_or_near(docs: DataFrame, words: int = 5, differ: int = 4, similarity
     Edge cases are those of ``near_duplicates``, but rows without a doc_id are in no class. Texts with the same set of shingles enter the
     search for similar sets as one row, those with the same fingerprint the search by bits.
     """
-    return classes(docs, words, differ, similarity).select("doc_id", "component_id")
+    folder = common.shared_dir(docs.sparkSession)
+    made, label = classes(docs, words, differ, similarity, folder)
+    known = made.where("doc_id is not null").select("doc_id", "fp").join(label, "fp").select("doc_id", "component_id")
+    return known.union(made.where("doc_id is null").select("doc_id", F.lit(None).cast("long")))
 
 
-def classes(docs: DataFrame, words: int, differ: int, similarity: float) -> DataFrame:
-    """``similar_or_near`` with the columns fp and component: two classes may share a component_id where doc_id repeats, but no component."""
-    folder = common.shared_dir(docs.sparkSession)
-    made = common.stored(sketches(docs, words).withColumn("id", F.monotonically_increasing_id()), folder, "sketches")
+def classes(docs: DataFrame, words: int, differ: int, similarity: float, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, doc_id, fp, ...) of ``docs``, and the ``labels`` of the fingerprints of those with a doc_id.
+
+    Texts are read twice and never shuffled: once for sketches, and once for the sets of shingles of those that share a band.
+    """
+    made = common.stored(sketches(docs, words), folder, "sketches")
     known = made.where("doc_id is not null")
-    nodes = common.stored(known.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id")), folder, "nodes")
-    kinds = common.stored(known.where("n > 0").groupBy("digest", "fp").agg(F.min("id").alias("least")), folder, "kinds")
-    firsts = kinds.groupBy("digest").agg(F.min("least").alias("id"))
-    chosen = known.select("id", "n", "bands").join(firsts, "id").select("id", "n", "bands")
-    same = kinds.join(nodes, "fp").join(firsts.withColumnRenamed("id", "first"), "digest").select(F.col("id").alias("a"), F.col("first").alias("b")).where("a != b")
-    alike = similar.links(chosen, known.select("id", "shingles"), folder, similarity)
-    edges = common.stored(links(nodes.select("id", "fp"), folder, differ).union(alike).union(same), folder, "edges")
-    found = components(edges, folder)
-    label = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "id").alias("component"))
-    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = common.stored(label.join(least, "component").select("fp", "component", "component_id"), folder, "labels")
-    return made.select("doc_id", "fp").join(label, "fp", "left").select("doc_id", "fp", "component", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_bits = links(known.select("fp").distinct().select(F.col("fp").alias("id"), "fp"), folder, differ)
+    # texts with one set of shingles, but other numbers of each
+    mixed = common.stored(known.groupBy("digest").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high"), folder, "mixed")
+    same = known.where(common.key_filter(mixed.select("digest"))(F.col("digest"))).select("digest", "fp").distinct().join(mixed, "digest").where("fp != low").select("low", "fp")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        firsts = known.where(common.key_filter(ids)(F.col("digest"))).groupBy("digest").agg(F.min("key").alias("key"))
+        firsts = common.stored(firsts.join(ids, firsts["digest"] == ids["id"], "left_semi"), folder, "firsts")
+        sets = sets_of(docs, firsts.select("key"), words).join(firsts, "digest", "left_semi")
+        return sets.select(F.col("digest").alias("id"), "shingles").dropDuplicates(["id"])
+
+    rows = known.select(F.col("digest").alias("id"), "n", "bands")
+    alike = common.stored(similar.links(rows, fetch, folder, similarity), folder, "alike")
+    ends = alike.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    fps = known.where(common.key_filter(ends)(F.col("digest"))).groupBy("digest").agg(F.min("fp").alias("fp")).join(ends, "digest", "left_semi")
+    fps = common.stored(fps, folder, "ends")
+    alike = alike.join(fps.toDF("a", "of_a"), "a").join(fps.toDF("b", "of_b"), "b").select("of_a", "of_b")
+    edges = common.stored(by_bits.union(alike).union(same), folder, "edges")
+    return made, labels(known, edges, folder)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 4, similarity: float = 0.8) -> DataFrame:
-    """The documents whose doc_id is their class's smallest: one of each group of near-duplicates.
+    """One row of each class of near-duplicates: that with the smallest doc_id, with its columns.
+
+    Classes are of texts, so unlike texts under one doc_id are judged apart; of a class's rows that
+    share its smallest doc_id one stays, and repeated rows come out once. Rows without a doc_id are
+    kept. Null and empty texts are alike and one of them stays. Any other columns are returned as
+    they are; an empty table gives an empty one.
 
-    Rows of a class that repeat a doc_id come out once, rows of different classes all. Rows without a doc_id are kept.
+    Only rows that may go (and a few more, see ``common.key_filter``) meet the list of those that do.
     """
     folder = common.shared_dir(docs.sparkSession)
-    least = common.stored(classes(docs, words, differ, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("__id"), "fp", "component"), folder, "least")
-    kept = common.stored(least.groupBy("__id").agg(F.count("*").alias("__n")), folder, "kept")
-    once = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    if kept.where("__n > 1").head(1):
-        print_of = F.pandas_udf(lambda texts: pd.Series([np.uint64(fingerprint(t, words)).astype(np.int64) for t in texts], dtype="int64"), "long")
-        repeated = once.where("__n > 1").withColumn("__fp", print_of("text")).drop("__n", "__id")
-        found = least.select(F.col("__id"), F.col("fp").alias("__fp"), F.col("component").alias("__class")).distinct()
-        repeated = repeated.join(found, (F.col("doc_id") == F.col("__id")) & (repeated["__fp"] == found["__fp"])).dropDuplicates(["doc_id", "__class"])
-        once = once.where("__n = 1").select(docs.columns).union(repeated.select(docs.columns))
-    return once.select(docs.columns).union(docs.where("doc_id is null"))
+    made, label = classes(docs, words, differ, similarity, folder)
+    placed = made.where("doc_id is not null").select("key", "doc_id", "fp").join(label, "fp").select("key", "doc_id", "component", "component_id")
+    placed = common.stored(placed, folder, "placed")
+    heads = common.stored(placed.where("doc_id = component_id").groupBy("component").agg(F.min("key").alias("head")), folder, "heads")
+    drop = placed.join(heads, "component").where("key != head").select("key", "doc_id", F.lit(False).alias("stays"))
+    again = placed.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1").join(heads, F.col("key") == F.col("head"), "left_semi").select("key", "doc_id", F.lit(True).alias("stays"))
+    acts = common.stored(drop.distinct().union(again), folder, "acts")
+    held = common.key_filter(acts.select("key"))(row_key(docs)) & docs["doc_id"].isNotNull()
+    some = docs.where(held)
+    key, stays = common.fresh("key"), common.fresh("stays")
+    acts = acts.select(F.col("key").alias(key), F.col("doc_id").alias(f"{key}_id"), F.col("stays").alias(stays))
+    judged = some.withColumn(key, row_key(docs)).join(acts.withColumnRenamed(key, f"{key}_act"), (F.col(key) == F.col(f"{key}_act")) & (some["doc_id"] == F.col(f"{key}_id")), "left")
+    kept = judged.where(F.col(stays).isNull()).select(*[some[c] for c in docs.columns])
+    if acts.where(F.col(stays)).head(1):
+        kept = kept.union(judged.where(F.col(stays)).dropDuplicates([key, f"{key}_id"]).select(*[some[c] for c in docs.columns]))
+    return docs.where(~held).union(kept)

@@ -7,7 +7,7 @@ minwise hashes choose the pairs that are compared, and the shingle sets themselv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,27 +143,28 @@ def shared_bucket(rows: DataFrame, *ends: Column) -> DataFrame:
     return rows.hint("merge").join(least, "key").where(F.col("low") != F.col("id"))
 
 
-def links(sketches: DataFrame, sets: DataFrame, folder: str, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links between rows of ``sketches`` (id, n, bands; id distinct); ``sets`` (id, shingles) has their sets of n shingles.
+def links(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], folder: str, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between the ids of ``sketches`` (id, n, bands); rows that share an id are copies and agree.
 
+    ``fetch`` gets a table of ids and returns their sets of n shingles (id, shingles), one row each.
     All texts that meet the same least id in any band form its group, and each group is compared
     whole. One of up to ``GROUP`` texts and ``SHINGLES`` shingles is compared in memory, and gives a
     spanning forest of all its links. Members of larger groups first meet again in buckets of two
     bands at once; each is compared with both ends of each bucket and with its group's least id,
     which is linear in the rows and connects most copies. Then all pairs of members that this left
     unconnected are compared, a pair of blocks of the group at a time. No row is dropped on either
-    way, and every link has been checked on whole sets.
+    way, and every link has been checked on whole sets. Texts without shingles have no bands and no
+    link; an empty table gives none.
     """
     rows = sketches.select(F.explode("bands").alias("key"), "id", "n")
-    met = common.stored(shared_bucket(rows).select("low", "id", "n").distinct(), folder, "met-alike")
-    heads = met.select("low").distinct().join(sketches.select(F.col("id").alias("low"), "n"), "low").select("low", F.col("low").alias("id"), "n")
-    groups = common.stored(met.union(heads), folder, "groups")
+    least = common.stored(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key", "low"), folder, "shared-bands")
+    near = rows.where(common.key_filter(least.select("key"))(F.col("key")))  # few bands are shared, and only their rows are shuffled
+    groups = common.stored(near.join(least, "key").select("low", "id", "n").distinct(), folder, "groups")
     large = groups.groupBy("low").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).select("low", ((F.col("size") > GROUP) | (F.col("weight") > SHINGLES)).alias("large"))
     groups = common.stored(groups.join(large, "low"), folder, "sized")
     crowd = groups.where("large").select("id").distinct()
     crowded = bool(crowd.head(1))
-    if crowded:  # both routes and each end of a pair need sets: fetch those of all members once
-        sets = common.stored(sets.hint("merge").join(groups.select("id").distinct(), "id"), folder, "sets")
+    sets = common.stored(fetch(groups.select("id").distinct()), folder, "sets")
     small = groups.where("not large").join(sets.hint("merge"), "id").select("low", "id", "shingles")
     ordered = small.repartition("low").sortWithinPartitions("low", "id")
     near = common.map_batches(ordered, lambda batches: groups_forest(batches, similarity), "a long, b long")
@@ -171,7 +172,9 @@ def links(sketches: DataFrame, sets: DataFrame, folder: str, similarity: float =
         return near
 
     pairs = [F.xxhash64(F.lit(k), F.lit(step), F.col("bands")[k], F.col("bands")[(k + step) % BANDS]) for k in range(BANDS) for step in PAIRED]
-    met = shared_bucket(sketches.hint("merge").join(crowd, "id").select(F.explode(F.array(*pairs)).alias("key"), "id", "n"), F.max("id").alias("high"))
+    crowd = common.stored(crowd, folder, "crowd")
+    banded = sketches.where(common.key_filter(crowd)(F.col("id"))).dropDuplicates(["id"])
+    met = shared_bucket(banded.hint("merge").join(crowd, "id").select(F.explode(F.array(*pairs)).alias("key"), "id", "n"), F.max("id").alias("high"))
     ends = met.select(F.explode(F.array("low", "high")).alias("a"), F.col("id").alias("b")).union(groups.where("large").select("low", "id"))
     ends = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = ends.join(sets.hint("merge").toDF("a", "of_a"), "a").join(sets.hint("merge").toDF("b", "of_b"), "b")
