@@ -11,7 +11,7 @@ the whole item.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,7 @@ def blocks_of(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = N, limit: int = ITEMS_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, row): the best alignment of each document and item that reaches ``least``.
+    """(doc_id, item_id, score): the best alignment of each document and item that reaches ``least``.
 
     score is the alignment's share of the item's own score. Repeated rows are one document to the
     counts and one row here. Null or empty texts and items match nothing. Items of fewer than ``n``
@@ -145,14 +145,24 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = N,
     out = None
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     for block in blocks_of(items, limit):
-        one = block_matches(texts, Items(block, n), least)
+        find = searcher(texts.select("text"), Items(block, n), least)
+
+        def search(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = common.column(batch, "doc_id")
+                found = [(ids[row], item, score) for row, item, score in find(common.column(batch, "text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "score"])
+
+        one = common.map_batches(texts, search, "doc_id long, item_id long, score double")
         out = one if out is None else out.union(one)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def block_matches(texts: DataFrame, items: Items, least: float) -> DataFrame:
+def seeded(texts: DataFrame, items: Items) -> dict[int, list[tuple[int, int]]]:
+    """The seeds of ``items``, by the number of ``texts`` that hold each n-gram."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(len(items.gram_ids) + 1, np.int64)
         for batch in batches:
@@ -162,67 +172,85 @@ def block_matches(texts: DataFrame, items: Items, least: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], names=["gram", "docs"])
 
     counted = common.map_batches(texts, count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    frequency = {r["gram"]: r["docs"] for r in counted.collect()}  # one row for each n-gram of this block's items at most
-    seeds = items.seeds(frequency)
+    return items.seeds({r["gram"]: r["docs"] for r in counted.collect()})  # one row for each n-gram of this block's items at most
+
+
+def passages(items: Items, seeds: dict[int, list[tuple[int, int]]], is_seed: np.ndarray, text: str | None) -> dict[int, list[np.ndarray]]:
+    """item -> passages of a document that hold its seeds: all of the item and a third more would fit around each."""
+    w, at, gram = items.find(text)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for p, g in sorted(zip(at[is_seed[gram]].tolist(), gram[is_seed[gram]].tolist())):
+        for k, q in seeds[g]:
+            size = len(items.words[k])
+            a, b = max(0, p - q - size // 3), min(len(w), p - q + size + size // 3 + 1)
+            mine = spans.setdefault(k, [])
+            if not mine or mine[-1] != (a, b):
+                mine.append((a, b))
+    out: dict[int, list[np.ndarray]] = {}
+    for k, mine in spans.items():
+        merged: list[list[int]] = []
+        for a, b in sorted(mine):
+            # spans that mostly overlap are one; a run of them is cut so that its length stays within a few items
+            if merged and a <= merged[-1][0] + len(items.words[k]) and b <= merged[-1][0] + 4 * len(items.words[k]):
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out[k] = [w[a:b] for a, b in merged]
+    return out
+
+
+def searcher(texts: DataFrame, items: Items, least: float) -> Callable[[list], list[tuple[int, int, float]]]:
+    """A function from a list of texts to (place in the list, item_id, score) of alignments that reach ``least``."""
+    seeds = seeded(texts, items)
     is_seed = np.zeros(len(items.gram_ids) + 1, bool)
     is_seed[list(seeds)] = True
 
-    def passages(text: str | None) -> dict[int, list[np.ndarray]]:
-        """item -> passages of a document that hold its seeds: all of the item and a third more would fit around each."""
-        w, at, gram = items.find(text)
-        out: dict[int, list[np.ndarray]] = {}
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for p, g in sorted(zip(at[is_seed[gram]].tolist(), gram[is_seed[gram]].tolist())):
-            for k, q in seeds[g]:
-                size = len(items.words[k])
-                a, b = max(0, p - q - size // 3), min(len(w), p - q + size + size // 3 + 1)
-                mine = spans.setdefault(k, [])
-                if not mine or mine[-1] != (a, b):
-                    mine.append((a, b))
-        for k, mine in spans.items():
-            merged: list[list[int]] = []
-            for a, b in sorted(mine):
-                # spans that mostly overlap are one; a run of them is cut so that its length stays within a few items
-                if merged and a <= merged[-1][0] + len(items.words[k]) and b <= merged[-1][0] + 4 * len(items.words[k]):
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            out[k] = [w[a:b] for a, b in merged]
-        return out
+    def find(some: list) -> list[tuple[int, int, float]]:
+        waiting: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
+        for row, text in enumerate(some):
+            for k, parts in passages(items, seeds, is_seed, text).items():
+                for part in parts:
+                    waiting.setdefault(k, {}).setdefault(part.tobytes(), (part, set()))[1].add(row)
+        found = []
+        for k, rows in waiting.items():
+            parts, held_by = zip(*rows.values())
+            own = MATCH * len(items.words[k])
+            order = sorted(range(len(parts)), key=lambda j: len(parts[j]))
+            for lo in range(0, len(order), 256):
+                chosen = order[lo : lo + 256]
+                grid = np.full((len(chosen), max(len(parts[j]) for j in chosen)), -1, np.int32)
+                for r, j in enumerate(chosen):
+                    grid[r, : len(parts[j])] = parts[j]
+                for j, s in zip(chosen, align(items.words[k], grid).tolist(), strict=True):
+                    if s >= least * own:
+                        found.extend((row, items.ids[k], s / own) for row in held_by[j])
+        return found
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = common.column(batch, "doc_id"), []
-            waiting: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
-            for doc, text in zip(ids, common.column(batch, "text"), strict=True):
-                for k, parts in passages(text).items():
-                    for part in parts:
-                        waiting.setdefault(k, {}).setdefault(part.tobytes(), (part, set()))[1].add(doc)
-            for k, rows in waiting.items():
-                parts = [p for p, _ in rows.values()]
-                own = MATCH * len(items.words[k])
-                order = sorted(range(len(parts)), key=lambda j: len(parts[j]))
-                docs_of = [d for _, d in rows.values()]
-                for lo in range(0, len(order), 256):
-                    some = order[lo : lo + 256]
-                    grid = np.full((len(some), max(len(parts[j]) for j in some)), -1, np.int32)
-                    for r, j in enumerate(some):
-                        grid[r, : len(parts[j])] = parts[j]
-                    for j, s in zip(some, align(items.words[k], grid).tolist(), strict=True):
-                        if s >= least * own:
-                            found.extend((d, items.ids[k], s / own) for d in docs_of[j])
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "score"])
-
-    return common.map_batches(texts, search, "doc_id long, item_id long, score double")
+    return find
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_ids, best_score): each document that holds a copy of a test item, once."""
+    """(doc_id, item_ids, best_score): each document that holds a copy of a test item, once. Edge cases are those of ``matches``."""
     return matches(docs, items, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("score").alias("best_score"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without a copy of a test item. Each is judged by its own text, whatever rows share its doc_id or have none."""
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    bad = contamination(docs.select(key.alias("doc_id"), docs["text"].alias("text")), items, least).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, key == bad["__bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = N, limit: int = ITEMS_BYTES) -> DataFrame:
+    """The rows of ``docs``, with their columns, without a copy of a test item.
+
+    Each row is judged by its own text, in the task that reads it, whatever rows share its doc_id or
+    have none: nothing is shuffled. Rows with a null or empty text stay, repeated rows stay or go
+    together, other columns are returned as they are, an empty table gives an empty one.
+    """
+    out, texts = docs, docs.select(docs["text"].alias("text"))
+    place = docs.columns.index("text")
+    for block in blocks_of(items, limit):
+        find = searcher(texts, Items(block, n), least)
+
+        def clean(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _, _ in find(batch.column(place).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = common.map_batches(out, clean, docs.schema)
+    return out
