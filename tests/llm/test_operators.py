@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import wave
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -99,10 +101,61 @@ def test_chroma_aligns_shifted_recordings(spark):
     assert chroma.search(media.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def plain_codes(energy):
+    """Codes by sums over each rectangle, cell by cell."""
+    out = []
+    for t in range(len(energy) - chroma.SPAN + 1):
+        code = 0
+        for kind, p, h, w in chroma.filters():
+            part = whole = 0.0
+            for i in range(w):
+                for j in range(h):
+                    left, low = i < w // 2, j < h // 2
+                    inside = (left, low, left == low, w // 4 <= i < w - w // 4)[kind]
+                    whole += energy[t + i, p + j]
+                    part += energy[t + i, p + j] if inside else 0.0
+            v = np.log1p(part) - np.log1p(whole - part)
+            level = int(v > -0.25) + int(v > 0) + int(v > 0.25)
+            code = code << 2 | (level ^ level >> 1)
+        out.append(code)
+    return out
+
+
 def test_integral_image_sums():
-    energy = np.random.default_rng(1).random((30, 12))
-    assert len(chroma.codes(energy)) == 30 - chroma.SPAN + 1 and len(chroma.codes(energy[:5])) == 0
-    assert all(p + h <= 12 and w <= chroma.SPAN for _, p, h, w in chroma.filters())
+    energy = np.random.default_rng(1).random((40, 12))
+    assert chroma.codes(energy).tolist() == plain_codes(energy) and len(chroma.codes(energy[:5])) == 0
+
+
+def test_pitch_classes_of_tones():
+    rate = 4000
+    for step in range(0, 24, 5):
+        x = np.sin(2 * np.pi * 220 * 2 ** (step / 12) * np.arange(rate) / rate)
+        assert (chroma.chroma(x, rate).argmax(axis=1) == step % 12).all()  # A is class 0, and so is the tone at 220
+
+
+def test_chroma_recall_against_brute_force(spark):
+    """All pairs of a query and a recording, at all offsets, against the search."""
+    rng = np.random.default_rng(11)
+    songs = [rng.normal(size=64) for _ in range(6)]
+    vectors = {}
+    for k in range(120):
+        v = songs[k % 6].copy() if k % 2 else rng.normal(size=64)
+        noise = (0.0, 0.02, 0.05, 0.1)[k // 2 % 4]
+        v = (v + rng.normal(0, noise, 64))[k % 7 if k % 3 == 0 else 0 :]
+        vectors[k] = v.tolist()
+    media = spark.createDataFrame([(k, chroma.tune(v)) for k, v in vectors.items()], "id long, media binary")
+    codes = {k: chroma.codes(chroma.chroma(*chroma.samples(chroma.tune(v)))) for k, v in vectors.items()}
+    rows = chroma.search(media, lambda i: i % 10 == 1).collect()
+    cls = {r["id"]: r["class_id"] for r in rows}
+    found = {(m["query"], r["class_id"]) for r in rows for m in r["matches"]}
+    want = set()
+    for q in {cls[k] for k in vectors if k % 10 == 1}:
+        for k in set(cls.values()) - {q}:
+            a, b = codes[q], codes[k]
+            tried = [chroma.bit_errors(a, b, o) for o in range(-len(b) + 40, len(a) - 40)]
+            if any(n >= 40 and d <= chroma.BIT_ERRORS * 32 * n for d, n in tried):
+                want.add((q, k))
+    assert len(want) > 30 and len(want & found) >= 0.9 * len(want)
 
 
 # ---- 3 ----
@@ -307,6 +360,115 @@ def test_main_text():
     assert (html.classify(tree, x) == y).all() and y.sum() > 15 and (~y).sum() > 15
 
 
+class PlainBlocks(HTMLParser):
+    """Blocks of a well-formed page by the standard parser, with open elements in a plain list."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text, self.linked, self.blocks, self.prose, self.skip, self.link = [], "", "", [], False, 0, False
+
+    def close_block(self):
+        words, linked = self.text.split(), self.linked.split()
+        if words:
+            main = [k for k, (article, _, _) in enumerate(self.open) if article]
+            named = [k for k, (_, sure, _) in enumerate(self.open) if sure]
+            inner = [k for k in named if main and k > main[0]]
+            self.blocks.append([" ".join(words), len(words), len(linked) / len(words), self.prose, bool(main), len(named), sum(p for _, _, p in self.open), len(inner)])
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.SKIPPED_TAGS:
+            self.skip += 1
+        elif tag == "a":
+            self.link = True
+        elif tag == "br":
+            self.text += " "
+        elif tag in html.BLOCK_TAGS and not self.skip:
+            self.close_block()
+            self.prose = tag in html.PROSE_TAGS
+            if tag in html.CONTAINERS:
+                inside = any(article for article, _, _ in self.open)
+                sure, perhaps = html.names_of(" ".join(f'{k}="{v}"' for k, v in attrs), inside)
+                boiler = sure or tag in html.BOILER_TAGS or (tag == "header" and not inside)
+                self.open.append((tag in ("article", "main") and not sure, boiler and tag not in ("body", "main"), perhaps))
+
+    def handle_endtag(self, tag):
+        if tag in html.SKIPPED_TAGS:
+            self.skip -= 1
+        elif tag == "a":
+            self.link = False
+        elif tag in html.BLOCK_TAGS and not self.skip:
+            self.close_block()
+            self.prose = False
+            if tag in html.CONTAINERS:
+                self.open.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text += data
+            self.linked += data if self.link else ""
+
+
+def plain_main_text(page, tree):
+    parser = PlainBlocks()
+    parser.feed(page)
+    parser.close_block()
+    found = parser.blocks
+    if any(b[4] for b in found) and not any(b[4] and not b[5] for b in found):
+        for b in found:
+            b[5] = b[7] if b[4] else b[5]
+    out = []
+    for k, (text, words, links, prose, main, named, perhaps, _) in enumerate(found):
+        before, after = (found[j] if 0 <= j < len(found) else ["", 0, 0] for j in (k - 1, k + 1))
+        row = [words, links, before[1], before[2], after[1], after[2], prose, main, any(b[4] for b in found) and not main, named, perhaps]
+        node = tree
+        while not isinstance(node, bool):
+            node = node["low"] if row[node["feature"]] <= node["cut"] else node["high"]
+        if node:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_main_text_by_brute_force():
+    tree, rnd = html.grow(*html.labelled_blocks()), random.Random(12)
+    names = ["", ' class="ad"', ' class="share-price"', ' class="post-header"', ' id="comments"', ' class="has-sidebar x"', ' role="navigation"', ' class="ad-slot"']
+    words = lambda: " ".join(rnd.choices(["river", "&amp;", "a&nbsp;b", "x", "é", "3 &lt; 4"], k=rnd.randint(1, 30)))
+
+    def piece(depth):
+        kind = rnd.randrange(7) if depth else rnd.randrange(3)
+        if kind == 0:
+            return f"<p{rnd.choice(names)}>{words()}</p>"
+        if kind == 1:
+            return f"<h2>{words()}</h2>{words()}"
+        if kind == 2:
+            return "<ul>" + "".join(f"<li><a href=/x>{words()}</a>{rnd.choice(['', words()])}</li>" for _ in range(rnd.randint(1, 5))) + "</ul>"
+        if kind == 3:
+            return f"<script>if (a < b) {{ '<p>' }}</script><!-- <p>no</p> -->{words()}<br>{words()}"
+        tag = rnd.choice(["div", "section", "article", "aside", "header", "footer", "nav", "main", "form"])
+        return f"<{tag}{rnd.choice(names)}>" + "".join(piece(depth - 1) for _ in range(rnd.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(400):
+        page = "<html><head><title>t</title></head><body>" + "".join(piece(3) for _ in range(rnd.randint(1, 5))) + "</body></html>"
+        assert html.main_text(page, tree) == plain_main_text(page, tree), page
+
+
+def test_main_text_of_odd_pages():
+    tree = html.grow(*html.labelled_blocks())
+    text = lambda page: html.main_text(page, tree)
+    rise = "The share price rose by a tenth."
+    assert text(f'<article><div class="post-header"><h1>Title words</h1></div><div class="share-price"><p>{rise}</p></div></article>') == f"Title words\n{rise}"
+    assert text("<body><p>Short text.</p><p>Another.</p></body>") == "Short text.\nAnother."
+    assert text("<html><head><title>x</title><body><p>No end of head.</p>") == "No end of head."
+    assert text("<body><svg viewBox='0'/><p>After a picture.</p><svg-icon></svg-icon><p>And an icon.</p>") == "After a picture.\nAnd an icon."
+    assert text('<div class="has-sidebar"><article><p>Hello there.</p></article></div>') == "Hello there."
+    assert text("<p>1 < 2 and a <b>bold</b> <a title='x>y'>word</a></p>") == "1 < 2 and a bold word"
+    assert text("<p>one</p><noscript><p>two</p>") == "one\ntwo" and text("<p>one</p><style>p { }<p>two</p>") == "one"
+    for page in ("<a " * 330_000, "<div>x" * 160_000, "<svg>" * 200_000, "<p title='" * 100_000, "</script " * 100_000, "<" * 500_000, '<a x=">" ' * 100_000):
+        began = time.time()
+        text(page)
+        assert time.time() - began < 10, page[:9]
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", 5), (None, None, None, 5), (1, "u", "<article><p>a  b</p></article>", 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in html.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
@@ -340,9 +502,62 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.train(data, labels.limit(0)).probabilities(5.0)[0] < 0.5
 
 
+def plain_likelihood(model, sets, grades):
+    """Mean log-likelihood of grades by the definition: P(grade = g) = P(> g - 1) - P(> g)."""
+    total = 0.0
+    for found, g in zip(sets, grades):
+        over = [1.0, *model.probabilities(sum(model.weights.get(f, 0.0) for f in found)), 0.0]
+        total += np.log(max(over[g] - over[g + 1], 1e-12))
+    return total / len(grades)
+
+
+def test_fit_is_a_maximum():
+    rnd = random.Random(7)
+    texts, grades = [], []
+    for k in range(400):
+        g = k % 3
+        marks = rnd.choices(["vile", "awful", "nasty"], k=g + (rnd.random() < 0.2)) + (["awful"] if rnd.random() < 0.1 else [])
+        texts.append(" ".join(rnd.choices([f"w{j}" for j in range(60)], k=9) + marks + [f"t{k}"]))
+        grades.append(g)
+    model = toxicity.fit(texts, grades, ridge=0.0, rounds=2000)
+    sets = [{f for w in t.split() for f in toxicity.features_of(w)} for t in texts]
+    best = plain_likelihood(model, sets, grades)
+    assert model.thresholds == sorted(model.thresholds) and best > -np.log(3)
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        moved = toxicity.Model({f: w + rng.normal(0, 0.05) for f, w in model.weights.items()}, [t + rng.normal(0, 0.05) for t in model.thresholds])
+        assert plain_likelihood(moved, sets, grades) <= best + 1e-3
+
+
 # ---- 8 ----
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_recall_of_edited_copies(spark, seed):
+    """Copies at many edit rates: those that an alignment with the whole document accepts are found through seeds."""
+    rnd = random.Random(seed)
+    pool = [f"v{k}" for k in range(900)]
+    items = [(k, rnd.choices(pool, k=rnd.randint(12, 60))) for k in range(12)]
+    data, want = [], set()
+    for d in range(160):
+        k, words = rnd.choice(items)
+        rate, copy = rnd.uniform(0, 0.35), []
+        for w in words:
+            x = rnd.random()
+            copy += [] if x < rate / 4 else [w, rnd.choice(pool)] if x < rate / 2 else [rnd.choice(pool)] if x < rate else [w]
+        text = rnd.choices(pool, k=30) + copy + rnd.choices(pool, k=30)
+        data.append((d, " ".join(text)))
+        for i, item in items:
+            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+            row = np.array([[number.get(w, -1) for w in text]], np.int32)
+            if decontaminate.align(np.array([number[w] for w in item]), row)[0] >= decontaminate.LEAST * 2 * len(item):
+                want.add((d, i))
+    rows = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(rows, tests).collect()}
+    assert got <= want and len(want) > 80 and len(got) >= 0.9 * len(want)
+
+
 def plain_align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(len(a)):
@@ -409,6 +624,14 @@ def test_warc_roles(spark):
     want = [(i, len((h or "").encode()), warc.digest((h or "").encode()), *role(i, h)) for i, _, h in rows]
     assert got == sorted(want, key=str)
     assert warc.archive(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="does not give back"):
+        broken = lambda f: iter([{"gap_start": 0, "gap_bytes": 9, "reason": "planted"}])
+        held = warc.salvage
+        warc.salvage = broken
+        try:
+            warc.archive(pages)
+        finally:
+            warc.salvage = held
     assert {r["record_type"] for r in warc.archive(pages, least_bytes=100).collect()} == {"response"}
 
 
@@ -439,3 +662,7 @@ def test_salvage_after_damage():
     cut = plain[0] + wrong + plain[2] + plain[3][:-30] + plain[4]
     assert [r["page_id"] for r in warc.salvage(File(cut)) if "reason" not in r] == [0, 2, 4]
     assert list(warc.salvage(File(b""))) == []
+    whole = plain[0] + wrong + plain[2] + b"tail"
+    rows = list(warc.salvage(File(gzip.compress(whole) + parts[3])))
+    assert [r["page_id"] for r in rows if "reason" not in r] == [0, 2, 3]
+    assert [r["gap_bytes"] for r in rows if "reason" in r] == [len(wrong), 4] and all(r["gap_start"] == 0 for r in rows if "reason" in r)
