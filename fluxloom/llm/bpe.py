@@ -32,8 +32,8 @@ SPACE_BEFORE_WORD = regex.compile(r" (?=\S)")
 #: Characters that are one pre-token where they follow letters and end a piece.
 MARKS = frozenset(".,;:!?)]}\"")
 NO_RANK = np.int32(2**31 - 1)
-#: Entries of each generation of the dictionaries of pieces and of words.
-KEPT_PIECES, KEPT_WORDS = 400_000, 150_000
+#: Entries of each generation of a worker's dictionaries of pieces and of words.
+KEPT_PIECES, KEPT_WORDS = 120_000, 60_000
 #: Characters of the longest piece that is kept.
 KEPT_LENGTH = 64
 

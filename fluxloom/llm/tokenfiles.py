@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
-from .bpe import KEPT_LENGTH, KEPT_PIECES, KEPT_WORDS, MARKS, PRETOKEN, byte_alphabet, pieces_of
+from .bpe import KEPT_LENGTH, MARKS, PRETOKEN, byte_alphabet, pieces_of
 
 #: Bytes of a flat file that a scan task reads at a time.
 BLOCK_BYTES = 4 << 20
@@ -48,7 +48,8 @@ READ_BYTES = 8 << 20
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, width: int = 2) -> DataFrame:
     """Flat files of ids of ``width`` bytes each, a separator after each document, and nothing else: no index.
 
-    Returns one row per file: file, n_bytes, and the doc_ids in it, in order.
+    Returns one row per file: file, n_bytes, and the doc_ids in it, in order. A null or empty text is
+    a separator alone; repeated rows and null ids are kept; an empty table gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +95,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block_bytes: int
     number; a running sum over a file's blocks numbers the documents, and a running maximum of the
     last separator so far stitches documents that began in earlier blocks. Tokens after a file's
     last separator are a document without an end: they come out as a row with ``ended`` false.
+    Separators side by side are empty documents; an empty file and an empty table give no row.
     """
     block_bytes -= block_bytes % width
     blocks = files.where("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / block_bytes))).alias("block"))
@@ -140,6 +142,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 5
 # ---- operator 5 ---------------------------------------------------------------------------------
 
 
+#: Entries of each generation of a worker's dictionaries of pieces and of words: the library is slow to learn a word.
+KEPT_PIECES, KEPT_WORDS = 400_000, 150_000
+
+
 class Remembered(dict):
     """Ids of pieces, made by ``learn`` where they are first met. Two generations bound it: what the older one has moves over when it is used."""
 
@@ -239,10 +245,13 @@ def unpack(data: bytes) -> np.ndarray:
 def train_dictionary(docs: DataFrame, path: str, end_id: int, most: int = DICT_DOCS) -> bytes:
     """A zstandard dictionary from serialized ids of the documents with the smallest hashes of doc_id.
 
-    At most ``most`` documents and DICT_IDS ids of each. Too few to train on: no dictionary.
+    At most ``most`` documents and DICT_IDS ids of each, from a place in its text that a hash gives.
+    Too few to train on: no dictionary.
     """
+    size = F.lit(4 * DICT_IDS)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
     chosen = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, 4 * DICT_IDS).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substr("text", start, size).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     encoder = library_encoder(path)
     end = np.array([end_id], "<u4").tobytes()
     samples = [pack((raw + end)[-4 * DICT_IDS :]) for raw in encoder.encode([r["text"] for r in rows])]

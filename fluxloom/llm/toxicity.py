@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ STARTS = (5, 6, 7, 8)
 #: Bounds of the training sample: labelled rows, characters of a text that may be in it, features.
 SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 6000, 50_000, 4000
 #: Words kept with their features in each worker before the dictionary is emptied.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 def features_of(word: str) -> list[str]:
@@ -51,7 +51,7 @@ def fit(texts: list[str], grades: list[int], features: int = FEATURES, rounds: i
     """Cumulative-link regression by full-batch Adam; fewer than two grades give a model that rejects nothing.
 
     Texts that repeat count once. The list of features: those in at least ``seen`` documents of a
-    grade over 0 and in those twenty times as often as in clean ones, by log odds and number.
+    grade over 0 and in those ``ratio`` times as often as in clean ones, by log odds and number.
     """
     once = {t or "": g for t, g in sorted(zip(texts, grades, strict=True), key=lambda x: (x[0] or "", x[1]))}
     texts, grades = list(once), list(once.values())
@@ -138,55 +138,57 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     return fit(words, severity_grades(words, toxic))
 
 
+def scorer(model: Model) -> Callable[[list], list[list[float]]]:
+    """A function from a list of texts to P(grade > k) of each, with the features of words remembered."""
+    weights, known = model.weights, {}
+
+    def run(texts: list) -> list[list[float]]:
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        out = []
+        for text in texts:
+            hit: set[str] = set()
+            for word in set(WORD.findall((text or "").lower())):
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = tuple(f for f in features_of(word) if f in weights)
+                if found:
+                    hit.update(found)
+            out.append(model.probabilities(sum(weights[f] for f in sorted(hit))))
+        return out
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, p_toxic, grade) for each row; grade counts the thresholds passed at 0.5.
 
     Whole texts are read. A null or empty text has no features: its score is zero. Repeated rows
     stay repeated; a null doc_id is kept; other columns are ignored; an empty table gives an empty one.
     """
-    weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
+        of = scorer(model)
         for batch in batches:
-            severity, p_toxic, grade = [], [], []
-            for text in common.column(batch, "text"):
-                hit: set[str] = set()
-                for word in set(WORD.findall((text or "").lower())):
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = tuple(f for f in features_of(word) if f in weights)
-                    if found:
-                        hit.update(found)
-                p = model.probabilities(sum(weights[f] for f in sorted(hit)))
-                severity.append(sum(p))
-                p_toxic.append(p[0])
-                grade.append(sum(x >= 0.5 for x in p))
-            if len(known) > KEPT_WORDS:
-                known = {}
+            p = of(common.column(batch, "text"))
+            severity, p_toxic, grade = [sum(x) for x in p], [x[0] for x in p], [sum(y >= 0.5 for y in x) for x in p]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64()), pa.array(grade, pa.int32())], names=["doc_id", "severity", "p_toxic", "grade"])
 
     return common.map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), run, "doc_id long, severity double, p_toxic double, grade int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text has P(grade > 0) of at most ``most``."""
-    weights, names = model.weights, docs.columns
+    """The rows of ``docs``, with their columns, whose text has P(grade > 0) of at most ``most``.
+
+    Each row is judged by its whole text: rows that share an id, or have none, are judged apart, and
+    repeated rows stay or go together. A null or empty text has a score of zero. Other columns, of any
+    name, are returned as they are; an empty table gives an empty one.
+    """
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
+        of = scorer(model)
         for batch in batches:
-            keep = []
-            for text in common.column(batch, "text"):
-                hit: set[str] = set()
-                for word in set(WORD.findall((text or "").lower())):
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = tuple(f for f in features_of(word) if f in weights)
-                    hit.update(found)
-                keep.append(model.probabilities(sum(weights[f] for f in sorted(hit)))[0] <= most)
-            if len(known) > KEPT_WORDS:
-                known = {}
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([x[0] <= most for x in of(batch.column(place).to_pylist())], pa.bool_()))
 
-    return common.map_batches(docs.select(*names), run, docs.schema)
+    return common.map_batches(docs, run, docs.schema)
