@@ -292,7 +292,8 @@ def classes(docs: DataFrame, words: int, differ: int, similarity: float, folder:
     same = known.where(common.key_filter(mixed.select("digest"))(F.col("digest"))).select("digest", "fp").distinct().join(mixed, "digest").where("fp != low").select("low", "fp")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        firsts = known.where(common.key_filter(ids)(F.col("digest"))).groupBy("digest").agg(F.min("key").alias("key"))
+        # stored before the join: Spark would join first, and gather all copies of a text in one task
+        firsts = common.stored(known.where(common.key_filter(ids)(F.col("digest"))).groupBy("digest").agg(F.min("key").alias("key")), folder, "nearly-firsts")
         firsts = common.stored(firsts.join(ids, firsts["digest"] == ids["id"], "left_semi"), folder, "firsts")
         sets = sets_of(docs, firsts.select("key"), words).join(firsts, "digest", "left_semi")
         return sets.select(F.col("digest").alias("id"), "shingles").dropDuplicates(["id"])
@@ -300,8 +301,8 @@ def classes(docs: DataFrame, words: int, differ: int, similarity: float, folder:
     rows = known.select(F.col("digest").alias("id"), "n", "bands")
     alike = common.stored(similar.links(rows, fetch, folder, similarity), folder, "alike")
     ends = alike.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    fps = known.where(common.key_filter(ends)(F.col("digest"))).groupBy("digest").agg(F.min("fp").alias("fp")).join(ends, "digest", "left_semi")
-    fps = common.stored(fps, folder, "ends")
+    fps = common.stored(known.where(common.key_filter(ends)(F.col("digest"))).groupBy("digest").agg(F.min("fp").alias("fp")), folder, "nearly-ends")
+    fps = common.stored(fps.join(ends, "digest", "left_semi"), folder, "ends")
     alike = alike.join(fps.toDF("a", "of_a"), "a").join(fps.toDF("b", "of_b"), "b").select("of_a", "of_b")
     edges = common.stored(by_bits.union(alike).union(same), folder, "edges")
     return made, labels(known, edges, folder)
