@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each over its whole table, with production parameters."""
+"""The registered queries of the thirteen operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, decontaminate, html, simhash, tokenfiles, toxicity, warc
+from . import bpe, chat, chroma, decontaminate, divergence, forest, html, merkle, oracles, simhash, tokenfiles, toxicity, warc
 from .common import table
 
 
@@ -58,11 +58,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are the rows whose id is divisible by 50."""
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_chat_windows, op2_chroma_fingerprints, op3_simhash, op4_separator_scan, op5_token_files, op6_main_text, op7_toxicity, op8_decontamination, op9_bpe, op10_warc)
+    made = (op1_chat_windows, op2_chroma_fingerprints, op3_simhash, op4_separator_scan, op5_token_files, op6_main_text, op7_toxicity, op8_decontamination, op9_bpe, op10_warc, op11_source_divergence, op12_projection_forest, op13_merkle_manifest)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: hashes, codecs, tokens, alignments and models are beyond SQL; tests/llm has brute-force versions."""
-    return {}
+    """Those of counts and digests; codecs, tokens, alignments and models are beyond SQL, and tests/llm has brute-force versions."""
+    return {"op11_source_divergence": oracles.DIVERGENCE, "op13_merkle_manifest": oracles.MERKLE}

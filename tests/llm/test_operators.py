@@ -1,4 +1,4 @@
-"""The ten operators against brute force, exact round trips and held-out accuracy, with edge tables."""
+"""The operators against brute force, exact round trips and held-out accuracy, with edge tables."""
 
 import gzip
 import hashlib
