@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import is_day, is_night
+from . import scan
 from .clean import col, keyed_join
+from .quantiles import selected_quantiles
 from .windows import positions
 
+#: Date ranges that are written into a condition; more of them are a table.
+MOST_LITERALS = 20
 #: Rows of a despiking task, besides the half windows copied from its neighbours.
 CHUNK_ROWS = 20_000
 
@@ -33,14 +37,21 @@ def quartiles(c: Column, accuracy: int | None = None) -> Column:
     return F.percentile(c, shares) if accuracy is None else F.percentile_approx(c, shares, accuracy)
 
 
-def smart_range_qc(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), k: float = 10.0, accuracy: int | None = None) -> DataFrame:
+def quartile_table(df: DataFrame, cols: Sequence[str], keys: Sequence[str], accuracy: int | None, bounded: bool) -> DataFrame:
+    """(keys, __<column> ...): the three quartiles of each column of each series."""
+    if not bounded:
+        return df.groupBy(*keys).agg(*[quartiles(col(c), accuracy).alias(f"__{c}") for c in cols])
+    long = selected_quantiles(df, cols, (0.25, 0.5, 0.75), keys)
+    return long.groupBy(*keys).agg(*[F.first(F.when(F.col("variable") == c, F.col("quantiles")), ignorenulls=True).alias(f"__{c}") for c in cols])
+
+
+def smart_range_qc(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), k: float = 10.0, accuracy: int | None = None, bounded: bool = False) -> DataFrame:
     """Values outside median +- k IQR become null in <col>_SmartY_qc. One aggregate serves all columns.
 
-    ``accuracy`` asks for approximate quartiles, for very long tables without keys.
+    For very long series: ``accuracy`` asks for approximate quartiles, ``bounded`` for exact ones in bounded memory (``selected_quantiles``).
     """
     cols = numeric(df, cols)
-    stats = df.groupBy(*keys).agg(*[quartiles(col(c), accuracy).alias(f"__{c}") for c in cols])
-    out = with_statistics(df, stats, keys)
+    out = with_statistics(df, quartile_table(df, cols, keys, accuracy, bounded), keys)
     for c in cols:
         q = col(f"__{c}")
         spread = k * (q[2] - q[0])
@@ -54,10 +65,16 @@ def range_qc(df: DataFrame, cols: Sequence[str], lower: Sequence[float], upper:
     return df.withColumns({f"{c}_MaxMinValue_qc": F.when(col(c).between(lo, hi), col(c)) for c, lo, hi in zip(cols, lower, upper, strict=True)})
 
 
-def range_reference_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, variable, median, q25, q75, min, max): what a person looks at before choosing bounds."""
+def range_reference_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), accuracy: int | None = None, bounded: bool = False) -> DataFrame:
+    """(keys, variable, median, q25, q75, min, max): what a person looks at before choosing bounds.
+
+    ``accuracy`` and ``bounded`` are those of ``smart_range_qc``; the minimum and the maximum are the quantiles at 0 and 1.
+    """
     cols = numeric(df, cols)
-    one = df.groupBy(*keys).agg(*[F.struct(quartiles(col(c)).alias("q"), F.min(col(c)).alias("min"), F.max(col(c)).alias("max")).alias(f"__{c}") for c in cols])
+    if bounded:
+        long = selected_quantiles(df, cols, (0.5, 0.25, 0.75, 0.0, 1.0), keys)
+        return long.select(*keys, "variable", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("median", "q25", "q75", "min", "max"))])
+    one = df.groupBy(*keys).agg(*[F.struct(quartiles(col(c), accuracy).alias("q"), F.min(col(c)).alias("min"), F.max(col(c)).alias("max")).alias(f"__{c}") for c in cols])
     each = one.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), col(f"__{c}").alias("s")) for c in cols])).alias("e"))
     return each.select(*keys, "e.variable", F.col("e.s.q")[1].alias("median"), F.col("e.s.q")[0].alias("q25"), F.col("e.s.q")[2].alias("q75"), F.col("e.s.min").alias("min"), F.col("e.s.max").alias("max"))
 
@@ -78,8 +95,31 @@ def dependency_qc(df: DataFrame, target: str, deps: Sequence[str], lower: Sequen
     return df.withColumn(f"{target}_Dependency_qc", F.when(ok, col(target)))
 
 
-def datetime_qc(df: DataFrame, target: str, ranges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Values inside any inclusive range become null in <target>_Datetime_qc; ranges that don't parse are left out."""
+def in_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str] = (), into: str = "in_range") -> DataFrame:
+    """``into``: whether a row's datetime lies in any of the inclusive ``ranges`` (keys, start, end), of which there may be any number.
+
+    A sweep: ranges and rows in one order of time, where a row is inside if the latest end of all ranges that have
+    begun is not before it. So a range is one row, long or short, overlapping or not, and no row meets more than one. Days
+    are the tasks; a day starts with the latest end of the days before it. Ranges without a start or an end, or that end
+    before they start, hold nothing; a row without a datetime is in no range.
+    """
+    clean_ranges = ranges.select(*[col(k) for k in keys], F.col("start").cast("timestamp_ntz").alias("__at"), F.col("end").cast("timestamp_ntz").alias("__until")).where("__at <= __until")
+    rows = df.withColumn("__at", F.col("datetime")).withColumn("__row", F.lit(1))
+    both = clean_ranges.withColumn("__row", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    swept = scan.running_max(both, F.col("__until"), ["__at", "__row"], F.to_date("__at"), keys, "__latest").where("__row = 1")
+    hit = F.coalesce(F.col("__latest") >= F.col("__at"), F.lit(False))
+    return swept.select(*[col(c) for c in df.columns if c != into], hit.alias(into))
+
+
+def datetime_qc(df: DataFrame, target: str, ranges: Sequence[tuple[str, str]] | DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Values inside any inclusive range become null in <target>_Datetime_qc; ranges that don't parse are left out.
+
+    ``ranges`` is a list of texts, for all series, or a table (keys, start, end). A few of a list are a condition, more of
+    them and any table a sweep (``in_ranges``).
+    """
+    name = f"{target}_Datetime_qc"
+    if isinstance(ranges, DataFrame):
+        return in_ranges(df, ranges, keys, "__hit").withColumn(name, F.when(~F.col("__hit"), col(target))).drop("__hit")
     good = []
     for a, b in ranges:
         a, b = pd.to_datetime(a, errors="coerce"), pd.to_datetime(b, errors="coerce")
@@ -87,15 +127,14 @@ def datetime_qc(df: DataFrame, target: str, ranges: Sequence[tuple[str, str]]) -
             good.append((a.to_pydatetime(), b.to_pydatetime()))
     if not good:
         raise ValueError("no valid date range")
+    if len(good) > MOST_LITERALS:
+        listed = df.sparkSession.createDataFrame(good, "start timestamp_ntz, end timestamp_ntz")
+        return datetime_qc(df, target, listed)
     stamp = lambda t: F.lit(str(t)).cast("timestamp_ntz")
-    if len(good) <= 20:
-        hit = F.lit(False)
-        for a, b in good:
-            hit = hit | F.col("datetime").between(stamp(a), stamp(b))
-        return df.withColumn(f"{target}_Datetime_qc", F.when(~F.coalesce(hit, F.lit(False)), col(target)))
-    listed = F.array(*[F.struct(stamp(a).alias("a"), stamp(b).alias("b")) for a, b in good])
-    hit = F.exists(listed, lambda r: F.col("datetime").between(r["a"], r["b"]))
-    return df.withColumn(f"{target}_Datetime_qc", F.when(~F.coalesce(hit, F.lit(False)), col(target)))
+    hit = F.lit(False)
+    for a, b in good:
+        hit = hit | F.col("datetime").between(stamp(a), stamp(b))
+    return df.withColumn(name, F.when(~F.coalesce(hit, F.lit(False)), col(target)))
 
 
 def spikes(values: np.ndarray, night: np.ndarray, start: np.ndarray, half: int, k: float, fewest: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ of every site is one job. Replicates carry weights of rows, not copies of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,15 +47,12 @@ def quantile_bin(df: DataFrame, name: str, q: int, keys: Sequence[str] = (), int
 def correlation_gate(df: DataFrame, tair: str, ustar: str, keys: Sequence[str], limit: float = 0.4, weight: str | None = None) -> DataFrame:
     """(keys, r, accepted): groups with |r| of temperature and u* below the limit, or undefined, pass."""
     both = df.where(col(tair).isNotNull() & col(ustar).isNotNull())
-    if weight is None:
-        r = both.groupBy(*keys).agg(F.corr(col(tair), col(ustar)).alias("r"))
-    else:
-        w, x, y = F.col(weight), col(tair), col(ustar)
-        means = both.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("__mx"), (F.sum(w * y) / F.sum(w)).alias("__my"))
-        dx, dy = x - F.col("__mx"), y - F.col("__my")
-        sums = keyed_join(both, means, keys).groupBy(*keys).agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-        r = sums.select(*keys, F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
-    r = r.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    # not corr(), which divides by zero where a group's temperature or u* is constant
+    w, x, y = F.col(weight) if weight else F.lit(1), col(tair), col(ustar)
+    means = both.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("__mx"), (F.sum(w * y) / F.sum(w)).alias("__my"))
+    dx, dy = x - F.col("__mx"), y - F.col("__my")
+    sums = keyed_join(both, means, keys).groupBy(*keys).agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    r = sums.select(*keys, F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
     groups = df.select(*keys).distinct()
     return keyed_join(groups, r, keys, "left").withColumn("accepted", F.coalesce(F.abs("r") < limit, F.lit(True)))
 
@@ -81,21 +79,43 @@ def rounded_edges(df: DataFrame, name: str, into: str) -> DataFrame:
     return df.withColumn("__digits", digits).withColumn(into, shown).drop("__digits")
 
 
+def binned_stats(df: DataFrame, edges: DataFrame, ustar: str, nee: str, keys: Sequence[str], bins: int, weight: str | None, label_rounding: bool) -> DataFrame:
+    """``ustar_bin_stats`` by given ``edges`` (keys, edges): rows meet them once, and a group's bins come together in one short row."""
+    w = F.col(weight) if weight else F.lit(1)
+    whole = edges.where(F.size(F.array_distinct("edges")) == bins + 1).select(*[col(k) for k in keys], F.col("edges").alias("__edges"))
+    joined = keyed_join(df, whole, keys)
+    number = sum((F.when(col(ustar) > F.round(F.col("__edges")[k], 9), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
+    got = F.when(col(nee).isNotNull(), w)
+    each = joined.where(col(ustar).isNotNull()).groupBy(*keys, number.alias("bin")).agg((F.sum(got * col(nee)) / F.sum(got)).alias("mean_nee"), F.sum(w).alias("n"), F.first("__edges").alias("__edges"))
+    made = each.groupBy(*keys).agg(F.first("__edges").alias("__edges"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("mean_nee", "n")))).alias("__found"))
+    labelled = rounded_edges(made, "__edges", "__shown") if label_rounding else made.withColumn("__shown", F.col("__edges"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(k.alias("bin"), ((F.get("__shown", k) + F.get("__shown", k + 1)) / 2).alias("mid"), F.try_element_at("__found", k).alias("of")))
+    grid = labelled.select(*keys, F.explode(ends).alias("__b"))
+    return grid.select(*keys, "__b.bin", "__b.of.mean_nee", F.coalesce("__b.of.n", F.lit(0)).cast("long").alias("n"), "__b.mid")
+
+
 def ustar_bin_stats(df: DataFrame, ustar: str, nee: str, keys: Sequence[str], bins: int = 20, weight: str | None = None, label_rounding: bool = True) -> DataFrame:
     """(keys, bin, mean_nee, n, mid) of equal-frequency u* bins; empty bins have a null mean.
 
     Groups whose edges repeat give no rows.
     """
-    binned = quantile_bin(df, ustar, bins, keys, "bin", weight, keep_edges="__edges")
-    w = F.col(weight) if weight else F.lit(1)
-    got = F.when(col(nee).isNotNull(), w)
-    edges = binned.groupBy(*keys).agg(F.first("__edges").alias("__edges")).where(F.size(F.array_distinct("__edges")) == bins + 1)
-    labelled = rounded_edges(edges, "__edges", "__shown") if label_rounding else edges.withColumn("__shown", F.col("__edges"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(F.get("__shown", k).alias("a"), F.get("__shown", k + 1).alias("b")))
-    grid = labelled.select(*keys, F.posexplode(ends).alias("bin", "__ends"))  # labels are made once for a group
-    mid = (F.col("__ends.a") + F.col("__ends.b")) / 2
-    stats = binned.where("bin is not null").groupBy(*keys, "bin").agg((F.sum(got * col(nee)) / F.sum(got)).alias("mean_nee"), F.sum(F.when(col(ustar).isNotNull(), w)).alias("n"))
-    return keyed_join(grid.withColumn("mid", mid), stats, [*keys, "bin"], "left").select(*keys, "bin", "mean_nee", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mid")
+    return binned_stats(df, quantile_edges(df, ustar, bins, keys, weight), ustar, nee, keys, bins, weight, label_rounding)
+
+
+def gated_edges(df: DataFrame, tair: str, ustar: str, keys: Sequence[str], bins: int, weight: str | None = None, limit: float = 0.4) -> DataFrame:
+    """(keys, edges) of the groups that pass ``correlation_gate``: the edges of u* and the gate's sums are one aggregate."""
+    both = col(tair).isNotNull() & col(ustar).isNotNull()
+    w = F.when(both, F.col(weight) if weight else F.lit(1))
+    x, y = col(tair), col(ustar)
+    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    edges = F.percentile(y, shares, F.when(y.isNotNull(), F.col(weight)).otherwise(0)) if weight else F.percentile(y, shares)
+    total = {"n": w, "x": w * x, "y": w * y, "xx": w * x * x, "yy": w * y * y, "xy": w * x * y}
+    sums = df.groupBy(*keys).agg(edges.alias("edges"), *[F.sum(c).alias(f"__{k}") for k, c in total.items()])
+    t = {k: F.col(f"__{k}") for k in total}
+    vx, vy = t["xx"] - t["x"] * t["x"] / t["n"], t["yy"] - t["y"] * t["y"] / t["n"]
+    spread = (vx > 1e-12 * t["xx"]) & (vy > 1e-12 * t["yy"])  # else a constant, up to rounding
+    r = F.when(spread, (t["xy"] - t["x"] * t["y"] / t["n"]) / F.sqrt(vx * vy))
+    return sums.where(F.coalesce(F.abs(r) < limit, F.lit(True))).select(*keys, "edges")
 
 
 def moving_point(stats: DataFrame, keys: Sequence[str], vegetation: str = "forest") -> DataFrame:
@@ -115,8 +135,8 @@ def mpt_threshold(df: DataFrame, ustar: str = "u*", nee: str = "NEE", tair: str
     rows = between_times(df, start, end).where(is_night(col(rg))).select(*keys, *[col(c).alias(c) for c in (ustar, nee, tair)], *([weight] if weight else []))
     grouped = quantile_bin(rows, tair, temp_groups, keys, "temp_group", weight).where("temp_group is not null")
     by = [*keys, "temp_group"]
-    gate = correlation_gate(grouped, tair, ustar, by, weight=weight).where("accepted").select(*by)
-    stats = ustar_bin_stats(keyed_join(grouped, gate, by, "left_semi"), ustar, nee, by, nee_bins, weight, label_rounding)
+    edges = gated_edges(grouped, tair, ustar, by, nee_bins, weight)
+    stats = binned_stats(grouped, edges, ustar, nee, by, nee_bins, weight, label_rounding)
     found = moving_point(stats, by, vegetation).groupBy(*keys).agg(F.percentile("threshold", F.lit(0.5)).alias("threshold"))
     return keyed_join(rows.select(*keys).distinct(), found, keys, "left") if keys else found
 
@@ -140,13 +160,47 @@ def bootstrap_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Seque
     return keyed_join(placed, counts.hint("merge"), [*keys, "__pos"])  # draws come from a short table and are many
 
 
-def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True) -> DataFrame:
-    """(keys, season, u5, u50, u95): percentiles over replicates for each season, and of the largest season as 'overall'.
+#: A prime below 2^31, and multipliers by which a hash runs through its residues.
+PRIME, REP_STRIDE, STRIDES, SHIFTS = 2_147_483_647, 1_000_003, (48_271, 40_692, 69_621), (15, 13, 16)
+#: floor(PRIME * P(X <= k)) for a Poisson variable X of mean 1: beyond the last, no residue is left.
+POISSON_CUTS = [int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+
 
-    Seasons are inclusive ranges and may overlap; without any, all rows are one season.
+def poisson_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Sequence[str] = (), identity: Sequence[str] = ("datetime",)) -> DataFrame:
+    """Rows with ``rep`` and ``weight``: a Poisson(1) weight for each replicate, in place of n draws with replacement.
+
+    A weight is a hash of (seed, keys, identity, replicate), so it needs no position, no table of draws and no join, and
+    doesn't depend on partitioning or on other rows. A replicate has n rows only on average. Rows of one key and identity
+    have the same weights; a row of weight 0 has no row for that replicate.
+    """
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in [*keys, *identity]]))
+    part = lambda at: F.conv(F.substr(name, F.lit(at), F.lit(7)), 16, 10).cast("long")
+    named = df.withColumn("__a", part(1)).withColumn("__b", part(8))
+    x = F.col("__x")
+    each = named.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__x", (F.col("__a") + F.col("rep").cast("long") * REP_STRIDE) % PRIME)
+    for stride, shift in zip(STRIDES, SHIFTS, strict=True):
+        each = each.withColumn("__x", (x * stride + F.col("__b")) % PRIME).withColumn("__x", x.bitwiseXOR(F.shiftright(x, shift)) % PRIME)
+    # columns of their own, and a condition on the hash itself: Spark would compute a long expression again wherever it is used
+    weight = sum((F.when(x >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0)).cast("long")
+    return each.where(x >= POISSON_CUTS[0]).withColumn("weight", weight).drop("__a", "__b", "__x")
+
+
+def bootstrap_thresholds(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True, draws: str = "multinomial") -> DataFrame:
+    """(keys, rep, season, threshold) of every replicate and season, and its largest season's as 'overall'.
+
+    Seasons are inclusive ranges and may overlap; without any, all rows are one season. ``draws`` is 'multinomial' (n draws
+    with replacement) or 'poisson' (a weight for each row; day rows, which no threshold needs, are left out before).
     """
     keys = list(keys)
-    sample = bootstrap_sample(df.select(*keys, "datetime", *[col(c).alias(c) for c in (ustar, nee, tair, rg)]), n_bootstraps, seed, keys)
+    names = [*keys, "datetime", *[c for c in (ustar, nee, tair, rg)]]
+    if draws == "poisson":
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows, dealt once before each becomes many
+        night = df.select(*[col(c) for c in names]).where(is_night(col(rg))).repartition(tasks, *[col(k) for k in keys], "datetime")
+        sample = poisson_sample(night, n_bootstraps, seed, keys)
+    elif draws == "multinomial":
+        sample = bootstrap_sample(df.select(*[col(c) for c in names]), n_bootstraps, seed, keys)
+    else:
+        raise ValueError(f"draws must be multinomial or poisson, not {draws!r}")
     if seasons:
         stamp = lambda t: F.lit(t).cast("timestamp_ntz")
         listed = [F.when(F.col("datetime").between(stamp(a), stamp(b)), F.lit(f"{a} to {b}")) for a, b in seasons]
@@ -154,7 +208,13 @@ def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = N
     else:
         sample = sample.withColumn("season", F.lit("all"))
     each = mpt_threshold(sample, ustar, nee, tair, rg, None, None, temp_groups, nee_bins, vegetation, [*keys, "rep", "season"], "weight", label_rounding)
-    largest = each.groupBy(*keys, "rep").agg(F.max("threshold").alias("threshold")).withColumn("season", F.lit("overall"))
+    largest = each.groupBy(*keys, "rep").agg(F.max("threshold").alias("threshold"))
+    return each.select(*keys, "rep", "season", "threshold").union(largest.select(*keys, "rep", F.lit("overall"), "threshold"))
+
+
+def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True, draws: str = "multinomial") -> DataFrame:
+    """(keys, season, u5, u50, u95): percentiles over the replicates of ``bootstrap_thresholds`` for each season, and 'overall'."""
+    each = bootstrap_thresholds(df, seasons, n_bootstraps, ustar, nee, tair, rg, temp_groups, nee_bins, vegetation, seed, keys, label_rounding, draws)
     p = F.percentile("threshold", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = each.unionByName(largest).groupBy(*keys, "season").agg(p.alias("p"))
+    out = each.groupBy(*keys, "season").agg(p.alias("p"))
     return out.select(*keys, "season", F.col("p")[0].alias("u5"), F.col("p")[1].alias("u50"), F.col("p")[2].alias("u95"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import clean, gapfill, partition, quality, report, ustar, windows
+from ..operators import clean, gapfill, partition, quality, quantiles, report, ustar, windows
 from ..session import shared_dir
 from ..sources import files
 from .fixtures import DUCK, biomet_text, era5_like, flux_text, halfhourly, write_logger
@@ -124,6 +124,28 @@ def smart_range_qc(spark, sf_dir):
     return out.select("site_id", "datetime", r("NEE_SmartY_qc"), r("VPD_SmartY_qc"))
 
 
+@query(f"""
+, q AS (SELECT quantile_cont(NEE, 0.25) a, quantile_cont(NEE, 0.5) b, quantile_cont(NEE, 0.75) c FROM h)
+SELECT site_id, datetime, {rs('NEE_SmartY_qc', 'CASE WHEN NEE BETWEEN b - 2*(c-a) AND b + 2*(c-a) THEN NEE END')} FROM h, q""")
+def smart_range_qc_keyless(spark, sf_dir):
+    """All sites as one group, with exact quartiles in bounded memory."""
+    return quality.smart_range_qc(halfhourly(spark, sf_dir), ["NEE"], k=2, bounded=True).select("site_id", "datetime", r("NEE_SmartY_qc"))
+
+
+WEIGHTED = [0, 0.05, 1 / 3, 0.5, 0.9, 1]
+
+
+@query(f"""
+, lg AS (SELECT l_suppkey % 3 AS site_id, 'price' AS variable, l_extendedprice::DOUBLE AS x, l_quantity::BIGINT AS w FROM lineitem UNION ALL SELECT l_suppkey % 3, 'discount', l_discount::DOUBLE, l_quantity::BIGINT FROM lineitem)
+, q AS (SELECT site_id, variable, quantile_cont(x, {WEIGHTED}) AS q FROM (SELECT *, unnest(range(w)) FROM lg) GROUP BY 1, 2)
+SELECT site_id, variable, {', '.join(rs(f'q{k}', f'q[{k + 1}]') for k in range(len(WEIGHTED)))} FROM q""")
+def weighted_quantiles(spark, sf_dir):
+    """Quantiles with weights, in bounded memory: prices (hardly a tie) and discounts (hardly anything else)."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 3).alias("site_id"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), "l_quantity")
+    out = quantiles.selected_quantiles(lines, ["price", "discount"], WEIGHTED, SITE, "l_quantity")
+    return out.select("site_id", "variable", *[r(f"q{k}", F.col("quantiles")[k]) for k in range(len(WEIGHTED))])
+
+
 @query(f"""SELECT site_id, datetime, {rs('NEE_MaxMinValue_qc', 'CASE WHEN NEE BETWEEN -15 AND 10 THEN NEE END')}, {rs('Tair_MaxMinValue_qc', 'CASE WHEN Tair BETWEEN 10 AND 20 THEN Tair END')} FROM h""")
 def range_qc(spark, sf_dir):
     out = quality.range_qc(halfhourly(spark, sf_dir), ["NEE", "Tair"], [-15, 10], [10, 20])
@@ -154,6 +176,18 @@ def datetime_qc(spark, sf_dir):
     return out.select("site_id", "datetime", r("NEE_Datetime_qc"))
 
 
+@query(f"""
+, e AS (SELECT CAST(floor(user_id/40) AS BIGINT) AS site_id, ts AS "start", ts + to_seconds(event_id % 1800) AS "end" FROM events WHERE event_id % 3 > 0)
+SELECT h.site_id, datetime, {rs('NEE_Datetime_qc', 'CASE WHEN bool_or(e."start" IS NOT NULL) THEN NULL ELSE any_value(NEE) END')} FROM h LEFT JOIN e ON e.site_id = h.site_id AND datetime BETWEEN e."start" AND e."end" GROUP BY 1, 2""")
+def datetime_qc_ranges(spark, sf_dir):
+    """Many irregular ranges of each site, two of three events' own half hours or parts of them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 > 0")
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") % 1800).cast("decimal(18,6)"))
+    start = F.col("ts").cast("timestamp_ntz")
+    ranges = events.select(F.floor(F.col("user_id") / 40).cast("long").alias("site_id"), start.alias("start"), (start + length).alias("end"))
+    return quality.datetime_qc(halfhourly(spark, sf_dir), "NEE", ranges, SITE).select("site_id", "datetime", r("NEE_Datetime_qc"))
+
+
 DESPIKE_SQL = """
 , p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, coalesce(Rg >= 10, false) AS isday FROM h)
 , w AS (SELECT a.site_id, a.pos, median(b.NEE) AS med, count(*) AS cnt, list(b.NEE) AS vals FROM p a JOIN p b ON a.site_id = b.site_id AND a.isday = b.isday AND b.pos BETWEEN a.pos - {half} AND a.pos + {half} AND b.NEE IS NOT NULL GROUP BY 1, 2)
@@ -276,6 +310,67 @@ def bootstrap_ustar(spark, sf_dir):
     return out.select("site_id", "season", r("u5"), r("u50"), r("u95"))
 
 
+def poisson_sql(x: str = "") -> str:
+    """The operator's hash and its inverted Poisson distribution over rows (site_id, datetime, rep)."""
+    p, cuts = ustar.PRIME, " + ".join(f"(x >= {c})::BIGINT" for c in ustar.POISSON_CUTS)
+    made = f"""
+, nm AS (SELECT *, ('0x' || substr(md5('42|' || site_id || '|' || datetime), 1, 7))::BIGINT AS a, ('0x' || substr(md5('42|' || site_id || '|' || datetime), 8, 7))::BIGINT AS b FROM h{x})
+, x0 AS (SELECT nm.*, rep, (a + rep * {ustar.REP_STRIDE}) % {p} AS x FROM nm, range(100) t(rep))"""
+    for k, (stride, shift) in enumerate(zip(ustar.STRIDES, ustar.SHIFTS)):
+        made += f"""
+, x{k + 1} AS (SELECT * REPLACE (xor(x, x >> {shift}) % {p} AS x) FROM (SELECT * REPLACE ((x * {stride} + b) % {p} AS x) FROM x{k}))"""
+    return made + f"""
+, pw AS (SELECT * EXCLUDE (x), {cuts} AS weight FROM x{len(ustar.STRIDES)})
+"""
+
+
+@query(poisson_sql() + "SELECT site_id, datetime, rep, weight FROM pw WHERE weight > 0 AND rep < 10")
+def poisson_weights(spark, sf_dir):
+    out = ustar.poisson_sample(halfhourly(spark, sf_dir), 10, 42, SITE)
+    return out.select("site_id", "datetime", F.col("rep").cast("long").alias("rep"), "weight")
+
+
+#: Two seasons that overlap, and one without rows.
+SEASONS = [("2024-01-01 00:00:00", "2024-01-18 23:59:59"), ("2024-01-12 00:00:00", "2024-12-31 23:59:59"), ("1999-01-01 00:00:00", "1999-12-31 23:59:59")]
+SEASON_SQL = ", ".join(f"('{a} to {b}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in SEASONS)
+TEMP_GROUPS_SQL = """
+, te AS (SELECT site_id, rep, season, list_transform(quantile_cont(Tair, [1/6, 2/6, 3/6, 4/6, 5/6]), lambda e: round(e, 9)) AS te FROM n1 GROUP BY ALL)
+, tb AS (SELECT n1.*, CASE WHEN Tair IS NOT NULL THEN len(list_filter(te, lambda e: Tair > e)) END AS temp_group FROM n1 JOIN te USING (site_id, rep, season))
+"""
+THRESHOLDS_SQL = bins_sql("tb", "site_id, rep, season") + """
+, each AS (SELECT site_id, rep, season, threshold FROM (SELECT DISTINCT site_id, rep, season FROM n1) LEFT JOIN found USING (site_id, rep, season))
+, reps AS (FROM each UNION ALL SELECT site_id, rep, 'overall', max(threshold) FROM each GROUP BY ALL)
+"""
+POISSON_SQL = poisson_sql(" WHERE Rg < 10") + ", n1 AS (SELECT *, 'all' AS season, unnest(range(weight)) AS copy FROM pw WHERE weight > 0)" + TEMP_GROUPS_SQL + THRESHOLDS_SQL
+SEASONS_SQL = f"""
+, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY datetime) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS cnt FROM h)
+, d AS (SELECT site_id, rep, ('0x' || substr(md5('42|' || site_id || '|' || rep || '|' || pos), 1, 8))::BIGINT % cnt AS pos FROM p, range(100) t(rep))
+, n1 AS (SELECT d.rep, p.*, season FROM d JOIN p USING (site_id, pos), (VALUES {SEASON_SQL}) v(season, a, b) WHERE Rg < 10 AND datetime BETWEEN a AND b)
+""" + TEMP_GROUPS_SQL + THRESHOLDS_SQL
+PERCENTILES_SQL = f"""SELECT site_id, season, {rs('u5', 'quantile_cont(threshold, 0.05)')}, {rs('u50', 'quantile_cont(threshold, 0.5)')}, {rs('u95', 'quantile_cont(threshold, 0.95)')} FROM reps GROUP BY ALL"""
+
+
+def _percentiles(out):
+    return out.select("site_id", "season", r("u5"), r("u50"), r("u95"))
+
+
+@query(POISSON_SQL + PERCENTILES_SQL)
+def bootstrap_poisson(spark, sf_dir):
+    return _percentiles(ustar.bootstrap_ustar(halfhourly(spark, sf_dir), None, 100, "ustar", keys=SITE, draws="poisson"))
+
+
+@query(SEASONS_SQL + PERCENTILES_SQL)
+def bootstrap_seasons(spark, sf_dir):
+    return _percentiles(ustar.bootstrap_ustar(halfhourly(spark, sf_dir), SEASONS, 100, "ustar", keys=SITE))
+
+
+@query(POISSON_SQL + f"SELECT site_id, rep, season, {rs('threshold')} FROM reps")
+def bootstrap_thresholds(spark, sf_dir):
+    """The threshold of each replicate."""
+    out = ustar.bootstrap_thresholds(halfhourly(spark, sf_dir), None, 100, "ustar", keys=SITE, draws="poisson")
+    return out.select("site_id", F.col("rep").cast("long").alias("rep"), "season", r("threshold"))
+
+
 @query(f"""SELECT site_id, datetime, {rs('reco', '2.5 * exp(200 * (1/56.02 - 1/(Tair + 46.02)))')} FROM h""")
 def lloyd_taylor(spark, sf_dir):
     return halfhourly(spark, sf_dir).select("site_id", "datetime", r("reco", physics.lloyd_taylor(F.col("Tair"), F.lit(2.5), F.lit(200.0))))
@@ -356,6 +451,33 @@ def interp_position(spark, sf_dir):
     return windows.interpolate_by_position(windows.positions(halfhourly(spark, sf_dir), SITE), "NEE", SITE).select("site_id", "datetime", r("NEE"))
 
 
+LINE_SQL = """
+, line AS (SELECT * REPLACE (datetime + to_days(CAST(64 * site_id AS INTEGER)) AS datetime) FROM h)
+"""
+
+
+def one_line(h):
+    """All sites as one series without keys, 64 days apart."""
+    return h.withColumn("datetime", F.col("datetime") + F.make_dt_interval((64 * F.col("site_id")).cast("int")))
+
+
+@query(LINE_SQL + """
+, p AS (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS pos, count(*) OVER () AS cnt FROM line)
+SELECT k AS "window", count(*) AS n_rows, min(pos) AS first_pos, max(pos) AS last_pos FROM p JOIN range(100000) t(k) ON pos >= k * 240 AND pos < k * 240 + 720 AND k * 240 < cnt - 720 GROUP BY 1""")
+def row_windows_keyless(spark, sf_dir):
+    out = windows.row_windows(one_line(halfhourly(spark, sf_dir)), 720, 240)
+    return out.groupBy("window").agg(F.count("*").alias("n_rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(LINE_SQL + """
+, p AS (SELECT 0 AS site_id, * EXCLUDE (site_id), row_number() OVER (ORDER BY datetime) - 1 AS pos FROM line)
+, an AS (SELECT site_id, pos, NEE AS rref FROM p WHERE NEE IS NOT NULL)
+""" + INTERP_SQL + f"SELECT datetime, {rs('NEE', 'rf')} FROM ip")
+def interp_position_keyless(spark, sf_dir):
+    placed = windows.positions(one_line(halfhourly(spark, sf_dir)))
+    return windows.interpolate_by_position(placed, "NEE", chunk_rows=1000).select("datetime", r("NEE"))
+
+
 @query(RREF_SQL + INTERP_SQL + f"""SELECT site_id, datetime, {rs('RECO', 'CASE WHEN rf IS NULL THEN NULL ELSE rf * exp(200 * (1/56.02 - 1/(Tair + 46.02))) END')}, {rs('GPP', 'CASE WHEN rf IS NULL THEN NULL ELSE rf * exp(200 * (1/56.02 - 1/(Tair + 46.02))) - NEE END')} FROM ip""")
 def nt_partition_fixed_e0(spark, sf_dir):
     out = partition.nt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows", e0=200.0)
@@ -409,18 +531,41 @@ def dt_light_fit(spark, sf_dir):
     return out.select("site_id", "window", "centre", *[F.round(c, 3).alias(c) for c in ("alpha", "GPP_max", "beta")])
 
 
-@query(f"""
+TIME_SQL = f"""
 , b AS (SELECT site_id, datetime AS t, Tair AS v, lead(datetime) OVER w AS t2, lead(Tair) OVER w AS v2, lag(datetime) OVER w AS t_, lag(Tair) OVER w AS v_ FROM h WHERE hour(datetime) = 6 AND minute(datetime) = 0 WINDOW w AS (PARTITION BY site_id ORDER BY datetime))
 , s AS (SELECT site_id, t, CASE WHEN t2 IS NULL THEN coalesce(t_, t) ELSE t END AS ta, CASE WHEN t2 IS NULL THEN coalesce(v_, v) ELSE v END AS va, coalesce(t2, t) AS tb, coalesce(v2, v) AS vb, row_number() OVER (PARTITION BY site_id ORDER BY t) AS k FROM b)
 , l AS (SELECT h.site_id, h.datetime, coalesce(max(k) FILTER (s.t <= h.datetime), 1) AS k FROM h JOIN s ON h.site_id = s.site_id GROUP BY 1, 2)
-SELECT l.site_id, l.datetime, {rs('anchor', "va + (vb - va) * CASE WHEN ta = tb THEN 0 ELSE CAST(date_diff('second', ta, l.datetime) AS DOUBLE) / date_diff('second', ta, tb) END")} FROM l JOIN s USING (site_id, k)""")
+SELECT l.site_id, l.datetime, {rs('anchor', "va + (vb - va) * CASE WHEN ta = tb THEN 0 ELSE CAST(date_diff('second', ta, l.datetime) AS DOUBLE) / date_diff('second', ta, tb) END")} FROM l JOIN s USING (site_id, k)"""
+
+
+def _at_six(h):
+    return h.where((F.hour("datetime") == 6) & (F.minute("datetime") == 0))
+
+
+@query(TIME_SQL)
 def interp_time(spark, sf_dir):
     h = halfhourly(spark, sf_dir).select("site_id", "datetime", "Tair")
-    anchors = h.where((F.hour("datetime") == 6) & (F.minute("datetime") == 0)).select("site_id", F.col("datetime").alias("centre"), F.col("Tair").alias("anchor"))
+    anchors = _at_six(h).select("site_id", F.col("datetime").alias("centre"), F.col("Tair").alias("anchor"))
     out = windows.interpolate_by_time(h, anchors, ["anchor"], SITE)
     return out.where("anchor is not null").select("site_id", "datetime", r("anchor"))
 
 
+@query(LINE_SQL + TIME_SQL.replace("FROM h ", "FROM (SELECT 0 AS site_id, * EXCLUDE (site_id) FROM line) h ").replace("SELECT l.site_id, l.datetime", "SELECT l.datetime"))
+def interp_time_keyless(spark, sf_dir):
+    h = one_line(halfhourly(spark, sf_dir)).select("datetime", "Tair")
+    anchors = _at_six(h).select(F.col("datetime").alias("centre"), F.col("Tair").alias("anchor"))
+    return windows.interpolate_by_time(h, anchors, ["anchor"]).where("anchor is not null").select("datetime", r("anchor"))
+
+
+@query(LINE_SQL + """
+, b AS (SELECT min(datetime) AS t0, max(datetime) AS t1 FROM line)
+, c2 AS (SELECT k AS "window", t0 + to_days(CAST(2*k AS INTEGER)) AS centre FROM b JOIN range(100000) t(k) ON k <= date_diff('second', t0, t1) / 172800)
+SELECT "window", centre, count(*) AS n_rows, min(line.datetime) AS first_row, max(line.datetime) AS last_row FROM c2 JOIN line ON line.datetime BETWEEN centre - INTERVAL 7 DAYS AND centre + INTERVAL 7 DAYS GROUP BY 1, 2""")
+def time_windows_keyless(spark, sf_dir):
+    out = windows.time_windows(one_line(halfhourly(spark, sf_dir)), 15, 2)
+    return out.groupBy("window", "centre").agg(F.count("*").alias("n_rows"), F.min("datetime").alias("first_row"), F.max("datetime").alias("last_row"))
+
+
 @query()
 def dt_partition(spark, sf_dir):
     out = partition.dt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
