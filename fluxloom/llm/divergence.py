@@ -25,8 +25,8 @@ from . import common
 LEAST_DOCS, SMOOTHING, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
 #: Entries that a task counts before it sends them on, and bytes of a text that it splits at a time.
 ENTRIES, SLICE_BYTES = 200_000, 1 << 20
-#: Postings of a block of the index on average.
-BLOCK_POSTINGS = 1 << 19
+#: Postings of a block of the index on average: this many, or as many as the language has pairs of groups, up to a bound.
+BLOCK_POSTINGS, MOST_POSTINGS = 1 << 15, 1 << 21
 #: Groups whose corrections by all peers are held at a time.
 PEER_ROWS = 256
 #: Letters in lower case; every other byte below 128 parts terms.
@@ -144,8 +144,9 @@ def pair_sums(postings: DataFrame, peers: DataFrame) -> DataFrame:
     and each block has the peers of its language as its first rows. A block's distances add up over blocks.
     """
     sizes = postings.groupBy("lang").agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_POSTINGS)).cast("int")
-    counted = peers.select("lang").distinct().join(sizes, "lang", "left").select("lang", F.coalesce(blocks, F.lit(1)).alias("blocks"))
+    per = F.least(F.greatest(F.lit(BLOCK_POSTINGS), F.col("groups") * F.col("groups") / 2), F.lit(MOST_POSTINGS))
+    blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / per)).cast("int")
+    counted = peers.groupBy("lang").agg(F.count("*").alias("groups")).join(sizes, "lang", "left").select("lang", blocks.alias("blocks"))
     first = peers.join(counted, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # the first block starts the sums over all terms; the others only correct them
     first = first.select("lang", "block", F.lit(None).cast("long").alias("term"), "g", F.col("base").alias("p"), F.when(F.col("block") == 0, F.col("terms")).otherwise(0).alias("terms"))
