@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import NIGHT_RADIATION, T_REF, T_ZERO, is_night, light_response, lloyd_taylor, temperature_term
 from .clean import col, keyed_join
-from .windows import interpolate_by_position, interpolate_by_time, positions, row_windows, time_windows
+from .windows import centre_of, centred, interpolate_by_position, interpolate_by_time, positions, row_windows
 
 E0_BOUNDS, MOST_RELATIVE_ERROR, BEST_FITS = (30.0, 450.0), 0.5, 3
 ROWS_PER_DAY = 48
+#: Bounds of the light response, and where the search for its two non-linear parameters begins: E0, and the logarithm of G / alpha.
+MOST_ALPHA, MOST_GPP, MOST_BETA = 1.0, 100.0, 0.5
+E0_GRID, HALF_GRID = np.arange(-2000.0, 3001.0, 50.0), np.log(10.0) * np.arange(-1.0, 6.01, 0.1)
+#: Halvings of an interval of these grids, and windows of a series that are fitted together.
+BISECTIONS, WINDOW_BLOCK = 48, 32
 
 
 def term(t: np.ndarray) -> np.ndarray:
@@ -113,100 +118,149 @@ def nt_partition(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str =
     return placed.withColumn("RECO", reco).withColumn("GPP", gpp).drop("__pos", "__rref", "__e0")
 
 
-def fit_respiration(t: np.ndarray, nee: np.ndarray, e0: float = 300.0) -> tuple[float, float]:
-    """(Rref, E0) without bounds: Rref is linear given E0, so E0 alone is searched, by damped Gauss-Newton on the projection."""
-    g = term(t)
+class Ragged:
+    """Rows of several windows end to end, and sums over each window."""
 
-    def at(e: float) -> tuple[float, float]:
-        k = np.exp(e * g)
-        r = float((k * nee).sum() / (k**2).sum())
-        return r, float(((nee - r * k) ** 2).sum())
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        sizes = ends - starts
+        self.of = np.repeat(np.arange(len(starts)), sizes)  # the window of each place
+        self.at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)  # the row at each place
+        self.n = sizes.astype(float)
 
-    (r, now), damp = at(e0), 1e-3
-    for _ in range(200):
-        k = np.exp(e0 * g)
-        j = np.column_stack([k, r * g * k])
-        h, b = j.T @ j, j.T @ (nee - r * k)
-        try:
-            step = np.linalg.solve(h + damp * np.diag(np.maximum(np.diag(h), 1e-12)), b)[1]
-        except np.linalg.LinAlgError:
-            break
-        with np.errstate(over="ignore", invalid="ignore"):
-            trial, after = at(e0 + step)
-        if np.isfinite(after) and after <= now:
-            done = abs(step) < 1e-9 * max(1.0, abs(e0))
-            e0, r, now, damp = e0 + step, trial, after, max(damp / 10, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
-                break
-    return r, e0
-
-
-def fit_light(rg: np.ndarray, nee: np.ndarray, reco: np.ndarray) -> np.ndarray:
-    """alpha, GPP_max and beta of NEE = RECO - (alpha rg G / (alpha rg + G) - beta), on the box, by projected Levenberg steps."""
-    low, high = np.zeros(3), np.array([1.0, 100.0, 0.5])
-    y = reco - nee
-    p, damp = np.array([0.1, 30.0, 0.05]), 1e-2
-
-    def model(p):
-        a, g, b = p
-        d = np.maximum(a * rg + g, 1e-12)
-        return a * rg * g / d - b, np.column_stack([rg * g**2 / d**2, (a * rg) ** 2 / d**2, -np.ones_like(rg)])
-
-    f, j = model(p)
-    now = float(((y - f) ** 2).sum())
-    for _ in range(400):
-        h = j.T @ j
-        step = np.linalg.solve(h + damp * np.diag(np.maximum(np.diag(h), 1e-9)), j.T @ (y - f))
-        trial = np.clip(p + step, low, high)
-        f2, j2 = model(trial)
-        after = float(((y - f2) ** 2).sum())
-        if after <= now:
-            done = np.abs(trial - p).max() < 1e-10
-            p, f, j, now, damp = trial, f2, j2, after, max(damp / 5, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 5
-            if damp > 1e12:
-                break
-    return p
+    def sum(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, len(self.n))
+
+
+def lowest(grid: np.ndarray, loss, slope, n: int) -> np.ndarray:
+    """Where each of n windows has its least loss: the best point of a grid, then bisection on the sign of the slope beside it.
+
+    ``loss`` and ``slope`` take one point for each window; the slope is positive where the loss falls.
+    """
+    tried = np.stack([loss(np.full(n, e)) for e in grid])
+    best = np.argmin(np.where(np.isfinite(tried), tried, np.inf), axis=0)
+    lo, hi = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, len(grid) - 1)]
+    for _ in range(BISECTIONS):
+        mid = (lo + hi) / 2
+        rising = slope(mid) > 0
+        lo, hi = np.where(rising, mid, lo), np.where(rising, hi, mid)
+    return (lo + hi) / 2
+
+
+def fit_respiration(t: np.ndarray, nee: np.ndarray, windows: Ragged | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(Rref, E0) of each window, E0 between the ends of E0_GRID: Rref is linear given E0, so E0 alone is searched, for all windows at once."""
+    w = windows or Ragged(np.array([0]), np.array([len(t)]))
+    g, y = term(t)[w.at], nee[w.at]
+
+    def parts(e: np.ndarray):
+        k = np.exp(e[w.of] * g)
+        return k, w.sum(k * y) / w.sum(k * k)
+
+    def loss(e: np.ndarray) -> np.ndarray:
+        k, r = parts(e)
+        return w.sum((y - r[w.of] * k) ** 2)
+
+    def slope(e: np.ndarray) -> np.ndarray:
+        k, r = parts(e)
+        return r * w.sum(g * k * (y - r[w.of] * k))
+
+    e0 = lowest(E0_GRID, loss, slope, len(w.n))
+    return parts(e0)[1], e0
+
+
+def box_fit(n, s, ss, y, ys, most):
+    """(G, beta) with the least sum of (y - G s + beta)^2 for 0 <= G <= most and 0 <= beta <= MOST_BETA, from sums; exact, as that is convex."""
+    det = np.maximum(n * ss - s * s, 1e-300)
+    inner = (n * ys - s * y) / det, (s * ys - ss * y) / det
+    inside = (inner[0] >= 0) & (inner[0] <= most) & (inner[1] >= 0) & (inner[1] <= MOST_BETA) & (n * ss - s * s > 1e-12 * n * ss)
+    sides = [(np.clip((ys + b * s) / np.maximum(ss, 1e-300), 0, most), np.full(len(n), b)) for b in (0.0, MOST_BETA)]
+    sides += [(g, np.clip((g * s - y) / n, 0, MOST_BETA)) for g in (np.zeros(len(n)), most)]
+    cost = np.stack([g * g * ss - 2 * g * ys - 2 * g * b * s + 2 * b * y + b * b * n for g, b in sides])
+    best = np.argmin(cost, axis=0)
+    pick = lambda k: np.take_along_axis(np.stack([c[k] for c in sides]), best[None], 0)[0]
+    return np.where(inside, inner[0], pick(0)), np.where(inside, inner[1], pick(1))
+
+
+def fit_light(rg: np.ndarray, nee: np.ndarray, reco: np.ndarray, windows: Ragged | None = None) -> np.ndarray:
+    """alpha, GPP_max and beta (rows) of each window (columns) of NEE = RECO - (alpha rg G / (alpha rg + G) - beta), on the box.
+
+    With h = G / alpha, the radiation of half the light response, the model is G rg / (rg + h) - beta: linear in G and beta
+    given h. So log h alone is searched, for all windows at once. ``reco`` has a value for each place of ``windows``.
+    """
+    w = windows or Ragged(np.array([0]), np.array([len(rg)]))
+    x, y = rg[w.at], reco - nee[w.at]
+    sum_y = w.sum(y)
+
+    def parts(u: np.ndarray):
+        h = np.exp(u)
+        s = x / (x + h[w.of])
+        g, b = box_fit(w.n, w.sum(s), w.sum(s * s), sum_y, w.sum(y * s), np.minimum(MOST_GPP, h * MOST_ALPHA))
+        return h, s, g, b
+
+    def loss(u: np.ndarray) -> np.ndarray:
+        _, s, g, b = parts(u)
+        return w.sum((y - g[w.of] * s + b[w.of]) ** 2)
+
+    def slope(u: np.ndarray) -> np.ndarray:
+        h, s, g, b = parts(u)
+        off = y - g[w.of] * s + b[w.of]
+        # along h, and along G too where the bound of alpha ties it to h
+        tied = np.where((g >= h * MOST_ALPHA) & (h * MOST_ALPHA < MOST_GPP), MOST_ALPHA, 0.0)
+        return w.sum(off * (tied[w.of] * s - g[w.of] * s / (x + h[w.of])))
+
+    h, _, g, b = parts(lowest(HALF_GRID, loss, slope, len(w.n)))
+    return np.stack([g / h, g, b])
 
 
 def fit_day_windows(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", window_days: int = 15, step_days: int = 2, keys: Sequence[str] = (), nulls: str = "skip_window") -> DataFrame:
     """(keys, window, centre, R_ref, E0, alpha, GPP_max, beta): the night fit of each window, then its light response.
 
-    A window needs ten rows and more than five at night; without a day fit the last three are null.
+    A window needs ten rows and more than five at night; without a day fit the last three are null. WINDOW_BLOCK windows of a
+    series are one task's: a row goes there once, though it is in many windows, and their fits are searched together.
     """
     keys = list(keys)
-    narrow = df.select(*keys, "datetime", col(nee).alias("__nee"), col(tair).alias("__tair"), col(rg).alias("__rg"))
-    listed = time_windows(narrow, window_days, step_days, keys)
+    narrow = df.select(*keys, "datetime", col(nee).cast("double").alias("__nee"), col(tair).cast("double").alias("__tair"), col(rg).cast("double").alias("__rg"))
+    timed, lo, hi = centred(narrow, window_days, step_days, keys)
+    blocks = F.when(hi >= lo, F.sequence(F.floor(lo / WINDOW_BLOCK), F.floor(hi / WINDOW_BLOCK)))
+    listed = timed.select(*keys, (F.col("__t") - F.col("__t0")).alias("__u"), (F.col("__t1") - F.col("__t0")).alias("__end"), "__t0", "__nee", "__tair", "__rg", F.explode(blocks).alias("__block"))
     names = ["R_ref", "E0", "alpha", "GPP_max", "beta"]
+    half, step = window_days // 2 * 86400, step_days * 86400
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[[*keys, "window", "centre"]].iloc[:1]
-        n, t, r = (rows[c].to_numpy(float, na_value=np.nan) for c in ("__nee", "__tair", "__rg"))
-        dark, light = r < NIGHT_RADIATION, r >= NIGHT_RADIATION
-        if nulls == "drop_rows":
-            ok = ~np.isnan(n) & ~np.isnan(t)
-            dark, light = dark & ok, light & ok
-        if len(rows) < 10 or dark.sum() <= 5 or np.isnan(n[dark]).any() or np.isnan(t[dark]).any():
-            return head.iloc[:0].assign(**{c: [] for c in names})
-        r_ref, e0 = fit_respiration(t[dark], n[dark])
-        day = [None] * 3
-        if light.sum() > 3 and not (np.isnan(n[light]).any() or np.isnan(t[light]).any()):
-            try:
-                day = fit_light(r[light], n[light], r_ref * np.exp(e0 * term(t[light]))).tolist()
-            except np.linalg.LinAlgError:
-                pass
-        return head.assign(**dict(zip(names, [r_ref, e0, *day], strict=True))).astype({c: "float64" for c in names}) if day[0] is not None else head.assign(**{c: v for c, v in zip(names, [r_ref, e0, *day], strict=True)})
+        rows = rows.sort_values("__u", kind="stable")
+        head = rows.iloc[0]
+        u, n, t, r = (rows[c].to_numpy(float, na_value=np.nan) for c in ("__u", "__nee", "__tair", "__rg"))
+        first = int(head["__block"]) * WINDOW_BLOCK
+        number = np.arange(first, min(first + WINDOW_BLOCK, int(head["__end"]) // step + 1))
+        bounds = lambda x: (np.searchsorted(x, number * step - half), np.searchsorted(x, number * step + half, side="right"))
+        a, b = bounds(u)
+        whole, held = ~np.isnan(n) & ~np.isnan(t), {}
+        for kind, here in (("dark", r < NIGHT_RADIATION), ("light", r >= NIGHT_RADIATION)):
+            at = np.flatnonzero(here & whole if nulls == "drop_rows" else here)
+            c, d = bounds(u[at])
+            gaps = np.concatenate([[0], np.cumsum(~whole[at])])
+            held[kind] = at, c, d, (d - c > (5 if kind == "dark" else 3)) & (gaps[d] == gaps[c])
+        at, c, d, fine = held["dark"]
+        fine &= b - a >= 10
+        out = {k: np.full(len(number), np.nan) for k in names}
+        if fine.any():
+            out["R_ref"][fine], out["E0"][fine] = fit_respiration(t[at], n[at], Ragged(c[fine], d[fine]))
+        at, c, d, lit = held["light"]
+        lit &= fine
+        if lit.any():
+            w = Ragged(c[lit], d[lit])
+            reco = out["R_ref"][lit][w.of] * np.exp(out["E0"][lit][w.of] * term(t[at])[w.at])
+            out["alpha"][lit], out["GPP_max"][lit], out["beta"][lit] = fit_light(r[at], n[at], reco, w)
+        made = pd.DataFrame({"window": number, **out})[fine]
+        made.insert(0, "__t0", int(head["__t0"]))
+        for k in reversed(keys):
+            made.insert(0, k, pd.Series([head[k]] * len(made), index=made.index, dtype=rows[k].dtype))
+        return made
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "window long", "centre timestamp_ntz", *(f"{c} double" for c in names)])
-    return listed.select(*keys, "window", "centre", "__nee", "__tair", "__rg").groupBy(*keys, "window", "centre").applyInPandas(run, schema)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "__t0 long, window long", *(f"{c} double" for c in names)])
+    made = listed.groupBy(*keys, "__block").applyInPandas(run, schema)
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return made.select(*keys, "window", centre_of(F.col("window"), F.col("__t0"), step_days).alias("centre"), *[known(c) for c in names])
 
 
 def dt_partition(df: DataFrame, nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", window_size: int = 15, step_size: int = 2, keys: Sequence[str] = (), nulls: str = "skip_window") -> DataFrame:

@@ -60,8 +60,8 @@ def row_windows(df: DataFrame, window_rows: int, shift_rows: int, keys: Sequence
     return listed.withColumn("start", F.col("window") * shift_rows).withColumnRenamed("__pos", "pos").drop("__n")
 
 
-def time_windows(df: DataFrame, window_days: int = 15, step_days: int = 2, keys: Sequence[str] = (), whole_series: bool | None = None) -> DataFrame:
-    """Each row once for each centre within window_days // 2 days of it, both ends included; columns window and centre."""
+def centred(df: DataFrame, window_days: int, step_days: int, keys: Sequence[str] = (), whole_series: bool | None = None) -> tuple[DataFrame, Column, Column]:
+    """``df`` with seconds __t, and those of its series' first and last row, __t0 and __t1; and the first and last window that hold a row."""
     half, step = window_days // 2 * 86400, step_days * 86400
     timed = df.withColumn("__t", seconds("datetime"))
     if entire(keys, whole_series):
@@ -71,9 +71,18 @@ def time_windows(df: DataFrame, window_days: int = 15, step_days: int = 2, keys:
         t = keyed_join(timed, df.groupBy(*keys).agg(F.min(seconds("datetime")).alias("__t0"), F.max(seconds("datetime")).alias("__t1")), keys)
     lo = F.greatest(F.lit(0), F.ceil((F.col("__t") - half - F.col("__t0")) / step))
     hi = F.least(F.floor((F.col("__t") + half - F.col("__t0")) / step), F.floor((F.col("__t1") - F.col("__t0")) / step))
+    return t, lo, hi
+
+
+def centre_of(window: Column, first: Column, step_days: int) -> Column:
+    return F.timestamp_seconds(first + window * (step_days * 86400)).cast("timestamp_ntz")
+
+
+def time_windows(df: DataFrame, window_days: int = 15, step_days: int = 2, keys: Sequence[str] = (), whole_series: bool | None = None) -> DataFrame:
+    """Each row once for each centre within window_days // 2 days of it, both ends included; columns window and centre."""
+    t, lo, hi = centred(df, window_days, step_days, keys, whole_series)
     listed = t.withColumn("window", F.explode(F.when(hi >= lo, F.sequence(lo, hi))))
-    centre = F.timestamp_seconds(F.col("__t0") + F.col("window") * step).cast("timestamp_ntz")
-    return listed.withColumn("centre", centre).drop("__t", "__t0", "__t1")
+    return listed.withColumn("centre", centre_of(F.col("window"), F.col("__t0"), step_days)).drop("__t", "__t0", "__t1")
 
 
 def interpolate_by_position(df: DataFrame, value: str, keys: Sequence[str] = (), pos: str = "__pos", into: str | None = None, whole_series: bool | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -519,16 +521,60 @@ def time_windows(spark, sf_dir):
     return out.groupBy("site_id", "window", "centre").agg(F.count("*").alias("n_rows"), F.min("datetime").alias("first_row"), F.max("datetime").alias("last_row"))
 
 
-@query()
+def light_level(last: str, k: int, step: float, at: str = '"window", u0') -> str:
+    """CTE v<k>: of 21 points of u above each window's, the last from which the loss still falls, with its exact box fit."""
+    most, cap = f"least({partition.MOST_GPP!r}, hh * {partition.MOST_ALPHA!r})", f"{partition.MOST_BETA!r}::DOUBLE"
+    side = lambda g, b: f"(SELECT {{'c': gg*gg*ss - 2*gg*ys - 2*gg*bb*s + 2*bb*y + bb*bb*n, 'g': gg, 'b': bb}} FROM (SELECT {g} AS gg, {b} AS bb))"
+    clip = lambda x, hi: f"greatest(0, least({x}, {hi}))"
+    sides = [side(clip("ys/ss", most), "0::DOUBLE"), side(clip(f"(ys + {cap}*s)/ss", most), cap), side("0::DOUBLE", clip("-y/n", cap)), side(most, clip(f"({most}*s - y)/n", cap))]
+    return f"""
+, s{k} AS (SELECT site_id, "window", u, exp(u) AS hh, count(*) AS n, sum(y) AS y, sum(s) AS s, sum(s*s) AS ss, sum(y*s) AS ys, sum(s*t) AS st, sum(y*t) AS yt, sum(t) AS t
+  FROM (SELECT *, Rg/(Rg + exp(u)) AS s, Rg/(Rg + exp(u))/(Rg + exp(u)) AS t FROM (SELECT site_id, "window", u0 + i * {step!r} AS u FROM {last}, range(0, 21) q(i)) JOIN ld USING (site_id, "window")) GROUP BY 1, 2, 3)
+, f{k} AS (SELECT *, CASE WHEN gi BETWEEN 0 AND {most} AND bi BETWEEN 0 AND {cap} THEN {{'c': 0::DOUBLE, 'g': gi, 'b': bi}} ELSE list_min([{", ".join(sides)}]) END AS o
+  FROM (SELECT *, (n*ys - s*y)/(n*ss - s*s) AS gi, (s*ys - ss*y)/(n*ss - s*s) AS bi FROM s{k}))
+, v{k} AS (SELECT site_id, "window", coalesce(max(u) FILTER (-o.g * (yt - o.g*st + o.b*t) + CASE WHEN o.g >= hh * {partition.MOST_ALPHA!r} THEN ys - o.g*ss + o.b*s ELSE 0 END > 0), min(u)) AS u0 FROM f{k} GROUP BY 1, 2)
+"""
+
+
+DAY_E0_STEPS = [5.0, 0.25, 0.0125, 6.25e-4, 3.125e-5, 1.5625e-6, 7.8125e-8, 3.90625e-9]
+DAY_SQL = """
+, b AS (SELECT site_id, min(datetime) AS t0, max(datetime) AS t1 FROM h GROUP BY 1)
+, c2 AS (SELECT site_id, k AS "window", t0 + to_days(CAST(2*k AS INTEGER)) AS centre FROM b JOIN range(100000) t(k) ON k <= date_diff('second', t0, t1) / 172800)
+, wr AS (SELECT c2.site_id, "window", centre, NEE, Tair, Rg, 1/56.02 - 1/(Tair + 46.02) AS g FROM c2 JOIN h ON h.site_id = c2.site_id AND datetime BETWEEN centre - INTERVAL 7 DAYS AND centre + INTERVAL 7 DAYS)
+, okw AS (SELECT site_id, "window", any_value(centre) AS centre FROM wr GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (Rg < 10 AND NEE IS NOT NULL AND Tair IS NOT NULL) > 5)
+, nd AS (SELECT wr.* FROM wr JOIN okw USING (site_id, "window") WHERE Rg < 10 AND NEE IS NOT NULL AND wr.Tair IS NOT NULL)
+, z0 AS (SELECT site_id, "window", greatest(-2000.0, arg_min(e, loss) - 50) AS e FROM (SELECT site_id, "window", e, sum(NEE*NEE) - power(sum(exp(e*g)*NEE), 2) / sum(exp(2*e*g)) AS loss FROM nd, (SELECT -2000.0 + 50*i AS e FROM range(101) t(i)) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+""" + narrowed("nd", "sum(exp(e*g)*NEE) * (sum(g*exp(e*g)*NEE) - sum(exp(e*g)*NEE) / sum(exp(2*e*g)) * sum(g*exp(2*e*g)))", "z0", DAY_E0_STEPS) + f"""
+, nf AS (SELECT site_id, "window", e AS E0, sum(exp(e*g)*NEE) / sum(exp(2*e*g)) AS R_ref FROM nd JOIN z{len(DAY_E0_STEPS)} USING (site_id, "window") GROUP BY 1, 2, 3)
+"""
+# the grid's step is a tenth of log 10; each of the levels after it has twenty steps of the one before
+LIGHT_STEPS = [math.log(10) / 100 / 20**k for k in range(7)]
+LIGHT_SQL = DAY_SQL + """
+, ld0 AS (SELECT site_id, "window", Rg, R_ref*exp(E0*g) - NEE AS y FROM wr JOIN nf USING (site_id, "window") WHERE Rg >= 10 AND NEE IS NOT NULL AND Tair IS NOT NULL)
+, ld AS (SELECT * FROM ld0 QUALIFY count(*) OVER (PARTITION BY site_id, "window") > 3)
+, g0 AS (SELECT DISTINCT site_id, "window", ln(10) * (-1 + 2.1*j) AS u0 FROM ld, range(4) t(j))
+""" + light_level("g0", 0, math.log(10) / 10).split("\n, v0")[0] + """
+, v0 AS (SELECT site_id, "window", greatest(-ln(10), arg_min(u, o.g*o.g*ss - 2*o.g*ys - 2*o.g*o.b*s + 2*o.b*y + o.b*o.b*n) - ln(10)/10) AS u0 FROM f0 WHERE u < 6.05 * ln(10) GROUP BY 1, 2)
+""" + "".join(light_level(f"v{k}", k + 1, step) for k, step in enumerate(LIGHT_STEPS)) + f"""
+, lf AS (SELECT site_id, "window", o.g / hh AS alpha, o.g AS GPP_max, o.b AS beta FROM f{len(LIGHT_STEPS)} JOIN v{len(LIGHT_STEPS)} USING (site_id, "window") WHERE u = u0)
+, fit AS (SELECT site_id, "window", centre, R_ref, E0, alpha, GPP_max, beta FROM nf JOIN okw USING (site_id, "window") LEFT JOIN lf USING (site_id, "window"))
+"""
+
+
+def places(c: str, digits: int):
+    return F.round(F.col(c) + 1e-9, digits).alias(c)
+
+
+@query(DAY_SQL + 'SELECT site_id, "window", centre, round(R_ref + 1e-9, 4) AS "R_ref", round(E0 + 1e-9, 3) AS "E0" FROM nf JOIN okw USING (site_id, "window")')
 def dt_night_fit(spark, sf_dir):
     out = partition.fit_day_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
-    return out.select("site_id", "window", "centre", F.round("R_ref", 4).alias("R_ref"), F.round("E0", 3).alias("E0"))
+    return out.select("site_id", "window", "centre", places("R_ref", 4), places("E0", 3))
 
 
-@query()
+@query(LIGHT_SQL + 'SELECT site_id, "window", centre, round(alpha + 1e-9, 4) AS alpha, round(GPP_max + 1e-9, 3) AS "GPP_max", round(beta + 1e-9, 4) AS beta FROM fit')
 def dt_light_fit(spark, sf_dir):
     out = partition.fit_day_windows(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
-    return out.select("site_id", "window", "centre", *[F.round(c, 3).alias(c) for c in ("alpha", "GPP_max", "beta")])
+    return out.select("site_id", "window", "centre", places("alpha", 4), places("GPP_max", 3), places("beta", 4))
 
 
 TIME_SQL = f"""
@@ -566,10 +612,20 @@ def time_windows_keyless(spark, sf_dir):
     return out.groupBy("window", "centre").agg(F.count("*").alias("n_rows"), F.min("datetime").alias("first_row"), F.max("datetime").alias("last_row"))
 
 
-@query()
+FITTED = ("R_ref", "E0", "alpha", "GPP_max", "beta")
+
+
+@query(LIGHT_SQL + f"""
+, an AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY centre) AS k, count(*) OVER (PARTITION BY site_id) AS m FROM fit WHERE alpha IS NOT NULL)
+, l AS (SELECT h.site_id, h.datetime, any_value(h.NEE) AS NEE, any_value(h.Tair) AS Tair, any_value(h.Rg) AS Rg, greatest(1, least(coalesce(max(k) FILTER (centre <= datetime), 1), max(m) - 1)) AS k FROM h LEFT JOIN an USING (site_id) GROUP BY 1, 2)
+, li AS (SELECT l.*, coalesce(date_diff('second', x.centre, datetime)::DOUBLE / date_diff('second', x.centre, z.centre), 0) AS share, {", ".join(f"x.{c} AS {c}0, coalesce(z.{c}, x.{c}) AS {c}1" for c in FITTED)}
+  FROM l LEFT JOIN an x ON x.site_id = l.site_id AND x.k = l.k LEFT JOIN an z ON z.site_id = l.site_id AND z.k = l.k + 1)
+, lv AS (SELECT site_id, datetime, NEE, Tair, Rg, {", ".join(f"{c}0 + ({c}1 - {c}0) * share AS {c}" for c in FITTED)} FROM li)
+, lm AS (SELECT *, R_ref * exp(E0 * (1/56.02 - 1/(Tair + 46.02))) AS reco, alpha * Rg * GPP_max / (alpha * Rg + GPP_max) - beta AS model FROM lv)
+SELECT site_id, datetime, round(CASE WHEN Rg >= 10 THEN reco ELSE NEE END + 1e-9, 4) AS "RECO", round(CASE WHEN Rg >= 10 THEN reco - NEE END + 1e-9, 4) AS "GPP", round(CASE WHEN Rg >= 10 THEN model END + 1e-9, 4) AS "GPP_model" FROM lm""")
 def dt_partition(spark, sf_dir):
     out = partition.dt_partition(halfhourly(spark, sf_dir), keys=SITE, nulls="drop_rows")
-    return out.select("site_id", "datetime", *[F.round(c, 3).alias(c) for c in ("RECO", "GPP", "GPP_model")])
+    return out.select("site_id", "datetime", *[places(c, 4) for c in ("RECO", "GPP", "GPP_model")])
 
 
 @query("""SELECT site_id, count(NEE) AS known, count(*) - count(NEE) AS missing FROM h GROUP BY 1""")
