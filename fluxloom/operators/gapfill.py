@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir, stored
 from .clean import CANONICAL_ERA5, col
 
+# Columns of the exchanged datasets, and the names by which methods are called.
 NOT_FEATURES = ("datetime", "LE", "NEE", "H", "SHF", "u*")
 NOT_NEGATIVE = ("SWC", "SWIN", "PPFD", "RH", "VPD", "Rn", "Rg", "pr")
 METHODS = {"XGboost": "XGB", "XGB": "XGB", "XGb": "XGB", "RandomForest": "RF", "RF": "RF", "Adaboost": "Ada", "Ada": "Ada", "NeuralNetwork": "ANN", "ANN": "ANN"}
@@ -110,7 +111,64 @@ def _trees(df: DataFrame, target: str, short: str, estimator, mode, x_col, pred_
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, model, names))
 
 
-def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, max_depth: int = 3, step_size: float = 0.1, rounds: int = 100, subsample: float = 1.0, min_instances: int = 1) -> Filled:
+def gram(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(a, b, total): sums of products of all pairs of ``names`` and a column of ones (named '1'), a <= b in this order. One aggregate."""
+    listed = {"1": F.lit(1.0), **{c: col(c).cast("double") for c in names}}
+    pairs = [(a, b) for i, a in enumerate(listed) for b in list(listed)[i:]]
+    one = df.agg(*[F.sum(listed[a] * listed[b]).alias(f"__{k}") for k, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(f"__{k}", F.lit(0.0)).alias("total")) for k, (a, b) in enumerate(pairs)])).alias("e")).select("e.*")
+
+
+def boosted_linear(sums: np.ndarray, rounds: int, rate: float, alpha: float, lambda_: float) -> np.ndarray:
+    """Intercept and weights of a linear model boosted by rounds of coordinate descent with soft thresholds.
+
+    ``sums``: the Gram matrix of (1, features, target). A round moves the intercept by its Newton step and then each weight in
+    turn, all by ``rate``. Penalties are a row's, so alpha and lambda weigh alike on tables of any length. For alpha 0 the rounds
+    tend to the ridge solution.
+    """
+    g, c = sums[:-1, :-1], sums[:-1, -1]
+    n, w = g[0, 0], np.zeros(len(g))
+    for _ in range(rounds if n else 0):
+        w[0] -= rate * (g[0] @ w - c[0]) / n
+        for j in range(1, len(w)):
+            curve = g[j, j] + n * lambda_
+            if curve > 0:
+                free = w[j] - (g[j] @ w - c[j] + n * lambda_ * w[j]) / curve  # the least without alpha
+                w[j] += rate * (np.sign(free) * max(abs(free) - n * alpha / curve, 0.0) - w[j])
+    return w
+
+
+def fill_linear(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, rounds: int = 100, rate: float = 0.1, reg_alpha: float = 0.0, reg_lambda: float = 1.0) -> Filled:
+    """``boosted_linear`` of all series' known training rows: one aggregate of products, whatever their number.
+
+    Importance is each weight's share of all weights' sizes. Without known rows predictions are null.
+    """
+    names = feature_columns(df, target, mode, X_col, keys)
+    if not names:
+        raise ValueError(f"no feature columns for {target} in mode {mode!r}")
+    safe = {c: f"__f{i}" for i, c in enumerate(names)}
+    made = train_test(df, keys).withColumns({s: col(c).cast("double") for c, s in safe.items()}).withColumn("__y", col(target).cast("double"))
+    rows = impute_constant(made, list(safe.values()), fill)
+    used = [*safe.values(), "__y"]
+    place = {c: k for k, c in enumerate(["1", *used])}
+    sums = np.zeros((len(place), len(place)))
+    for r in gram(rows.where("__y is not null and not __test"), used).collect():  # a row for each pair of features
+        sums[place[r["a"]], place[r["b"]]] = sums[place[r["b"]], place[r["a"]]] = r["total"]
+    w = boosted_linear(sums, rounds, rate, reg_alpha, reg_lambda)
+    prediction = sum((F.lit(float(v)) * col(s) for v, s in zip(w[1:], safe.values(), strict=True)), F.lit(float(w[0])))
+    scored = rows.withColumn("__p", prediction if sums[0, 0] else F.lit(None).cast("double"))
+    table = gap_filled(scored, target, "XGB", "__p", pred_all).drop(*used, "__test", "__p")
+    size = np.abs(w[1:]).sum()
+    importance = df.sparkSession.createDataFrame([(c, float(abs(v) / size) if size else 0.0) for c, v in zip(names, w[1:], strict=True)], "feature string, importance double")
+    return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), importance)
+
+
+def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, max_depth: int = 3, step_size: float = 0.1, rounds: int = 100, subsample: float = 1.0, min_instances: int = 1, booster: str = "gbtree", reg_alpha: float = 0.0, reg_lambda: float = 1.0) -> Filled:
+    """Boosted trees, or with ``booster='gblinear'`` the boosted linear model, to which alone the two penalties apply."""
+    if booster == "gblinear":
+        return fill_linear(df, target, mode, X_col, pred_all, keys, fill, rounds, step_size, reg_alpha, reg_lambda)
+    if booster != "gbtree":
+        raise ValueError(f"booster must be gbtree or gblinear, not {booster!r}")
     e = GBTRegressor(maxDepth=max_depth, stepSize=step_size, maxIter=rounds, subsamplingRate=subsample, minInstancesPerNode=min_instances, seed=0)
     return _trees(df, target, "XGB", e, mode, X_col, pred_all, keys, fill)
 

@@ -154,3 +154,33 @@ def test_bootstrap_percentiles_are_ordered(spark):
     df = table(spark, [1] * n, Rg=[0.0] * n, **{"u*": u.tolist(), "NEE": np.minimum(1, u / 0.2).tolist(), "Tair": rng.normal(10, 4, n).tolist()})
     for r in ustar.bootstrap_ustar(df, [("2024-01-01 00:00:00", "2024-01-05 00:00:00"), ("2024-01-03 00:00:00", "2024-01-09 00:00:00")], 8, nee_bins=5, temp_groups=2, keys=["site"]).collect():
         assert r["u5"] <= r["u50"] <= r["u95"]
+
+
+def test_boosted_linear_tends_to_ridge_and_thresholds():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4)) + [0, 1, 2, 0]
+    y = x @ [2.0, -1.0, 0.0, 0.5] + 3 + rng.normal(0, 0.1, 400)
+    z = np.column_stack([np.ones(400), x, y])
+    penalty = np.diag([0, *[0.05 * 400] * 4])
+    ridge = np.linalg.solve(z[:, :5].T @ z[:, :5] + penalty, z[:, :5].T @ y)
+    assert np.allclose(gapfill.boosted_linear(z.T @ z, 3000, 0.5, 0.0, 0.05), ridge, atol=1e-9)
+    sparse = gapfill.boosted_linear(z.T @ z, 3000, 0.5, 0.8, 0.0)
+    assert abs(sparse[3]) < 1e-300 and abs(sparse[4]) < 1e-300 and 0 < sparse[1] < 2  # halved each round, so never quite zero
+    residual = y - z[:, :5] @ sparse
+    assert np.allclose([x[:, 0] @ residual / 400, x[:, 1] @ residual / 400], [0.8, -0.8], atol=1e-6)  # on the edge of the threshold
+    assert (gapfill.boosted_linear(np.zeros((6, 6)), 5, 0.1, 0.0, 1.0) == 0).all()
+
+
+def test_linear_booster_fills(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(0, 1, 300)
+    df = table(spark, [1] * 300, y=[float(2 * v + 1) if k % 5 else None for k, v in enumerate(a)], a=a, b=[None if k % 9 == 0 else 1.0 for k in range(300)])
+    done = gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a", "b"], keys=["site"], booster="gblinear", rounds=400, reg_lambda=0.0)
+    rows = done.table.collect()
+    assert all(r["y_XGBGapFilled"] == r["y"] for r in rows if r["y"] is not None)
+    assert all(abs(r["y_XGBpred"] - (2 * r["a"] + 1)) < 1e-3 for r in rows if r["y"] is None)
+    assert {r["feature"]: round(r["importance"], 2) for r in done.importance.collect()} == {"a": 1.0, "b": 0.0}
+    empty = gapfill.fill_gbt(df.withColumn("y", F.lit(None).cast("double")), "y", "use_custom_X_col", ["a"], booster="gblinear")
+    assert empty.table.where("y_XGBGapFilled is not null").count() == 0 and empty.metrics.count() == 0
+    with pytest.raises(ValueError):
+        gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a"], booster="dart")
