@@ -31,7 +31,7 @@ QUOTED = re.compile(r"""(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
 RAW_TAGS = frozenset("script style textarea title".split())
 SKIPPED_TAGS = RAW_TAGS | frozenset("noscript template svg iframe select button".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-PROSE_TAGS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
+PROSE_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: Elements whose end is tracked; others may stay open.
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split())
 BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav".split())
@@ -42,7 +42,8 @@ HINTS = frozenset("ad ads advert advertisement advertising alert banner breadcru
 NEUTRAL = frozenset("area bar block body box button buttons cell col column container content group holder inner item items left link links list outer panel right row section slot text unit wrap wrapper".split())
 STATES = frozenset("has is no not show with without".split())
 WHOLE_PAGE = frozenset("global main page site top".split())
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.IGNORECASE)
+VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)""")
+UNSEEN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)""", re.IGNORECASE)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "prose", "in_main", "outside_main", "named", "perhaps")
 
@@ -81,6 +82,13 @@ def names_of(attributes: str, in_main: bool) -> tuple[bool, bool]:
     return sure, perhaps and not sure
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element has the attribute ``hidden``, or a style that shows nothing. A class of such a name says neither."""
+    if not attributes or "hidden" not in (low := attributes.lower()) and "none" not in low:
+        return False
+    return "hidden" in VALUE.sub(" ", low).split() or UNSEEN.search(low) is not None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(kind, name or text, whether it closes, attributes): kinds are text and tag, in the page's order."""
     at, size, unclosed, quotes = 0, len(page), set(), True
@@ -131,19 +139,21 @@ def blocks(page: str | None) -> list[Block]:
     """Flat text blocks of a page, in its order."""
     out: list[Block] = []
     inner: list[int] = []  # for each block, the names within its article alone
+    forms: list[int] = []  # and how many forms it is in
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, articles around, sure names, hints, names within the article
     open_tags: Counter[str] = Counter()
-    anchor, prose = False, False
+    anchor, prose, own = False, False, False
 
     def flush() -> None:
         words = references.unescape("".join(text)).split()
         if words:
             n = len(references.unescape(" ".join(linked)).split())
             _, main, named, perhaps, within = stack[-1]
-            out.append(Block(" ".join(words), len(words), n / len(words), prose, main > 0, named, perhaps))
-            inner.append(within)
+            out.append(Block(" ".join(words), len(words), n / len(words), prose, main > 0, named + own, perhaps))
+            inner.append(within + own)
+            forms.append(open_tags["form"])
         text.clear()
         linked.clear()
 
@@ -159,7 +169,9 @@ def blocks(page: str | None) -> list[Block]:
         elif name in BLOCK_TAGS:
             flush()
             prose = name in PROSE_TAGS and not closes
+            own = False
             if name not in CONTAINERS:
+                own = not closes and (names_of(attributes, stack[-1][1] > 0)[0] or hidden(attributes))
                 continue
             if closes:
                 if open_tags[name]:
@@ -173,10 +185,14 @@ def blocks(page: str | None) -> list[Block]:
                 _, main, named, perhaps, within = stack[-1]
                 sure, hint = names_of(attributes, main > 0)
                 article = name in ("article", "main") and not sure
-                sure = name not in ("body", "main") and (sure or name in BOILER_TAGS or bool(HIDDEN.search(attributes)) or (name == "header" and not main))
+                sure = name not in ("body", "main") and (sure or name in BOILER_TAGS or hidden(attributes) or (name == "header" and not main))
                 stack.append((name, main + article, named + sure, perhaps + hint, 0 if article and not main else within + sure))
                 open_tags[name] += 1
     flush()
+    # a form around most of a page's words is a wrapper, as some servers put around every page
+    if 2 * sum(b.words for b, n in zip(out, forms, strict=True) if n) > sum(b.words for b in out):
+        for k, (b, n) in enumerate(zip(out, forms, strict=True)):
+            b.named, inner[k] = max(0, b.named - n), max(0, inner[k] - n)
     # if names stand around all of a page's articles, they are about the page and not about the article
     if any(b.in_main for b in out) and not any(b.in_main and not b.named for b in out):
         for b, within in zip(out, inner, strict=True):
@@ -219,6 +235,9 @@ LABELLED = (
     "<body><main><h1>{{On comments}}</h1><div class=comment-policy><p>{{Our rules for comments are short.}}</p><p>{{Be kind.}}</p></div><div class=comment-list><p>Fine rules, and I hope that all who write here will keep them in mind as well.</p></div><div class=share-buttons>Send it to a friend</div></main></body>",
     "<body><div><a href=/a>Articles</a> <a href=/b>Authors</a></div><div class=story><div>{{The well was dug by hand in one summer, and it has never run dry since then, not even in the three years without rain.}}</div><div>{{Nobody knows who dug it, but the stones at its rim bear the marks of at least four masons from the hill towns.}}</div></div><div>Sponsored</div><div>Print</div></body>",
     "<body><section class=newsletter-signup><p>Get our letter once a week, with all the news of the coast and the islands.</p></section><main><p>{{Gulls nest on the roofs.}}</p><p>{{They are loud.}}</p></main><section><p>More than a hundred thousand readers trust us every day with their questions about birds.</p></section></body>",
+    "<body><article><h1>{{Rain by year}}</h1><p>{{The gauge on the roof has been read every morning since the school was built.}}</p><table><caption>{{Sums}}</caption><tr><th>{{Year}}</th><th>{{Rain}}</th></tr><tr><td>{{1990}}</td><td>{{20 mm}}</td></tr></table><p class=ad>Buy two lamps, and a third one is yours for nothing until the end of the week.</p></article></body>",
+    "<body><div><a href=/>Front</a></div><div>Print it</div><div><a href=/a>Almanac</a></div><div>{{The ferry has crossed the lake since the days of the old mill, and it still takes an hour when the wind is from the north.}}</div><div>{{It is slow.}}</div><div>{{In winter it stops at the island only on the days of the market, and then no later than four in the afternoon.}}</div><div>{{Dress warmly.}}</div><div>{{The last boat is often full, so that those who wish to be sure of a seat should come to the landing well before it sails.}}</div><div><a href=/b>Trains</a></div><div>Send it</div><div><a href=/c>Buses</a></div></body>",
+    "<body><div><a href=/1>Maps</a></div><div>Listen now</div><div><a href=/2>Tides</a></div><div>{{Salt was made on this shore for eight hundred years, first from peat and later in wide pans that were heated with coal.}}</div><div>{{Little is left.}}</div><div>{{The last pan was broken up in the year in which the railway came, and its iron went into the rails of the harbour line.}}</div><div><a href=/3>Harbour</a></div><div>Top stories</div><div><a href=/4>Railway</a></div></body>",
 )
 
 

@@ -365,7 +365,7 @@ class PlainBlocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open, self.text, self.linked, self.blocks, self.prose, self.skip, self.link = [], "", "", [], False, 0, False
+        self.open, self.text, self.linked, self.blocks, self.prose, self.skip, self.link, self.own, self.forms = [], "", "", [], False, 0, False, False, 0
 
     def close_block(self):
         words, linked = self.text.split(), self.linked.split()
@@ -373,7 +373,7 @@ class PlainBlocks(HTMLParser):
             main = [k for k, (article, _, _) in enumerate(self.open) if article]
             named = [k for k, (_, sure, _) in enumerate(self.open) if sure]
             inner = [k for k in named if main and k > main[0]]
-            self.blocks.append([" ".join(words), len(words), len(linked) / len(words), self.prose, bool(main), len(named), sum(p for _, _, p in self.open), len(inner)])
+            self.blocks.append([" ".join(words), len(words), len(linked) / len(words), self.prose, bool(main), len(named) + self.own, sum(p for _, _, p in self.open), len(inner) + self.own, self.forms])
         self.text = self.linked = ""
 
     def handle_starttag(self, tag, attrs):
@@ -386,9 +386,11 @@ class PlainBlocks(HTMLParser):
         elif tag in html.BLOCK_TAGS and not self.skip:
             self.close_block()
             self.prose = tag in html.PROSE_TAGS
+            inside = any(article for article, _, _ in self.open)
+            sure, perhaps = html.names_of(" ".join(f'{k}="{v}"' for k, v in attrs), inside)
+            self.own = sure and tag not in html.CONTAINERS
+            self.forms += tag == "form"
             if tag in html.CONTAINERS:
-                inside = any(article for article, _, _ in self.open)
-                sure, perhaps = html.names_of(" ".join(f'{k}="{v}"' for k, v in attrs), inside)
                 boiler = sure or tag in html.BOILER_TAGS or (tag == "header" and not inside)
                 self.open.append((tag in ("article", "main") and not sure, boiler and tag not in ("body", "main"), perhaps))
 
@@ -399,7 +401,8 @@ class PlainBlocks(HTMLParser):
             self.link = False
         elif tag in html.BLOCK_TAGS and not self.skip:
             self.close_block()
-            self.prose = False
+            self.prose = self.own = False
+            self.forms -= tag == "form"
             if tag in html.CONTAINERS:
                 self.open.pop()
 
@@ -414,11 +417,14 @@ def plain_main_text(page, tree):
     parser.feed(page)
     parser.close_block()
     found = parser.blocks
+    if sum(b[1] for b in found if b[8]) > sum(b[1] for b in found) / 2:
+        for b in found:
+            b[5], b[7] = max(0, b[5] - b[8]), max(0, b[7] - b[8])
     if any(b[4] for b in found) and not any(b[4] and not b[5] for b in found):
         for b in found:
             b[5] = b[7] if b[4] else b[5]
     out = []
-    for k, (text, words, links, prose, main, named, perhaps, _) in enumerate(found):
+    for k, (text, words, links, prose, main, named, perhaps, _, _) in enumerate(found):
         before, after = (found[j] if 0 <= j < len(found) else ["", 0, 0] for j in (k - 1, k + 1))
         row = [words, links, before[1], before[2], after[1], after[2], prose, main, any(b[4] for b in found) and not main, named, perhaps]
         node = tree
@@ -463,12 +469,26 @@ def test_main_text_of_odd_pages():
     assert text('<div class="has-sidebar"><article><p>Hello there.</p></article></div>') == "Hello there."
     assert text("<p>1 < 2 and a <b>bold</b> <a title='x>y'>word</a></p>") == "1 < 2 and a bold word"
     assert text("<p>one</p><noscript><p>two</p>") == "one\ntwo" and text("<p>one</p><style>p { }<p>two</p>") == "one"
+    rain = "The rain fell on the town for days and nobody went out."
+    for page in (f'<article><div class="overflow-hidden"><p>{rain}</p></div></article>', f'<div class="overflow-hidden hidden-print"><p>{rain}</p></div>', f"<div data-x='a hidden b'><p>{rain}</p></div>",
+                 f'<article><p>{rain}</p><p class="ad">Buy two lamps and get one free.</p></article>', f'<article><p>{rain}</p><p hidden>Not shown.</p><div style="color:red; display: none">Nor this.</div></article>',
+                 f'<form id="aspnetForm"><nav><a href=/>Home</a></nav><article><p>{rain}</p></article></form>', f"<p>{rain}</p><form><p>Your name</p></form>"):
+        assert text(page) == rain, page
+    table = "<table><tr><th>Year</th><th>Rain</th></tr><tr><td>1990</td><td>20 mm</td></tr></table>"
+    assert text(f"<article><h1>Rain</h1><p>{rain}</p>{table}</article>") == f"Rain\n{rain}\nYear\nRain\n1990\n20 mm"
     for page in ("<a " * 330_000, "<div>x" * 160_000, "<svg>" * 200_000, "<p title='" * 100_000, "</script " * 100_000, "<" * 500_000, '<a x=">" ' * 100_000):
         began = time.time()
         text(page)
         assert time.time() - began < 10, page[:9]
 
 
+def test_both_neighbours_links_are_asked():
+    def asked(node):
+        return set() if isinstance(node, bool) else {html.FEATURES[node["feature"]]} | asked(node["low"]) | asked(node["high"])
+
+    assert {"words", "links", "links_before", "links_after"} <= asked(html.grow(*html.labelled_blocks()))
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", 5), (None, None, None, 5), (1, "u", "<article><p>a  b</p></article>", 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in html.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
