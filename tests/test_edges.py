@@ -175,7 +175,7 @@ def test_linear_booster_fills(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(0, 1, 300)
     df = table(spark, [1] * 300, y=[float(2 * v + 1) if k % 5 else None for k, v in enumerate(a)], a=a, b=[None if k % 9 == 0 else 1.0 for k in range(300)])
-    done = gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a", "b"], keys=["site"], booster="gblinear", rounds=400, reg_lambda=0.0)
+    done = gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a", "b"], keys=["site"], booster="gblinear", rounds=3000, step_size=0.5, reg_lambda=0.0)
     rows = done.table.collect()
     assert all(r["y_XGBGapFilled"] == r["y"] for r in rows if r["y"] is not None)
     assert all(abs(r["y_XGBpred"] - (2 * r["a"] + 1)) < 1e-3 for r in rows if r["y"] is None)
