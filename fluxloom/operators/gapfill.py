@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,8 +21,10 @@ from .clean import CANONICAL_ERA5, col
 NOT_FEATURES = ("datetime", "LE", "NEE", "H", "SHF", "u*")
 NOT_NEGATIVE = ("SWC", "SWIN", "PPFD", "RH", "VPD", "Rn", "Rg", "pr")
 METHODS = {"XGboost": "XGB", "XGB": "XGB", "XGb": "XGB", "RandomForest": "RF", "RF": "RF", "Adaboost": "Ada", "Ada": "Ada", "NeuralNetwork": "ANN", "ANN": "ANN"}
-#: A network's fit ends when its loss has not fallen by TOLERANCE for PATIENCE epochs.
-TOLERANCE, PATIENCE = 1e-4, 10
+#: A network's fit ends when its loss has not fallen by TOLERANCE for PATIENCE rounds.
+TOLERANCE, PATIENCE = 1e-4, 2
+#: Training rows that a network's task holds.
+SHARD_ROWS = 10_000
 #: Rounds of AdaBoost between two stored tables of weights.
 STORE_ROUNDS = 10
 
@@ -221,57 +223,95 @@ def fill_adaboost(df: DataFrame, target: str, mode: str = "all", X_col=None, pre
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"))
 
 
-def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, hidden: int = 100, epochs: int = 200, rate: float = 0.02, ridge: float = 1e-4) -> Filled:
-    """One hidden layer of rectified units on standardised features, fitted on all training rows by gradient steps (Adam).
-
-    Each epoch is a Spark job: partitions sum the gradients of their rows and Spark adds the sums, so that only the
-    network's weights pass through the driver, whatever the number of rows. No known row: predictions are null.
+class Network:
+    """One hidden layer of rectified units as a flat vector of weights, and its steps."""
+
+    def __init__(self, inputs: int, hidden: int, ridge: float):
+        self.shapes, self.ridge = [(inputs, hidden), (hidden,), (hidden,), (1,)], ridge
+        self.cuts = np.cumsum([int(np.prod(s)) for s in self.shapes])
+
+    def first(self) -> np.ndarray:
+        rng, (d, hidden) = np.random.default_rng(0), self.shapes[0]
+        return np.concatenate([rng.normal(0, np.sqrt(2 / d), d * hidden), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), hidden), np.zeros(1)])
+
+    def layers(self, p: np.ndarray) -> list[np.ndarray]:
+        return [a.reshape(s) for a, s in zip(np.split(p, self.cuts[:-1]), self.shapes, strict=True)]
+
+    def predict(self, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+        w1, b1, w2, b2 = self.layers(p)
+        return np.maximum(x @ w1 + b1, 0) @ w2 + b2
+
+    def gradient(self, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        """Mean gradient of half the squared error of a batch, and the sum of squared errors."""
+        w1, b1, w2, b2 = self.layers(p)
+        h = np.maximum(x @ w1 + b1, 0)
+        e = h @ w2 + b2 - y
+        back = np.outer(e, w2) * (h > 0)
+        return np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), h.T @ e, [e.sum()]]) / len(y) + self.ridge * p / len(y), float(e @ e)
+
+    def epochs(self, state: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, steps: float, rate: float, batch: int, seed: list[int]) -> tuple[np.ndarray, float]:
+        """``n`` passes over the rows in shuffled batches, by Adam, from ``state`` (weights, both moments) after ``steps`` steps; the last pass's loss."""
+        (p, m, v), rng, loss = state.copy(), np.random.default_rng(seed), 0.0
+        for _ in range(n):
+            order, loss = rng.permutation(len(y)), 0.0
+            for at in range(0, len(y), batch):
+                rows, steps = order[at : at + batch], steps + 1
+                g, squared = self.gradient(p, x[rows], y[rows])
+                loss += squared
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+                p = p - rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
+        return np.stack([p, m, v]), loss
+
+
+def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, hidden: int = 100, epochs: int = 200, rate: float = 1e-3, ridge: float = 1e-4, batch: int = 200, rounds: int = 10, shard_rows: int = SHARD_ROWS) -> Filled:
+    """One hidden layer of rectified units on standardised features, fitted on all training rows in shuffled batches (Adam).
+
+    Rows are dealt by a hash of their values to shards of about ``shard_rows``. A round is a Spark job: each shard goes on from the common
+    weights for its share of the epochs, alone, and the shards' weights are averaged by rows. So there are few jobs, a task
+    holds one shard, and only weights pass through the driver. Up to ``shard_rows`` rows that is the fit of a
+    single machine; how the table is partitioned changes nothing. Rounds end when the loss no longer falls. Without a known
+    row predictions are null.
     """
     rows, names = _prepared(df, target, mode, X_col, keys, fill)
     rows = rows.withColumn("__y", col(target).cast("double")).withColumn("__v", vector_to_array("__x")).drop("__x")
-    train = rows.where("__y is not null and not __test").select("__v", "__y").cache()
     d = len(names)
     each = [F.col("__v")[i] for i in range(d)] + [F.col("__y")]
-    stats = train.agg(F.count("*"), *[f(c) for c in each for f in (F.avg, F.stddev_pop)]).first()
+    known = rows.where("__y is not null and not __test").select("__v", "__y")
+    stats = known.agg(F.count("*"), *[f(c) for c in each for f in (F.avg, F.stddev_pop)]).first()
     n, mean, scale = stats[0], np.array(stats[1::2], float), np.array([s or 1.0 for s in stats[2::2]], float)
-    shapes = [(d, hidden), (hidden,), (hidden,), (1,)]
-    cuts = np.cumsum([int(np.prod(s)) for s in shapes])
-    apart = lambda p: [a.reshape(s) for a, s in zip(np.split(p, cuts[:-1]), shapes, strict=True)]
-    rng = np.random.default_rng(0)
-    p = np.concatenate([rng.normal(0, np.sqrt(2 / d), d * hidden), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), hidden), np.zeros(1)])
-    m, v, best, since = np.zeros_like(p), np.zeros_like(p), np.inf, 0
-    for k in range(1, epochs + 1 if n else 1):
-
-        def gradients(parts: Iterator[pd.DataFrame], p: np.ndarray = p) -> Iterator[pd.DataFrame]:
-            w1, b1, w2, b2 = apart(p)
-            total = np.zeros(len(p) + 1)
-            for part in parts:
-                x = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1]
-                h = np.maximum(x @ w1 + b1, 0)
-                e = h @ w2 + b2 - (part["__y"].to_numpy() - mean[-1]) / scale[-1]
-                back = np.outer(e, w2) * (h > 0)
-                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), h.T @ e, [e.sum(), (e**2).sum()]])
-            yield pd.DataFrame({"at": np.arange(len(total)), "g": total})
-
-        g = np.zeros(len(p) + 1)
-        for r in train.mapInPandas(gradients, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect():  # one row for each weight
-            g[r["at"]] = r["g"] / n
-        since = 0 if g[-1] < best - TOLERANCE else since + 1
-        best = min(best, g[-1])
+    net, shards = Network(d, hidden, ridge), max(1, round(n / shard_rows))
+    p = net.first()
+    state, best, since, done, steps = np.stack([p, np.zeros_like(p), np.zeros_like(p)]), np.inf, 0, 0, 0.0
+    train = known.withColumn("__h", F.xxhash64("__v", "__y")).withColumn("__s", F.pmod("__h", F.lit(shards)).cast("int"))
+    train = stored(train.repartition(shards, "__s"), shared_dir(df.sparkSession), "shards") if n else train
+
+    def one_round(k: int, now: int, state: np.ndarray, steps: float):
+        def go_on(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("__h", kind="stable")
+            x, y = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1], (part["__y"].to_numpy() - mean[-1]) / scale[-1]
+            after, loss = net.epochs(state, x, y, now, steps, rate, batch, [k, int(part["__s"].iloc[0])])
+            values = np.concatenate([after.ravel() * len(y), [loss, -(-len(y) // batch) * now * len(y)]])
+            return pd.DataFrame({"at": np.arange(len(values)), "v": values})
+
+        return go_on
+
+    for k in range(1, rounds + 1 if n else 1):
+        now = epochs * k // rounds - done
+        sums = np.zeros(state.size + 2)
+        for r in train.groupBy("__s").applyInPandas(one_round(k, now, state, steps), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # one row for each weight
+            sums[r["at"]] = r["v"] / n
+        state, loss, done, steps = sums[:-2].reshape(state.shape), sums[-2], done + now, steps + sums[-1]
+        since = 0 if loss < best - TOLERANCE else since + 1
+        best = min(best, loss)
         if since >= PATIENCE:
             break
-        g = g[:-1] + ridge * p / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
-        p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    train.unpersist()
     scored = rows.withColumn("__p", F.lit(None).cast("double"))
     if n:
-        w1, b1, w2, b2 = apart(p)
+        weights = state[0]
 
         @F.pandas_udf("double")
         def predict(x: pd.Series) -> pd.Series:
-            x = (np.stack(x.to_list()) - mean[:-1]) / scale[:-1]
-            return pd.Series((np.maximum(x @ w1 + b1, 0) @ w2 + b2) * scale[-1] + mean[-1])
+            return pd.Series(net.predict(weights, (np.stack(x.to_list()) - mean[:-1]) / scale[:-1]) * scale[-1] + mean[-1])
 
         scored = rows.withColumn("__p", predict("__v"))
     table = gap_filled(scored, target, "ANN", "__p", pred_all).drop("__v", "__y", "__test", "__p")

@@ -61,7 +61,7 @@ def test_fills_without_known_rows_are_null(spark, method):
 def test_network_learns_a_curve(spark):
     x = np.linspace(-3, 3, 400)
     df = table(spark, [1] * 400, y=[float(v * v) if k % 5 else None for k, v in enumerate(x)], a=x.tolist())
-    done = gapfill.fill_ann(df, "y", "use_custom_X_col", ["a"], hidden=24, epochs=150)
+    done = gapfill.fill_ann(df, "y", "use_custom_X_col", ["a"], hidden=24, epochs=150, rate=0.02)  # the rate that was the default before batches
     assert done.metrics.where("part = 'test'").first()["r2"] > 0.95
 
 
@@ -184,3 +184,31 @@ def test_linear_booster_fills(spark):
     assert empty.table.where("y_XGBGapFilled is not null").count() == 0 and empty.metrics.count() == 0
     with pytest.raises(ValueError):
         gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a"], booster="dart")
+
+
+def test_network_shards_equal_a_single_fit(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    a, b = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    y = np.sin(2 * a) + 0.5 * b**2 + rng.normal(0, 0.05, n)
+    df = table(spark, [1] * n, y=y, a=a, b=b)
+    fits = {}
+    for shard_rows, parts in ((10_000, 3), (10_000, 7), (500, 3)):
+        done = gapfill.fill_ann(df.repartition(parts), "y", "use_custom_X_col", ["a", "b"], keys=["site"], hidden=30, epochs=100, shard_rows=shard_rows)
+        fits[shard_rows, parts] = {r["part"]: r["r2"] for r in done.metrics.collect()}
+    assert fits[10_000, 3]["test"] > 0.97
+    assert fits[10_000, 3] == fits[10_000, 7]  # partitioning changes nothing
+    assert abs(fits[500, 3]["test"] - fits[10_000, 3]["test"]) < 0.01
+
+
+def test_network_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    net = gapfill.Network(3, 4, 0.1)
+    p, x, y = net.first() + 0.01, rng.normal(size=(7, 3)), rng.normal(size=7)
+    g, squared = net.gradient(p, x, y)
+    loss = lambda q: ((net.predict(q, x) - y) ** 2).sum() / 14 + 0.1 * (q**2).sum() / 14
+    assert abs(squared - ((net.predict(p, x) - y) ** 2).sum()) < 1e-12
+    for k in range(len(p)):
+        e = np.zeros_like(p)
+        e[k] = 1e-6
+        assert abs((loss(p + e) - loss(p - e)) / 2e-6 - g[k]) < 1e-6
