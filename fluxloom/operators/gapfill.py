@@ -269,7 +269,7 @@ def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
     Rows are dealt by a hash of their values to shards of about ``shard_rows``. A round is a Spark job: each shard goes on from the common
     weights for its share of the epochs, alone, and the shards' weights are averaged by rows. So there are few jobs, a task
     holds one shard, and only weights pass through the driver. Up to ``shard_rows`` rows that is the fit of a
-    single machine; how the table is partitioned changes nothing. Rounds end when the loss no longer falls. Without a known
+    single machine; how the table is partitioned changes no more than the rounding of sums. Rounds end when the loss no longer falls. Without a known
     row predictions are null.
     """
     rows, names = _prepared(df, target, mode, X_col, keys, fill)
