@@ -137,20 +137,22 @@ def index_of(docs: DataFrame, folder: str, least_docs: int) -> DataFrame:
     return common.stored(terms.where(F.col("docs") >= least_docs).drop("docs"), folder, "index")
 
 
+def block_count(postings, groups):
+    """Blocks of a language's index: by its postings, and no more blocks than leave each as many postings as it has pairs of groups."""
+    per = F.least(F.greatest(F.lit(BLOCK_POSTINGS), groups * groups / 2), F.lit(MOST_POSTINGS))
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(postings, F.lit(0)) / per)).cast("int")
+
+
 def pair_sums(postings: DataFrame, peers: DataFrame) -> DataFrame:
     """(lang, g, h, value) with g < h: distances of all pairs of groups of a language.
 
-    ``postings``: (lang, term, g, p). ``peers``: (lang, g, base, terms). Terms are dealt to blocks by their hash,
-    and each block has the peers of its language as its first rows. A block's distances add up over blocks.
+    ``postings``: (lang, term, g, p, blocks). ``peers``: (lang, g, base, terms, blocks). Terms are dealt to a language's blocks by
+    their hash, and each block has the peers of its language as its first rows. A block's distances add up over blocks.
     """
-    sizes = postings.groupBy("lang").agg(F.count("*").alias("n"))
-    per = F.least(F.greatest(F.lit(BLOCK_POSTINGS), F.col("groups") * F.col("groups") / 2), F.lit(MOST_POSTINGS))
-    blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / per)).cast("int")
-    counted = peers.groupBy("lang").agg(F.count("*").alias("groups")).join(sizes, "lang", "left").select("lang", blocks.alias("blocks"))
-    first = peers.join(counted, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = peers.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # the first block starts the sums over all terms; the others only correct them
     first = first.select("lang", "block", F.lit(None).cast("long").alias("term"), "g", F.col("base").alias("p"), F.when(F.col("block") == 0, F.col("terms")).otherwise(0).alias("terms"))
-    rest = postings.join(counted, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), F.xxhash64("term", F.lit(1)).alias("term"), "g", "p", F.lit(0).cast("long").alias("terms"))
+    rest = postings.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), F.xxhash64("term", F.lit(1)).alias("term"), "g", "p", F.lit(0).cast("long").alias("terms"))
     dealt = first.union(rest).repartition("lang", "block").sortWithinPartitions("lang", "block", F.col("term").isNotNull(), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +202,16 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_RANKS
     index = index_of(docs, folder, least_docs)
     flat = index.select("lang", "term", "total", F.inline("postings"))
     sums = flat.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    vocabulary = index.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
+    vocabulary = index.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"), F.sum(F.size("postings")).alias("held"))
     none = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")).alias(c)
     named = docs.select(none("lang"), none("source")).distinct()
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long").alias("g")
     groups = named.join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left")
-    groups = groups.select("lang", "source", number, F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("kept", F.lit(0)).alias("terms"), F.coalesce("lang_size", F.lit(0)).alias("lang_size"))
+    groups = groups.select("lang", "source", number, F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("kept", F.lit(0)).alias("terms"), F.coalesce("lang_size", F.lit(0)).alias("lang_size"), block_count(F.col("held"), F.count("*").over(Window.partitionBy("lang"))).alias("blocks"))
     groups = common.stored(groups.withColumn("base", share(F.lit(0), F.col("size"), F.col("terms"))), folder, "groups")
 
     held = flat.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("size"), F.col("terms")))
-    sums = pair_sums(held.select("lang", "term", "g", "p"), groups.select("lang", "g", "base", "terms"))
+    sums = pair_sums(held.select("lang", "term", "g", "p", "blocks"), groups.select("lang", "g", "base", "terms", "blocks"))
     pairs = common.stored(sums, folder, "pairs")
     both = pairs.union(pairs.select("lang", "h", "g", "value"))
     names = groups.select("lang", "g", "source")
