@@ -25,7 +25,8 @@ def bucket(x: Column, lo: Column, hi: Column, number: int) -> Column:
 
     So a value far from all others costs one pass, and values of all magnitudes no more than a few.
     """
-    share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: no overflow
+    # halves, so that nothing overflows; of two numbers so near zero that their halves are equal, the upper one counts as the end
+    share = F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.when(x > lo, 1.0).otherwise(0.0))
     even = F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS))
     log = F.when(share > 0, F.greatest(F.lit(1), F.lit(BUCKETS) + F.floor(F.log2(share) * (1 if number % 4 == 1 else 32)))).otherwise(0)
     return F.when(lo == hi, 0).otherwise(even if number % 2 == 0 else log).cast("int")
