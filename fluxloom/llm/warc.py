@@ -3,6 +3,8 @@
 A record is one gzip member. The reader checks each member (its length and CRC, the version line,
 the header, Content-Length and the block digest). Where a check fails it looks for the next gzip
 magic, or version line in plain archives, from the byte after, and logs the gap with its reason.
+Members are inflated through a window, record by record, so one that breaks still gives back the
+records before the damage.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import common
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
 FILE_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Bytes of a member that are inflated at a time, and the longest header of a record.
+PACKED_BYTES, HEADER_BYTES = 1 << 16, 16 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -128,15 +132,119 @@ class Bytes:
         return self.size
 
 
-def parse(plain: bytes, at: int = 0) -> tuple[dict, int]:
-    """Header fields and payload checks of the record at a place of ``plain``, and the place after it."""
-    if not plain.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
+class Plain:
+    """A file's bytes from a place on, read forwards, with a way back to a mark."""
+
+    def __init__(self, data: Bytes, at: int):
+        self.data, self.pos, self.error = data, at, ""
+
+    def peek(self, n: int) -> bytes:
+        """The next ``n`` bytes, or all that are left."""
+        return self.data.at(self.pos, min(n, self.data.size - self.pos))
+
+    def skip(self, n: int):
+        self.pos += n
+
+    def mark(self):
+        return self.pos
+
+    def back(self, mark):
+        self.pos = mark
+
+    def trusted(self) -> bool:
+        return True
+
+
+class Inflated:
+    """The content of the gzip member at a place, inflated as it is read: a window of it is in memory, never the whole.
+
+    Damage ends the content behind the last byte before it, and ``error`` says so. ``after`` is the place behind a sound member.
+    """
+
+    def __init__(self, data: Bytes, at: int):
+        self.data, self.start, self.place = data, at, at
+        self.press, self.tail, self.step = zlib.decompressobj(31), b"", READ_BYTES
+        self.held, self.at, self.base, self.error, self.sound = b"", 0, 0, "", None
+
+    @property
+    def pos(self) -> int:
+        return self.base + self.at
+
+    @property
+    def after(self) -> int:
+        return self.place - len(self.press.unused_data)
+
+    def _more(self) -> bool:
+        """Inflate a piece. Where a piece has damage, smaller ones give all that precedes it."""
+        while not (self.error or self.press.eof):
+            if not self.tail:
+                self.tail = self.data.at(self.place, min(PACKED_BYTES, self.data.size - self.place))
+                self.place += len(self.tail)
+                if not self.tail:
+                    self.error = "member cut short"
+                    return False
+            kept = self.press.copy()
+            try:
+                got = self.press.decompress(self.tail, self.step)
+            except zlib.error as e:
+                if self.step == 1:
+                    self.error = str(e)
+                    return False
+                self.press, self.step = kept, max(1, self.step // 16)
+                continue
+            self.tail = self.press.unconsumed_tail
+            if got:
+                self.held, self.base, self.at = self.held[self.at :] + got, self.pos, 0
+                return True
+        return False
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self._more():
+            pass
+        return self.held[self.at : self.at + n]
+
+    def skip(self, n: int):
+        self.at += n
+
+    def mark(self):
+        return self.place, self.press.copy(), self.tail, self.step, self.held, self.at, self.base, self.error
+
+    def back(self, mark):
+        self.place, self.press, self.tail, self.step, self.held, self.at, self.base, self.error = mark
+        self.press = self.press.copy()
+
+    def trusted(self) -> bool:
+        """Whether the whole member passes its checks, so that a record without a digest can be believed. Inflates it once more."""
+        if self.sound is None:
+            again = Inflated(self.data, self.start)
+            while part := again.peek(READ_BYTES):
+                again.skip(len(part))
+            self.sound = not again.error
+        return self.sound
+
+
+def seek(src: Plain | Inflated, what: bytes):
+    """Move to the first place of ``what`` behind the current one, or to the end."""
+    src.skip(1)
+    while part := src.peek(1 << 16):
+        if (k := part.find(what)) >= 0:
+            return src.skip(k)
+        src.skip(max(1, len(part) - len(what) + 1))
+
+
+def take(src: Plain | Inflated) -> dict:
+    """Header fields and payload checks of the record that starts here; its block passes by in pieces."""
+    if src.peek(10) not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         raise ValueError("no version line")
-    end = plain.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise ValueError("header without end")
+    n, end = 1 << 12, -1
+    while end < 0:
+        head = src.peek(n)
+        end = head.find(b"\r\n\r\n")
+        if end < 0 and (len(head) < n or n > HEADER_BYTES):
+            raise ValueError("header without end")
+        n *= 4
     fields: dict[str, str] = {}
-    for line in plain[at:end].split(b"\r\n")[1:]:
+    for line in head[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without colon")
@@ -144,108 +252,121 @@ def parse(plain: bytes, at: int = 0) -> tuple[dict, int]:
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise ValueError("no content length")
-    block = plain[end + 4 : end + 4 + int(length)]
-    if len(block) < int(length) or plain[end + 4 + int(length) : end + 8 + int(length)] != b"\r\n\r\n":
+    src.skip(end + 4)
+    block, payload, size, left = hashlib.sha1(), hashlib.sha1(), 0, int(length)
+    http, edge = fields.get("content-type", "").startswith("application/http"), b""
+    while left:
+        part = src.peek(min(left, READ_BYTES))
+        if not part:
+            raise ValueError("block cut short")
+        src.skip(len(part))
+        left -= len(part)
+        block.update(part)
+        if http:  # the payload starts behind the first empty line
+            edge += part
+            k = edge.find(b"\r\n\r\n")
+            http, part, edge = k < 0, edge[k + 4 :] if k >= 0 else b"", edge[-3:]
+        payload.update(part)
+        size += len(part)
+    if src.peek(4) != b"\r\n\r\n":
         raise ValueError("block cut short")
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
+    src.skip(4)
+    named = lambda h: f"sha1:{base64.b32encode(h.digest()).decode()}"
+    if fields.get("warc-block-digest", named(block)) != named(block):
         raise ValueError("block digest differs")
+    if "warc-block-digest" not in fields and not src.trusted():
+        raise ValueError("no block digest in a broken member")
     kind = fields.get("warc-type", "")
     out = {"record_type": kind, "page_id": number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "refers_to": number(fields.get("x-refers-to-page"))}
     if kind == "revisit":
-        out |= {"payload_bytes": number(fields.get("x-payload-length")), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:")}
-    else:
-        payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-        out |= {"payload_bytes": len(payload), "payload_digest": digest(payload)}
-        if fields.get("warc-payload-digest", f"sha1:{out['payload_digest']}") != f"sha1:{out['payload_digest']}":
-            raise ValueError("payload digest differs")
-    return out, end + 8 + int(length)
+        return out | {"payload_bytes": number(fields.get("x-payload-length")), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:")}
+    if fields.get("warc-payload-digest", named(payload)) != named(payload):
+        raise ValueError("payload digest differs")
+    return out | {"payload_bytes": size, "payload_digest": named(payload).removeprefix("sha1:")}
 
 
 def number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def member(data: Bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, whole, and the place after it."""
-    press, out, a = zlib.decompressobj(31), [], at
-    while not press.eof:
-        part = data.at(a, min(READ_BYTES, data.size - a))
-        if not part:
-            raise ValueError("member cut short")
-        out.append(press.decompress(part))
-        a += len(part) - len(press.unused_data)
-    return b"".join(out), a
-
-
-def plain_record(data: Bytes, at: int) -> tuple[dict, int]:
-    """The record of a plain archive that starts at a place, and the place after it."""
-    n = 1 << 16
-    while True:
-        part = data.at(at, min(n, data.size - at))
-        try:
-            found, size = parse(part)
-            return found, at + size
-        except ValueError as e:
-            if str(e) not in ("header without end", "block cut short") or at + n >= data.size:
-                raise
-            n *= 4
+def content(src: Plain | Inflated) -> Iterator[dict]:
+    """Records (with ``at``) and gaps (``at``, gap_bytes, reason), in order, each as soon as it is known.
 
-
-def content(plain: bytes) -> list[dict]:
-    """Records and gaps of a member's content, in order; a gap's bytes are those of the content. Not one record: an error."""
-    found: list[dict] = []
-    at, bad, reason, first = 0, None, "", ""
-    while at < len(plain):
+    After a failed check the search goes on from the byte behind the failed record's first one. Content that breaks off has no last gap,
+    ``src.error`` tells of it; content without any record gives only the gap.
+    """
+    bad, reason = None, ""
+    while src.peek(1):
+        mark, at = src.mark(), src.pos
         try:
-            record, after = parse(plain, at)
+            found = take(src)
         except ValueError as e:
+            src.back(mark)
             if bad is None:
-                bad, reason, first = at, str(e), first or str(e)
-            at = plain.find(b"WARC/1.", at + 1)
-            at = at if at >= 0 else len(plain)
+                bad, reason = at, str(e)
+            seek(src, b"WARC/1.")
             continue
         if bad is not None:
-            found.append({"gap_bytes": at - bad, "reason": f"{reason}, at byte {bad} of a member's content"})
+            yield {"at": bad, "gap_bytes": at - bad, "reason": reason}
             bad = None
-        found.append(record)
-        at = after
-    if bad is not None:
-        found.append({"gap_bytes": len(plain) - bad, "reason": f"{reason}, at byte {bad} of a member's content"})
-    if not any("page_id" in r for r in found):
-        raise ValueError(first or "empty member")
-    return found
+        yield found | {"at": at}
+    if bad is not None and not src.error:
+        yield {"at": bad, "gap_bytes": src.pos - bad, "reason": reason}
+
+
+def believed(src: Inflated) -> Iterator[dict]:
+    """``content`` of a member. Where it breaks off just behind a record, nothing shows that the record is whole, so it is left out."""
+    held, end = None, 0
+    for one in content(src):
+        if held is not None:
+            yield held
+        held, end = one, src.pos
+    if held is not None and ("reason" in held or not src.error or src.pos > end):
+        yield held
 
 
 def salvage(f) -> Iterator[dict]:
     """Records and gaps of one archive, in order: a gap has gap_start, gap_bytes and reason.
 
-    A gzip member may hold any number of records. Damage within its content is a gap at the member's place.
+    A gzip member may hold any number of records. Damage within its content is a gap at the member's place. Of a member that breaks, the
+    records that fit their block digests and are followed by more content before the damage are kept; its gap runs from its first byte to the
+    next member that has a record, and the reason says how many were kept. So a broken member of one record is a gap. Members and records of any length pass through a window of a few MB; only a header must
+    fit it (HEADER_BYTES).
     """
     data = Bytes(f)
     packed = data.at(0, 3) == GZIP or (data.find(GZIP, 0) < data.find(b"WARC/1.", 0))
-    mark = GZIP if packed else b"WARC/1."
+    if not packed:
+        for one in content(Plain(data, 0)):
+            at = one.pop("at")
+            yield one | ({"gap_start": at} if "reason" in one else {"offset": at})
+        return
     at, bad, reason = 0, None, ""
     while at < data.size:
-        try:
-            if data.at(at, len(mark)) != mark:
-                raise ValueError("no record starts here")
-            if packed:
-                plain, after = member(data, at)
-                found = content(plain)
-            else:
-                one, after = plain_record(data, at)
-                found = [one]
-        except (ValueError, zlib.error) as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            at = data.find(mark, at + 1)
+        src, kept, first = Inflated(data, at), 0, None
+        if data.at(at, len(GZIP)) == GZIP:
+            for one in believed(src):
+                place, damage = one.pop("at"), "reason" in one
+                if damage:
+                    one |= {"gap_start": at, "reason": f"{one['reason']}, at byte {place} of a member's content"}
+                    if not kept and first is None:
+                        first = one  # a gap of its own only if a record follows
+                        continue
+                elif bad is not None:
+                    yield {"gap_start": bad, "gap_bytes": at - bad, "reason": reason}
+                    bad = None
+                if first is not None and not kept:
+                    yield first
+                kept += not damage
+                yield one if damage else one | {"offset": at}
+        else:
+            src.error = "no record starts here"
+        if kept and not src.error:
+            at = src.after
             continue
-        if bad is not None:
-            yield {"gap_start": bad, "gap_bytes": at - bad, "reason": reason}
-            bad = None
-        for one in found:
-            yield one | ({"gap_start": at} if "reason" in one else {"offset": at})
-        at = after
+        if bad is None:
+            why = src.error or (first or {}).get("reason", "empty member")
+            bad, reason = at, why + (f", at byte {src.pos} of a member's content; {kept} records before it kept" if kept else "")
+        at = data.find(GZIP, at + 1)
     if bad is not None:
         yield {"gap_start": bad, "gap_bytes": data.size - bad, "reason": reason}
 

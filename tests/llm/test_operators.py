@@ -1,10 +1,13 @@
 """The operators against brute force, exact round trips and held-out accuracy, with edge tables."""
 
+import contextlib
 import gzip
 import hashlib
 import io
 import random
+import re
 import time
+import tracemalloc
 import wave
 import zlib
 from html.parser import HTMLParser
@@ -686,3 +689,50 @@ def test_salvage_after_damage():
     rows = list(warc.salvage(File(gzip.compress(whole) + parts[3])))
     assert [r["page_id"] for r in rows if "reason" not in r] == [0, 2, 3]
     assert [r["gap_bytes"] for r in rows if "reason" in r] == [len(wrong), 4] and all(r["gap_start"] == 0 for r in rows if "reason" in r)
+
+
+def test_salvage_within_a_broken_member():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices(["rain", "sun", "wind", "storm", "café"], k=400)).encode() for _ in range(20)]
+    plain = [gzip.decompress(member(k, t)) for k, t in enumerate(texts)]
+    packed = bytearray(gzip.compress(b"".join(plain)))
+    packed[-20] ^= 0xFF
+    rows = list(warc.salvage(File(bytes(packed) + member(77, b"next"))))
+    assert [r["page_id"] for r in rows if "reason" not in r] == [*range(19), 77]
+    (gap,) = [r for r in rows if "reason" in r]
+    assert (gap["gap_start"], gap["gap_bytes"]) == (0, len(packed)) and "19 records before it kept" in gap["reason"]
+    assert [r["payload_digest"] for r in rows if "reason" not in r] == [warc.digest(t) for t in [*texts[:19], b"next"]]
+    # damage anywhere: what comes back is a true record, and no whole record before the damage is lost
+    sound = gzip.compress(b"".join(plain))
+    for place in range(30, len(sound) - 8, len(sound) // 40):
+        hurt = bytearray(sound)
+        hurt[place] ^= 0x10
+        got = [(r["page_id"], r["payload_digest"]) for r in warc.salvage(File(bytes(hurt))) if "reason" not in r]
+        assert set(got) <= {(k, warc.digest(t)) for k, t in enumerate(texts)} and len(set(got)) == len(got)
+        inflate, before = zlib.decompressobj(31), b""
+        with contextlib.suppress(zlib.error):
+            for k in range(place):
+                before += inflate.decompress(sound[k : k + 1])
+        ends = np.cumsum([len(p) for p in plain])
+        assert len(got) >= int((ends <= len(before) - 300).sum())
+    # a record without a digest is believed in a sound member only
+    bare = [re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", p) for p in plain]
+    assert len([r for r in warc.salvage(File(gzip.compress(b"".join(bare)))) if "reason" not in r]) == 20
+    hurt = bytearray(gzip.compress(b"".join(bare)))
+    hurt[-6] ^= 0xFF  # the checksum
+    assert [sorted(r) for r in warc.salvage(File(bytes(hurt)))] == [["gap_bytes", "gap_start", "reason"]]
+
+
+def test_salvage_in_bounded_memory(monkeypatch):
+    payload = bytes(range(256)) * (1 << 18)  # one record of 64 MB in one member, and 40 MB of others
+    one = gzip.decompress(warc.record(1, "u", payload, warc.digest(payload), len(payload), None))
+    small = gzip.decompress(member(2, b"x" * (1 << 20)))
+    data = File(gzip.compress(one + small * 40 + one[:-9], 1))
+    want = warc.digest(payload)
+    del payload, one, small
+    tracemalloc.start()
+    rows = list(warc.salvage(data))
+    peak = tracemalloc.get_traced_memory()[1] - len(data.getvalue())
+    tracemalloc.stop()
+    assert [r["page_id"] for r in rows if "reason" not in r] == [1] + [2] * 40 and rows[0]["payload_digest"] == want
+    assert len([r for r in rows if "reason" in r]) == 1 and peak < 24 << 20
