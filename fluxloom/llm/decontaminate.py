@@ -1,8 +1,9 @@
 """Operator 8: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-The n-grams of a test item that up to ``RARE`` documents hold are its seeds, counted over all
-documents. Each stretch of an item also gives one: the n-gram in it that the fewest documents hold,
-of those that any does. A document's passages that hold a seed are joined to the item, and a
+The n-grams of a test item that up to a share ``RARE`` of the documents hold are its seeds, counted
+over all documents. Each stretch of an item also gives its rarest ones, whatever their share: those
+in up to ``NEAR`` times as many documents as the one that the fewest hold, of those that any does.
+So which n-grams are seeds depends on shares alone, not on the size of the corpus. A document's passages that hold a seed are joined to the item, and a
 local alignment of the passage's words with the item's words scores exact, edited and reordered
 copies alike. A document is contaminated if an alignment scores at least ``least`` of the score of
 the whole item.
@@ -24,8 +25,10 @@ WORD = re.compile(r"\w+")
 N = 3
 #: Positions of an item that share one seed at least.
 STRETCH = 3
-#: Documents that may hold an n-gram that is a seed wherever it stands.
-RARE = 10_000
+#: Share of the documents that may hold an n-gram that is a seed wherever it stands.
+RARE = 0.1
+#: How many times the documents of a stretch's rarest n-gram may hold another seed of that stretch.
+NEAR = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of an item's own score that a copy must reach.
 LEAST = 0.5
@@ -106,15 +109,16 @@ class Items:
             at, gram = np.concatenate([at, more]), np.concatenate([gram, np.full(len(more), i, np.int64)])
         return w, at, gram
 
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """gram -> (item, position): all n-grams in up to RARE documents, and of each stretch of each item that in the fewest; none that no document holds."""
+    def seeds(self, frequency: dict[int, int], most: float = np.inf) -> dict[int, list[tuple[int, int]]]:
+        """gram -> (item, position): all n-grams in up to ``most`` documents and the rarest of each stretch of each item; none that no document holds."""
         out: dict[int, list[tuple[int, int]]] = {}
         for k, grams in enumerate(self.grams):
-            chosen = {p for p, g in enumerate(grams) if 0 < frequency.get(g, 0) <= RARE}
+            held = [frequency.get(g, 0) for g in grams]
+            chosen = {p for p, n in enumerate(held) if 0 < n <= most}
             for lo in range(0, max(1, len(grams) - STRETCH + 1)):
-                part = [p for p in range(lo, min(lo + STRETCH, len(grams))) if grams[p] in frequency]
-                if part:
-                    chosen.add(min(part, key=lambda p: (frequency[grams[p]], p)))
+                part = [p for p in range(lo, min(lo + STRETCH, len(grams))) if held[p]]
+                least = min((held[p] for p in part), default=0)
+                chosen.update(p for p in part if held[p] <= NEAR * least)
             for p in chosen:
                 out.setdefault(grams[p], []).append((k, p))
         return out
@@ -160,19 +164,23 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = N,
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def seeded(texts: DataFrame, items: Items) -> dict[int, list[tuple[int, int]]]:
-    """The seeds of ``items``, by the number of ``texts`` that hold each n-gram."""
+def seeded(texts: DataFrame, items: Items, rare: float = RARE) -> dict[int, list[tuple[int, int]]]:
+    """The seeds of ``items``, by the share of ``texts`` (rows with a word) that hold each n-gram. Nulls and empty texts count for nothing."""
+    every = len(items.gram_ids)  # the place of the number of documents
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(len(items.gram_ids) + 1, np.int64)
+        totals = np.zeros(every + 1, np.int64)
         for batch in batches:
             for text in common.column(batch, "text"):
-                totals[np.unique(items.find(text)[2])] += 1
+                words, _, grams = items.find(text)
+                totals[np.unique(grams)] += 1
+                totals[every] += len(words) > 0
         held = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], names=["gram", "docs"])
 
     counted = common.map_batches(texts, count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    return items.seeds({r["gram"]: r["docs"] for r in counted.collect()})  # one row for each n-gram of this block's items at most
+    frequency = {r["gram"]: r["docs"] for r in counted.collect()}  # one row for each n-gram of this block's items at most
+    return items.seeds(frequency, rare * frequency.pop(every, 0))
 
 
 def passages(items: Items, seeds: dict[int, list[tuple[int, int]]], is_seed: np.ndarray, text: str | None) -> dict[int, list[np.ndarray]]:

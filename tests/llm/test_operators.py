@@ -626,6 +626,38 @@ def test_leaks_with_regular_edits(spark, every, exact):
     assert {r["doc_id"] for r in got.collect()} == ({1, 9} if exact else {1})
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_leaks_with_regular_edits_among_frequent_copies(every):
+    item = [f"q{k}" for k in range(60)]
+    items = decontaminate.Items([(7, " ".join(item))], decontaminate.N)
+    for shift in range(every):  # the item's own copies make all its n-grams frequent: no share helps, only the stretches
+        edited = set(items.find(" ".join(f"x{k}" if k % every == shift else w for k, w in enumerate(item)))[2].tolist())
+        assert edited & set(items.seeds({g: 50_000 + 900 * (g in edited) for g in range(len(item) - 2)}, most=0))
+
+
+def test_leaks_where_shares_act(spark):
+    rnd = random.Random(8)
+    stock = [" ".join(rnd.choices([f"s{k}" for k in range(40)], k=6)) for _ in range(30)]  # phrases that most documents hold
+    phrase = lambda: rnd.choice(stock) if rnd.random() < 0.5 else " ".join(rnd.choices([f"w{k}" for k in range(3000)], k=6))
+    tests = [(k, " ".join(phrase() for _ in range(8))) for k in range(20)]
+    edit = lambda text: " ".join(f"z{rnd.random()}" if rnd.random() < 0.12 else w for w in text.split())
+    texts = [" ".join([*(phrase() for _ in range(40)), *([edit(tests[k % 20][1])] if k < 60 else []), *(phrase() for _ in range(9))]) for k in range(600)]
+    items = decontaminate.Items(tests, decontaminate.N)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seeds = decontaminate.seeded(rows.select("text"), items)
+    assert len(items.gram_ids) - len(seeds) >= 20  # n-grams too common, though stretches within a phrase keep theirs
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(rows, spark.createDataFrame(tests, "item_id long, text string")).collect()}
+    want, found = set(), [items.find(t)[0] for t in texts]
+    grid = np.full((len(texts), max(map(len, found))), -1, np.int32)
+    for r, w in enumerate(found):
+        grid[r, : len(w)] = w
+    for k, words in enumerate(items.words):
+        best = decontaminate.align(words, grid)
+        want |= {(r, k) for r in np.flatnonzero(best >= decontaminate.LEAST * decontaminate.MATCH * len(words)).tolist()}
+    planted = {(k, k % 20) for k in range(60)} & want
+    assert got <= want and len(planted) >= 55 and len(got & planted) >= 0.98 * len(planted) and len(got) >= 0.9 * len(want)
+
+
 def test_rows_are_judged_by_their_texts(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(40))
     data = [(None, text("a")), (None, text("b")), (1, text("a")), (1, text("c")), (1, text("c")), (2, text("c")), (3, None)]
