@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import shared_dir, stored
 from .clean import CANONICAL_ERA5, col
@@ -65,10 +66,10 @@ def impute_constant(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> D
     return df.fillna(value, subset=list(cols))
 
 
-def fit_metrics(scored: DataFrame, target: str, prediction: str, part: str = "__test") -> DataFrame:
-    """(part, rmse, mae, r2, n) of training and test rows in one aggregate."""
+def fit_metrics(scored: DataFrame, target: str, prediction: str, part: str = "__test", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, part, rmse, mae, r2, n) of training and test rows in one aggregate."""
     e, y = col(target) - col(prediction), col(target)
-    return scored.groupBy(F.when(F.col(part), "test").otherwise("train").alias("part")).agg(
+    return scored.groupBy(*[col(k) for k in keys], F.when(F.col(part), "test").otherwise("train").alias("part")).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / (F.count(y) * F.var_pop(y))).alias("r2"), F.count(y).alias("n")
     )
 
@@ -113,30 +114,36 @@ def _trees(df: DataFrame, target: str, short: str, estimator, mode, x_col, pred_
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, model, names))
 
 
-def gram(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(a, b, total): sums of products of all pairs of ``names`` and a column of ones (named '1'), a <= b in this order. One aggregate."""
+def gram(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b, total): sums of products of all pairs of ``names`` and a column of ones (named '1'), a <= b in this order, for each series.
+
+    One aggregate, of which only sums are shuffled. Without keys there is one series.
+    """
     listed = {"1": F.lit(1.0), **{c: col(c).cast("double") for c in names}}
     pairs = [(a, b) for i, a in enumerate(listed) for b in list(listed)[i:]]
-    one = df.agg(*[F.sum(listed[a] * listed[b]).alias(f"__{k}") for k, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(f"__{k}", F.lit(0.0)).alias("total")) for k, (a, b) in enumerate(pairs)])).alias("e")).select("e.*")
+    one = df.groupBy(*[col(k) for k in keys]).agg(*[F.sum(listed[a] * listed[b]).alias(f"__{k}") for k, (a, b) in enumerate(pairs)])
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(f"__{k}", F.lit(0.0)).alias("total")) for k, (a, b) in enumerate(pairs)]
+    return one.select(*[col(k) for k in keys], F.explode(F.array(*each)).alias("__e")).select(*[col(k) for k in keys], "__e.*")
 
 
 def boosted_linear(sums: np.ndarray, rounds: int, rate: float, alpha: float, lambda_: float) -> np.ndarray:
     """Intercept and weights of a linear model boosted by rounds of coordinate descent with soft thresholds.
 
-    ``sums``: the Gram matrix of (1, features, target). A round moves the intercept by its Newton step and then each weight in
-    turn, all by ``rate``. Penalties are a row's, so alpha and lambda weigh alike on tables of any length. For alpha 0 the rounds
-    tend to the ridge solution.
+    ``sums``: the Gram matrix of (1, features, target), or a stack of them (any leading axes), all of which advance together. A
+    round moves the intercept by its Newton step and then each weight in turn, all by ``rate``. Penalties are a row's, so alpha
+    and lambda weigh alike on tables of any length. For alpha 0 the rounds tend to the ridge solution. No rows: weights of zero.
     """
-    g, c = sums[:-1, :-1], sums[:-1, -1]
-    n, w = g[0, 0], np.zeros(len(g))
-    for _ in range(rounds if n else 0):
-        w[0] -= rate * (g[0] @ w - c[0]) / n
-        for j in range(1, len(w)):
-            curve = g[j, j] + n * lambda_
-            if curve > 0:
-                free = w[j] - (g[j] @ w - c[j] + n * lambda_ * w[j]) / curve  # the least without alpha
-                w[j] += rate * (np.sign(free) * max(abs(free) - n * alpha / curve, 0.0) - w[j])
+    g, c = sums[..., :-1, :-1], sums[..., :-1, -1]
+    n, w = g[..., 0, 0], np.zeros(c.shape)
+    part = lambda top, bottom: np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
+    slope = lambda j: (g[..., j, :] * w).sum(axis=-1) - c[..., j]
+    for _ in range(rounds):
+        w[..., 0] -= rate * part(slope(0), n)
+        for j in range(1, w.shape[-1]):
+            curve = g[..., j, j] + n * lambda_
+            free = w[..., j] - part(slope(j) + n * lambda_ * w[..., j], curve)  # the least without alpha
+            moved = np.sign(free) * np.maximum(np.abs(free) - part(n * alpha, curve), 0.0) - w[..., j]
+            w[..., j] += np.where(curve > 0, rate * moved, 0.0)
     return w
 
 
@@ -165,10 +172,56 @@ def fill_linear(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_
     return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), importance)
 
 
-def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, max_depth: int = 3, step_size: float = 0.1, rounds: int = 100, subsample: float = 1.0, min_instances: int = 1, booster: str = "gbtree", reg_alpha: float = 0.0, reg_lambda: float = 1.0) -> Filled:
-    """Boosted trees, or with ``booster='gblinear'`` the boosted linear model, to which alone the two penalties apply."""
+def series_weights(rows: DataFrame, used: Sequence[str], keys: Sequence[str], rounds: int, rate: float, alpha: float, lambda_: float) -> DataFrame:
+    """(__k0.. for the keys, __w): ``boosted_linear`` weights of each series from the sums of its rows, many series at a time in a task."""
+    named = [f"__k{i}" for i in range(len(keys))]
+    place = {c: k for k, c in enumerate(["1", *used])}
+    sums = gram(rows.select(*[col(k).alias(n) for k, n in zip(keys, named, strict=True)], *used), used, named)
+    flat = sums.groupBy(*named).agg(F.collect_list(F.struct("a", "b", "total")).alias("__s"))  # as many as there are pairs of columns
+
+    def solve(batches):
+        for part in batches:
+            stack = np.zeros((len(part), len(place), len(place)))
+            for i, cells in enumerate(part["__s"]):
+                for cell in cells:
+                    stack[i, place[cell["a"]], place[cell["b"]]] = stack[i, place[cell["b"]], place[cell["a"]]] = cell["total"]
+            yield part[named].assign(__w=list(boosted_linear(stack, rounds, rate, alpha, lambda_)))
+
+    return flat.mapInPandas(solve, StructType([*[flat.schema[n] for n in named], StructField("__w", ArrayType(DoubleType()))]))
+
+
+def fill_linear_per_key(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, rounds: int = 100, rate: float = 0.1, reg_alpha: float = 0.0, reg_lambda: float = 1.0) -> Filled:
+    """``fill_linear`` with a model for each series, equal to one fitted on the series' rows alone.
+
+    One job for any number of series: only sums are shuffled, and each series' weights meet its rows in a join; null keys are a series of
+    their own. Metrics and importance carry the keys. A series without known training rows has null predictions, and no importance.
+    """
+    names = feature_columns(df, target, mode, X_col, keys)
+    if not names or not keys:
+        raise ValueError(f"models for each series need keys and feature columns for {target} in mode {mode!r}")
+    safe = {c: f"__f{i}" for i, c in enumerate(names)}
+    made = train_test(df, keys).withColumns({s: col(c).cast("double") for c, s in safe.items()}).withColumn("__y", col(target).cast("double"))
+    rows = impute_constant(made, list(safe.values()), fill)
+    used, named = [*safe.values(), "__y"], [f"__k{i}" for i in range(len(keys))]
+    weights = series_weights(rows.where("__y is not null and not __test"), used, keys, rounds, rate, reg_alpha, reg_lambda)
+    weights = stored(weights, shared_dir(df.sparkSession), "weights")  # a row for each series, read for predictions and importance
+    met = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)])
+    prediction = reduce(lambda a, i: a + F.col("__w")[i + 1] * F.col(f"__f{i}"), range(len(names)), F.col("__w")[0])
+    scored = rows.join(weights, met, "left").withColumn("__p", prediction).drop(*named, "__w")
+    table = gap_filled(scored, target, "XGB", "__p", pred_all).drop(*used, "__test", "__p")
+    sizes = [F.abs(F.col("__w")[i + 1]) for i in range(len(names))]
+    whole = reduce(lambda a, b: a + b, sizes)
+    shares = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(whole > 0, v / whole).otherwise(0.0).alias("importance")) for c, v in zip(names, sizes, strict=True)])
+    importance = weights.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], F.explode(shares).alias("__e")).select(*[col(k) for k in keys], "__e.*")
+    return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p", keys=keys), importance)
+
+
+def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, max_depth: int = 3, step_size: float = 0.1, rounds: int = 100, subsample: float = 1.0, min_instances: int = 1, booster: str = "gbtree", reg_alpha: float = 0.0, reg_lambda: float = 1.0, per_key: bool = False) -> Filled:
+    """Boosted trees, or with ``booster='gblinear'`` the boosted linear model, to which alone the two penalties and ``per_key`` apply."""
+    if per_key and booster != "gblinear":
+        raise ValueError("models for each series are linear: booster='gblinear'")
     if booster == "gblinear":
-        return fill_linear(df, target, mode, X_col, pred_all, keys, fill, rounds, step_size, reg_alpha, reg_lambda)
+        return (fill_linear_per_key if per_key else fill_linear)(df, target, mode, X_col, pred_all, keys, fill, rounds, step_size, reg_alpha, reg_lambda)
     if booster != "gbtree":
         raise ValueError(f"booster must be gbtree or gblinear, not {booster!r}")
     e = GBTRegressor(maxDepth=max_depth, stepSize=step_size, maxIter=rounds, subsamplingRate=subsample, minInstancesPerNode=min_instances, seed=0)

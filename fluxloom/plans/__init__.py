@@ -662,8 +662,8 @@ def gram_sums(spark, sf_dir):
     return gapfill.gram(rows, [*FEATURES, "NEE"]).select("a", "b", F.round("total", 4).alias("total"))
 
 
-def _rounds_sql(rounds: int, rate: float, alpha: float, lambda_: float) -> str:
-    """The rounds of the linear booster as a recursive table of weights, one step for each coordinate."""
+def _rounds_sql(rounds: int, rate: float, alpha: float, lambda_: float, by: str = "0") -> str:
+    """The rounds of the linear booster as a recursive table of weights, one step for each coordinate, for each ``by``."""
     k = len(FEATURES)
     c = lambda a, b: f"sum({a} * {b})::DOUBLE"
     rows = [f"[{', '.join(c(a, b) for b in GRAM[:-1])}]" for a in GRAM[:-1]]
@@ -671,8 +671,8 @@ def _rounds_sql(rounds: int, rate: float, alpha: float, lambda_: float) -> str:
     curve, ridge = f"(g[j + 1][j + 1] + n * {lambda_!r})", f"n * {lambda_!r} * w[j + 1]"
     free = f"(w[j + 1] - ({dot} - c[j + 1] + {ridge}) / {curve})"
     to = f"CASE WHEN j = 0 THEN w[1] - {rate!r} * ({dot} - c[1]) / n ELSE w[j + 1] + {rate!r} * (sign({free}) * greatest(abs({free}) - n * {alpha!r} / {curve}, 0) - w[j + 1]) END"
-    return TRAIN_SQL + f""", gm AS (SELECT count(*)::DOUBLE AS n, [{', '.join(rows)}] AS g, [{', '.join(c(a, 'NEE') for a in GRAM[:-1])}] AS c FROM tr)
-, ws AS (WITH RECURSIVE ws AS (SELECT 0 AS step, {[0.0] * (k + 1)}::DOUBLE[] AS w UNION ALL SELECT step + 1, list_transform(w, lambda x, i: CASE WHEN i = j + 1 THEN v ELSE x END) FROM (SELECT step, j, w, {to} AS v FROM (SELECT *, step % {k + 1} AS j FROM ws WHERE step < {rounds * (k + 1)}), gm)) FROM ws WHERE step = {rounds * (k + 1)})
+    return TRAIN_SQL + f""", gm AS (SELECT {by} AS id, count(*)::DOUBLE AS n, [{', '.join(rows)}] AS g, [{', '.join(c(a, 'NEE') for a in GRAM[:-1])}] AS c FROM tr GROUP BY 1)
+, ws AS (WITH RECURSIVE ws AS (SELECT id, 0 AS step, {[0.0] * (k + 1)}::DOUBLE[] AS w FROM gm UNION ALL SELECT id, step + 1, list_transform(w, lambda x, i: CASE WHEN i = j + 1 THEN v ELSE x END) FROM (SELECT id, step, j, w, {to} AS v FROM (SELECT *, step % {k + 1} AS j FROM ws WHERE step < {rounds * (k + 1)}) JOIN gm USING (id))) FROM ws WHERE step = {rounds * (k + 1)})
 """
 
 
@@ -684,6 +684,11 @@ def fill_gblinear(spark, sf_dir):
     return _filled(spark, sf_dir, "XGB", booster="gblinear", **LINEAR)
 
 
+@query(_rounds_sql(100, 0.5, 0.01, 0.001, "site_id") + f"""SELECT site_id, datetime, NEE, round(CASE WHEN NEE IS NULL THEN p END, 3) AS "NEE_XGBpred", round(coalesce(NEE, p), 3) AS "NEE_XGBGapFilled" FROM (SELECT h.*, w[1] + {' + '.join(f'w[{i + 2}] * {c}' for i, c in enumerate(FEATURES))} AS p FROM h LEFT JOIN ws ON id = site_id)""")
+def fill_gblinear_per_site(spark, sf_dir):
+    return _filled(spark, sf_dir, "XGB", booster="gblinear", per_key=True, **LINEAR)
+
+
 @query()
 def fill_rf(spark, sf_dir):
     return _filled(spark, sf_dir, "RF")

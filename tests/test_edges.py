@@ -186,6 +186,73 @@ def test_linear_booster_fills(spark):
         gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a"], booster="dart")
 
 
+def test_linear_models_of_each_series(spark):
+    rng = np.random.default_rng(4)
+    site = [None if k % 4 == 3 else k % 4 for k in range(800)]
+    a, b = rng.normal(0, 1, 800), rng.normal(3, 1, 800)
+    y = [None if s == 2 or k % 7 == 0 else float((5 if s is None else s + 1) * a[k] - b[k] + rng.normal(0, 0.1)) for k, s in enumerate(site)]
+    df = table(spark, site, y=y, a=a, b=b)
+    params = {"rounds": 300, "step_size": 0.5, "reg_alpha": 0.01, "reg_lambda": 0.01, "booster": "gblinear", "pred_all": True}
+    done = gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a", "b"], keys=["site"], per_key=True, **params)
+    got = done.table.collect()
+    assert len(got) == 800 and set(done.table.columns) == {*df.columns, "y_XGBpred", "y_XGBGapFilled", "y_XGBpred_all"}
+    importance = {(r["site"], r["feature"]): r["importance"] for r in done.importance.collect()}
+    assert {s for s, _ in importance} == {0, 1, None}  # site 2 knows nothing
+    for s in (0, 1, None):
+        alone = gapfill.fill_gbt(df.where(F.col("site").eqNullSafe(F.lit(s))), "y", "use_custom_X_col", ["a", "b"], keys=["site"], **params)
+        want = {r["datetime"]: r["y_XGBpred_all"] for r in alone.table.collect()}
+        assert all(abs(r["y_XGBpred_all"] - want[r["datetime"]]) < 1e-9 for r in got if r["site"] == s)
+        assert all(abs(importance[s, r["feature"]] - r["importance"]) < 1e-9 for r in alone.importance.collect())
+        parts = {r["part"]: r for r in alone.metrics.collect()}
+        mine = {r["part"]: r for r in done.metrics.where(F.col("site").eqNullSafe(F.lit(s))).collect()}
+        assert all(abs(mine[k]["r2"] - parts[k]["r2"]) < 1e-9 and mine[k]["n"] == parts[k]["n"] for k in ("train", "test"))
+    assert all(r["y_XGBpred_all"] is None for r in got if r["site"] == 2)
+    for wrong in ({"keys": []}, {"keys": ["site"], "booster": "gbtree"}):
+        with pytest.raises(ValueError):
+            gapfill.fill_gbt(df, "y", "use_custom_X_col", ["a"], per_key=True, **{"booster": "gblinear", **wrong})
+    assert gapfill.fill_gbt(df.limit(0), "y", "use_custom_X_col", ["a"], keys=["site"], booster="gblinear", per_key=True).table.count() == 0
+
+
+def test_adaboost_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    n, estimators = 240, 8
+    x = np.column_stack([rng.integers(0, 12, n), rng.integers(0, 9, n)]).astype(float)
+    y = np.sin(x[:, 0]) + 0.3 * x[:, 1] + rng.normal(0, 0.2, n)
+    df = table(spark, [1] * n, y=[None if k % 11 == 0 else float(v) for k, v in enumerate(y)], a=x[:, 0], b=x[:, 1])
+    place = {r["datetime"]: (r["y"], np.array([r["a"], r["b"]]), r["__test"]) for r in gapfill.train_test(df, ["site"]).collect()}
+    train = [v for v in place.values() if v[0] is not None and not v[2]]
+    tx, ty, w = np.stack([v[1] for v in train]), np.array([v[0] for v in train]), np.ones(len(train))
+
+    def stump(w):
+        best = None
+        for j in range(2):
+            levels = np.unique(tx[:, j])
+            for cut in (levels[:-1] + levels[1:]) / 2:
+                left = tx[:, j] <= cut
+                means = [np.average(ty[s], weights=w[s]) for s in (left, ~left)]
+                error = (w * (ty - np.where(left, *means)) ** 2).sum()
+                if best is None or error < best[0]:
+                    best = error, j, cut, means
+        return best[1:]
+
+    stumps, votes, say = [], [], lambda s, z: np.where(z[..., s[0]] <= s[1], *s[2])
+    for _ in range(estimators):
+        s = stump(w)
+        e = np.abs(ty - say(s, tx))
+        mean = (w * e).sum() / w.sum() / e.max()
+        if mean >= 0.5:
+            break
+        beta = mean / (1 - mean)
+        stumps, votes = [*stumps, s], [*votes, np.log(1 / beta)]
+        w = w * beta ** (1 - e / e.max())
+    assert len(stumps) >= 4  # the rounds that change weights
+    done = gapfill.fill_adaboost(df, "y", "use_custom_X_col", ["a", "b"], pred_all=True, keys=["site"], estimators=estimators, max_depth=1)
+    for r in done.table.collect():
+        said = sorted((float(say(s, place[r["datetime"]][1])), v) for s, v in zip(stumps, votes, strict=True))
+        total = np.cumsum([v for _, v in said])
+        assert abs(r["y_Adapred_all"] - said[int(np.argmax(total >= sum(votes) / 2 - 1e-12))][0]) < 1e-9
+
+
 def test_network_shards_equal_a_single_fit(spark):
     rng = np.random.default_rng(11)
     n = 3000
