@@ -158,7 +158,8 @@ def spikes(values: np.ndarray, night: np.ndarray, start: np.ndarray, half: int,
             m = middle(np.sort(grid, axis=1), n)
             mad = middle(np.sort(np.where(inside, np.abs(grid - m[:, None]), np.inf), axis=1), n)
             median[rows[b]] = m
-            flag[rows[b]] = (n > fewest) & (np.abs(x[b] - m) > k * mad)
+            # a value just k MAD away is none, whatever the last bits of its binary form
+            flag[rows[b]] = (n > fewest) & (np.round(np.abs(x[b] - m) - k * mad, 9) > 0)
     return flag, median
 
 

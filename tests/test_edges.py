@@ -279,3 +279,10 @@ def test_network_gradient_by_differences():
         e = np.zeros_like(p)
         e[k] = 1e-6
         assert abs((loss(p + e) - loss(p - e)) / 2e-6 - g[k]) < 1e-6
+
+
+def test_a_value_just_k_deviations_away_is_no_spike():
+    x = np.array([5.4, 5.4, 5.4, 7.7, 10.0, 10.0, 10.0, 14.6, 0.8])  # 7.7 - 0.8 is 3 times 2.3, in binary a little more
+    flag, _ = quality.spikes(x, np.zeros(9, bool), np.arange(9), 9, 3.0, 6)
+    assert not flag.any()
+    assert quality.spikes(np.where(x == 0.8, 0.79, x), np.zeros(9, bool), np.arange(9), 9, 3.0, 6)[0].sum() == 1
