@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import is_night
+from ..session import shared_dir, stored
 from .clean import col, keyed_join
 from .quality import between_times
 from .windows import positions
@@ -20,6 +22,8 @@ from .windows import positions
 FALLBACK = {"forest": 0.1}
 OTHER_FALLBACK = 0.01
 TOLERANCES = (0.99, 0.90)
+#: Replicates of a series that a task makes together, and rows of replicates that a task holds, about.
+REPS_AT_ONCE, ROWS_AT_ONCE = 10, 500_000
 
 
 def quantile_edges(df: DataFrame, name: str, q: int, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -87,7 +91,13 @@ def binned_stats(df: DataFrame, edges: DataFrame, ustar: str, nee: str, keys: Se
     number = sum((F.when(col(ustar) > F.round(F.col("__edges")[k], 9), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
     got = F.when(col(nee).isNotNull(), w)
     each = joined.where(col(ustar).isNotNull()).groupBy(*keys, number.alias("bin")).agg((F.sum(got * col(nee)) / F.sum(got)).alias("mean_nee"), F.sum(w).alias("n"), F.first("__edges").alias("__edges"))
-    made = each.groupBy(*keys).agg(F.first("__edges").alias("__edges"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("mean_nee", "n")))).alias("__found"))
+    return labelled_bins(each, keys, bins, label_rounding)
+
+
+def labelled_bins(each: DataFrame, keys: Sequence[str], bins: int, label_rounding: bool) -> DataFrame:
+    """(keys, bin, mean_nee, n, mid) of all bins from (keys, bin, mean_nee, n, __edges) of those with rows; a row without a bin keeps its group only."""
+    found = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct("mean_nee", "n"))))
+    made = each.groupBy(*keys).agg(F.first("__edges", ignorenulls=True).alias("__edges"), F.map_from_entries(found).alias("__found"))
     labelled = rounded_edges(made, "__edges", "__shown") if label_rounding else made.withColumn("__shown", F.col("__edges"))
     ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(k.alias("bin"), ((F.get("__shown", k) + F.get("__shown", k + 1)) / 2).alias("mid"), F.try_element_at("__found", k).alias("of")))
     grid = labelled.select(*keys, F.explode(ends).alias("__b"))
@@ -109,13 +119,20 @@ def gated_edges(df: DataFrame, tair: str, ustar: str, keys: Sequence[str], bins:
     x, y = col(tair), col(ustar)
     shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     edges = F.percentile(y, shares, F.when(y.isNotNull(), F.col(weight)).otherwise(0)) if weight else F.percentile(y, shares)
-    total = {"n": w, "x": w * x, "y": w * y, "xx": w * x * x, "yy": w * y * y, "xy": w * x * y}
-    sums = df.groupBy(*keys).agg(edges.alias("edges"), *[F.sum(c).alias(f"__{k}") for k, c in total.items()])
-    t = {k: F.col(f"__{k}") for k in total}
-    vx, vy = t["xx"] - t["x"] * t["x"] / t["n"], t["yy"] - t["y"] * t["y"] / t["n"]
-    spread = (vx > 1e-12 * t["xx"]) & (vy > 1e-12 * t["yy"])  # else a constant, up to rounding
-    r = F.when(spread, (t["xy"] - t["x"] * t["y"] / t["n"]) / F.sqrt(vx * vy))
-    return sums.where(F.coalesce(F.abs(r) < limit, F.lit(True))).select(*keys, "edges")
+    sums = df.groupBy(*keys).agg(edges.alias("edges"), *[F.sum(c).alias(f"__{k}") for k, c in products(w, x, y).items()])
+    return sums.where(passes(limit)).select(*keys, "edges")
+
+
+def products(w: Column, x: Column, y: Column) -> dict[str, Column]:
+    return {"n": w, "x": w * x, "y": w * y, "xx": w * x * x, "yy": w * y * y, "xy": w * x * y}
+
+
+def passes(limit: float) -> Column:
+    """Whether the correlation, from the sums of ``products`` as columns __n, __x ..., is below the limit or undefined."""
+    n, x, y, xx, yy, xy = (F.col(f"__{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+    vx, vy = xx - x * x / n, yy - y * y / n
+    spread = (vx > 1e-12 * xx) & (vy > 1e-12 * yy)  # else a constant, up to rounding
+    return F.coalesce(F.abs(F.when(spread, (xy - x * y / n) / F.sqrt(vx * vy))) < limit, F.lit(True))
 
 
 def moving_point(stats: DataFrame, keys: Sequence[str], vegetation: str = "forest") -> DataFrame:
@@ -166,18 +183,18 @@ PRIME, REP_STRIDE, STRIDES, SHIFTS = 2_147_483_647, 1_000_003, (48_271, 40_692,
 POISSON_CUTS = [int(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
 
-def poisson_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Sequence[str] = (), identity: Sequence[str] = ("datetime",)) -> DataFrame:
+def poisson_sample(df: DataFrame, replicates: int, seed: int = 42, keys: Sequence[str] = (), identity: Sequence[str] = ("datetime",), reps: Column | None = None) -> DataFrame:
     """Rows with ``rep`` and ``weight``: a Poisson(1) weight for each replicate, in place of n draws with replacement.
 
     A weight is a hash of (seed, keys, identity, replicate), so it needs no position, no table of draws and no join, and
     doesn't depend on partitioning or on other rows. A replicate has n rows only on average. Rows of one key and identity
-    have the same weights; a row of weight 0 has no row for that replicate.
+    have the same weights; a row of weight 0 has no row for that replicate. ``reps``, an array for each row, takes some replicates only.
     """
     name = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in [*keys, *identity]]))
     part = lambda at: F.conv(F.substr(name, F.lit(at), F.lit(7)), 16, 10).cast("long")
     named = df.withColumn("__a", part(1)).withColumn("__b", part(8))
     x = F.col("__x")
-    each = named.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__x", (F.col("__a") + F.col("rep").cast("long") * REP_STRIDE) % PRIME)
+    each = named.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)) if reps is None else reps)).withColumn("__x", (F.col("__a") + F.col("rep").cast("long") * REP_STRIDE) % PRIME)
     for stride, shift in zip(STRIDES, SHIFTS, strict=True):
         each = each.withColumn("__x", (x * stride + F.col("__b")) % PRIME).withColumn("__x", x.bitwiseXOR(F.shiftright(x, shift)) % PRIME)
     # columns of their own, and a condition on the hash itself: Spark would compute a long expression again wherever it is used
@@ -192,24 +209,83 @@ def bootstrap_thresholds(df: DataFrame, seasons: Sequence[tuple[str, str]] | Non
     with replacement) or 'poisson' (a weight for each row; day rows, which no threshold needs, are left out before).
     """
     keys = list(keys)
-    names = [*keys, "datetime", *[c for c in (ustar, nee, tair, rg)]]
-    if draws == "poisson":
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows, dealt once before each becomes many
-        night = df.select(*[col(c) for c in names]).where(is_night(col(rg))).repartition(tasks, *[col(k) for k in keys], "datetime")
-        sample = poisson_sample(night, n_bootstraps, seed, keys)
-    elif draws == "multinomial":
-        sample = bootstrap_sample(df.select(*[col(c) for c in names]), n_bootstraps, seed, keys)
-    else:
-        raise ValueError(f"draws must be multinomial or poisson, not {draws!r}")
+    values = [col(c).alias(n) for c, n in ((ustar, "__ustar"), (nee, "__nee"), (tair, "__tair"), (rg, "__rg"))]
+    sample = replicate_rows(df.select(*[col(k) for k in keys], "datetime", *values), n_bootstraps, seed, keys, draws)
     if seasons:
         stamp = lambda t: F.lit(t).cast("timestamp_ntz")
         listed = [F.when(F.col("datetime").between(stamp(a), stamp(b)), F.lit(f"{a} to {b}")) for a, b in seasons]
         sample = sample.withColumn("season", F.explode(F.array_compact(F.array(*listed))))
     else:
         sample = sample.withColumn("season", F.lit("all"))
-    each = mpt_threshold(sample, ustar, nee, tair, rg, None, None, temp_groups, nee_bins, vegetation, [*keys, "rep", "season"], "weight", label_rounding)
-    largest = each.groupBy(*keys, "rep").agg(F.max("threshold").alias("threshold"))
-    return each.select(*keys, "rep", "season", "threshold").union(largest.select(*keys, "rep", F.lit("overall"), "threshold"))
+    own = [*keys, "__block", "rep"]
+    each = replicate_thresholds(sample, [*own, "season"], temp_groups, nee_bins, vegetation, label_rounding)
+    largest = F.array(F.struct(F.lit("overall").alias("season"), F.max("threshold").alias("threshold")))
+    listed = each.groupBy(*own).agg(F.concat(F.collect_list(F.struct("season", "threshold")), largest).alias("__all"))
+    return listed.select(*[col(k) for k in keys], "rep", F.explode("__all").alias("__e")).select(*[col(k) for k in keys], "rep", "__e.season", "__e.threshold")
+
+
+def replicate_rows(narrow: DataFrame, replicates: int, seed: int, keys: Sequence[str], draws: str) -> DataFrame:
+    """Night rows of (keys, datetime, __ustar, __nee, __tair, __rg) with __block, rep and weight, dealt by (keys, __block).
+
+    A block is REPS_AT_ONCE replicates of a series. What is shuffled is a copy of the narrow rows for each block, and a
+    block's replicates are made after that, so they are never shuffled, and steps that group by (keys, __block, ...) stay in their task.
+    Draws are those of ``bootstrap_sample``, a row for each that took a night row: a block holds its series as an array, by position.
+    """
+    spark, names = narrow.sparkSession, ["datetime", "__ustar", "__nee", "__tair"]
+    night = is_night(F.col("__rg"))
+    if draws == "poisson":
+        base = stored(narrow.where(night).select(*[col(k) for k in keys], *names), shared_dir(spark), "nights")
+        rows = base.count()
+    elif draws == "multinomial":
+        one = F.struct("__pos", F.when(night, F.struct(*names)).alias("v"))
+        base = stored(positions(narrow, keys).groupBy(*[col(k) for k in keys]).agg(F.sort_array(F.collect_list(one)).alias("__rows")), shared_dir(spark), "series")
+        rows = base.agg(F.sum(F.size("__rows"))).first()[0] or 0
+    else:
+        raise ValueError(f"draws must be multinomial or poisson, not {draws!r}")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * replicates // ROWS_AT_ONCE))
+    first = F.col("__block") * REPS_AT_ONCE
+    reps = F.sequence(first, F.least(first + REPS_AT_ONCE, F.lit(replicates)) - 1)
+    dealt = base.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPS_AT_ONCE)))).repartition(tasks, *[col(k) for k in keys], "__block")
+    if draws == "poisson":
+        return poisson_sample(dealt, replicates, seed, keys, reps=reps)
+    each = dealt.withColumn("rep", F.explode(reps)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.size("__rows").cast("long") - 1)))
+    label = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("j").cast("string"))
+    place = (F.conv(F.substr(F.md5(label), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.size("__rows")).cast("int")
+    taken = each.withColumn("__at", F.explode(F.array(place)))  # a column of its own: a condition on it would compute the hash again
+    found = taken.withColumn("__v", F.get("__rows", F.col("__at"))["v"]).where("__v is not null")
+    return found.select(*[col(k) for k in keys], "__block", "rep", *[F.col("__v")[n].alias(n) for n in names], F.lit(1).cast("long").alias("weight"))
+
+
+def apart(edges: Column, q: int) -> Column:
+    """Whether q + 1 ascending edges differ."""
+    return reduce(lambda a, b: a & b, [F.get(edges, F.lit(k)) < F.get(edges, F.lit(k + 1)) for k in range(q)])
+
+
+def above(x: Column, edges: Column, q: int) -> Column:
+    """The number of inner edges, at nine decimals, below x: short code, as Java runs long methods of generated code uncompiled."""
+    return reduce(lambda a, b: a + b, [(x > F.rint(F.get(edges, F.lit(k)) * 1e9) / 1e9).cast("int") for k in range(1, q)])
+
+
+def replicate_thresholds(sample: DataFrame, by: Sequence[str], temp_groups: int, bins: int, vegetation: str, label_rounding: bool, limit: float = 0.4) -> DataFrame:
+    """(by, threshold): ``mpt_threshold`` of each replicate's rows (by, __ustar, __nee, __tair, weight), by windows and no joins.
+
+    Rows that are dealt by some of ``by`` stay in their task from here to the thresholds.
+    """
+    x, y, w = F.col("__tair"), F.col("__ustar"), F.col("weight")
+    edges = lambda c, q: F.percentile(c, F.array(*[F.lit(i / q) for i in range(q + 1)]), F.when(c.isNotNull(), w).otherwise(0))
+    t, e = F.col("__t"), F.col("__edges")
+    warm = sample.withColumn("__t", edges(x, temp_groups).over(Window.partitionBy(*by)))
+    grouped = warm.withColumn("temp_group", F.when(x.isNotNull() & apart(t, temp_groups), above(x, t, temp_groups))).drop("__t")
+    group = Window.partitionBy(*by, "temp_group")
+    total = products(F.when(x.isNotNull() & y.isNotNull(), w), x, y)
+    gated = grouped.withColumns({"__edges": edges(y, bins).over(group), **{f"__{k}": F.sum(c).over(group) for k, c in total.items()}})
+    binned = gated.withColumn("bin", above(y, e, bins))
+    own, got = [*by, "temp_group", "__fine"], F.when(F.col("__nee").isNotNull(), w)
+    kept = [F.first(f"__{k}").alias(f"__{k}") for k in ("edges", *total)]
+    bound = binned.groupBy(*by, "temp_group", "bin").agg((F.sum(got * F.col("__nee")) / F.sum(got)).alias("mean_nee"), F.sum(w).alias("n"), *kept)
+    each = bound.withColumn("__fine", F.coalesce(F.col("temp_group").isNotNull() & apart(e, bins) & passes(limit), F.lit(False)))
+    found = moving_point(labelled_bins(each, own, bins, label_rounding), own, vegetation)
+    return found.groupBy(*by).agg(F.percentile(F.when(F.col("__fine"), F.col("threshold")), F.lit(0.5)).alias("threshold"))
 
 
 def bootstrap_ustar(df: DataFrame, seasons: Sequence[tuple[str, str]] | None = None, n_bootstraps: int = 100, ustar: str = "u*", nee: str = "NEE", tair: str = "Tair", rg: str = "Rg", temp_groups: int = 6, nee_bins: int = 20, vegetation: str = "forest", seed: int = 42, keys: Sequence[str] = (), label_rounding: bool = True, draws: str = "multinomial") -> DataFrame:

@@ -187,3 +187,19 @@ def test_gate_sums_equal_correlation(spark):
     for weight in (None, "w"):
         want = {r["g"] for r in ustar.correlation_gate(df, "Tair", "ustar", ["g"], weight=weight).where("accepted").collect()}
         assert {r["g"] for r in ustar.gated_edges(df, "Tair", "ustar", ["g"], 4, weight).collect()} == want == {1, 4, 5}
+
+
+@pytest.mark.parametrize("draws", ["multinomial", "poisson"])
+def test_replicates_stay_in_the_task_that_makes_them(spark, draws):
+    """Only a copy of the narrow rows for each block of replicates is shuffled, before there are replicates; thresholds are those of each replicate alone."""
+    rng = np.random.default_rng(4)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=30 * i), float(rng.uniform(0, 25)), round(float(rng.uniform(0.02, 0.9)), 6), float(rng.normal(1, 1)), 0.0) for k in (1, None) for i in range(240)]
+    df = spark.createDataFrame(rows, "site long, datetime timestamp_ntz, Tair double, `u*` double, NEE double, Rg double")
+    each = ustar.bootstrap_thresholds(df, None, 12, temp_groups=2, nee_bins=4, keys=["site"], draws=draws)
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "rep#" not in plan.split("Exchange ")[1]
+    sample = (ustar.poisson_sample if draws == "poisson" else ustar.bootstrap_sample)(df, 12, keys=["site"])
+    alone = ustar.mpt_threshold(sample, temp_groups=2, nee_bins=4, keys=["site", "rep"], weight="weight")
+    want = {(r["site"], r["rep"]): r["threshold"] for r in alone.collect()}
+    got = {(r["site"], r["rep"]): r["threshold"] for r in each.where("season = 'overall'").collect()}
+    assert len(want) == 24 and got == pytest.approx(want)
