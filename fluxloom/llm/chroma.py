@@ -27,6 +27,8 @@ LOWEST, HIGHEST = 110.0, 1900.0
 SPAN = 24
 #: Votes of an offset, and the most differing bits, for two recordings to match.
 VOTES, BIT_ERRORS = 1, 0.2
+#: Frames of recordings of equal length whose integers are made together.
+FRAMES_AT_ONCE = 4096
 #: Queries whose places of a code are listed together, and votes that a task counts at once.
 QUERY_BLOCK, VOTES_AT_ONCE = 4096, 1 << 18
 
@@ -76,26 +78,34 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 def codes(energy: np.ndarray) -> np.ndarray:
     """A packed 32-bit integer for each run of SPAN frames."""
-    n = len(energy) - SPAN + 1
+    return codes_of(energy[None])[0]
+
+
+def codes_of(energies: np.ndarray) -> np.ndarray:
+    """``codes`` of recordings of equal length (recordings, frames, classes), a row for each."""
+    size, frames = energies.shape[:2]
+    n = frames - SPAN + 1
     if n <= 0:
-        return np.empty(0, np.uint32)
-    image = np.zeros((len(energy) + 1, 13))
-    image[1:, 1:] = energy.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.empty((size, 0), np.uint32)
+    image = np.zeros((size, frames + 1, 13))
+    image[:, 1:, 1:] = energies.cumsum(axis=1).cumsum(axis=2)
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
+        late, early = image[:, t1 : t1 + n], image[:, t0 : t0 + n]
+        return late[..., p1] - early[..., p1] - late[..., p0] + early[..., p0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((size, n), np.uint32)
     for kind, p, h, w in filters():
         half_h, half_w = p + h // 2, w // 2
         whole = box(0, w, p, p + h)
-        part = (
-            box(0, half_w, p, p + h),
-            box(0, w, p, half_h),
-            box(0, half_w, p, half_h) + box(half_w, w, half_h, p + h),
-            box(w // 4, w - w // 4, p, p + h),
-        )[kind]
+        if kind == 0:
+            part = box(0, half_w, p, p + h)
+        elif kind == 1:
+            part = box(0, w, p, half_h)
+        elif kind == 2:
+            part = box(0, half_w, p, half_h) + box(half_w, w, half_h, p + h)
+        else:
+            part = box(w // 4, w - w // 4, p, p + h)
         value = np.log1p(part) - np.log1p(whole - part)
         level = (value > -0.25).astype(np.uint32) + (value > 0.0) + (value > 0.25)
         out = out << np.uint32(2) | (level ^ (level >> np.uint32(1))).astype(np.uint32)
@@ -105,9 +115,21 @@ def codes(energy: np.ndarray) -> np.ndarray:
 def fingerprint(media: DataFrame, key: str = "id", column: str = "media") -> DataFrame:
     """(id, codes): packed integers of each recording as little-endian bytes; none for a short or unreadable one."""
 
+    def pack(group: list[tuple[int, np.ndarray]], out: list[bytes]) -> None:
+        for (at, _), row in zip(group, codes_of(np.stack([e for _, e in group])), strict=True):
+            out[at] = row.astype("<u4").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [codes(chroma(*samples(m))).astype("<u4").tobytes() for m in common.column(batch, "media")]
+            out, alike = [b""] * batch.num_rows, {}
+            for at, m in enumerate(common.column(batch, "media")):
+                energy = chroma(*samples(m))
+                group = alike.setdefault(len(energy), [])
+                group.append((at, energy))
+                if len(group) * len(energy) >= FRAMES_AT_ONCE:
+                    pack(alike.pop(len(energy)), out)
+            for group in alike.values():
+                pack(group, out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "codes"])
 
     return common.map_batches(media.select(media[key].cast("long").alias("id"), media[column].alias("media")), run, "id long, codes binary")

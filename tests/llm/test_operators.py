@@ -136,6 +136,14 @@ def test_pitch_classes_of_tones():
         assert (chroma.chroma(x, rate).argmax(axis=1) == step % 12).all()  # A is class 0, and so is the tone at 220
 
 
+def test_chroma_codes_recordings_of_equal_length_together():
+    rng = np.random.default_rng(6)
+    energies = rng.uniform(0, 1, (9, chroma.SPAN + 40, 12))
+    energies[3] = 0.5  # where halves are equal, the last bits of the sums decide
+    assert chroma.codes_of(energies).tolist() == [chroma.codes(e).tolist() for e in energies]
+    assert chroma.codes_of(energies[:, :5]).shape == (9, 0)
+
+
 def test_chroma_recall_against_brute_force(spark):
     """All pairs of a query and a recording, at all offsets, against the search."""
     rng = np.random.default_rng(11)
