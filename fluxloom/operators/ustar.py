@@ -86,7 +86,8 @@ def rounded_edges(df: DataFrame, name: str, into: str) -> DataFrame:
 def binned_stats(df: DataFrame, edges: DataFrame, ustar: str, nee: str, keys: Sequence[str], bins: int, weight: str | None, label_rounding: bool) -> DataFrame:
     """``ustar_bin_stats`` by given ``edges`` (keys, edges): rows meet them once, and a group's bins come together in one short row."""
     w = F.col(weight) if weight else F.lit(1)
-    whole = edges.where(F.size(F.array_distinct("edges")) == bins + 1).select(*[col(k) for k in keys], F.col("edges").alias("__edges"))
+    # at twelve decimals: interpolation between equal values may differ in the last bits
+    whole = edges.where(F.size(F.array_distinct(F.transform("edges", lambda e: F.round(e, 12)))) == bins + 1).select(*[col(k) for k in keys], F.col("edges").alias("__edges"))
     joined = keyed_join(df, whole, keys)
     number = sum((F.when(col(ustar) > F.round(F.col("__edges")[k], 9), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
     got = F.when(col(nee).isNotNull(), w)
@@ -283,7 +284,7 @@ def replicate_thresholds(sample: DataFrame, by: Sequence[str], temp_groups: int,
     own, got = [*by, "temp_group", "__fine"], F.when(F.col("__nee").isNotNull(), w)
     kept = [F.first(f"__{k}").alias(f"__{k}") for k in ("edges", *total)]
     bound = binned.groupBy(*by, "temp_group", "bin").agg((F.sum(got * F.col("__nee")) / F.sum(got)).alias("mean_nee"), F.sum(w).alias("n"), *kept)
-    each = bound.withColumn("__fine", F.coalesce(F.col("temp_group").isNotNull() & apart(e, bins) & passes(limit), F.lit(False)))
+    each = bound.withColumn("__fine", F.coalesce(F.col("temp_group").isNotNull() & apart(F.transform(e, lambda v: F.round(v, 12)), bins) & passes(limit), F.lit(False)))
     found = moving_point(labelled_bins(each, own, bins, label_rounding), own, vegetation)
     return found.groupBy(*by).agg(F.percentile(F.when(F.col("__fine"), F.col("threshold")), F.lit(0.5)).alias("threshold"))
 

@@ -203,3 +203,10 @@ def test_replicates_stay_in_the_task_that_makes_them(spark, draws):
     want = {(r["site"], r["rep"]): r["threshold"] for r in alone.collect()}
     got = {(r["site"], r["rep"]): r["threshold"] for r in each.where("season = 'overall'").collect()}
     assert len(want) == 24 and got == pytest.approx(want)
+
+
+def test_edges_that_differ_in_their_last_bits_are_repeated(spark):
+    """0.3 between two values of 0.1 + 0.2: such a group has no bins, as in SQL."""
+    rows = [(x, 1.0) for x in (0.1, 0.2, 0.3, 0.1 + 0.2, 0.5)]
+    df = spark.createDataFrame(rows, "u double, NEE double").selectExpr("1 AS site", "*")
+    assert ustar.ustar_bin_stats(df, "u", "NEE", ["site"], 4).count() == 0
