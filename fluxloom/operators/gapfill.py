@@ -10,12 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import shared_dir, stored
+from . import trees as trees_
 from .clean import CANONICAL_ERA5, col
 
 # Columns of the exchanged datasets, and the names by which methods are called.
@@ -87,17 +88,22 @@ def gap_filled(df: DataFrame, target: str, short: str, prediction: str, pred_all
     return out.withColumn(f"{target}_{short}pred_all", p) if pred_all else out
 
 
-def _prepared(df: DataFrame, target: str, mode: str, x_col, keys, fill: float) -> tuple[DataFrame, list[str]]:
+def _features(df: DataFrame, target: str, mode: str, x_col, keys, fill: float) -> tuple[DataFrame, list[str]]:
+    """The rows with __test and features __f0.. as doubles, and the features' names."""
     names = feature_columns(df, target, mode, x_col, keys)
     safe = {c: f"__f{i}" for i, c in enumerate(names)}
     if not names:
         raise ValueError(f"no feature columns for {target} in mode {mode!r}")
-    made = impute_constant(train_test(df, keys).withColumns({s: col(c).cast("double") for c, s in safe.items()}), list(safe.values()), fill)
-    return VectorAssembler(inputCols=list(safe.values()), outputCol="__x").transform(made).drop(*safe.values()), names
+    return impute_constant(train_test(df, keys).withColumns({s: col(c).cast("double") for c, s in safe.items()}), list(safe.values()), fill), names
 
 
-def _importance(df: DataFrame, model, names: list[str]) -> DataFrame:
-    shares = model.featureImportances.toArray() if model else [0.0] * len(names)
+def _prepared(df: DataFrame, target: str, mode: str, x_col, keys, fill: float) -> tuple[DataFrame, list[str]]:
+    made, names = _features(df, target, mode, x_col, keys, fill)
+    safe = [f"__f{i}" for i in range(len(names))]
+    return VectorAssembler(inputCols=safe, outputCol="__x").transform(made).drop(*safe), names
+
+
+def _importance(df: DataFrame, shares, names: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, shares, strict=True)], "feature string, importance double")
 
 
@@ -111,7 +117,25 @@ def _trees(df: DataFrame, target: str, short: str, estimator, mode, x_col, pred_
         known.unpersist()
     scored = model.transform(rows) if model else rows.withColumn("__p", F.lit(None).cast("double"))
     table = gap_filled(scored, target, short, "__p", pred_all).drop("__x", "__y", "__test", "__p")
-    return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, model, names))
+    shares = model.featureImportances.toArray() if model else [0.0] * len(names)
+    return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, shares, names))
+
+
+def _by_cells(df: DataFrame, target: str, short: str, fit, mode, x_col, pred_all, keys, fill) -> Filled:
+    """Trees on cells: ``fit`` gets rows of (__bins, __known, __y, keys, datetime) and the features, and returns (__bins, __p) and importance."""
+    made, names = _features(df, target, mode, x_col, keys, fill)
+    safe = [f"__f{i}" for i in range(len(names))]
+    made = made.withColumn("__y", col(target).cast("double"))
+    known = F.col("__y").isNotNull() & ~F.col("__test")
+    narrow = stored(made.select(*[col(k) for k in keys], "datetime", "__y", known.alias("__known"), *safe), shared_dir(df.sparkSession), "rows")
+    if narrow.where("__known").head(1):
+        bins = trees_.binned(safe, trees_.bin_cuts(narrow.where("__known"), safe))
+        said, shares = fit(narrow.withColumn("__bins", bins), safe)
+        scored = made.withColumn("__bins", bins).join(said, "__bins", "left").drop("__bins")
+    else:
+        scored, shares = made.withColumn("__p", F.lit(None).cast("double")), [0.0] * len(names)
+    table = gap_filled(scored, target, short, "__p", pred_all).drop(*safe, "__y", "__test", "__p")
+    return Filled(table, fit_metrics(scored.where("__y is not null"), "__y", "__p"), _importance(df, shares, names))
 
 
 def gram(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -229,8 +253,9 @@ def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
 
 
 def fill_random_forest(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, trees: int = 10, max_depth: int = 30, features: str = "all") -> Filled:
-    e = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy=features, seed=0)
-    return _trees(df, target, "RF", e, mode, X_col, pred_all, keys, fill)
+    """Trees on binned features, each on rows by Poisson weights; see ``trees.forest``."""
+    fit = lambda rows, cols: trees_.forest(rows, cols, keys, trees, max_depth, features)
+    return _by_cells(df, target, "RF", fit, mode, X_col, pred_all, keys, fill)
 
 
 def fill_adaboost(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all: bool = False, keys: Sequence[str] = (), fill: float = 0.0, estimators: int = 100, rate: float = 1.0, max_depth: int = 3) -> Filled:
