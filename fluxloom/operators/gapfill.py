@@ -249,6 +249,8 @@ def fill_gbt(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
     if booster != "gbtree":
         raise ValueError(f"booster must be gbtree or gblinear, not {booster!r}")
     e = GBTRegressor(maxDepth=max_depth, stepSize=step_size, maxIter=rounds, subsamplingRate=subsample, minInstancesPerNode=min_instances, seed=0)
+    if subsample == 1.0 and min_instances == 1:  # else single rows count
+        return _by_cells(df, target, "XGB", lambda rows, cols: trees_.boosted(rows, cols, keys, e), mode, X_col, pred_all, keys, fill)
     return _trees(df, target, "XGB", e, mode, X_col, pred_all, keys, fill)
 
 

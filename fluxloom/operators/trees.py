@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ BINS = 32
 NODE_CELLS = 50_000
 #: Gains that differ by less are the same but for rounding; a share of a node's sum of squares.
 SAME, NO_GAIN = 1e-9, 1e-18
+#: Cells of a task of Spark's boosted trees. These look for a feature's values in a sample of the square of their bins: all cells, for a million.
+FIT_CELLS, SEEN_BINS = 20_000, 1024
 #: Nodes of a level whose sums a task holds at a time.
 NODES = 1024
 #: Node numbers are those of Spark's own trees: root 1, children 2n and 2n + 1.
@@ -213,3 +217,21 @@ def forest(rows: DataFrame, cols: Sequence[str], keys: Sequence[str], trees: int
     total = gains.sum(axis=1, keepdims=True)
     shares = np.divide(gains, total, out=np.zeros_like(gains), where=total > 0).sum(axis=0)
     return done.where("j < 0").groupBy("__bins").agg(F.avg("__p").alias("__p")), shares / (shares.sum() or 1.0)
+
+
+def boosted(rows: DataFrame, cols: Sequence[str], keys: Sequence[str], estimator: GBTRegressor) -> tuple[DataFrame, np.ndarray]:
+    """(__bins, __p) for each cell of ``rows``, as for ``forest``, by Spark's boosted trees on the cells' means and weights, and importance.
+
+    By squared errors that is the fit on the rows in these bins, if all rows count in each round and a leaf may hold one row.
+    """
+    folder = shared_dir(rows.sparkSession)
+    made = cell_sums(rows, 1, keys).select("__bins", array_to_vector(F.transform("__bins", lambda b: b.cast("double"))).alias("__x"), (F.col("s") / F.nullif("w", F.lit(0.0))).alias("__y"), "w")
+    cells = stored(made, folder, "cells")
+    # a hundred rounds of several jobs: tasks by the cells' number, in an order that no run changes
+    parts = max(1, -(-cells.count() // FIT_CELLS))
+    known = cells.where("w > 0").repartition(parts, "__bins").sortWithinPartitions("__bins").select("__x", "__y", "w").cache()
+    try:
+        model = estimator.setFeaturesCol("__x").setLabelCol("__y").setWeightCol("w").setPredictionCol("__p").setMaxBins(SEEN_BINS).fit(known)
+    finally:
+        known.unpersist()
+    return model.transform(cells).select("__bins", "__p"), model.featureImportances.toArray()

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from fluxloom.operators import gapfill, trees
@@ -41,9 +41,16 @@ def test_a_tree_on_cells_is_sparks_tree(spark, few_values, depth):
     assert np.allclose(shares(one), shares(spark_tree), atol=0.01) and abs(shares(one).sum() - 1) < 1e-9
 
 
+def test_boosting_on_cells_is_sparks_boosting_on_rows(spark, few_values):
+    args = (few_values, "y", "use_custom_X_col", ["a", "b", "c"])
+    cells = gapfill.fill_gbt(*args, True, ["site"], rounds=8)
+    rows = gapfill._trees(few_values, "y", "XGB", GBTRegressor(maxDepth=3, stepSize=0.1, maxIter=8, seed=0), args[2], args[3], True, ["site"], 0.0)
+    assert same(said(cells, "XGB"), said(rows, "XGB"), 1e-6)
+
+
 def test_fits_do_not_depend_on_partitions(spark, few_values):
     noisy = few_values.withColumn("d", F.pmod(F.xxhash64("datetime"), F.lit(100_003)).cast("double"))
-    for short, params in [("RF", {"trees": 4})]:
+    for short, params in (("RF", {"trees": 4}), ("XGB", {"rounds": 4})):
         one, other = (said(gapfill.FILL[short](noisy.repartition(n), "y", "use_custom_X_col", ["a", "b", "c", "d"], True, ["site"], **params), short) for n in (1, 7))
         assert same(one, other)
 
