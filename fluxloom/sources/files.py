@@ -44,7 +44,11 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "csv", keep: tuple[s
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite a dataset, as Parquet partitioned by ``partition_by`` or as CSV with a header."""
-    writer = df.write.mode("overwrite")
+    """Overwrite a dataset, as Parquet partitioned by ``partition_by`` or as CSV with a header.
+
+    Rows of one folder are brought together first, else each task writes a file into each folder; Spark divides a folder too large for a task.
+    """
+    together = df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by]) if partition_by else df
+    writer = together.write.mode("overwrite")
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.csv(path, header=True) if fmt == "csv" else writer.parquet(path)

@@ -154,6 +154,17 @@ def test_daily_carbon_shows_every_day(spark):
     assert rows[0]["NEE"] is None and rows[1]["GPP"] is None and abs(rows[2]["GPP"] - 48 * 1800 * 12e-6) < 1e-9
 
 
+def test_a_folder_of_a_dataset_is_written_by_one_task(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 8).select(F.when(F.col("id") % 20 > 0, F.col("id") % 20).alias("site id"), F.col("id").cast("double").alias("NEE"))
+    for fmt in ("parquet", "csv"):
+        out = tmp_path / fmt
+        files.write_dataset(rows, str(out), fmt, ("site id",))
+        assert len([p for p in out.rglob("part-*") if not p.name.endswith(".crc")]) == 20
+        back = files.read_dataset(spark, str(out), fmt)
+        assert sorted((r["site id"] and int(r["site id"]), r["NEE"]) for r in back.where("`site id` is not null").collect()) == sorted((r["site id"], r["NEE"]) for r in rows.where("`site id` is not null").collect())
+        assert back.count() == 2000
+
+
 @pytest.mark.parametrize("method,params", [("XGB", {"rounds": 5}), ("RF", {"trees": 3, "max_depth": 5}), ("Ada", {"estimators": 3}), ("ANN", {"hidden": 8, "epochs": 5})])
 def test_gap_fill_keeps_known_values(spark, method, params):
     rng = np.random.default_rng(2)
