@@ -363,22 +363,32 @@ def fill_ann(df: DataFrame, target: str, mode: str = "all", X_col=None, pred_all
     p = net.first()
     state, best, since, done, steps = np.stack([p, np.zeros_like(p), np.zeros_like(p)]), np.inf, 0, 0, 0.0
     train = known.withColumn("__h", F.xxhash64("__v", "__y")).withColumn("__s", F.pmod("__h", F.lit(shards)).cast("int"))
-    train = stored(train.repartition(shards, "__s"), shared_dir(df.sparkSession), "shards") if n else train
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__h", kind="stable")
+        x, y = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1], (part["__y"].to_numpy() - mean[-1]) / scale[-1]
+        return pd.DataFrame({"__s": part["__s"].iloc[:1], "__v": [x.ravel()], "__y": [y]})
+
+    if n:  # a row for each shard, so that rounds neither group rows nor turn them into arrays
+        train = stored(train.groupBy("__s").applyInPandas(packed, "__s int, __v array<double>, __y array<double>"), shared_dir(df.sparkSession), "shards")
+        train = train.repartition(shards, "__s")
 
     def one_round(k: int, now: int, state: np.ndarray, steps: float):
-        def go_on(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("__h", kind="stable")
-            x, y = (np.stack(part["__v"].to_list()) - mean[:-1]) / scale[:-1], (part["__y"].to_numpy() - mean[-1]) / scale[-1]
-            after, loss = net.epochs(state, x, y, now, steps, rate, batch, [k, int(part["__s"].iloc[0])])
-            values = np.concatenate([after.ravel() * len(y), [loss, -(-len(y) // batch) * now * len(y)]])
-            return pd.DataFrame({"at": np.arange(len(values)), "v": values})
+        def go_on(batches):
+            total = 0.0
+            for part in batches:
+                for s, v, y in zip(part["__s"], part["__v"], part["__y"], strict=True):
+                    after, loss = net.epochs(state, v.reshape(-1, d), y, now, steps, rate, batch, [k, int(s)])
+                    total = total + np.concatenate([after.ravel() * len(y), [loss, -(-len(y) // batch) * now * len(y)]])
+            if np.ndim(total):
+                yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
         return go_on
 
     for k in range(1, rounds + 1 if n else 1):
         now = epochs * k // rounds - done
         sums = np.zeros(state.size + 2)
-        for r in train.groupBy("__s").applyInPandas(one_round(k, now, state, steps), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # one row for each weight
+        for r in train.mapInPandas(one_round(k, now, state, steps), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # one row for each weight
             sums[r["at"]] = r["v"] / n
         state, loss, done, steps = sums[:-2].reshape(state.shape), sums[-2], done + now, steps + sums[-1]
         since = 0 if loss < best - TOLERANCE else since + 1

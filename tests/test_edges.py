@@ -268,6 +268,15 @@ def test_network_shards_equal_a_single_fit(spark):
     assert abs(fits[500, 3]["test"] - fits[10_000, 3]["test"]) < 0.01
 
 
+def test_network_rounds_read_a_row_for_each_shard(spark, monkeypatch):
+    kept, stored = [], gapfill.stored
+    monkeypatch.setattr(gapfill, "stored", lambda *args: kept.append(stored(*args)) or kept[-1])
+    df = table(spark, [1] * 400, y=[float(k % 7) for k in range(400)], a=[float(k) for k in range(400)])
+    gapfill.fill_ann(df, "y", "use_custom_X_col", ["a"], keys=["site"], hidden=3, epochs=2, rounds=1, shard_rows=100)
+    shards = kept[0].collect()
+    assert len(shards) <= 4 and sum(len(r["__y"]) for r in shards) == df.count() - gapfill.train_test(df, ["site"]).where("__test").count()
+
+
 def test_network_gradient_by_differences():
     rng = np.random.default_rng(3)
     net = gapfill.Network(3, 4, 0.1)
