@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import io
 import math
+import uuid
 import wave
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,19 @@ from . import common
 
 FRAME, HOP = 1024, 128
 LOWEST, HIGHEST = 110.0, 1900.0
+WINDOW = np.hanning(FRAME)
+#: Frames whose spectra are made at a time.
+FRAMES_IN_CACHE = 48
 #: Frames that the widest filter spans.
 SPAN = 24
 #: Votes of an offset, and the most differing bits, for two recordings to match.
 VOTES, BIT_ERRORS = 1, 0.2
 #: Frames of recordings of equal length whose integers are made together.
 FRAMES_AT_ONCE = 4096
-#: Queries whose places of a code are listed together, and votes that a task counts at once.
-QUERY_BLOCK, VOTES_AT_ONCE = 4096, 1 << 18
+#: Integers of queries that a task holds at once (16 bytes each), votes that it counts and integers that it compares at once.
+BLOCK_CODES, VOTES_AT_ONCE, CODES_AT_ONCE = 1 << 22, 1 << 18, 1 << 16
+#: Bits for an offset: a WAV file has at most 4 GB, so less than 2^24 integers.
+OFFSET_BITS = 26
 
 
 def samples(media: bytes | None) -> tuple[np.ndarray, int]:
@@ -39,32 +46,44 @@ def samples(media: bytes | None) -> tuple[np.ndarray, int]:
         with wave.open(io.BytesIO(media or b"")) as w:
             if w.getsampwidth() != 2:
                 return np.empty(0), 1
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1)
+            x = np.frombuffer(w.readframes(w.getnframes()), "<i2")
+            x = x.reshape(-1, w.getnchannels()).mean(axis=1) if w.getnchannels() > 1 else x
             return x / 32768.0, w.getframerate()
     except (wave.Error, EOFError, ValueError):
         return np.empty(0), 1
 
 
+@lru_cache(maxsize=16)
+def pitch_bins(rate: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a spectrum at ``rate``: the bins in use (from, to), their order by pitch class, the classes present, and where each starts."""
+    hz = np.fft.rfftfreq(FRAME, 1 / rate)
+    use = np.flatnonzero((hz >= LOWEST) & (hz <= HIGHEST))
+    pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
+    order = np.argsort(pitch, kind="stable")  # bins of a pitch class side by side, so that sums need no matrix product
+    present, starts = np.unique(pitch[order], return_index=True)
+    lo, hi = (int(use[0]), int(use[-1]) + 1) if len(use) else (0, 0)
+    return lo, hi, order, present, starts
+
+
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
-    """Pitch-class energies of each frame, scaled to a length of one; frames in blocks of bounded memory."""
+    """Pitch-class energies of each frame, scaled to a length of one; frames in blocks that a processor's cache holds."""
     n = (len(x) - FRAME) // HOP + 1 if len(x) >= FRAME else 0
     if n <= 0:
         return np.empty((0, 12))
-    hz = np.fft.rfftfreq(FRAME, 1 / rate)
-    use = np.flatnonzero((hz >= LOWEST) & (hz <= HIGHEST))
-    pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
-    use = use[np.argsort(pitch, kind="stable")]  # bins of a pitch class side by side, so that sums need no matrix product
-    present, starts = np.unique(np.sort(pitch), return_index=True)
-    window, out = np.hanning(FRAME), []
+    lo, hi, order, present, starts = pitch_bins(rate)
+    energy = np.zeros((n, 12))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    for lo in range(0, n, 2048):
-        spectrum = np.fft.rfft(frames[lo : lo + 2048] * window, axis=1)[:, use]
-        power = spectrum.real**2 + spectrum.imag**2
-        energy = np.zeros((len(power), 12))
-        energy[:, present] = np.add.reduceat(power, starts, axis=1)
-        size = np.linalg.norm(energy, axis=1, keepdims=True)
-        out.append(np.divide(energy, size, out=np.zeros_like(energy), where=size > 1e-9))
-    return np.concatenate(out)
+    rows = min(n, FRAMES_IN_CACHE)
+    part, spectrum, power, dealt = np.empty((rows, FRAME)), np.empty((rows, FRAME // 2 + 1), complex), np.empty((rows, hi - lo)), np.empty((rows, hi - lo))
+    squares = spectrum.view(float)[:, 2 * lo : 2 * hi]  # real and imaginary parts in turn
+    for at in range(0, n, rows):
+        k = min(rows, n - at)
+        np.fft.rfft(np.multiply(frames[at : at + k], WINDOW, out=part[:k]), axis=1, out=spectrum[:k])
+        np.square(squares[:k], out=squares[:k])
+        np.add(squares[:k, ::2], squares[:k, 1::2], out=power[:k])
+        energy[at : at + k, present] = np.add.reduceat(power[:k].take(order, axis=1, out=dealt[:k], mode="clip"), starts, axis=1)
+    size = np.linalg.norm(energy, axis=1, keepdims=True)
+    return np.divide(energy, size, out=np.zeros_like(energy), where=size > 1e-9)
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -143,79 +162,174 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()), hi - lo
 
 
-def places_of(prints: DataFrame) -> DataFrame:
-    """(id, code, pos): where a recording's integer differs from the one before it; a long run is one place."""
+def shelved(queries: DataFrame, folder: str) -> list[list[tuple[str, int, int]]]:
+    """Blocks of at most about BLOCK_CODES integers: files (name, recordings, integers) of the queries in the shared folder.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, raw in zip(common.column(batch, "id"), common.column(batch, "codes"), strict=True):
-                c = np.frombuffer(raw, "<u4").astype(np.int64)
-                pos = np.flatnonzero(np.diff(c, prepend=-1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i, np.int64)), pa.array(c[pos]), pa.array(pos.astype(np.int64))], names=["id", "code", "pos"])
+    A task writes a file or more of its queries; only their names and sizes come to the driver.
+    """
 
-    return common.map_batches(prints, run, "id long, code long, pos long")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = common.filesystem(folder)
+        ids, raws, size = [], [], 0
 
+        def close() -> pa.RecordBatch:
+            name = f"queries-{uuid.uuid4().hex}"
+            store.create_dir(base, recursive=True)
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(np.array(ids, "<i8").tobytes() + np.array([len(r) // 4 for r in raws], "<i8").tobytes() + b"".join(raws))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)]), pa.array([size])], names=["file", "n", "size"])
 
-def best_offsets(found: np.ndarray, votes: int) -> np.ndarray:
-    """Of rows (id, query, offset), one for each vote: (id, query, offset, votes) at the offset with most votes, the least of equal ones."""
-    if not len(found):
-        return np.empty((0, 4), np.int64)
-    rows = found[np.lexsort(found.T[::-1])]
-    first = np.flatnonzero(np.r_[True, np.any(rows[1:] != rows[:-1], axis=1)])
-    n = np.diff(np.r_[first, len(rows)])
-    counted = np.column_stack([rows[first], n])[n >= votes]
-    counted = counted[np.lexsort((counted[:, 2], -counted[:, 3], counted[:, 1], counted[:, 0]))]
-    return counted[np.r_[True, np.any(counted[1:, :2] != counted[:-1, :2], axis=1)]] if len(counted) else counted
+        for batch in batches:
+            for i, raw in zip(common.column(batch, "id"), common.column(batch, "codes"), strict=True):
+                if ids and size + len(raw) // 4 > BLOCK_CODES:
+                    yield close()
+                    ids, raws, size = [], [], 0
+                ids.append(i)
+                raws.append(raw)
+                size += len(raw) // 4
+        if ids:
+            yield close()
+
+    blocks, held = [], BLOCK_CODES + 1
+    for file in sorted(map(tuple, common.map_batches(queries, write, "file string, n long, size long").collect())):
+        if held + file[2] > BLOCK_CODES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(file)
+        held += file[2]
+    return blocks
+
+
+class Prints:
+    """Fingerprints of some recordings: ids, sizes, and the integers of all side by side."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
+        self.ids, self.sizes, self.codes = ids, sizes, codes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where an integer differs from the one before it in its recording, and in which recording; a long run is one place."""
+        new = np.ones(len(self.codes), bool)
+        new[1:] = self.codes[1:] != self.codes[:-1]
+        new[self.starts[self.sizes > 0]] = True
+        at = np.flatnonzero(new)
+        return at, np.repeat(np.arange(len(self.sizes)), self.sizes)[at]
+
+
+class Block:
+    """Queries, and a sorted list of the places of their integers."""
+
+    def __init__(self, prints: Prints):
+        at, whose = prints.places()
+        keys = prints.codes[at].astype(np.uint64) << np.uint64(32) | whose.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.prints, self.keys, self.pos = prints, keys[order], (at - prints.starts[whose])[order].astype(np.int32)
+
+    @classmethod
+    def read(cls, folder: str, files: list[tuple[str, int, int]]) -> Block:
+        store, base = common.filesystem(folder)
+        parts = []
+        for name, n, size in files:
+            with store.open_input_file(f"{base}/{name}") as f:
+                raw = f.read()
+            parts.append([np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<u4", size, 16 * n)])
+        return cls(Prints(*map(np.concatenate, zip(*parts, strict=True))))
+
+    def matches(self, got: Prints, votes: int, most: float) -> list[np.ndarray]:
+        """Columns (id, query, offset, votes, differing bits, compared integers) of recordings that match a query at its best offset.
+
+        Votes are counted for some recordings, or for one and some queries, where all would be over VOTES_AT_ONCE.
+        """
+        at, whose = got.places()
+        order = np.argsort(got.codes[at], kind="stable")  # neighbours in the list are looked up one after the other
+        found, work = [], [(at[order], whose[order], 0, len(self.prints.ids))]
+        while work:
+            at, whose, lo, hi = work.pop()
+            keys = got.codes[at].astype(np.uint64) << np.uint64(32)
+            first, last = np.searchsorted(self.keys, keys | np.uint64(lo)), np.searchsorted(self.keys, keys + np.uint64(hi))
+            met = np.flatnonzero(last > first)
+            at, whose, first, n = at[met], whose[met], first[met], (last - first)[met]
+            seen = np.unique(whose)
+            if n.sum() > VOTES_AT_ONCE and len(seen) > 1:
+                early = whose < seen[len(seen) // 2]
+                work += [(at[early], whose[early], lo, hi), (at[~early], whose[~early], lo, hi)]
+            elif n.sum() > VOTES_AT_ONCE and hi - lo > 1:
+                work += [(at, whose, lo, (lo + hi) // 2), (at, whose, (lo + hi) // 2, hi)]
+            elif len(n):
+                rows = stretches(first, n)
+                query = (self.keys[rows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                found.append(self.compared(got, *best_offsets(np.repeat(whose, n), query, self.pos[rows] - np.repeat(at - got.starts[whose], n), votes), most))
+        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 6
+
+    def compared(self, got: Prints, who: np.ndarray, query: np.ndarray, offset: np.ndarray, votes: np.ndarray, most: float) -> list[np.ndarray]:
+        asked = self.prints
+        apart = got.ids[who] != asked.ids[query]
+        who, query, offset, votes = who[apart], query[apart], offset[apart], votes[apart]
+        lo = np.maximum(offset, 0)
+        n = np.minimum(asked.sizes[query], offset + got.sizes[who]) - lo
+        bits = differing_bits(asked.codes, asked.starts[query] + lo, got.codes, got.starts[who] + lo - offset, n)
+        good = bits / (32 * n) <= most
+        return [c[good] for c in (got.ids[who], asked.ids[query], offset, votes, bits, n)]
+
+
+def stretches(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each start and the numbers after it, ``n`` of them, side by side."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def best_offsets(who: np.ndarray, query: np.ndarray, offset: np.ndarray, votes: int) -> tuple[np.ndarray, ...]:
+    """Of a row for each vote: (who, query, offset, votes) at the offset with most votes, the least of equal ones."""
+    queries = int(query.max()) + 1
+    keys = np.sort((who * queries + query << OFFSET_BITS) + offset + (1 << OFFSET_BITS - 1))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    n, keys = np.diff(np.r_[first, len(keys)]), keys[first]
+    pair = keys >> OFFSET_BITS
+    starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    best = np.repeat(np.maximum.reduceat(n, starts), np.diff(np.r_[starts, len(pair)]))
+    top = np.flatnonzero((n == best) & (n >= votes))
+    top = top[np.r_[True, pair[top][1:] != pair[top][:-1]][: len(top)]]
+    return pair[top] // queries, pair[top] % queries, (keys[top] & (1 << OFFSET_BITS) - 1) - (1 << OFFSET_BITS - 1), n[top]
+
+
+def differing_bits(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Differing bits of stretches of ``n`` integers of ``a`` and of ``b``, about CODES_AT_ONCE integers at a time; no stretch is empty."""
+    out, ends = np.zeros(len(n), np.int64), np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CODES_AT_ONCE, "right")))
+        m = n[lo:hi]
+        apart = np.bitwise_count(a[stretches(a_at[lo:hi], m)] ^ b[stretches(b_at[lo:hi], m)])
+        out[lo:hi] = np.add.reduceat(apart, np.cumsum(m) - m, dtype=np.int64)
+        lo = hi
+    return out
 
 
 def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, most: float = BIT_ERRORS) -> DataFrame:
     """(id, query, offset, votes, bit_error_rate, overlap) of recordings that match a query at its best offset.
 
-    ``prints`` and ``queries``: (id, codes). The places of a code in the queries are listed in
-    blocks of QUERY_BLOCK queries, so a recording's code meets lists and not each place: rows
-    grow with the recordings, and a common code makes longer lists in place of more rows. The
-    lists of a recording and a block meet in one task, which counts votes by query and offset.
+    ``prints`` and ``queries``: (id, codes), without nulls. The queries are written in blocks of about
+    BLOCK_CODES integers, and recordings stream past each block: a task looks up their integers in the block's
+    sorted list, counts votes and compares bits at once. So neither places, votes nor pairs that share an
+    integer by chance are rows of Spark or are shuffled; only matches leave a task. The work on such pairs
+    still grows with recordings times queries. Tasks are the partitions of ``prints``, once for each block.
     """
-    spots = places_of(queries).groupBy("code", F.floor(F.col("id") / QUERY_BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "pos")).alias("spots"))
-    met = places_of(prints).join(spots, "code").select("id", "block", "pos", F.col("spots.id").alias("query"), F.col("spots.pos").alias("at"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def closed() -> pa.RecordBatch:
-            best = best_offsets(np.concatenate(held), votes) if held else np.empty((0, 4), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(best[:, c]) for c in range(4)], names=["id", "query", "offset", "votes"])
-
-        for batch in batches:
-            ids, blocks, pos = (batch.column(c).to_numpy() for c in range(3))
-            sizes = batch.column(3).value_lengths().to_numpy()
-            query, at = (batch.column(c).flatten().to_numpy() for c in (3, 4))
-            rows = np.column_stack([np.repeat(ids, sizes), query, at - np.repeat(pos, sizes)])
-            cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])]) if len(ids) else np.empty(0, np.int64)
-            ends = np.r_[0, np.cumsum(sizes)]
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(ids)]):
-                if (ids[lo], blocks[lo]) != key:
-                    if sum(map(len, held)) > VOTES_AT_ONCE:
-                        yield closed()
-                        held.clear()
-                    key = (ids[lo], blocks[lo])
-                held.append(rows[ends[lo] : ends[hi]])
-        yield closed()
-
-    # a given number of tasks: the rows are short, but lists are long work in Python
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.repartition(tasks, "id", "block").sortWithinPartitions("id", "block")
-    best = dealt.mapInArrow(count, "id long, query long, offset long, votes long").where("id != query")
-    both = best.join(prints.withColumnRenamed("codes", "b"), "id").join(queries.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {c: common.column(batch, c) for c in batch.schema.names}
-            found = [bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o) for a, b, o in zip(cols["a"], cols["b"], cols["offset"], strict=True)]
-            rate = pa.array([d / (32 * n) if n else 1.0 for d, n in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[c], pa.int64()) for c in ("id", "query", "offset", "votes")), rate, pa.array([n for _, n in found], pa.int64())], names=["id", "query", "offset", "votes", "bit_error_rate", "overlap"])
-
-    return common.map_batches(both, check, "id long, query long, offset long, votes long, bit_error_rate double, overlap long").where(F.col("bit_error_rate") <= most)
+    folder = common.shared_dir(prints.sparkSession)
+    schema = "id long, query long, offset long, votes long, bit_error_rate double, overlap long"
+
+    def past(files: list[tuple[str, int, int]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = None
+            for batch in batches:
+                block = block or Block.read(folder, files)
+                raws = common.column(batch, "codes")
+                got = Prints(batch.column(0).to_numpy(), np.array([len(r) // 4 for r in raws], np.int64), np.frombuffer(b"".join(raws), "<u4"))
+                *columns, bits, n = block.matches(got, votes, most)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bits / (32 * n)), pa.array(n)], names=["id", "query", "offset", "votes", "bit_error_rate", "overlap"])
+
+        return common.map_batches(prints.select("id", "codes"), run, schema)
+
+    blocks = shelved(queries.select("id", "codes"), folder)
+    return reduce(DataFrame.union, map(past, blocks)) if blocks else prints.sparkSession.createDataFrame([], schema)
 
 
 def search(media: DataFrame, is_query, key: str = "id", column: str = "media", votes: int = VOTES, most: float = BIT_ERRORS) -> DataFrame:

@@ -144,6 +144,70 @@ def test_chroma_codes_recordings_of_equal_length_together():
     assert chroma.codes_of(energies[:, :5]).shape == (9, 0)
 
 
+def plain_matches(prints, queries, votes, most):
+    """Pair by pair: votes by offset, the least of the best, differing bits there."""
+    out = []
+    for i, b in prints:
+        for q, a in queries:
+            spots = [{}, {}]
+            for at, c in enumerate((a, b)):
+                for pos in range(len(c)):
+                    if not pos or c[pos] != c[pos - 1]:
+                        spots[at].setdefault(c[pos], []).append(pos)
+            found = {}
+            for code, mine in spots[1].items():
+                for x in spots[0].get(code, []):
+                    for y in mine:
+                        found[x - y] = found.get(x - y, 0) + 1
+            best = max(found.values(), default=0)
+            if i == q or best < votes or not best:
+                continue
+            offset = min(o for o, n in found.items() if n == best)
+            pairs = [(a[k], b[k - offset]) for k in range(len(a)) if 0 <= k - offset < len(b)]
+            rate = sum((x ^ y).bit_count() for x, y in pairs) / (32 * len(pairs))
+            if rate <= most:
+                out.append((i, q, offset, best, rate, len(pairs)))
+    return sorted(out)
+
+
+def hummed(n, seed):
+    """Short recordings of few different integers, some of them silent for long, two of them empty."""
+    rnd = random.Random(seed)
+    return [(k, rnd.choices([0, 0, 0, 7, 2**32 - 1, 2**31, rnd.getrandbits(32)], k=rnd.randint(1, 24)) if k % 17 else []) for k in range(n)]
+
+
+def held(rows):
+    return chroma.Prints(np.array([i for i, _ in rows]), np.array([len(c) for _, c in rows]), np.array([x for _, c in rows for x in c], np.uint32))
+
+
+@pytest.mark.parametrize("votes, most", [(1, 1.0), (1, 0.2), (3, 0.45)])
+@pytest.mark.parametrize("at_once", [1 << 18, 40, 1])
+def test_chroma_block_by_brute_force(monkeypatch, votes, most, at_once):
+    monkeypatch.setattr(chroma, "VOTES_AT_ONCE", at_once)
+    monkeypatch.setattr(chroma, "CODES_AT_ONCE", at_once)
+    prints = hummed(34, 1)
+    queries = [r for r in prints if r[0] % 3 == 0]
+    i, q, offset, n, bits, size = chroma.Block(held(queries)).matches(held(prints), votes, most)
+    want = plain_matches(prints, queries, votes, most)
+    assert want and sorted(zip(*(c.tolist() for c in (i, q, offset, n, bits / (32 * size), size)))) == want
+
+
+def test_chroma_pairs_by_chance_are_not_shuffled(spark, monkeypatch):
+    """A code that all recordings share: pairs by chance grow with the square, but are no rows of Spark."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 32, (2500, 30), dtype=np.uint32)
+    codes[:, 11] = 77
+    codes[2001:2050] = codes[1]
+    codes[2001:2050, 12:] ^= np.uint32(1 << 9)
+    prints = spark.createDataFrame([(k, c.astype("<u4").tobytes()) for k, c in enumerate(codes)], "id long, codes binary").repartition(3)
+    monkeypatch.setattr(chroma, "BLOCK_CODES", 30 * 100, raising=False)  # several blocks
+    found = chroma.align(prints, prints.where("id < 500"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 1 and "Join" not in plan and plan.count("Exchange") <= plan.count("RoundRobinPartitioning")
+    assert sorted((r["id"], r["query"], r["offset"], r["votes"], r["overlap"]) for r in found.collect()) == [(k, 1, 0, 12, 30) for k in range(2001, 2050)]
+    assert chroma.align(prints, prints.limit(0)).count() == 0
+
+
 def test_chroma_recall_against_brute_force(spark):
     """All pairs of a query and a recording, at all offsets, against the search."""
     rng = np.random.default_rng(11)
